@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from gridloom.llm import chat, mixing, urlfilter
+from gridloom.llm import ann, chat, mixing, quality, urlfilter
 
 QUERIES = {
     "op2_chat_windows": chat.op2_chat_windows,
+    "op3_hnsw": ann.op3_hnsw,
+    "op4_quality_fm": quality.op4_quality_fm,
     "op5_url_cascade": urlfilter.op5_url_cascade,
     "op9_source_mix": mixing.op9_source_mix,
 }

@@ -22,6 +22,7 @@ from gridloom.llm.store import cut
 
 WORD = r"[^\x20\x09-\x0D]+"
 ROWS_PER_BUCKET = 4096
+MAX_BROADCAST_SOURCES = 50_000  # a few MB; with more sources the targets are joined by a shuffle
 
 
 def size_of(text: Column) -> Column:
@@ -68,7 +69,9 @@ def mix_sources(docs: DataFrame, share: float = 1.5, weights: tuple[int, ...] =
     d = d.withColumn("skey", F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source"))))
     d = cut(d.drop("chars", "weight"))  # a few numbers a document: the texts are read once
     per_source = d.groupBy("skey").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
-    d = d.drop("source").join(targets(per_source, share, weights, max_epochs), "skey")
+    plan = cut(targets(per_source, share, weights, max_epochs))
+    small = plan.count() <= MAX_BROADCAST_SOURCES
+    d = d.drop("source").join(F.broadcast(plan) if small else plan, "skey")
     buckets = F.ceil(F.col("n_docs") / float(ROWS_PER_BUCKET))
     d = d.withColumn("bucket", F.least(buckets - 1, F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * buckets)))
     sums = d.groupBy("skey", "bucket").agg(F.sum("size").alias("bucket_size"))

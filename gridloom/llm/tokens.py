@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U64 = np.uint64
 _P, _Q = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93  # odd, hence invertible modulo 2**64
@@ -147,7 +148,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator
     n = batch.num_rows
     if not n:
         return
-    lengths = np.asarray(pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    lengths = np.asarray(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
     total = np.concatenate([[0], np.cumsum(lengths)])
     at = 0
     while at < n:
