@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from gridloom.llm import ann, chat, mixing, quality, urlfilter
+from gridloom.llm import ann, chat, decontaminate, lmscore, mixing, quality, urlfilter
 
 QUERIES = {
+    "op1_template_decontamination": decontaminate.op1_template_decontamination,
     "op2_chat_windows": chat.op2_chat_windows,
     "op3_hnsw": ann.op3_hnsw,
     "op4_quality_fm": quality.op4_quality_fm,
     "op5_url_cascade": urlfilter.op5_url_cascade,
+    "op7_pseudo_likelihood": lmscore.op7_pseudo_likelihood,
     "op9_source_mix": mixing.op9_source_mix,
 }
 SQL = {"op5_url_cascade": urlfilter.OP5_SQL, "op9_source_mix": mixing.OP9_SQL}

@@ -17,8 +17,8 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 _P, _Q = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93  # odd, hence invertible modulo 2**64
-_SEPARATOR = np.zeros(256, dtype=bool)
-_SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+SEPARATOR = np.zeros(256, dtype=bool)
+SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _BLOCK = 1 << 20
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -76,7 +76,7 @@ def text_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8)[off[0] : off[-1]], off - off[0]
 
 
-def _cuts(data: np.ndarray, off: np.ndarray) -> list[int]:
+def _cuts(data: np.ndarray, off: np.ndarray, separator: np.ndarray) -> list[int]:
     """Ends of blocks of about 1 MB; they never fall inside a word."""
     cuts, at, n = [0], 0, len(data)
     while at < n:
@@ -86,10 +86,10 @@ def _cuts(data: np.ndarray, off: np.ndarray) -> list[int]:
             break
         k = int(off[np.searchsorted(off, want, side="right") - 1])
         if k <= at:  # one long document
-            gap = np.flatnonzero(_SEPARATOR[data[want : want + 4096]])
+            gap = np.flatnonzero(separator[data[want : want + 4096]])
             while not len(gap) and want < n:
                 want += 4096
-                gap = np.flatnonzero(_SEPARATOR[data[want : want + 4096]])
+                gap = np.flatnonzero(separator[data[want : want + 4096]])
             stop = int(off[np.searchsorted(off, at, side="right")])
             k = min(want + int(gap[0]) if len(gap) else n, stop)
         cuts.append(k)
@@ -97,16 +97,16 @@ def _cuts(data: np.ndarray, off: np.ndarray) -> list[int]:
     return cuts
 
 
-def words_of(col: pa.Array, lower: bool = False) -> Words:
-    """The word table of a string column (``lower``: ASCII letters hash alike)."""
+def words_of(col: pa.Array, lower: bool = False, separator: np.ndarray = SEPARATOR) -> Words:
+    """The word table of a string column (``lower``: ASCII letters hash alike; ``separator``: by byte)."""
     data, off = text_buffers(col)
     starts, ends, hashes = [], [], []
     fresh = np.zeros(len(data) + 1, dtype=bool)
     fresh[off] = True
-    cuts = _cuts(data, off)
+    cuts = _cuts(data, off, separator)
     for a, z in zip(cuts, cuts[1:], strict=False):
         b = data[a:z]
-        word = ~_SEPARATOR[b]
+        word = ~separator[b]
         new = fresh[a:z].copy()
         new[0] = True
         first = word.copy()
