@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridloom.llm import ann, chat, decontaminate, lmscore, mixing, quality, urlfilter
+from gridloom.llm import ann, chat, decontaminate, lmscore, mixing, pii, quality, urlfilter
 
 QUERIES = {
     "op1_template_decontamination": decontaminate.op1_template_decontamination,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_hnsw": ann.op3_hnsw,
     "op4_quality_fm": quality.op4_quality_fm,
     "op5_url_cascade": urlfilter.op5_url_cascade,
+    "op6_contextual_pii": pii.op6_contextual_pii,
     "op7_pseudo_likelihood": lmscore.op7_pseudo_likelihood,
     "op9_source_mix": mixing.op9_source_mix,
 }
