@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridloom.llm import ann, chat, decontaminate, lmscore, mixing, pii, quality, urlfilter
+from gridloom.llm import ann, chat, decontaminate, lmscore, mixing, neardup, pii, quality, urlfilter
 
 QUERIES = {
     "op1_template_decontamination": decontaminate.op1_template_decontamination,
@@ -13,5 +13,6 @@ QUERIES = {
     "op6_contextual_pii": pii.op6_contextual_pii,
     "op7_pseudo_likelihood": lmscore.op7_pseudo_likelihood,
     "op9_source_mix": mixing.op9_source_mix,
+    "op10_bagminhash": neardup.op10_bagminhash,
 }
 SQL = {"op5_url_cascade": urlfilter.OP5_SQL, "op9_source_mix": mixing.OP9_SQL}
