@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridloom.llm import ann, chat, decontaminate, lmscore, mixing, neardup, pii, quality, urlfilter
+from gridloom.llm import ann, chat, decontaminate, lmscore, mixing, neardup, pii, quality, substring, urlfilter
 
 QUERIES = {
     "op1_template_decontamination": decontaminate.op1_template_decontamination,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_url_cascade": urlfilter.op5_url_cascade,
     "op6_contextual_pii": pii.op6_contextual_pii,
     "op7_pseudo_likelihood": lmscore.op7_pseudo_likelihood,
+    "op8_debruijn": substring.op8_debruijn,
     "op9_source_mix": mixing.op9_source_mix,
     "op10_bagminhash": neardup.op10_bagminhash,
 }
