@@ -4,9 +4,9 @@ Texts become template tokens: runs of letters and digits, ASCII lower case; numb
 number, and capitalised words inside a sentence turn into typed placeholders (runs of one
 placeholder count once).  Windows of ``WINDOW`` template tokens with ``LITERAL`` words at least that
 are no placeholders are hash-joined with the benchmark's.  For each (document, item) the slots of
-matching windows are aligned: one item value must always meet one document value and conversely
-(``CONSISTENT`` of the slots), so re-parameterised questions are caught and accidental templates are
-not.  A document leaks an item if ``COVERAGE`` of the item's windows match, or ``LONG`` windows do.
+matching windows are aligned: most values are equal, or a value that fills several slots must meet one
+partner there, in either direction (``CONSISTENT`` of the slots), so re-parameterised questions are
+caught and accidental templates are not.  A document leaks an item if ``COVERAGE`` of the item's windows match, or ``LONG`` windows do.
 
 The benchmark's windows are broadcast in blocks of ``MAX_WINDOWS`` at most (16 MB of hashes); a
 larger benchmark takes one pass over the documents per block, and an item never spans blocks.
@@ -102,6 +102,19 @@ class Benchmark:
         self.total = np.bincount(t.doc[at], minlength=len(items))
 
 
+def _consistent(values: list[tuple[int, int]]) -> bool:
+    """Whether values that fill several slots meet one partner in ``CONSISTENT`` of them, on both sides."""
+    pair = Counter(values)
+    for side in (0, 1):
+        often, best = Counter(v[side] for v in values), Counter()
+        for v, c in pair.items():
+            best[v[side]] = max(best[v[side]], c)
+        again = [x for x, c in often.items() if c > 1]
+        if sum(best[x] for x in again) < CONSISTENT * sum(often[x] for x in again):
+            return False
+    return True
+
+
 def leaks(col: pa.Array, bench: Benchmark) -> list[tuple[int, int, int, float, bool]]:
     """(row, item, windows, coverage, exact) of each leak in a string column."""
     t, out = Templates(col), []
@@ -125,10 +138,7 @@ def leaks(col: pa.Array, bench: Benchmark) -> list[tuple[int, int, int, float, b
                 if t.kind[d + j] != WORD:
                     slots.add((d + j, b + j))
         values = [(int(t.value[d]), int(bench.t.value[b])) for d, b in slots]
-        pair, left, right = Counter(values), Counter(), Counter()
-        for (x, y), c in pair.items():
-            left[x], right[y] = max(left[x], c), max(right[y], c)
-        if values and min(sum(left.values()), sum(right.values())) < CONSISTENT * len(values):
+        if values and sum(x == y for x, y in values) < CONSISTENT * len(values) and not _consistent(values):
             continue
         out.append((row, bench.ids[item], n, float(share), all(x == y for x, y in values)))
     for size, table in bench.short.items():
