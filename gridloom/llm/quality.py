@@ -130,16 +130,16 @@ def train(docs: DataFrame, labels: DataFrame, admitted, train_rows: int = TRAIN_
     return fit(got)
 
 
-def score(docs: DataFrame, machine: Machine, text: str = "text") -> DataFrame:
-    """``docs`` with a column ``score``; the model is a broadcast of fixed size (under 1 MB)."""
+def score(docs: DataFrame, machine: Machine, text: str = "text", name: str = "score") -> DataFrame:
+    """``docs`` with a column ``name`` of scores; the model is a broadcast of fixed size (under 1 MB)."""
     held = docs.sparkSession.sparkContext.broadcast(machine)
-    out = StructType([*docs.schema.fields, StructField("score", DoubleType())])
+    out = StructType([*docs.schema.fields, StructField(name, DoubleType())])
 
     def run(batches):
         for whole in batches:
             for batch in T.slices(whole, text):
                 s = held.value.score(*features(batch.column(text)))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s)], names=[*batch.schema.names, "score"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s)], names=[*batch.schema.names, name])
 
     return docs.mapInArrow(run, out)
 
