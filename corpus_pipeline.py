@@ -18,7 +18,7 @@ from gridloom.llm.store import cut
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the factorisation machine gives at least the threshold."""
     machine = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), F.lit(True))
-    return quality.score(docs, machine).filter(F.col("score") >= quality.THRESHOLD).select(docs.columns)
+    return quality.score(docs, machine, name="__score").filter(F.col("__score") >= quality.THRESHOLD).drop("__score")
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
