@@ -180,4 +180,4 @@ def supervoxels(features: DataFrame, grid: Grid, k: int = 500, compactness: floa
                     heapq.heappush(heap, (float(d), u, c))
         return pd.DataFrame({"idx": idx, "label": label})
 
-    return features.groupBy(F.lit(1)).applyInPandas(lambda pdf: grow(pdf), "idx long, label long")
+    return features.withColumn("__all", F.lit(1)).groupBy("__all").applyInPandas(grow, "idx long, label long")

@@ -78,11 +78,12 @@ def read_summary(spark: SparkSession, path: str, fmt: str = "csv", statistic: st
     d = read_text(spark, path, "\t" if fmt == "tsv" else ",")
     if any(not c for c in d.columns) or any(c not in d.columns for c in REQUIRED):
         raise ValueError("summary columns are missing or unnamed")
+    own = [F.col(f"`{c}`") for c in d.columns]
     num = lambda c: F.when(F.col(c).isNull() | F.col(c).rlike(NUMBER), F.col(c).try_cast("double")).otherwise(F.raise_error(F.lit(f"invalid number in {c}")).cast("double"))
     d = problems(d.select(*[num(c).alias(c) if c in NUMBERS else F.col(f"`{c}`").alias(c) for c in d.columns]), statistic)
     if bad := d.filter(F.size("problems") > 0).select("problems").first():
         raise ValueError("; ".join(bad[0]))
-    return d.drop("problems")
+    return d.select(*own)
 
 
 def import_rows(d: DataFrame) -> DataFrame:
