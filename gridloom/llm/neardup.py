@@ -11,10 +11,10 @@ a text besides one draw per shingle.
 
 ``BANDS`` bands of ``ROWS`` registers make candidates: exact copies are one node; in every bucket the
 smallest node is compared with all others, which emits no pairs within a group.  Similarities are
-exact multiset overlaps of the texts (``SIMILAR`` or more).  Where a bucket still spans several
-components, its members of different components are compared by their signatures in blocks inside the
-tasks, and the likely pairs are verified in turn, so no link between different texts hangs on the
-choice of the smallest node.
+exact multiset overlaps of the texts (``SIMILAR`` or more).  Where buckets still span several
+components, their likely members form groups, and all nodes outside a group's largest component meet
+the whole group in bounded blocks inside the tasks; only links that join components leave a task.  So no
+link between different texts hangs on the choice of the smallest node.
 
 Edge cases: null texts are empty; texts without words are copies of each other; texts below five words
 have themselves as only shingle; repeated rows and doc_ids are separate rows of a class; a class is
@@ -34,8 +34,8 @@ from gridloom.llm.graph import components
 from gridloom.llm.store import cut, release
 
 SHINGLE, REGISTERS, BANDS, ROWS, SIMILAR = 5, 128, 32, 4, 0.8
-LIKELY = 0.65  # 128 registers: over four standard deviations below SIMILAR
-HUB_ROWS, CHUNK = 2000, 2048
+LIKELY = 0.5  # of the registers, to tie components into groups: far below SIMILAR
+HUB_ROWS, CHUNK = 2000, 1024
 U = T.U64
 
 
@@ -188,47 +188,114 @@ def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, similar: float =
     return placed.select("hub", "node", "text").mapInArrow(run, "hub long, node long")
 
 
-def unsettled(star: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Likely pairs (hub, node) of different components in buckets of three or more that span several components."""
+def groups(star: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(grp, node, label, minor): nodes whose components may still be linked.
+
+    Failed comparisons of buckets that span several components, where signatures agree in ``LIKELY`` of the
+    registers, tie components into groups.  ``minor`` marks all but the group's largest component.
+    """
     lab = labels.select("node", "label")
     s = star.join(lab, "node", "left").withColumn("own", F.coalesce("label", "node")).drop("label")
     s = s.join(lab.withColumnRenamed("node", "hub"), "hub", "left").withColumn("top", F.coalesce("label", "hub")).drop("label")
-    mixed = s.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.least("own", "top")).alias("a"), F.max(F.greatest("own", "top")).alias("z"))
-    mixed = mixed.filter("n > 1 and a < z").select("bucket", F.ceil((F.col("n") + 1) / float(CHUNK)).cast("int").alias("chunks"))
-    rows = s.join(mixed, "bucket")
-    rows = rows.select("bucket", "chunks", "node", F.col("own").alias("label")).union(rows.select("bucket", "chunks", F.col("hub"), "top").distinct())
-    rows = rows.join(nodes.select("node", "sig"), "node")
-    rows = rows.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    rows = rows.select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "label", "sig")
+    wide = s.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("own") != F.col("top")).alias("mixed")).filter("n > 1 and mixed").select("bucket")
+    pairs = s.filter("own <> top").join(wide, "bucket", "left_semi").select("hub", "node", "own", "top").distinct()
+    sigs = nodes.select("node", "sig")
+    pairs = pairs.join(sigs, "node").join(sigs.select(F.col("node").alias("hub"), F.col("sig").alias("sig2")), "hub")
+    schema = pa.schema([("own", pa.int64()), ("top", pa.int64())])
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(b.num_rows, -1) for c in ("sig", "sig2"))
+            ok = pa.array((x == y).mean(axis=1) >= LIKELY)
+            yield pa.RecordBatch.from_arrays([b.column(c).filter(ok) for c in ("own", "top")], schema=schema)
+
+    ties = cut(pairs.select("own", "top", "sig", "sig2").mapInArrow(run, "own long, top long"))
+    part = components(ties)
+    part = part.union(part.select("label", "label").distinct()).toDF("label", "grp")
+    member = nodes.select("node").join(lab, "node", "left").select("node", F.coalesce("label", "node").alias("label")).join(part, "label")
+    size = member.groupBy("grp", "label").agg(F.count(F.lit(1)).alias("c"))
+    top = size.groupBy("grp").agg(F.max(F.struct("c", "label"))["label"].alias("major"), F.sum("c").alias("all")).filter(F.col("all") > 2)
+    return member.join(top, "grp").select("grp", "node", "label", (F.col("label") != F.col("major")).alias("minor"))
+
+
+def settle(group: DataFrame, nodes: DataFrame, docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """(hub, node): links that join different components of a group, a spanning set of them per block.
+
+    The minor nodes of a group meet all its nodes in blocks of ``CHUNK``; overlaps are exact, as products of
+    0/1 matrices of (shingle, occurrence), and stay inside the task.
+    """
+    n = group.groupBy("grp").agg(*[F.ceil(F.count_if(c) / float(CHUNK)).cast("int").alias(x) for c, x in ((F.col("minor"), "cm"), (~F.col("minor"), "cx"))])
+    g = group.join(n, "grp")
+    mine = F.when(F.col("minor"), F.pmod(F.xxhash64("node"), F.greatest("cm", F.lit(1)))).otherwise(F.col("cm") + F.pmod(F.xxhash64("node"), F.greatest("cx", F.lit(1)))).cast("int")
+    g = g.withColumn("mine", mine)
+    last = F.when(F.col("minor"), F.col("cm") + F.col("cx") - 1).otherwise(F.col("cm") - 1)
+    g = g.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    want = g.select("grp", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") <= F.col("other")).alias("left"), (F.col("mine") >= F.col("other")).alias("right"), "node", "label")
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("rep_id"), F.xxhash64("text").alias("rep_th"), "text")
+    one = group.select("node").join(nodes.select("node", "rep_id", "rep_th"), "node").join(texts, ["rep_id", "rep_th"]).select("node", "text").dropDuplicates(["node"])
+    rows = want.join(one, "node")
     schema = pa.schema([("hub", pa.int64()), ("node", pa.int64())])
 
-    def compare(group):
-        node, label = np.array([g[1] for g in group]), np.array([g[2] for g in group])
-        sig = np.stack([np.frombuffer(g[3], np.uint8) for g in group])
-        for a in range(0, len(node), 64):
-            same = (sig[a : a + 64, None, :] == sig[None, a:, :]).mean(axis=2)
-            x, y = np.nonzero((same >= LIKELY) & (label[a : a + 64, None] != label[None, a:]) & (node[a : a + 64, None] < node[None, a:]))
-            yield from zip(node[a + x].tolist(), node[a + y].tolist(), strict=True)
+    def compare(block):
+        """Spanning links between components of one block; block: (left, right, node, label, elements, occurrences)."""
+        node, label = np.array([b[2] for b in block]), np.array([b[3] for b in block])
+        rows_of = np.repeat(np.arange(len(block)), [len(b[4]) for b in block])
+        h, k = np.concatenate([b[4] for b in block]), np.concatenate([b[5] for b in block])
+        total = np.bincount(rows_of, k, len(block)).astype(np.int64)
+        rep = np.repeat(np.arange(len(h)), k)  # one feature per occurrence of a shingle
+        nth = np.arange(len(rep)) - np.repeat(np.cumsum(k) - k, k)
+        feature = T.mix(h[rep] + nth.astype(U) * U(0x9FB21C651E98DF25))
+        _, inverse, often = np.unique(feature, return_inverse=True, return_counts=True)
+        new = np.cumsum(often > 1) - 1
+        keep = often[inverse] > 1
+        r, f = rows_of[rep][keep], new[inverse[keep]]
+        order = np.argsort(f, kind="stable")
+        r, f = r[order], f[order]
+        left, right = (np.flatnonzero([b[x] for b in block]) for x in (0, 1))
+        both = np.zeros((len(left), len(right)), np.float32)
+        for a in range(0, int(new[-1]) + 1 if len(new) else 0, 4096):
+            lo, hi = np.searchsorted(f, [a, a + 4096])
+            m = np.zeros((len(block), 4096), np.float32)
+            m[r[lo:hi], f[lo:hi] - a] = 1
+            both += m[left] @ m[right].T
+        near = (both >= similar * (total[left][:, None] + total[right][None, :] - both) - 1e-6) & (both > 0) & (label[left][:, None] != label[right][None, :])
+        up = {x: x for x in label.tolist()}
+
+        def find(x):
+            while up[x] != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        for x in np.flatnonzero(near.any(axis=1)):
+            y = right[near[x]]
+            _, first = np.unique(label[y], return_index=True)
+            for z in y[first]:
+                p, q = find(int(label[left[x]])), find(int(label[z]))
+                if p != q:
+                    up[max(p, q)] = min(p, q)
+                    yield int(node[left[x]]), int(node[z])
 
     def run(batches):
-        group, out = [], []
-        for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("bucket", "i", "j", "node", "label", "sig")]
-            for b, i, j, node, label, sig in zip(*cols, strict=True):
-                if group and group[0][0] != (b, i, j):
-                    out.extend(compare(group))
-                    group = []
-                group.append(((b, i, j), node, label, sig))
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], schema=schema)
-            out = []
-        if group:
-            out.extend(compare(group))
+        on, block, out = None, [], []
+        for whole in batches:
+            for batch in T.slices(whole, "text"):
+                _, doc, h, count = bags(batch.column("text"))
+                first = np.searchsorted(doc, np.arange(batch.num_rows + 1))
+                cols = [batch.column(c).to_pylist() for c in ("grp", "i", "j", "left", "right", "node", "label")]
+                for x, (grp, i, j, left, right, node, label) in enumerate(zip(*cols, strict=True)):
+                    if on != (grp, i, j):
+                        out.extend(compare(block) if block else ())
+                        on, block = (grp, i, j), []
+                    s = slice(first[x], first[x + 1])
+                    block.append((left, right, node, label, h[s].copy(), count[s].copy()))
+        out.extend(compare(block) if block else ())
         yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], schema=schema)
 
-    placed = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node")
-    found = placed.mapInArrow(run, "hub long, node long").distinct()
-    return found.join(star.select("hub", "node").distinct(), ["hub", "node"], "left_anti")
+    placed = rows.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "node")
+    return placed.select("grp", "i", "j", "left", "right", "node", "label", "text").mapInArrow(run, "hub long, node long")
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -242,9 +309,9 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     edges = cut(verify(star.select("hub", "node").distinct(), nodes, docs))
     release(docs.sparkSession)
     labels = components(edges)
-    more = cut(verify(cut(unsettled(star, labels, nodes)), nodes, docs))
-    if not more.isEmpty():
-        labels = components(edges.union(more))
+    group = cut(groups(star, labels, nodes))
+    if not group.isEmpty():
+        labels = components(edges.union(cut(settle(group, nodes, docs))))
     release(docs.sparkSession)
     n = nodes.join(labels, "node", "left").select("key", F.coalesce("label", "node").alias("comp"), "rep_id", "rep_th", "copies")
     by = n.groupBy("comp").agg(F.min(F.struct("rep_id", "rep_th")).alias("best"), F.sum("copies").alias("class_size"))
