@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.llm import ann, chat, decontaminate, lmscore, mixing, neardup, pii, quality, substring, urlfilter
+from gridloom.llm import ann, chat, decontaminate, graph, lmscore, mixing, neardup, pii, quality, substring, urlfilter
 from gridloom.llm import tokens as T
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -383,6 +383,26 @@ def test_near_duplicates_equal_brute_force(spark, odd):
     assert neardup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_components_in_one_task_and_in_rounds(spark):
+    rng = random.Random(10)
+    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(i, i + 1) for i in range(1000, 1060)] + [(7, 7)]
+    up = {}
+
+    def find(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        up[max(a, b)] = min(a, b)
+    want = {x: find(x) for x in up if find(x) != x}
+    e = spark.createDataFrame(pairs, "a long, b long")
+    for most in (10**6, 40):
+        assert {r["node"]: r["label"] for r in graph.components(e, most).collect()} == want
+    assert graph.components(e.limit(0)).count() == 0
+
+
 def test_bag_signatures_are_unbiased():
     rng = np.random.default_rng(9)
     off = []
