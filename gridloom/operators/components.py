@@ -16,6 +16,9 @@ from gridloom.operators.stencil import neighbour_offsets, taps
 from gridloom.rng import mulberry32
 
 
+LOCAL_EDGES = 1_000_000
+
+
 def _cut(df: DataFrame) -> DataFrame:
     """Lineage cut in the shared checkpoint folder (a temporary one only where none is configured)."""
     sc = df.sparkSession.sparkContext
@@ -24,11 +27,32 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def roots(cells: DataFrame, grid: Grid, connectivity: int = 26, same: str | None = None) -> DataFrame:
+def _contract(frames):
+    """(idx, root) of the cells of an edge list (a, b) whose least cell is another one."""
+    parts = [f for f in frames if len(f)]
+    if not parts:
+        return
+    e = pd.concat(parts)
+    nodes, at = np.unique(np.r_[e["a"], e["b"]], return_inverse=True)
+    x, y, low = at[: len(e)], at[len(e) :], np.arange(len(nodes))
+    while True:
+        new = low.copy()
+        np.minimum.at(new, low[x], low[y])
+        np.minimum.at(new, low[y], low[x])
+        while (new != new[new]).any():
+            new = new[new]
+        if (new == low).all():
+            break
+        low = new
+    yield pd.DataFrame({"idx": nodes, "root": nodes[low]})
+
+
+def roots(cells: DataFrame, grid: Grid, connectivity: int = 26, same: str | None = None, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """(idx, root): the least cell of each component of ``cells``; with ``same``, neighbours must agree in that column.
 
-    Rounds of minimum over neighbours with pointer jumping, so the number of rounds follows the
-    logarithm of a component's extent; each round is two shuffles on idx.
+    Up to ``LOCAL_EDGES`` neighbour pairs are one task's array work.  More take rounds of minimum over
+    neighbours with pointer jumping, so the number of rounds follows the logarithm of a component's
+    extent; each round is two shuffles on idx.
     """
     keep = ["idx", *([same] if same else [])]
     half = [o for o in neighbour_offsets(connectivity) if o > (0, 0, 0)]
@@ -37,7 +61,11 @@ def roots(cells: DataFrame, grid: Grid, connectivity: int = 26, same: str | None
     if same:
         links = links.filter(F.col(same) == F.col("__mine"))
     links = links.select(F.col("idx").alias("a"), F.col("other").alias("b"))
-    edges = _cut(links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    links = _cut(links)
+    if links.count() <= local_edges:
+        low = links.coalesce(1).mapInPandas(_contract, "idx long, root long")
+        return cells.select("idx").join(low, "idx", "left").select("idx", F.coalesce("root", "idx").alias("root"))
+    edges = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     lab = _cut(cells.select("idx", F.col("idx").alias("root")))
     while True:
         low = edges.join(lab.select(F.col("idx").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("low"))

@@ -63,6 +63,7 @@ def basis(d: DataFrame, coverage: float = 0.9, least: int = 30) -> tuple[DataFra
     Members leave as all-missing, low-coverage (below ``coverage`` of the median), constant, or - until
     nothing changes - constant on the support.  pairs: a, b, r, distance 1 - r.
     """
+    d = d.persist()  # read by every round
     x = finite("value")
     m = d.groupBy("member").agg(F.count(x).alias("n"), F.var_pop(x).alias("v"))
     med = m.filter("n > 0").agg(F.percentile("n", F.lit(0.5)).alias("med")).select("med").scalar()

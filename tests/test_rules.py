@@ -165,3 +165,14 @@ def test_supervoxels_cover(spark):
     f = spark.createDataFrame([(i, [float(i % 5), float(i // 25)]) for i in range(50)], "idx long, series array<double>")
     got = C.supervoxels(f, g, 4).collect()
     assert len(got) == 50 and {r["label"] for r in got} == {1, 2, 3, 4}
+
+
+def test_components_in_one_task_and_in_rounds(spark):
+    from gridloom.operators import components as C
+
+    g = Grid((9, 9, 4))
+    rng = np.random.default_rng(4)
+    on = np.flatnonzero(rng.random(g.size) < 0.35)
+    cells = spark.createDataFrame([(int(i),) for i in on], "idx long")
+    got = [sorted(map(tuple, C.roots(cells, g, 6, local_edges=n).collect())) for n in (10**6, 0)]
+    assert got[0] == got[1] and len(got[0]) == len(on)
