@@ -3,9 +3,9 @@
 A conversation is cut into windows of whole turns: a running prefix sum of turn
 tokens closes a window where the next turn would pass ``budget``.  Every window
 starts with the system turn (if the first turn is one) and with the longest run of
-preceding turns within ``history`` tokens; those turns are marked ``ctx`` and
+preceding turns within ``history`` tokens that leaves room for the next turn; those turns are marked ``ctx`` and
 masked, so each assistant text is a target exactly once.  A turn beyond the budget
-gets a window of its own and is never cut.
+gets a window of its own (with the system turn) and is never cut.
 
 Template: ``<turn ROLE>\\nTEXT</turn>\\n`` (``<turn ROLE ctx>`` for repeated turns).  In
 texts a backslash goes before each backslash and before ``<turn`` and ``</turn``;
@@ -69,7 +69,7 @@ class _Packer:
         tokens = len(_TOKEN.findall(text)) + 1
         if self.fresh and self.prefix - self.base + tokens > self.budget:
             yield self.flush()
-            self.open()
+            self.open(tokens)
         if self.n == 0 and not self.fresh and role == "system":
             self.system = (role, text, tokens)
         self.fresh.append((role, text))
@@ -78,11 +78,14 @@ class _Packer:
         while len(self.past) > 1 and self.past[-1][2] - self.past[0][2] + self.past[0][3] > self.history:
             self.past.pop(0)
 
-    def open(self):
-        past = [x for x in self.past if self.system is None or x[:2] != self.system[:2]]
-        past = past if past and self.prefix - past[0][2] + past[0][3] <= self.history else []
+    def open(self, tokens: int):
+        """A new window for a turn of ``tokens``: the system turn, and what history fits beside both."""
+        own = self.system[2] if self.system else 0
+        room = min(self.history, self.budget - own - tokens)
+        past = self.past[1:] if self.system and self.past and self.past[0][2] == own else self.past  # the system turn is there already
+        past = [x for x in past if self.prefix - x[2] + x[3] <= room]
         self.context = ([self.system[:2]] if self.system else []) + [x[:2] for x in past]
-        self.base = self.prefix - sum(x[3] for x in past) - (self.system[2] if self.system else 0)
+        self.base = self.prefix - sum(x[3] for x in past) - own
         self.fresh = []
 
     def flush(self) -> dict:

@@ -114,8 +114,9 @@ def test_chat_round_trip(spark):
         if want[r["conv_id"]][0][0] == "system":
             assert turns[0][0] == "system"
         fresh = [t for t in turns if not t[2]]
-        cost = sum(len(chat._TOKEN.findall(t[1])) + 1 for t in turns)
-        assert fresh and (cost <= 60 or len(fresh) == 1 or r["window"] == 0 and len(fresh) == 1 or cost <= 60 + 1)
+        cost = [len(chat._TOKEN.findall(t[1])) + 1 for t in turns]
+        alone = len(fresh) == 1 and all(t[0] == "system" for t in turns if t[2])
+        assert fresh and (sum(cost) <= 60 or alone)
     assert chat.read_back(chat.format_conversations(d.limit(0))).count() == 0
     one = chat.op2_chat_windows(spark, SF).filter("conv_id = -7").first()
     said = r"\### Assistant: </turn> ok"
