@@ -164,7 +164,8 @@ def repeated_spans(keyed: DataFrame, k: int = K, g: int = G) -> DataFrame:
     mixed = found.filter("kinds > 1 or inner").select("rep.*", (F.col("c") == 1).alias("sole"))
     edges = cut(single_edges(mixed, keyed, k, g))
     release(spark)
-    again = edges.groupBy("anchor", "edge").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
+    # cut, so that the join's large side is dealt by itself and a frequent edge's rows can be split
+    again = cut(edges.groupBy("anchor", "edge").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c"))
     single = edges.filter("sole").join(again, ["anchor", "edge"]).select("id", "th", F.col("start").cast("long"), F.lit(1).cast("long").alias("n"))
     return spans.unionByName(single)
 
