@@ -64,8 +64,11 @@ class Edges:
         return at, np.diff(np.concatenate([at, [len(self.at)]]))
 
 
-def arcs(docs: DataFrame, k: int = K, g: int = G) -> DataFrame:
-    """Super-edges of all texts (columns of ARC); ``inner``: an edge repeats within the super-edge."""
+def arcs(docs: DataFrame, k: int = K, g: int = G, full: bool = True) -> DataFrame:
+    """Super-edges of all texts (columns of ARC); ``inner``: an edge repeats within the super-edge.
+
+    Without ``full``, head, tail and inner are left empty for uses that only place known arcs.
+    """
     types = [pa.int64()] * 6 + [pa.int32()] * 2 + [pa.bool_()]
     names = ["anchor", "arc", "head", "tail", "id", "th", "start", "n", "inner"]
 
@@ -74,19 +77,20 @@ def arcs(docs: DataFrame, k: int = K, g: int = G) -> DataFrame:
             for batch in T.slices(whole, "text"):
                 e = Edges(batch.column("text"), k, g)
                 at, n = e.runs()
-                node = T.window_hashes(e.words.hashes, k - 1, seed=3)
+                node = T.window_hashes(e.words.hashes, k - 1, seed=3) if full else None
                 pw, inv = T.powers(T._Q, len(e.words.hashes) + 1)
                 acc = np.zeros(len(e.words.hashes) + 1, T.U64)
                 np.cumsum(T.mix(e.words.hashes + T.U64(7)) * pw[: len(e.words.hashes)], out=acc[1:])
                 a = e.at[at]
                 z = a + n + k - 1
                 arc = T.mix((acc[z] - acc[a]) * inv[a] + n.astype(T.U64))
-                run_of = np.repeat(np.arange(len(at)), n)
-                order = np.lexsort((e.hash, run_of))
-                twice = (e.hash[order][1:] == e.hash[order][:-1]) & (run_of[order][1:] == run_of[order][:-1])
-                inner = np.zeros(len(at), bool)
-                inner[run_of[order][1:][twice]] = True
-                head, tail = (node[a], node[z - k + 1]) if len(a) else (a, a)
+                inner, head, tail = np.zeros(len(at), bool), np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+                if full and len(a):
+                    run_of = np.repeat(np.arange(len(at)), n)
+                    order = np.lexsort((e.hash, run_of))
+                    twice = (e.hash[order][1:] == e.hash[order][:-1]) & (run_of[order][1:] == run_of[order][:-1])
+                    inner[run_of[order][1:][twice]] = True
+                    head, tail = node[a], node[z - k + 1]
                 rows = pa.array(e.doc[at])
                 cols = [pa.array(x.view(np.int64)) for x in (e.anchor[at], arc, head, tail)]
                 cols += [batch.column("id").take(rows), batch.column("th").take(rows), pa.array(e.start[at], pa.int32()), pa.array(n, pa.int32()), pa.array(inner)]
@@ -152,7 +156,7 @@ def repeated_spans(keyed: DataFrame, k: int = K, g: int = G) -> DataFrame:
     release(spark)
     # arcs that occur as a whole, on their paths
     whole = found.filter("c > 1").select("anchor", "arc", "head", "tail", F.col("rep.n").alias("n"))
-    placed = every.select("anchor", "arc", "id", "th", "start", "n").join(paths(whole), ["anchor", "arc"])
+    placed = arcs(keyed, k, g, full=False).select("anchor", "arc", "id", "th", "start", "n").join(paths(whole), ["anchor", "arc"])
     spot = (F.col("start") - F.col("offset")).alias("origin")
     spans = placed.select("id", "th", "path", spot, F.col("start").cast("long"), F.col("n").cast("long")).groupBy("id", "th", "path", "origin")
     spans = spans.agg(F.min("start").alias("a"), F.max(F.col("start") + F.col("n")).alias("z"), F.sum("n").alias("sum"), F.collect_set(F.struct("start", "n")).alias("parts"))
