@@ -4,9 +4,8 @@ Vocabulary: words of the whole corpus are counted by Spark; the ``HEAD`` most fr
 rank, all others one of ``TAIL`` hashed ids.  The network averages context embeddings (``REACH``
 words on each side, never the word itself) through tanh and predicts the word's class, then the word
 in its class (``SIDE`` of each), so that a word costs two small softmaxes.  It starts from the
-corpus' unigram frequencies.  Every task trains on the documents that a hash draws at ``RATE`` - the
-training text grows with the corpus - and the parameters are averaged, weighted by words, over
-``ROUNDS`` rounds; parameters and model have a fixed size.
+corpus' unigram frequencies.  Every task trains on all documents of its partition, and the parameters
+are averaged, weighted by words, over ``ROUNDS`` rounds; parameters and model have a fixed size.
 
 A document's score is the sum over its words of log P(word | its neighbours).
 
@@ -24,7 +23,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm import tokens as T
 
-SIDE, HEAD, WIDTH, REACH, RATE, ROUNDS, AVERAGERS = 64, 3072, 16, 2, 32, 2, 16
+SIDE, HEAD, WIDTH, REACH, RATE, ROUNDS, AVERAGERS = 64, 3072, 16, 2, 1, 2, 16  # RATE: nothing is drawn, every document trains
 SIZE = SIDE * SIDE
 TAIL, PAD = SIZE - HEAD, SIZE
 SHAPES = {"embed": (SIZE + 1, WIDTH), "classes": (SIDE, WIDTH), "class_bias": (SIDE,), "words": (SIZE, WIDTH), "word_bias": (SIZE,)}
@@ -92,33 +91,45 @@ class Network:
 
     def train(self, ids: np.ndarray, context: np.ndarray, seen: dict, batch: int = 2048, lr: float = 0.05) -> None:
         """One pass of Adagrad over the words; ``seen`` keeps the squared gradients."""
+        columns = np.arange(WIDTH)
         for a in range(0, len(ids), batch):
-            w, ctx = ids[a : a + batch], context[a : a + batch]
+            order = np.argsort(ids[a : a + batch] // SIDE, kind="stable")
+            w, ctx = ids[a : a + batch][order], context[a : a + batch][order]
             h, c, n = self.hidden(ctx), w // SIDE, len(w)
-            z = h @ self.p["classes"].T + self.p["class_bias"]
-            g = np.exp(z - _lse(z)[:, None])
-            g[np.arange(n), c] -= 1
+            row = np.arange(n)
+            g = _softmax(h @ self.p["classes"].T + self.p["class_bias"])
+            g[row, c] -= 1
             grads = {"classes": g.T @ h / n, "class_bias": g.mean(axis=0)}
             dh = g @ self.p["classes"]
-            gw, gb = np.zeros(SHAPES["words"], np.float32), np.zeros(SIZE, np.float32)
-            order = np.argsort(c, kind="stable")
-            ends = np.searchsorted(c[order], np.arange(SIDE + 1))
-            for k in np.unique(c):
-                rows, s = order[ends[k] : ends[k + 1]], slice(k * SIDE, (k + 1) * SIDE)
-                z = h[rows] @ self.p["words"][s].T + self.p["word_bias"][s]
-                g = np.exp(z - _lse(z)[:, None])
-                g[np.arange(len(rows)), w[rows] - k * SIDE] -= 1
-                gw[s], gb[s] = g.T @ h[rows] / n, g.sum(axis=0) / n
-                dh[rows] += g @ self.p["words"][s]
-            grads |= {"words": gw, "word_bias": gb}
+            ends = np.searchsorted(c, np.arange(SIDE + 1)).tolist()
+            present = [(slice(ends[k], ends[k + 1]), slice(k * SIDE, (k + 1) * SIDE), k) for k in range(SIDE) if ends[k] < ends[k + 1]]
+            z = self.p["word_bias"].reshape(SIDE, SIDE)[c]
+            for rows, s, _ in present:
+                z[rows] += h[rows] @ self.p["words"][s].T
+            g = _softmax(z)
+            g[row, w - c * SIDE] -= 1
+            gw, gb = np.zeros(SHAPES["words"], np.float32), np.zeros((SIDE, SIDE), np.float32)
+            gb[[k for _, _, k in present]] = np.add.reduceat(g, [rows.start for rows, _, _ in present])
+            for rows, s, _ in present:
+                gw[s] = g[rows].T @ h[rows]
+                dh[rows] += g[rows] @ self.p["words"][s]
+            grads |= {"words": gw / n, "word_bias": gb.ravel() / n}
             dh *= (1 - h * h) / n
-            ge = np.zeros(SHAPES["embed"], np.float32)
-            for j in range(ctx.shape[1]):
-                np.add.at(ge, ctx[:, j], dh)
-            grads["embed"] = ge
+            slot = (ctx.T[:, :, None] * WIDTH + columns).ravel()
+            grads["embed"] = np.bincount(slot, np.tile(dh.ravel(), ctx.shape[1]), (SIZE + 1) * WIDTH).astype(np.float32).reshape(SHAPES["embed"])
             for k, grad in grads.items():
-                seen[k] = seen.get(k, 1e-6) + grad * grad
-                self.p[k] = (self.p[k] - lr * grad / np.sqrt(seen[k])).astype(np.float32)
+                if k not in seen:
+                    seen[k] = np.full(SHAPES[k], 1e-6, np.float32)
+                seen[k] += grad * grad
+                grad *= np.float32(lr)
+                grad /= np.sqrt(seen[k])
+                self.p[k] -= grad
+
+
+def _softmax(z: np.ndarray) -> np.ndarray:
+    e = np.exp(z - z.max(axis=1)[:, None])
+    e /= e.sum(axis=1)[:, None]
+    return e
 
 
 def _lse(z: np.ndarray) -> np.ndarray:
@@ -161,7 +172,6 @@ def fit(docs: DataFrame) -> tuple[Vocabulary, Network]:
     rest = counts.agg(F.sum("n")).first()[0] or 0
     freq[HEAD:] = max(rest - freq.sum(), 0) / TAIL
     net = Network.start(freq)
-    drawn = docs.filter(F.pmod(F.xxhash64("text", F.lit(23)), F.lit(RATE)) == 0).select("text")
     schema = pa.schema([("n", pa.int64()), ("flat", pa.binary())])
     for _ in range(ROUNDS):
         held = spark.sparkContext.broadcast((vocabulary, net.flat()))
@@ -186,7 +196,7 @@ def fit(docs: DataFrame) -> tuple[Vocabulary, Network]:
             if n:
                 yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([(total / n).astype(np.float32).tobytes()], pa.binary())], schema=schema)
 
-        parts = drawn.mapInArrow(learn, "n long, flat binary").repartition(AVERAGERS).mapInArrow(average, "n long, flat binary").collect()
+        parts = docs.select("text").mapInArrow(learn, "n long, flat binary").repartition(AVERAGERS).mapInArrow(average, "n long, flat binary").collect()
         if not parts:
             break
         n = sum(r["n"] for r in parts)

@@ -271,6 +271,13 @@ def test_pseudo_likelihood(spark, odd):
     assert lmscore.score(docs.limit(0), v, n).count() == 0
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_every_document_trains(spark, seed):
+    """Even a corpus of one text trains the network, with the settings as they are."""
+    _, net = lmscore.fit(frame(spark, [text(random.Random(seed), 200, 20)]))
+    assert np.abs(net.p["classes"]).max() > 0 and lmscore.RATE == 1
+
+
 # ------------------------------------------------------------------ 8
 def brute_dedup(texts, k):
     count = collections.Counter(tuple(w[j : j + k]) for w in map(words, texts) for j in range(len(w) - k + 1))
