@@ -1,7 +1,9 @@
 """Masked pseudo-likelihood: a bidirectional window network scores every word from both sides.
 
 Vocabulary: words of the whole corpus are counted by Spark; the ``HEAD`` most frequent get ids by
-rank, all others one of ``TAIL`` hashed ids.  The network averages context embeddings (``REACH``
+rank, all others one of ``TAIL`` hashed ids, and within its id each has its share of the id's count:
+P(word) = P(id) * n(word) / (n(id) + 1), so the model of rare words grows with the vocabulary.  Counts of
+rare words stay distributed and meet the texts' rare words in one join on hash.  The network averages context embeddings (``REACH``
 words on each side, never the word itself) through tanh and predicts the word's class, then the word
 in its class (``SIDE`` of each), so that a word costs two small softmaxes.  It starts from the
 corpus' unigram frequencies.  Every task trains on all documents of its partition, and the parameters
@@ -9,7 +11,7 @@ are averaged, weighted by words, over ``ROUNDS`` rounds; parameters and model ha
 
 A document's score is the sum over its words of log P(word | its neighbours).
 
-Edge cases: null and empty texts have no words and the sum 0, mean null; an empty corpus gives a
+Edge cases: words that the corpus lacks count as seen once; null and empty texts have no words and the sum 0, mean null; an empty corpus gives a
 uniform model and no rows; repeated rows score alike; ties in frequency go by word hash; other
 columns are ignored.
 """
@@ -22,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import tokens as T
+from gridloom.llm.store import cut
 
 SIDE, HEAD, WIDTH, REACH, RATE, ROUNDS, AVERAGERS = 64, 3072, 16, 2, 1, 2, 16  # RATE: nothing is drawn, every document trains
 SIZE = SIDE * SIDE
@@ -30,7 +33,10 @@ SHAPES = {"embed": (SIZE + 1, WIDTH), "classes": (SIDE, WIDTH), "class_bias": (S
 
 
 class Vocabulary:
-    def __init__(self, hashes: np.ndarray):
+    """Ids of words.  ``mass``: occurrences of each tail id; ``rare``: hash, n of tail words seen twice or more (a DataFrame)."""
+
+    def __init__(self, hashes: np.ndarray, mass: np.ndarray | None = None, rare: DataFrame | None = None):
+        self.mass, self.rare = np.zeros(TAIL) if mass is None else mass, rare
         self.rank = np.argsort(hashes, kind="stable").astype(np.int64)
         self.sorted = hashes[self.rank]
 
@@ -41,6 +47,12 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.sorted, h), len(self.sorted) - 1)
         return np.where(self.sorted[at] == h, self.rank[at], tail)
 
+    def local(self) -> Vocabulary:
+        """Without the DataFrame, for tasks."""
+        out = Vocabulary(np.zeros(0, T.U64), self.mass)
+        out.rank, out.sorted = self.rank, self.sorted
+        return out
+
 
 class Network:
     """Parameters by name (see SHAPES), float32."""
@@ -163,18 +175,22 @@ def word_counts(docs: DataFrame) -> DataFrame:
 def fit(docs: DataFrame) -> tuple[Vocabulary, Network]:
     """Vocabulary and network of a corpus (column text)."""
     spark = docs.sparkSession
-    counts = word_counts(docs)
+    counts = cut(word_counts(docs))
     top = [(r["hash"], r["n"]) for r in counts.orderBy(F.desc("n"), "hash").limit(HEAD).collect()]  # at most HEAD rows
     hashes = np.array([h for h, _ in top], np.int64).view(np.uint64)
-    vocabulary = Vocabulary(hashes)
+    head = spark.createDataFrame([(h,) for h, _ in top], "hash long")
+    tail = counts.join(F.broadcast(head), "hash", "left_anti")
+    mass = np.zeros(TAIL)
+    for slot, n in tail.groupBy(F.pmod(F.shiftrightunsigned("hash", 40), F.lit(TAIL)).alias("slot")).agg(F.sum("n")).collect():  # at most TAIL rows
+        mass[slot] = n
+    vocabulary = Vocabulary(hashes, mass, tail.filter("n > 1"))
     freq = np.zeros(SIZE)
     freq[: len(top)] = [n for _, n in top]
-    rest = counts.agg(F.sum("n")).first()[0] or 0
-    freq[HEAD:] = max(rest - freq.sum(), 0) / TAIL
+    freq[HEAD:] = mass
     net = Network.start(freq)
     schema = pa.schema([("n", pa.int64()), ("flat", pa.binary())])
     for _ in range(ROUNDS):
-        held = spark.sparkContext.broadcast((vocabulary, net.flat()))
+        held = spark.sparkContext.broadcast((vocabulary.local(), net.flat()))
 
         def learn(batches, held=held):
             voc, flat = held.value
@@ -207,8 +223,8 @@ def fit(docs: DataFrame) -> tuple[Vocabulary, Network]:
 
 def score(docs: DataFrame, vocabulary: Vocabulary, net: Network) -> DataFrame:
     """doc_id, n_words, log_prob (sum) and mean_log_prob of each text."""
-    held = docs.sparkSession.sparkContext.broadcast((vocabulary, net.flat()))
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("log_prob", pa.float64()), ("mean_log_prob", pa.float64())])
+    held = docs.sparkSession.sparkContext.broadcast((vocabulary.local(), net.flat()))
+    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("part", pa.float64()), ("tail", pa.list_(pa.int64()))])
 
     def run(batches):
         voc, flat = held.value
@@ -218,10 +234,20 @@ def score(docs: DataFrame, vocabulary: Vocabulary, net: Network) -> DataFrame:
                 w = T.words_of(batch.column("text"))
                 ids, doc, n = voc.ids(w.hashes), T.doc_of_word(w), np.diff(w.first)
                 total = np.bincount(doc, own.log_prob(ids, windows(ids, doc)), w.n_docs) if len(ids) else np.zeros(w.n_docs)
-                mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(total, pa.float64()), mean], schema=schema)
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_words long, log_prob double, mean_log_prob double")
+                rare = ids >= HEAD
+                total -= np.bincount(doc[rare], np.log(voc.mass[ids[rare] - HEAD] + 1), w.n_docs)
+                first = np.concatenate([[0], np.cumsum(rare)])[w.first]
+                tail = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(w.hashes[rare].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(total, pa.float64()), tail], schema=schema)
+
+    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_words long, part double, tail array<long>")
+    if vocabulary.rare is None:
+        sums = rows.select("doc_id", "n_words", F.col("part").alias("log_prob"))
+    else:
+        rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))
+        more = rows.select("row", F.explode("tail").alias("hash")).join(vocabulary.rare, "hash").groupBy("row").agg(F.sum(F.log("n")).alias("more"))
+        sums = rows.join(more, "row", "left").select("doc_id", "n_words", (F.col("part") + F.coalesce("more", F.lit(0.0))).alias("log_prob"))
+    return sums.withColumn("mean_log_prob", F.when(F.col("n_words") > 0, F.col("log_prob") / F.col("n_words")))
 
 
 def op7_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -278,6 +278,17 @@ def test_every_document_trains(spark, seed):
     assert np.abs(net.p["classes"]).max() > 0 and lmscore.RATE == 1
 
 
+def test_rare_words_have_their_own_probability(spark):
+    """Words beyond the most frequent share an id, but not its probability."""
+    slot = lambda x: int(T.words_of(pa.array([x])).hashes[0] >> T.U64(40)) % lmscore.TAIL
+    rare = next(f"r{i}" for i in range(100000) if slot(f"r{i}") == slot("often"))
+    head = " ".join(f"h{i}" for i in range(lmscore.HEAD))
+    voc, net = lmscore.fit(frame(spark, [head] * 9 + ["often"] * 7 + [rare]))
+    got = {r["doc_id"]: r for r in lmscore.score(frame(spark, ["often", rare, f"{rare} often h1", "often"], [1, 2, 3, 1]), voc, net).collect()}
+    assert abs(got[1]["log_prob"] - got[2]["log_prob"] - np.log(7)) < 1e-6
+    assert got[3]["n_words"] == 3 and abs(got[3]["mean_log_prob"] * 3 - got[3]["log_prob"]) < 1e-9
+
+
 # ------------------------------------------------------------------ 8
 def brute_dedup(texts, k):
     count = collections.Counter(tuple(w[j : j + k]) for w in map(words, texts) for j in range(len(w) - k + 1))
