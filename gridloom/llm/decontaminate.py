@@ -3,8 +3,9 @@
 Texts become template tokens: runs of letters and digits, ASCII lower case; numbers, units after a
 number, and capitalised words inside a sentence turn into typed placeholders (runs of one
 placeholder count once).  Windows of ``WINDOW`` template tokens with ``LITERAL`` words at least that
-are no placeholders are hash-joined with the benchmark's.  For each (document, item) the slots of
-matching windows are aligned: most values are equal, or a value that fills several slots must meet one
+are no placeholders are hash-joined with the benchmark's.  For each (document, item) matching windows
+form alignments, one for each place where the item occurs (and one of all together), and a leak needs one
+that passes.  Its slots are aligned: most values are equal, or a value that fills several slots must meet one
 partner there, in either direction (``CONSISTENT`` of the slots), so re-parameterised questions are
 caught and accidental templates are not.  A document leaks an item if ``COVERAGE`` of the item's windows match, or ``LONG`` windows do.
 
@@ -115,6 +116,31 @@ def _consistent(values: list[tuple[int, int]]) -> bool:
     return True
 
 
+def _alignments(pairs: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
+    """Matching (document, item) positions by occurrence: runs along one offset, which edits may shift by less than
+    a window; ascending chains of runs (an occurrence with longer insertions); and all pairs together."""
+    runs, ends = [], {}  # ends: offset -> the run that ended there last
+    for d, b in sorted(pairs):
+        near = [o for s in range(WINDOW) for o in {d - b - s, d - b + s} if o in ends and ends[o][-1][0] < d and ends[o][-1][1] < b]
+        if near:
+            run = ends.pop(near[0])
+            run.append((d, b))
+        else:
+            runs.append(run := [(d, b)])
+        ends[d - b] = run
+    chains = []
+    for run in runs:
+        if chains and chains[-1][-1][0] < run[0][0] and chains[-1][-1][1] < run[0][1]:
+            chains[-1] = chains[-1] + run
+        else:
+            chains.append(run)
+    out = []
+    for x in [*runs, *chains, sorted(pairs)]:
+        if x not in out[-1:]:
+            out.append(x)
+    return out
+
+
 def leaks(col: pa.Array, bench: Benchmark) -> list[tuple[int, int, int, float, bool]]:
     """(row, item, windows, coverage, exact) of each leak in a string column."""
     t, out = Templates(col), []
@@ -128,19 +154,23 @@ def leaks(col: pa.Array, bench: Benchmark) -> list[tuple[int, int, int, float, b
             for b in bench.at[a:z]:
                 found[int(t.doc[at[k]]), int(bench.t.doc[b])].append((int(at[k]), int(b)))
     for (row, item), pairs in found.items():
-        n = len({b for _, b in pairs})
-        share = n / bench.total[item]
-        if share < COVERAGE and n < LONG:
-            continue
-        slots = set()
-        for d, b in pairs:
-            for j in range(WINDOW):
-                if t.kind[d + j] != WORD:
-                    slots.add((d + j, b + j))
-        values = [(int(t.value[d]), int(bench.t.value[b])) for d, b in slots]
-        if values and sum(x == y for x, y in values) < CONSISTENT * len(values) and not _consistent(values):
-            continue
-        out.append((row, bench.ids[item], n, float(share), all(x == y for x, y in values)))
+        passed = []
+        for some in _alignments(pairs):
+            n = len({b for _, b in some})
+            share = n / bench.total[item]
+            if share < COVERAGE and n < LONG:
+                continue
+            slots = set()
+            for d, b in some:
+                for j in range(WINDOW):
+                    if t.kind[d + j] != WORD:
+                        slots.add((d + j, b + j))
+            values = [(int(t.value[d]), int(bench.t.value[b])) for d, b in slots]
+            if values and sum(x == y for x, y in values) < CONSISTENT * len(values) and not _consistent(values):
+                continue
+            passed.append((n, float(share), all(x == y for x, y in values)))
+        if passed:
+            out.append((row, bench.ids[item], *max(passed)[:2], any(x[2] for x in passed)))
     for size, table in bench.short.items():
         hs = T.window_hashes(t.hash, size)
         keys = np.array(list(table), dtype=np.uint64)

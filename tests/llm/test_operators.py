@@ -87,6 +87,15 @@ def test_inconsistent_slots_do_not_match():
     assert decontaminate.leaks(pa.array([same]), b) and not decontaminate.leaks(pa.array([torn]), b)
 
 
+def test_alignment_by_occurrence():
+    """Several versions of a question in one document are judged one by one."""
+    q = "a baker sells {} rolls on the first day and {} rolls on the second day then buys {} bags of flour for the next week"
+    b = decontaminate.Benchmark([(1, q.format(12, 30, 7))])
+    sheet = ". ".join(q.format(*x) for x in ((41, 52, 63), (74, 85, 96), (17, 28, 39)))
+    assert [x[:2] for x in decontaminate.leaks(pa.array([sheet]), b)] == [(0, 1)]
+    assert decontaminate.leaks(pa.array([sheet + ". And " + q.format(12, 30, 7)]), b)[0][4]
+
+
 # ------------------------------------------------------------------ 2
 def test_chat_round_trip(spark):
     rng = random.Random(1)
