@@ -3,17 +3,18 @@
 Texts become template tokens: runs of letters and digits, ASCII lower case; numbers, units after a
 number, and capitalised words inside a sentence turn into typed placeholders (runs of one
 placeholder count once).  Windows of ``WINDOW`` template tokens with ``LITERAL`` words at least that
-are no placeholders are hash-joined with the benchmark's.  For each (document, item) matching windows
+are no placeholders are hash-joined with the benchmark's.  Windows of plain words (values kept, ASCII case
+folded) are joined in the same way, so that verbatim items need no literal words.  For each (document, item) matching windows
 form alignments, one for each place where the item occurs (and one of all together), and a leak needs one
 that passes.  Its slots are aligned: most values are equal, or a value that fills several slots must meet one
 partner there, in either direction (``CONSISTENT`` of the slots), so re-parameterised questions are
 caught and accidental templates are not.  A document leaks an item if ``COVERAGE`` of the item's windows match, or ``LONG`` windows do.
 
-The benchmark's windows are broadcast in blocks of ``MAX_WINDOWS`` at most (16 MB of hashes); a
+The benchmark's windows are broadcast in blocks of ``MAX_WINDOWS`` at most (16 MB of hashes for each typing); a
 larger benchmark takes one pass over the documents per block, and an item never spans blocks.
 
-Edge cases: null or empty texts match nothing; items with fewer than ``WINDOW`` template tokens have
-one window of their whole length; items of equal text are all reported; repeated rows are reported
+Edge cases: null or empty texts match nothing; items with fewer than ``WINDOW`` tokens have one
+window of their whole length; items of equal text are all reported; repeated rows are reported
 one by one; an empty table on either side gives no rows; other columns are ignored.
 """
 
@@ -35,6 +36,7 @@ _NOT_ALNUM[np.r_[48:58, 65:91, 97:123, 128:256]] = False
 _STOP = np.zeros(256, bool)
 _STOP[list(b".!?:\n")] = True
 WORD, NUMBER, NAME, UNIT = 0, 1, 2, 3
+TYPINGS = ("template", "plain")
 _MARKS = T.mix(np.arange(1, 5, dtype=T.U64) * T.U64(0x1234567890ABCDEF | 1))
 
 
@@ -43,14 +45,16 @@ def _unit_hashes() -> np.ndarray:
 
 
 class Templates:
-    """Template tokens of a string column: hash, kind, slot value, and each text's first token."""
+    """Tokens of a string column in one of ``TYPINGS``: hash, kind, slot value, and each text's first token."""
 
-    def __init__(self, col: pa.Array):
+    def __init__(self, col: pa.Array, typing: str = "template"):
         w = T.words_of(col, lower=True, separator=_NOT_ALNUM)
         n = len(w.hashes)
         doc = T.doc_of_word(w)
         kind = np.zeros(n, np.int8)
-        if n:
+        if typing == "plain":
+            keep = np.ones(n, bool)
+        elif n:
             b0 = w.data[w.starts]
             b1 = w.data[np.minimum(w.starts + 1, len(w.data) - 1)]
             kind[(b0 >= 48) & (b0 <= 57)] = NUMBER
@@ -86,11 +90,19 @@ class Templates:
 
 
 class Benchmark:
-    """A block of items: window hashes in order, where they are, and each item's tokens."""
+    """A block of items in every typing."""
 
     def __init__(self, items: list[tuple[int, str]]):
+        self.indexes = [Index(items, typing) for typing in TYPINGS]
+
+
+class Index:
+    """A block of items in one typing: window hashes in order, where they are, and each item's tokens."""
+
+    def __init__(self, items: list[tuple[int, str]], typing: str):
+        self.typing = typing
         self.ids = [i for i, _ in items]
-        t = self.t = Templates(pa.array([x for _, x in items], pa.string()))
+        t = self.t = Templates(pa.array([x for _, x in items], pa.string()), typing)
         at, h = t.windows()
         short = [i for i in range(len(items)) if 0 < t.first[i + 1] - t.first[i] < WINDOW]
         self.short = {}  # whole texts below WINDOW tokens, by length
@@ -131,9 +143,9 @@ def _alignments(pairs: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
     chains = []
     for run in runs:
         if chains and chains[-1][-1][0] < run[0][0] and chains[-1][-1][1] < run[0][1]:
-            chains[-1] = chains[-1] + run
+            chains[-1].extend(run)
         else:
-            chains.append(run)
+            chains.append(list(run))
     out = []
     for x in [*runs, *chains, sorted(pairs)]:
         if x not in out[-1:]:
@@ -142,8 +154,17 @@ def _alignments(pairs: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
 
 
 def leaks(col: pa.Array, bench: Benchmark) -> list[tuple[int, int, int, float, bool]]:
-    """(row, item, windows, coverage, exact) of each leak in a string column."""
-    t, out = Templates(col), []
+    """(row, item, windows, coverage, exact) of each leak in a string column; the first typing that finds it counts windows."""
+    out = {}
+    for index in bench.indexes:
+        for row, item, n, share, exact in _leaks(col, index):
+            had = out.get((row, item))
+            out[row, item] = (row, item, n, share, exact) if had is None else (*had[:4], had[4] or exact)
+    return sorted(out.values())
+
+
+def _leaks(col: pa.Array, bench: Index) -> list[tuple[int, int, int, float, bool]]:
+    t, out = Templates(col, bench.typing), []
     at, h = t.windows()
     found = defaultdict(list)
     if len(bench.hashes):

@@ -96,6 +96,14 @@ def test_alignment_by_occurrence():
     assert decontaminate.leaks(pa.array([sheet + ". And " + q.format(12, 30, 7)]), b)[0][4]
 
 
+def test_verbatim_items_with_few_literals():
+    """Arithmetic, tables and lists match word for word, and only word for word."""
+    items = ["What is 12 + 30?", "Ann 12 kg Bob 15 kg Cid 9 kg Dan 31 kg Eve 44 kg"]
+    b = decontaminate.Benchmark(list(enumerate(items)))
+    got = decontaminate.leaks(pa.array([f"some words before: {x} and some after" for x in items] + ["What is 13 + 30?", "WHAT IS 12 + 30"]), b)
+    assert {(x[0], x[1], x[4]) for x in got} == {(0, 0, True), (1, 1, True), (3, 0, True)}
+
+
 # ------------------------------------------------------------------ 2
 def test_chat_round_trip(spark):
     rng = random.Random(1)
