@@ -4,7 +4,9 @@ Texts become template tokens: runs of letters and digits, ASCII lower case; numb
 number, and capitalised words inside a sentence turn into typed placeholders (runs of one
 placeholder count once).  Windows of ``WINDOW`` template tokens with ``LITERAL`` words at least that
 are no placeholders are hash-joined with the benchmark's.  Windows of plain words (values kept, ASCII case
-folded) are joined in the same way, so that verbatim items need no literal words.  For each (document, item) matching windows
+folded) are joined in the same way, so that verbatim items need no literal words and letter case or missing
+stops do not matter.  In a third typing a word that starts a sentence is a name too, if the same text has it
+capitalised inside a sentence and never in lower case.  For each (document, item) matching windows
 form alignments, one for each place where the item occurs (and one of all together), and a leak needs one
 that passes.  Its slots are aligned: most values are equal, or a value that fills several slots must meet one
 partner there, in either direction (``CONSISTENT`` of the slots), so re-parameterised questions are
@@ -36,7 +38,7 @@ _NOT_ALNUM[np.r_[48:58, 65:91, 97:123, 128:256]] = False
 _STOP = np.zeros(256, bool)
 _STOP[list(b".!?:\n")] = True
 WORD, NUMBER, NAME, UNIT = 0, 1, 2, 3
-TYPINGS = ("template", "plain")
+TYPINGS = ("template", "names", "plain")
 _MARKS = T.mix(np.arange(1, 5, dtype=T.U64) * T.U64(0x1234567890ABCDEF | 1))
 
 
@@ -44,6 +46,18 @@ def _unit_hashes() -> np.ndarray:
     return np.sort(T.words_of(pa.array([" ".join(UNITS)]), lower=True, separator=_NOT_ALNUM).hashes)
 
 
+def _recurring(word: np.ndarray, capital: np.ndarray, fresh: np.ndarray) -> np.ndarray:
+    """Positions of sentence-initial capitalised words that are capitalised inside a sentence of their text, never lower case."""
+    at = np.flatnonzero(capital & fresh)
+    at = at[np.isin(word[at], word[capital & ~fresh])]
+    if not len(at):
+        return at
+    some = np.unique(word[at])
+    lower = word[~capital]
+    near = np.minimum(np.searchsorted(some, lower), len(some) - 1)
+    return at[~np.isin(word[at], lower[some[near] == lower])]
+
+
 class Templates:
     """Tokens of a string column in one of ``TYPINGS``: hash, kind, slot value, and each text's first token."""
 
@@ -65,6 +79,8 @@ class Templates:
             fresh[1:] |= stops[w.starts[1:]] > stops[w.ends[:-1]]
             capital = ((b0 >= 65) & (b0 <= 90)) | ((b0 == 0xC3) & (b1 >= 0x80) & (b1 <= 0x9E))
             kind[capital & ~fresh] = NAME
+            if typing == "names":
+                kind[_recurring(T.mix(w.hashes + doc.astype(T.U64) * T.U64(0x9E3779B97F4A7C15)), capital, fresh)] = NAME
             units = _unit_hashes()
             at = np.minimum(np.searchsorted(units, w.hashes), len(units) - 1)
             after = np.zeros(n, bool)

@@ -104,6 +104,15 @@ def test_verbatim_items_with_few_literals():
     assert {(x[0], x[1], x[4]) for x in got} == {(0, 0, True), (1, 1, True), (3, 0, True)}
 
 
+def test_names_that_start_sentences():
+    """A name counts as one at the start of a sentence; case and stops do not hide a verbatim copy."""
+    q = "Tom has 5 apples. Tom buys 3 more. How many apples does Tom have now?"
+    b = decontaminate.Benchmark([(1, q)])
+    copies = [q.replace("Tom", "Sam"), q.lower(), q.upper(), q.replace(".", ""), "Tom has 5 pears. Ann sells 3 boxes. How many boxes are left?"]
+    got = decontaminate.leaks(pa.array(copies), b)
+    assert {(x[0], x[4]) for x in got} == {(0, False), (1, True), (2, True), (3, True)}
+
+
 # ------------------------------------------------------------------ 2
 def test_chat_round_trip(spark):
     rng = random.Random(1)
