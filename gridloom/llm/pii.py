@@ -2,11 +2,11 @@
 
 Base spans are those of four fixed patterns (email, ip, card, phone).  Bootstrapping: every
 identifier-like token (a run with a digit, ``MIN_ID`` characters or more) is an instance, the two
-words before it are its lexical pattern.  Instances inside base spans, and long hexadecimal keys,
-are seeds.  Spark scores the bipartite graph of patterns and instances in rounds: a pattern's
+words before it are its lexical pattern.  Every base span is one instance, after the two words before it;
+these and long hexadecimal keys are seeds.  Spark scores the bipartite graph of patterns and instances in rounds: a pattern's
 confidence is the mean confidence of its occurrences, damped by ``DAMPING`` pseudo-occurrences; an
 unseen instance gets the noisy-or of its patterns'.  Patterns with ``CONFIDENT`` confidence and
-``SUPPORT`` distinct seeds then mark every identifier-like token after them as kind ``id``; hexadecimal
+``SUPPORT`` distinct seeds or instances discovered by other patterns before then mark every identifier-like token after them as kind ``id``; hexadecimal
 keys are kind ``secret``.  Base spans are kept whatever the method adds.
 
 Only occurrences of identifier-like tokens are shuffled, never texts.  Accepted patterns are broadcast
@@ -41,6 +41,7 @@ _DIGIT = re.compile(r"[0-9]")
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*")
 _EDGE = "\"'`.,;:!?()[]{}<>*#$%&|=~"
 _KEY = re.compile(r"(?=[0-9a-f]*[a-f])(?=[0-9a-f]*[0-9])[0-9a-f]{32,}")
+_GLUED = re.compile(r"[^\x20\x09-\x0D]*$")
 _LEFT = re.compile(r"([^\x20\x09-\x0D]*)[\x20\x09-\x0D]*$")
 
 
@@ -119,12 +120,16 @@ def occurrences(docs: DataFrame) -> DataFrame:
             for batch in T.slices(whole, "text"):
                 rows = []
                 for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                    if not text or not (found := candidates(text)):
+                    if not text:
                         continue
                     base = sorted((a, z) for _, a, z in base_spans(text))
-                    for a, z, p in found:
-                        if p:
-                            rows.append((doc, pattern_hash(p), pattern_hash(text[a:z]), _inside(base, a, z) or _KEY.fullmatch(text, a, z) is not None))
+                    found = [(a, z, p, _KEY.fullmatch(text, a, z) is not None) for a, z, p in candidates(text) if not _inside(base, a, z)]
+                    end = 0
+                    for a, z in base:
+                        if a >= end:  # else its context is another span
+                            found.append((a, z, _pattern(text, max(end, _GLUED.search(text, max(0, a - 64), a).start())), True))
+                        end = max(end, z)
+                    rows += [(doc, pattern_hash(p), pattern_hash(text[a:z]), seed) for a, z, p, seed in found if p]
                 cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
@@ -140,7 +145,7 @@ def confident_patterns(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     for _ in range(rounds):
         g = graph.withColumn("conf", F.lit(0.0)) if known is None else graph.join(known, "instance", "left")
         # an instance counts once: a number repeated in copies is no more evidence
-        patterns = g.groupBy("pattern").agg((F.sum(score) / (F.count(F.lit(1)) + DAMPING)).alias("confidence"), F.count_if("seed").alias("support"))
+        patterns = g.groupBy("pattern").agg((F.sum(score) / (F.count(F.lit(1)) + DAMPING)).alias("confidence"), F.count_if(F.col("seed") | (F.coalesce(F.col("conf"), F.lit(0.0)) >= CONFIDENT)).alias("support"))
         strong = patterns.filter((F.col("confidence") >= CONFIDENT) & (F.col("support") >= SUPPORT))
         none = F.log(F.greatest(F.lit(1.0) - F.col("confidence"), F.lit(1e-9)))
         known = graph.filter(~F.col("seed")).join(strong, "pattern").groupBy("instance").agg((F.lit(1.0) - F.exp(F.sum(none))).alias("conf"))

@@ -267,6 +267,23 @@ def test_contexts_discover_identifiers(spark, odd):
     assert pii.mask(docs, p).columns == docs.columns and pii.annotate(docs.limit(0), p).count() == 0
 
 
+def test_spaced_phones_teach_their_context(spark):
+    """Numbers with blanks seed the words before the whole number, not its own digits."""
+    known = [f"you may call me at +1 (743) 555-38{i} soon" for i in range(10, 40)]
+    assert pii.base_spans(known[0])[0][0] == "phone"
+    docs = frame(spark, [*known, "you may call me at 743-555-1234 soon", "+1 743 555-1234 is short"])
+    got = {r["doc_id"]: r["spans"] for r in pii.annotate(docs, pii.find_patterns(docs)).collect()}
+    assert got[30] == "id:19:31" and "id" not in got[31]
+
+
+def test_discovered_instances_support_patterns(spark):
+    """A pattern with three seeds is accepted if other patterns discovered enough of its instances."""
+    ids = [f"acct-77{i}-x" for i in range(4)]
+    docs = frame(spark, [*[f"please mail to u{i}@mail.example.com now" for i in range(40)], *[f"please mail to {x} now" for x in ids], *[f"always reach under {x} then" for x in ids], *[f"always reach under v{i}@mail.example.com then" for i in range(3)], "always reach under zz-90210 then"])
+    got = {r["doc_id"]: r["spans"] for r in pii.annotate(docs, pii.find_patterns(docs)).collect()}
+    assert got[51] == "id:19:27"
+
+
 # ------------------------------------------------------------------ 7
 def test_pseudo_likelihood(spark, odd):
     rng = random.Random(5)
