@@ -3,7 +3,8 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep the columns of
 ``documents``.  Stage by stage: documents scored below the threshold go; one document of each class of
 near-duplicates stays; documents that hold a benchmark item go; personal data in texts turn into marks
-(``n_chars`` follows); the mix says how often each document is taken, and leaves out those never taken.
+(``n_chars`` follows); the mix says how often each document is taken, and leaves out those never taken;
+its result holds all columns of ``documents``, masked texts too, and its own (``mix_...`` where names clash).
 """
 
 from __future__ import annotations
@@ -40,9 +41,11 @@ def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of the mix with their sizes, targets, words taken and copies."""
-    keep = tuple(c for c in ("doc_id", "lang", "source", "n_chars") if c in docs.columns)
-    return mixing.mix_sources(docs, keep=keep).filter("copies > 0")
+    """Documents of the mix, whole, with their sizes, targets, words taken and copies."""
+    rows = docs.withColumn("__row", F.monotonically_increasing_id())  # ``docs`` is stored, so ids stay
+    taken = mixing.mix_sources(rows, keep=("__row",)).filter("copies > 0")
+    own = [F.col(c).alias(c if c == "__row" or c not in docs.columns else f"mix_{c}") for c in taken.columns]
+    return rows.join(taken.select(*own), "__row").drop("__row")
 
 
 STAGES = [

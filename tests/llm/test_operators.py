@@ -478,6 +478,16 @@ def test_bag_signatures_are_unbiased():
 
 
 # ------------------------------------------------------------------ pipeline
+def test_mixed_corpus_keeps_texts(spark):
+    """The last stage gives whole documents, each row with its own copies."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("size", F.lit("x"))
+    got = pipeline.mix(spark, docs, SF)
+    assert got.columns[: len(docs.columns)] == docs.columns and "mix_size" in got.columns and got.count() > 0
+    assert got.select(docs.columns).exceptAll(docs).count() == 0
+    assert got.filter(mixing.size_of(F.col("text")) != F.col("mix_size")).count() == 0
+
+
 def test_pipeline_stages(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("score", F.lit(1)).withColumn("th", F.lit("x"))
