@@ -7,7 +7,8 @@ rare words stay distributed and meet the texts' rare words in one join on hash.
 words on each side, never the word itself) through tanh and predicts the word's class, then the word
 in its class (``SIDE`` of each), so that a word costs two small softmaxes.  It starts from the
 corpus' unigram frequencies.  Every task trains on all documents of its partition, and the parameters
-are averaged, weighted by words, over ``ROUNDS`` rounds; parameters and model have a fixed size.
+are averaged, weighted by words, over ``ROUNDS`` rounds; parameters and model have a fixed size.  As
+each task trains its own copy, scores depend a little on how the rows lie in partitions.
 
 A document's score is the sum over its words of log P(word | its neighbours).
 
@@ -26,10 +27,10 @@ from pyspark.sql import functions as F
 from gridloom.llm import tokens as T
 from gridloom.llm.store import cut
 
-SIDE, HEAD, WIDTH, REACH, RATE, ROUNDS, AVERAGERS = 64, 3072, 16, 2, 1, 2, 16  # RATE: nothing is drawn, every document trains
+SIDE, HEAD, WIDTH, REACH, ROUNDS, BATCH, AVERAGERS = 64, 3072, 16, 2, 2, 4096, 16
 SIZE = SIDE * SIDE
 TAIL, PAD = SIZE - HEAD, SIZE
-SHAPES = {"embed": (SIZE + 1, WIDTH), "classes": (SIDE, WIDTH), "class_bias": (SIDE,), "words": (SIZE, WIDTH), "word_bias": (SIZE,)}
+SHAPES = {"embed": (SIZE + 1, WIDTH), "classes": (SIDE, WIDTH + 1), "words": (SIZE, WIDTH + 1)}
 
 
 class Vocabulary:
@@ -55,7 +56,7 @@ class Vocabulary:
 
 
 class Network:
-    """Parameters by name (see SHAPES), float32."""
+    """Parameters by name (see SHAPES), float32; the last column of ``classes`` and ``words`` is a bias."""
 
     def __init__(self, params: dict[str, np.ndarray]):
         self.p = params
@@ -65,8 +66,8 @@ class Network:
         rng = np.random.default_rng(seed)
         c = (counts + 0.5).reshape(SIDE, SIDE)
         p = {k: rng.normal(0, 0.1, s).astype(np.float32) if k == "embed" else np.zeros(s, np.float32) for k, s in SHAPES.items()}
-        p["class_bias"] = np.log(c.sum(axis=1) / c.sum()).astype(np.float32)
-        p["word_bias"] = np.log(c / c.sum(axis=1, keepdims=True)).ravel().astype(np.float32)
+        p["classes"][:, WIDTH] = np.log(c.sum(axis=1) / c.sum())
+        p["words"][:, WIDTH] = np.log(c / c.sum(axis=1, keepdims=True)).ravel()
         return cls(p)
 
     def flat(self) -> np.ndarray:
@@ -80,83 +81,113 @@ class Network:
             p[k], at = flat[at : at + n].reshape(s).astype(np.float32), at + n
         return cls(p)
 
-    def hidden(self, context: np.ndarray) -> np.ndarray:
-        h = self.p["embed"][context[:, 0]]
-        for j in range(1, context.shape[1]):
-            h = h + self.p["embed"][context[:, j]]
-        return np.tanh(h)
-
-    def log_prob(self, ids: np.ndarray, context: np.ndarray) -> np.ndarray:
+    def _forward(self, ids: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(rows of words by class, their ids, classes, hidden states and a 1, first word of each class) of a padded run."""
+        e = self.p["embed"][ids]
+        h = np.zeros((len(ids), WIDTH + 1), np.float32)
+        for j in range(1, REACH + 1):
+            h[j:, :WIDTH] += e[:-j]
+            h[:-j, :WIDTH] += e[j:]
+        at = np.flatnonzero(ids[REACH:-REACH] != PAD) + REACH
+        at = at[np.argsort((ids[at] // SIDE).astype(np.uint8), kind="stable")]  # a radix sort; SIDE <= 256
+        w = ids[at]
+        c = w // SIDE
+        h = h[at]
+        np.tanh(h, out=h)
+        h[:, WIDTH] = 1
+        return at, w, c, h, np.searchsorted(c, np.arange(SIDE + 1))
+
+    def _word_logits(self, h: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        z, words = np.empty((len(h), SIDE), np.float32), self.p["words"].reshape(SIDE, SIDE, -1)
+        for k in np.flatnonzero(np.diff(ends)):
+            np.matmul(h[ends[k] : ends[k + 1]], words[k].T, out=z[ends[k] : ends[k + 1]])
+        return z
+
+    def log_prob(self, ids: np.ndarray) -> np.ndarray:
+        """log P(id | its neighbours) at every place of a padded run (see :func:`padded`), 0 at PAD."""
         out = np.zeros(len(ids))
-        for a in range(0, len(ids), 1 << 15):
-            w, h = ids[a : a + (1 << 15)], self.hidden(context[a : a + (1 << 15)])
-            c = w // SIDE
-            z = h @ self.p["classes"].T + self.p["class_bias"]
-            out[a : a + len(w)] = z[np.arange(len(w)), c] - _lse(z)
-            order = np.argsort(c, kind="stable")
-            ends = np.searchsorted(c[order], np.arange(SIDE + 1))
-            for k in np.unique(c):
-                rows = order[ends[k] : ends[k + 1]]
-                z = h[rows] @ self.p["words"][k * SIDE : (k + 1) * SIDE].T + self.p["word_bias"][k * SIDE : (k + 1) * SIDE]
-                out[a + rows] += z[np.arange(len(rows)), w[rows] - k * SIDE] - _lse(z)
+        for part, a in _parts(ids, 1 << 14):
+            at, w, c, h, ends = self._forward(part)
+            row = np.arange(len(w))
+            z = h @ self.p["classes"].T
+            v = self._word_logits(h, ends)
+            out[a + at] = z[row, c] + v[row, w - c * SIDE] - _lse(z) - _lse(v)
         return out
 
-    def train(self, ids: np.ndarray, context: np.ndarray, seen: dict, batch: int = 2048, lr: float = 0.05) -> None:
-        """One pass of Adagrad over the words; ``seen`` keeps the squared gradients."""
-        columns = np.arange(WIDTH)
-        for a in range(0, len(ids), batch):
-            order = np.argsort(ids[a : a + batch] // SIDE, kind="stable")
-            w, ctx = ids[a : a + batch][order], context[a : a + batch][order]
-            h, c, n = self.hidden(ctx), w // SIDE, len(w)
+    def train(self, ids: np.ndarray, seen: dict, batch: int = BATCH, lr: float = 0.08) -> None:
+        """One pass of Adagrad over a padded run; ``seen`` keeps the squared gradients."""
+        for part, _ in _parts(ids, batch):
+            at, w, c, h, ends = self._forward(part)
+            n = len(w)
+            if not n:
+                continue
             row = np.arange(n)
-            g = _softmax(h @ self.p["classes"].T + self.p["class_bias"])
+            g = _softmax(h @ self.p["classes"].T)
             g[row, c] -= 1
-            grads = {"classes": g.T @ h / n, "class_bias": g.mean(axis=0)}
-            dh = g @ self.p["classes"]
-            ends = np.searchsorted(c, np.arange(SIDE + 1)).tolist()
-            present = [(slice(ends[k], ends[k + 1]), slice(k * SIDE, (k + 1) * SIDE), k) for k in range(SIDE) if ends[k] < ends[k + 1]]
-            z = self.p["word_bias"].reshape(SIDE, SIDE)[c]
-            for rows, s, _ in present:
-                z[rows] += h[rows] @ self.p["words"][s].T
-            g = _softmax(z)
+            grads = {"classes": g.T @ h}
+            dh = g @ self.p["classes"][:, :WIDTH]
+            g = _softmax(self._word_logits(h, ends))
             g[row, w - c * SIDE] -= 1
-            gw, gb = np.zeros(SHAPES["words"], np.float32), np.zeros((SIDE, SIDE), np.float32)
-            gb[[k for _, _, k in present]] = np.add.reduceat(g, [rows.start for rows, _, _ in present])
-            for rows, s, _ in present:
-                gw[s] = g[rows].T @ h[rows]
-                dh[rows] += g[rows] @ self.p["words"][s]
-            grads |= {"words": gw / n, "word_bias": gb.ravel() / n}
-            dh *= (1 - h * h) / n
-            slot = (ctx.T[:, :, None] * WIDTH + columns).ravel()
-            grads["embed"] = np.bincount(slot, np.tile(dh.ravel(), ctx.shape[1]), (SIZE + 1) * WIDTH).astype(np.float32).reshape(SHAPES["embed"])
+            gw, words = np.zeros((SIDE, SIDE, WIDTH + 1), np.float32), self.p["words"].reshape(SIDE, SIDE, -1)
+            for k in np.flatnonzero(np.diff(ends)):
+                rows = slice(ends[k], ends[k + 1])
+                np.matmul(g[rows].T, h[rows], out=gw[k])
+                dh[rows] += g[rows] @ words[k, :, :WIDTH]
+            grads["words"] = gw.reshape(SHAPES["words"])
+            dh *= 1 - h[:, :WIDTH] ** 2
+            back = np.zeros((len(part), WIDTH), np.float32)
+            back[at] = dh
+            ge = np.zeros_like(back)  # a place feeds the words around it
+            for j in range(1, REACH + 1):
+                ge[j:] += back[:-j]
+                ge[:-j] += back[j:]
+            slot = part[:, None] * WIDTH + np.arange(WIDTH)
+            grads["embed"] = np.bincount(slot.ravel(), ge.ravel(), (SIZE + 1) * WIDTH).astype(np.float32).reshape(SHAPES["embed"])
             for k, grad in grads.items():
                 if k not in seen:
                     seen[k] = np.full(SHAPES[k], 1e-6, np.float32)
+                grad /= n
                 seen[k] += grad * grad
                 grad *= np.float32(lr)
                 grad /= np.sqrt(seen[k])
                 self.p[k] -= grad
 
 
+def _parts(ids: np.ndarray, size: int):
+    """Pieces of about ``size`` places with REACH more on each side, and where they begin; they own their inner places."""
+    for a in range(REACH, len(ids) - REACH, size):
+        z = min(a + size, len(ids) - REACH)
+        yield ids[a - REACH : z + REACH], a - REACH
+
+
+def _exp(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp(z - top) and top: one for all rows if they are near each other, else by row."""
+    low, top = z.min(), z.max()
+    if top - low > 60:
+        top = z.max(axis=1)[:, None]
+    return np.exp(np.subtract(z, top, out=z), out=z), top
+
+
 def _softmax(z: np.ndarray) -> np.ndarray:
-    e = np.exp(z - z.max(axis=1)[:, None])
-    e /= e.sum(axis=1)[:, None]
+    e, _ = _exp(z)
+    e /= (e @ np.ones(e.shape[1], np.float32))[:, None]
     return e
 
 
 def _lse(z: np.ndarray) -> np.ndarray:
-    top = z.max(axis=1)
-    return top + np.log(np.exp(z - top[:, None]).sum(axis=1))
+    e, top = _exp(z)
+    return np.ravel(top) + np.log(e @ np.ones(e.shape[1], np.float32))
+
 
+def padded(ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(run, place): the words of all documents with REACH times PAD before, between and after them, and each word's place.
 
-def windows(ids: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Context ids of every word: REACH on each side within its document, else PAD."""
-    out = np.full((len(ids), 2 * REACH), PAD, np.int64)
-    for j in range(1, REACH + 1):
-        same = doc[j:] == doc[:-j]
-        out[j:, 2 * j - 2] = np.where(same, ids[:-j], PAD)
-        out[:-j, 2 * j - 1] = np.where(same, ids[j:], PAD)
-    return out
+    ``first``: the first word of each document, and the number of words.
+    """
+    place = np.arange(len(ids)) + REACH * (1 + np.repeat(np.arange(len(first) - 1), np.diff(first)))
+    run = np.full(len(ids) + REACH * len(first), PAD, np.int32)
+    run[place] = ids
+    return run, place
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -199,7 +230,7 @@ def fit(docs: DataFrame) -> tuple[Vocabulary, Network]:
                 for batch in T.slices(whole, "text"):
                     w = T.words_of(batch.column("text"))
                     ids = voc.ids(w.hashes)
-                    own.train(ids, windows(ids, T.doc_of_word(w)), seen)
+                    own.train(padded(ids, w.first)[0], seen)
                     n += len(ids)
             if n:
                 yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([own.flat().astype(np.float32).tobytes()], pa.binary())], schema=schema)
@@ -233,7 +264,8 @@ def score(docs: DataFrame, vocabulary: Vocabulary, net: Network) -> DataFrame:
             for batch in T.slices(whole, "text"):
                 w = T.words_of(batch.column("text"))
                 ids, doc, n = voc.ids(w.hashes), T.doc_of_word(w), np.diff(w.first)
-                total = np.bincount(doc, own.log_prob(ids, windows(ids, doc)), w.n_docs) if len(ids) else np.zeros(w.n_docs)
+                run_, place = padded(ids, w.first)
+                total = np.bincount(doc, own.log_prob(run_)[place], w.n_docs)
                 rare = ids >= HEAD
                 total -= np.bincount(doc[rare], np.log(voc.mass[ids[rare] - HEAD] + 1), w.n_docs)
                 first = np.concatenate([[0], np.cumsum(rare)])[w.first]
