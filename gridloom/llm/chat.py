@@ -101,65 +101,82 @@ class _Packer:
         return {"conv_id": self.conv, "window": self.n - 1, "text": "".join(parts), "targets": spans}
 
 
+_WINDOWS = pa.schema([("conv_id", pa.int64()), ("window", pa.int64()), ("text", pa.string()), ("targets", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
+_DIGESTS = pa.schema([(n, pa.string() if n.endswith("sha256") else pa.int64()) for n in ("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_windows")])
+DIGESTS = ", ".join(f"{f.name} {'string' if f.type == pa.string() else 'long'}" for f in _DIGESTS)
+
+
+def _pack(batches: Iterator[pa.RecordBatch], budget: int, history: int) -> Iterator[pa.RecordBatch]:
+    """Windows of turns that come by conversation and in order."""
+    packer, on, out, chars = _Packer(budget, history), False, [], 0
+    for batch in batches:
+        for conv, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text")), strict=True):
+            if not on or conv != packer.conv:
+                if on:
+                    out.append(packer.flush())
+                packer.begin(conv)
+                on = True
+            out.extend(packer.add(role or "", text or ""))
+            chars += len(text or "")
+            if len(out) > 2000 or (out and chars > 4_000_000):
+                yield pa.RecordBatch.from_pylist(out, _WINDOWS)
+                out, chars = [], 0
+    if on:
+        out.append(packer.flush())
+    yield pa.RecordBatch.from_pylist(out, _WINDOWS)
+
+
+def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Digests of windows that come by conversation and in order, read from their texts and spans alone."""
+    state, rows = None, []
+    for batch in batches:
+        for conv, text, targets in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "text", "targets")), strict=True):
+            if state is None or state[0] != conv:
+                if state is not None:
+                    rows.append(state)
+                state = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0]
+            for role, body, repeated, _, _ in parse(text):
+                if not repeated:
+                    state[1] += 1
+                    state[2].update(f"{role}\n{body}\n".encode())
+            for span in targets:
+                body = unescape(text[span["start"] : span["end"]])
+                state[3] += len(body)
+                state[4].update(body.encode())
+            state[5] += len(text)
+            state[6] += 1
+        yield _digest_rows(rows)
+        rows = []
+    yield _digest_rows([state] if state is not None else [])
+
+
+def _digest_rows(rows: list[list]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist([dict(zip(_DIGESTS.names, [x.hexdigest() if hasattr(x, "hexdigest") else x for x in r], strict=True)) for r in rows], _DIGESTS)
+
+
+def _in_order(conversations: DataFrame) -> DataFrame:
+    d = conversations.select(F.col("conv_id").cast("long"), "turn", "role", "text")
+    return d.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
+
+
 def format_conversations(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
     """Windows of all conversations: conv_id, window (from 0), text, targets (code-point spans under the loss)."""
-    schema = pa.schema([("conv_id", pa.int64()), ("window", pa.int64()), ("text", pa.string()), ("targets", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
-
-    def run(batches):
-        packer, on, out, chars = _Packer(budget, history), False, [], 0
-        for batch in batches:
-            for conv, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text")), strict=True):
-                if not on or conv != packer.conv:
-                    if on:
-                        out.append(packer.flush())
-                    packer.begin(conv)
-                    on = True
-                out.extend(packer.add(role or "", text or ""))
-                if len(out) > 2000 or (out and (chars := chars + len(text or "")) > 4_000_000):
-                    yield pa.RecordBatch.from_pylist(out, schema)
-                    out, chars = [], 0
-        if on:
-            out.append(packer.flush())
-        yield pa.RecordBatch.from_pylist(out, schema)
-
-    d = conversations.select(F.col("conv_id").cast("long"), "turn", "role", "text")
-    return d.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text").mapInArrow(run, WINDOWS)
+    return _in_order(conversations).mapInArrow(lambda batches: _pack(batches, budget, history), WINDOWS)
 
 
 def read_back(windows: DataFrame) -> DataFrame:
-    """Per conversation, from the windows alone: turns, loss text and sizes as digests."""
-    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_windows"]
-    schema = pa.schema([(n, pa.string() if n.endswith("sha256") else pa.int64()) for n in names])
-
-    def run(batches):
-        state, rows = None, []
-        for batch in batches:
-            for conv, text, targets in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "text", "targets")), strict=True):
-                if state is None or state[0] != conv:
-                    if state is not None:
-                        rows.append(state)
-                    state = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0]
-                for role, body, repeated, _, _ in parse(text):
-                    if not repeated:
-                        state[1] += 1
-                        state[2].update(f"{role}\n{body}\n".encode())
-                for span in targets:
-                    body = unescape(text[span["start"] : span["end"]])
-                    state[3] += len(body)
-                    state[4].update(body.encode())
-                state[5] += len(text)
-                state[6] += 1
-            yield pa.RecordBatch.from_pylist([dict(zip(names, [x.hexdigest() if hasattr(x, "hexdigest") else x for x in r], strict=True)) for r in rows], schema)
-            rows = []
-        if state is not None:
-            yield pa.RecordBatch.from_pylist([dict(zip(names, [x.hexdigest() if hasattr(x, "hexdigest") else x for x in state], strict=True))], schema)
-
+    """Per conversation, from stored windows alone: turns, loss text and sizes as digests."""
     d = windows.repartition("conv_id").sortWithinPartitions("conv_id", "window").select("conv_id", "text", "targets")
-    return d.mapInArrow(run, ", ".join(f"{n} {'string' if n.endswith('sha256') else 'long'}" for n in names))
+    return d.mapInArrow(_digest, DIGESTS)
+
+
+def format_and_read_back(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
+    """:func:`read_back` of :func:`format_conversations`, window by window in the same task: the texts are shuffled once."""
+    return _in_order(conversations).mapInArrow(lambda batches: _digest(_pack(batches, budget, history)), DIGESTS)
 
 
 def op2_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     said = r"\### Assistant: </turn> ok"
     more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
-    return read_back(format_conversations(rows.unionByName(more)))
+    return format_and_read_back(rows.unionByName(more))
