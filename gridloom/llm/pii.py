@@ -12,7 +12,9 @@ keys are kind ``secret``.  Base spans are kept whatever the method adds.
 Only occurrences of identifier-like tokens are shuffled, never texts.  Accepted patterns are broadcast
 up to ``MAX_PATTERNS`` hashes (a few MB); beyond, each document gets its own accepted patterns by joins.
 
-Edge cases: null text is empty; spans are code points, ends exclusive; repeated rows are annotated
+Edge cases: null text is empty; spans are code points, ends exclusive; a pattern's words count whole, whatever their
+length and the blanks between; without two words before it (of more than punctuation) an occurrence has no pattern;
+an instance counts once for a pattern, so that repeated rows are no further evidence, and they are annotated
 alike; an empty table gives no rows; other columns are carried through masking untouched.
 """
 
@@ -41,8 +43,8 @@ _DIGIT = re.compile(r"[0-9]")
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*")
 _EDGE = "\"'`.,;:!?()[]{}<>*#$%&|=~"
 _KEY = re.compile(r"(?=[0-9a-f]*[a-f])(?=[0-9a-f]*[0-9])[0-9a-f]{32,}")
-_GLUED = re.compile(r"[^\x20\x09-\x0D]*$")
-_LEFT = re.compile(r"([^\x20\x09-\x0D]*)[\x20\x09-\x0D]*$")
+_BLANK = frozenset(" \t\n\v\f\r")
+_STRIP = _EDGE.replace("=", "")
 
 
 def _luhn(digits: str) -> bool:
@@ -93,12 +95,22 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def _token_start(text: str, at: int, floor: int = 0) -> int:
+    """Where the characters right before ``at`` that are no blanks begin, ``floor`` at least."""
+    while at > floor and text[at - 1] not in _BLANK:
+        at -= 1
+    return at
+
+
 def _pattern(text: str, at: int) -> str:
-    words, back = [], at
+    """The two whole words before ``at``, however far back; empty where there are fewer."""
+    words = []
     for _ in range(2):
-        m = _LEFT.search(text, max(0, back - 64), back)
-        words.append(m[1].strip(_EDGE.replace("=", "")).lower())
-        back = m.start()
+        while at > 0 and text[at - 1] in _BLANK:
+            at -= 1
+        start = _token_start(text, at)
+        words.append(text[start:at].strip(_STRIP).lower())
+        at = start
     return " ".join(reversed(words)) if all(words) else ""
 
 
@@ -127,7 +139,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
                     end = 0
                     for a, z in base:
                         if a >= end:  # else its context is another span
-                            found.append((a, z, _pattern(text, max(end, _GLUED.search(text, max(0, a - 64), a).start())), True))
+                            found.append((a, z, _pattern(text, _token_start(text, a, end)), True))
                         end = max(end, z)
                     rows += [(doc, pattern_hash(p), pattern_hash(text[a:z]), seed) for a, z, p, seed in found if p]
                 cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
@@ -189,8 +201,8 @@ def _apply(docs: DataFrame, patterns: DataFrame, each, schema: pa.Schema, ddl, m
 
 
 def annotate(docs: DataFrame, patterns: DataFrame, max_patterns: int = MAX_PATTERNS) -> DataFrame:
-    """doc_id, counts and digest of base spans, and all spans, of every text."""
-    schema = pa.schema([("doc_id", pa.int64()), *[(f"n_{k}", pa.int64()) for k in KINDS], ("base_sha256", pa.string()), ("spans", pa.string()), ("n_added", pa.int64())])
+    """doc_id, counts and digest of base spans, and all spans with their numbers (added, all), of every text."""
+    schema = pa.schema([("doc_id", pa.int64()), *[(f"n_{k}", pa.int64()) for k in KINDS], ("base_sha256", pa.string()), ("spans", pa.string()), ("n_added", pa.int64()), ("n_spans", pa.int64())])
 
     def each(batch, sets):
         rows = []
@@ -198,10 +210,10 @@ def annotate(docs: DataFrame, patterns: DataFrame, max_patterns: int = MAX_PATTE
             base = base_spans(text or "")
             more = added_spans(text or "", base, accepted)
             said = [",".join(f"{k}:{a}:{z}" for k, a, z in s) for s in (base, base + more)]
-            rows.append({"doc_id": doc, **{f"n_{k}": sum(s[0] == k for s in base) for k in KINDS}, "base_sha256": hashlib.sha256(said[0].encode()).hexdigest(), "spans": said[1], "n_added": len(more)})
+            rows.append({"doc_id": doc, **{f"n_{k}": sum(s[0] == k for s in base) for k in KINDS}, "base_sha256": hashlib.sha256(said[0].encode()).hexdigest(), "spans": said[1], "n_added": len(more), "n_spans": len(base) + len(more)})
         return pa.RecordBatch.from_pylist(rows, schema)
 
-    ddl = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
+    ddl = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long"
     return _apply(docs.select(F.col("doc_id").cast("long"), "text"), patterns, each, schema, ddl, max_patterns)
 
 
