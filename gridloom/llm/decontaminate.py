@@ -15,9 +15,13 @@ caught and accidental templates are not.  A document leaks an item if ``COVERAGE
 The benchmark's windows are broadcast in blocks of ``MAX_WINDOWS`` at most (16 MB of hashes for each typing); a
 larger benchmark takes one pass over the documents per block, and an item never spans blocks.
 
+Hits of a template that many items or many places of a text share are counted in arrays first; positions are
+compared only for (document, item) pairs that share windows enough.
+
 Edge cases: null or empty texts match nothing; items with fewer than ``WINDOW`` tokens have one
-window of their whole length; items of equal text are all reported; repeated rows are reported
-one by one; an empty table on either side gives no rows; other columns are ignored.
+window of their whole length; an item without enough literal words is matched by its plain words only; items of equal
+text are all reported; repeated rows are reported one by one, a null doc_id as null; an item that occurs several times
+in a text is one row; an empty table on either side gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -121,14 +125,22 @@ class Index:
         t = self.t = Templates(pa.array([x for _, x in items], pa.string()), typing)
         at, h = t.windows()
         short = [i for i in range(len(items)) if 0 < t.first[i + 1] - t.first[i] < WINDOW]
-        self.short = {}  # whole texts below WINDOW tokens, by length
+        self.short = {}  # whole texts below WINDOW tokens: (item, hash of the values) by length and hash
         for i in short:
             a, z = t.first[i], t.first[i + 1]
             if (t.kind[a:z] == WORD).sum() >= min(LITERAL, z - a):
-                self.short.setdefault(int(z - a), defaultdict(list))[int(T.window_hashes(t.hash[a:z], int(z - a))[0])].append(i)
+                h_, v = (T.window_hashes(x[a:z], int(z - a))[0] for x in (t.hash, t.value))
+                self.short.setdefault(int(z - a), defaultdict(list))[int(h_)].append((i, v))
         order = np.argsort(h, kind="stable")
         self.hashes, self.at = h[order], at[order]
         self.total = np.bincount(t.doc[at], minlength=len(items))
+        order = np.lexsort((h, t.doc[at]))
+        self._hash, self._where, self._first = h[order], at[order], np.concatenate([[0], np.cumsum(self.total)])
+
+    def of_item(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """Window hashes of one item in order, and where they are."""
+        s = slice(self._first[i], self._first[i + 1])
+        return self._hash[s], self._where[s]
 
 
 def _consistent(values: list[tuple[int, int]]) -> bool:
@@ -179,46 +191,78 @@ def leaks(col: pa.Array, bench: Benchmark) -> list[tuple[int, int, int, float, b
     return sorted(out.values())
 
 
+def _spread(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """lo[i], lo[i] + 1, ... (n[i] numbers) for every i."""
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+
+
+def _possible(row: np.ndarray, h: np.ndarray, bench: Index) -> tuple[np.ndarray, np.ndarray]:
+    """(row, item) pairs whose shared windows suffice, wherever they lie; each window of a text meets an item once."""
+    order = np.lexsort((h, row))
+    new = np.ones(len(h), bool)
+    new[1:] = (h[order][1:] != h[order][:-1]) | (row[order][1:] != row[order][:-1])
+    row, h = row[order][new], h[order][new]
+    lo, hi = (np.searchsorted(bench.hashes, h, side) for side in ("left", "right"))
+    rows, items = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    ends = np.cumsum(hi - lo)
+    at = 0
+    while at < len(h):  # whole texts, about 4 M hits at a time and no more than the benchmark has for one text
+        z = max(int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 22))), at + 1)
+        z = int(np.searchsorted(row, row[z - 1], "right"))
+        n = (hi - lo)[at:z]
+        key = np.repeat(row[at:z], n) * len(bench.ids) + bench.t.doc[bench.at[_spread(lo[at:z], n)]]
+        key, n = np.unique(key, return_counts=True)
+        r, i = key // len(bench.ids), key % len(bench.ids)
+        ok = (n >= LONG) | (n >= COVERAGE * bench.total[i])
+        rows.append(r[ok])
+        items.append(i[ok])
+        at = z
+    return np.concatenate(rows), np.concatenate(items)
+
+
 def _leaks(col: pa.Array, bench: Index) -> list[tuple[int, int, int, float, bool]]:
-    t, out = Templates(col, bench.typing), []
+    t, out = Templates(col, bench.typing), {}
     at, h = t.windows()
-    found = defaultdict(list)
-    if len(bench.hashes):
-        lo = np.searchsorted(bench.hashes, h, "left")
+    if len(bench.hashes) and len(h):
+        lo = np.searchsorted(bench.hashes, h)
         hit = np.flatnonzero(bench.hashes[np.minimum(lo, len(bench.hashes) - 1)] == h)
-        hi = np.searchsorted(bench.hashes, h[hit], "right")
-        for k, a, z in zip(hit, lo[hit], hi, strict=True):
-            for b in bench.at[a:z]:
-                found[int(t.doc[at[k]]), int(bench.t.doc[b])].append((int(at[k]), int(b)))
-    for (row, item), pairs in found.items():
-        passed = []
-        for some in _alignments(pairs):
-            n = len({b for _, b in some})
-            share = n / bench.total[item]
-            if share < COVERAGE and n < LONG:
-                continue
-            slots = set()
-            for d, b in some:
-                for j in range(WINDOW):
-                    if t.kind[d + j] != WORD:
-                        slots.add((d + j, b + j))
-            values = [(int(t.value[d]), int(bench.t.value[b])) for d, b in slots]
-            if values and sum(x == y for x, y in values) < CONSISTENT * len(values) and not _consistent(values):
-                continue
-            passed.append((n, float(share), all(x == y for x, y in values)))
-        if passed:
-            out.append((row, bench.ids[item], *max(passed)[:2], any(x[2] for x in passed)))
+        at, h = at[hit], h[hit]
+        row = t.doc[at]
+        for r, item in zip(*_possible(row, h, bench), strict=True):
+            a, z = np.searchsorted(row, (r, r + 1))
+            own, where = bench.of_item(item)
+            x, y = (np.searchsorted(own, h[a:z], side) for side in ("left", "right"))
+            pairs = list(zip(np.repeat(at[a:z], y - x).tolist(), where[_spread(x, y - x)].tolist(), strict=True))
+            best = _judge(pairs, t, bench, item)
+            if best:
+                out[int(r), bench.ids[item]] = best
     for size, table in bench.short.items():
-        hs = T.window_hashes(t.hash, size)
-        keys = np.array(list(table), dtype=np.uint64)
-        for k in np.flatnonzero(np.isin(hs, keys)):
-            if t.doc[k] == t.doc[k + size - 1]:
-                for item in table[int(hs[k])]:
-                    a = bench.t.first[item]
-                    row = (int(t.doc[k]), bench.ids[item], 1, 1.0, bool((t.value[k : k + size] == bench.t.value[a : a + size]).all()))
-                    if row not in out:
-                        out.append(row)
-    return sorted(out)
+        hs, vs = T.window_hashes(t.hash, size), T.window_hashes(t.value, size)
+        if not len(hs):
+            continue
+        k = np.flatnonzero(np.isin(hs, np.array(list(table), dtype=np.uint64)) & (t.doc[size - 1 :] == t.doc[: len(hs)]))
+        found = np.unique(np.stack([t.doc[k].astype(T.U64), hs[k], vs[k]]), axis=1)  # equal places of a text count once
+        for r, word, value in zip(*found, strict=True):
+            for item, own in table[int(word)]:
+                key = (int(r), bench.ids[item])
+                out[key] = (1, 1.0, bool(value == own) or (out[key][2] if key in out else False))
+    return sorted((*key, *x) for key, x in out.items())
+
+
+def _judge(pairs: list[tuple[int, int]], t: Templates, bench: Index, item: int) -> tuple[int, float, bool] | None:
+    """(windows, coverage, exact) of the best alignment of a text's and an item's matching positions that passes."""
+    passed = []
+    for some in _alignments(pairs):
+        n = len({b for _, b in some})
+        share = n / bench.total[item]
+        if share < COVERAGE and n < LONG:
+            continue
+        slots = {(d + j, b + j) for d, b in some for j in range(WINDOW) if t.kind[d + j] != WORD}
+        values = [(int(t.value[d]), int(bench.t.value[b])) for d, b in slots]
+        if values and sum(x == y for x, y in values) < CONSISTENT * len(values) and not _consistent(values):
+            continue
+        passed.append((n, float(share), all(x == y for x, y in values)))
+    return (*max(passed)[:2], any(x[2] for x in passed)) if passed else None
 
 
 def _blocks(benchmark: DataFrame, max_windows: int):
