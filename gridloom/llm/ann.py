@@ -1,19 +1,26 @@
-"""Approximate nearest neighbours by inner product: one navigable small-world graph per shard.
+"""Approximate nearest neighbours by inner product: navigable small-world graphs per shard.
 
-Equal vectors are indexed once.  A shard holds about ``SHARD_ROWS`` distinct vectors, drawn by
-hash; its graph has geometric levels, each stored as one flat array of neighbour slots.  Links of
-a level come from exact in-shard lists (blocked matrix products, bounded by the shard's size),
-thinned by the diversity rule and made mutual.  A search descends greedily to level 0 and runs a
-beam there, for many queries at a time; shard results are merged by exact double scores.  Queries
-travel to the shards in groups of ``GROUP_ROWS``, so no task holds all queries.
+Equal vectors are indexed once.  A shard holds about ``SHARD_ROWS`` distinct vectors, drawn by hash, and
+splits them into bands of norms within a factor of ``RATIO`` (``SMALL`` vectors at least), because inner
+products prefer long vectors and one graph over all norms would link everything to those.  Each band has a
+graph with geometric levels, each level stored as one flat array of neighbour slots; bands of ``SMALL``
+vectors are compared as a whole.  Links come from exact lists of neighbours by angle within the band
+(blocked matrix products: in a shard of bounded size these cost less than a beam search for each insertion
+would, and do not hang on an order of insertion), thinned by the diversity rule and made mutual; nodes that
+level 0 would not reach from its entry get a link from their nearest reached node.  A band's beam is doubled
+from ``BEAM`` until ``SAMPLE`` vectors of its shard find ``TARGET`` of their true neighbours in the band.
 
-Vectors are compared after the usual reduction to equal norms (one more component), which keeps
-the order of inner products; scores are inner products of the original vectors in double precision.
+A search takes the bands of up to ``RACK`` shards (one, below ``SPREAD`` shards) from long to short vectors.  It descends greedily to level 0
+and runs a beam there, for many queries at a time; a band is left out for queries whose norm times the
+band's largest norm is below what they have found (a bound, so nothing is lost).  Shard results are merged by
+exact double scores of the original vectors.  Queries travel to racks in groups of ``GROUP_ROWS``, so no task
+holds all queries.
 
 Edge cases: rows without a vec_id and vectors that are null, empty, zero, or hold a null or
 non-finite component take no part; vectors of different lengths are never compared; equal vectors
-and repeated rows are all candidates, ties go to the smaller vec_id; fewer than k candidates give
-all of them; an empty table gives no rows.
+of different ids are all candidates, ties go to the smaller vec_id; repeated rows (id and vector) count once; a
+query vec_id with several vectors asks with the least of them, and none of its rows is a candidate (they are taken
+out of the k + 1 nearest, so that such an id may get fewer than k); fewer than k candidates give all of them; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,8 +35,9 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.store import cut
 
-SHARD_ROWS, GROUP_ROWS, DEGREE, BEAM = 8192, 16384, 24, 64
-INDEX = "dim int, shard int, ids binary, vectors binary, level_nodes array<binary>, level_links array<binary>"
+SHARD_ROWS, RACK, SPREAD, GROUP_ROWS, DEGREE, BEAM = 8192, 8, 64, 16384, 24, 64
+RATIO, SMALL, SAMPLE, TARGET = 1.1, 256, 128, 0.98
+INDEX = "dim int, shard int, top double, beam int, ids binary, keys binary, vectors binary, level_nodes array<binary>, level_links array<binary>"
 
 
 def _links(x: np.ndarray, degree: int) -> np.ndarray:
@@ -67,27 +75,78 @@ def _links(x: np.ndarray, degree: int) -> np.ndarray:
     return out
 
 
-def build_shard(ids: np.ndarray, vectors: np.ndarray, degree: int = DEGREE) -> dict:
-    """Flat arrays of one shard's graph; node numbers index ``ids`` and ``vectors``."""
-    order = np.argsort(ids, kind="stable")
-    ids, vectors = ids[order], np.ascontiguousarray(vectors[order], np.float32)
-    norm = (vectors.astype(np.float64) ** 2).sum(axis=1)
-    flat = np.c_[vectors, np.sqrt(np.maximum(norm.max() - norm, 0))].astype(np.float32)
-    u = np.random.default_rng(len(ids)).random(len(ids))
-    level = np.minimum((-np.log(np.maximum(u, 1e-12)) / math.log(degree)).astype(int), 6)
-    nodes, links = [], []
-    for at in range(level.max() + 1):
-        here = np.flatnonzero(level >= at).astype(np.int32)
-        nodes.append(here.tobytes())
-        links.append(_links(flat[here], degree).tobytes())
-    return {"ids": ids.astype(np.int64).tobytes(), "vectors": vectors.tobytes(), "level_nodes": nodes, "level_links": links}
-
-
-def search_shard(index: dict, dim: int, queries: np.ndarray, k: int, beam: int = BEAM, wide: int = 4) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, scores) of the k nearest found, (queries, k); id -1 where there are fewer."""
+def _reach(links: np.ndarray, x: np.ndarray, entry: int) -> np.ndarray:
+    """``links`` with as many slots more as it takes to reach every node from ``entry``."""
+    reached, front, bridges = np.zeros(len(x), bool), np.array([entry]), []
+    while True:
+        reached[front] = True
+        while len(front):
+            near = np.unique(links[front])
+            front = near[near >= 0]
+            front = front[~reached[front]]
+            reached[front] = True
+        if reached.all():
+            break
+        u = int(np.flatnonzero(~reached)[0])
+        there = np.flatnonzero(reached)
+        bridges.append((int(there[(x[there] @ x[u]).argmax()]), u))
+        front = np.array([u])
+    if not bridges:
+        return links
+    v, u = np.array(sorted(bridges)).T
+    slot = np.arange(len(v)) - np.searchsorted(v, v)
+    more = np.full((len(x), slot.max() + 1), -1, np.int32)
+    more[v, slot] = u
+    return np.concatenate([links, more], axis=1)
+
+
+def _bands(norm: np.ndarray, ratio: float, small: int) -> list[tuple[int, int]]:
+    """Pieces of descending norms."""
+    out, a = [], 0
+    while a < len(norm):
+        z = max(int(np.searchsorted(-norm, -norm[a] / ratio, "right")), min(a + small, len(norm)))
+        out.append((a, z))
+        a = z
+    return out
+
+
+def build_shard(ids: np.ndarray, keys: np.ndarray, vectors: np.ndarray, degree: int = DEGREE, beam: int = BEAM, ratio: float = RATIO) -> list[dict]:
+    """Flat arrays of one shard's bands; node numbers index ``ids`` (smallest vec_id), ``keys`` and ``vectors``."""
+    norm = np.sqrt((vectors.astype(np.float64) ** 2).sum(axis=1))
+    order = np.lexsort((keys, ids, -norm))
+    ids, keys, norm, vectors = ids[order], keys[order], norm[order], np.ascontiguousarray(vectors[order], np.float32)
+    sample = vectors[np.linspace(0, len(ids) - 1, min(SAMPLE, len(ids))).astype(int)]
+    rng, out = np.random.default_rng(len(ids)), []
+    for a, z in _bands(norm, ratio, SMALL):
+        x, n = vectors[a:z], z - a
+        row = {"top": float(norm[a]), "beam": beam, "ids": ids[a:z].astype(np.int64).tobytes(), "keys": keys[a:z].astype(np.int64).tobytes(), "vectors": x.tobytes(), "level_nodes": [], "level_links": []}
+        if n > SMALL:
+            unit = (x / norm[a:z, None]).astype(np.float32)
+            level = np.minimum((-np.log(np.maximum(rng.random(n), 1e-12)) / math.log(degree)).astype(int), 6)
+            here = [np.flatnonzero(level >= at).astype(np.int32) for at in range(level.max() + 1)]
+            links = [_links(unit[nodes], degree) for nodes in here]
+            links[0] = _reach(links[0], unit, int(here[-1][0]))
+            row |= {"level_nodes": [h.tobytes() for h in here], "level_links": [k.tobytes() for k in links]}
+            true = np.sort(-(sample.astype(np.float64) @ x.astype(np.float64).T), axis=1)[:, : min(20, n)]
+            while row["beam"] < n:
+                _, got = search_band(row, x.shape[1], sample, true.shape[1])
+                if (-got <= true[:, -1:] + 1e-9 * np.abs(true[:, -1:])).mean() >= TARGET:
+                    break
+                row["beam"] *= 2
+        out.append(row)
+    return out
+
+
+def search_band(index: dict, dim: int, queries: np.ndarray, k: int, wide: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """(slots, scores) of the k nearest found in a band, (queries, k); slot -1 where there are fewer."""
     ids = np.frombuffer(index["ids"], np.int64)
     x = np.frombuffer(index["vectors"], np.float32).reshape(len(ids), dim)
     q = np.ascontiguousarray(queries, np.float32)
+    if not len(index["level_nodes"]):
+        exact = q.astype(np.float64) @ x.astype(np.float64).T
+        slot = np.lexsort((np.broadcast_to(ids, exact.shape), -exact), axis=1)[:, :k]
+        return slot, np.take_along_axis(exact, slot, 1)
+    beam = index["beam"]
     levels = [(np.frombuffer(a, np.int32), np.frombuffer(b, np.int32)) for a, b in zip(index["level_nodes"], index["level_links"], strict=True)]
     levels = [(a, b.reshape(len(a), -1)) for a, b in levels]
     n, rows = len(ids), np.arange(len(q))
@@ -134,12 +193,35 @@ def search_shard(index: dict, dim: int, queries: np.ndarray, k: int, beam: int =
         d = np.concatenate([done[active], near == n], axis=1)
         top = np.argpartition(-a, beam - 1, axis=1)[:, :beam]
         found[active], sims[active], done[active] = (np.take_along_axis(z, top, 1) for z in (f, a, d))
+    return _nearest_slots(q, x, ids, found, k)
+
+
+def _nearest_slots(q: np.ndarray, x: np.ndarray, ids: np.ndarray, found: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of each query's ``found`` slots (len(x): none) by exact scores, ties to the smaller id."""
+    n = len(x)
     exact = np.einsum("qd,qmd->qm", q.astype(np.float64), x[np.minimum(found, n - 1)].astype(np.float64))
     exact = np.where(found == n, -np.inf, exact)
     real = np.where(found == n, np.iinfo(np.int64).max, ids[np.minimum(found, n - 1)])
     order = np.lexsort((real, -exact), axis=1)[:, :k]
-    real, exact = np.take_along_axis(real, order, 1), np.take_along_axis(exact, order, 1)
-    return np.where(np.isneginf(exact), -1, real), exact
+    slot, exact = np.take_along_axis(found, order, 1), np.take_along_axis(exact, order, 1)
+    return np.where(np.isneginf(exact), -1, slot), exact
+
+
+def search_bands(bands: list[dict], dim: int, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, keys, scores) of the k nearest found in several bands, (queries, k); score -inf where there are fewer."""
+    norm = np.sqrt((queries.astype(np.float64) ** 2).sum(axis=1))
+    none = np.iinfo(np.int64).max
+    ids, keys, scores = np.full((len(queries), k), none), np.full((len(queries), k), none), np.full((len(queries), k), -np.inf)
+    for band in sorted(bands, key=lambda b: -b["top"]):
+        ask = np.flatnonzero(norm * band["top"] * (1 + 1e-6) >= scores[:, -1])
+        if not len(ask):
+            break
+        slot, s = search_band(band, dim, queries[ask], k)
+        i, j = (np.where(slot < 0, none, np.frombuffer(band[c], np.int64)[slot]) for c in ("ids", "keys"))
+        i, j, s = (np.concatenate([old[ask], new], axis=1) for old, new in ((ids, i), (keys, j), (scores, s)))
+        order = np.lexsort((j, i, -s), axis=1)[:, :k]
+        ids[ask], keys[ask], scores[ask] = (np.take_along_axis(z, order, 1) for z in (i, j, s))
+    return ids, keys, scores
 
 
 def usable(df: DataFrame) -> DataFrame:
@@ -149,56 +231,57 @@ def usable(df: DataFrame) -> DataFrame:
 
 
 def distinct_vectors(vectors: DataFrame, k: int) -> DataFrame:
-    """rep, vec_id, embedding (on the row of the representative): at most k + 1 smallest ids of each vector."""
+    """key (of the vector), rep (its smallest id), vec_id, embedding (on one row of each): at most k + 1 smallest ids of each vector."""
     by = W.partitionBy("embedding")
     d = vectors.withColumn("rn", F.row_number().over(by.orderBy("vec_id"))).filter(F.col("rn") <= k + 1)
     d = d.withColumn("rep", F.min("vec_id").over(by))
-    return d.select("rep", "vec_id", F.when(F.col("rn") == 1, F.col("embedding")).alias("embedding"))
+    return d.select(F.xxhash64("embedding").alias("key"), "rep", "vec_id", F.when(F.col("rn") == 1, F.col("embedding")).alias("embedding"))
 
 
-def build_index(reps: DataFrame, shards: int, degree: int = DEGREE) -> DataFrame:
-    """One row per shard (and vector length) with the graph's flat arrays."""
+def build_index(reps: DataFrame, shards: int, degree: int = DEGREE, beam: int = BEAM) -> DataFrame:
+    """One row per band of each shard (and vector length) with the graph's flat arrays."""
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        row = build_shard(pdf["rep"].to_numpy(), np.stack(pdf["embedding"].to_numpy()), degree)
-        return pd.DataFrame([{"dim": int(pdf["dim"].iloc[0]), "shard": int(pdf["shard"].iloc[0]), **row}])
+        bands = build_shard(pdf["rep"].to_numpy(), pdf["key"].to_numpy(), np.stack(pdf["embedding"].to_numpy()), degree, beam)
+        return pd.DataFrame([{"dim": int(pdf["dim"].iloc[0]), "shard": int(pdf["shard"].iloc[0]), **band} for band in bands])
 
-    d = reps.select("rep", "embedding", F.size("embedding").alias("dim"), F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("int").alias("shard"))
+    d = reps.select("rep", "key", "embedding", F.size("embedding").alias("dim"), F.pmod(F.col("key"), F.lit(shards)).cast("int").alias("shard"))
     return d.groupBy("dim", "shard").applyInPandas(build, INDEX)
 
 
-def search(index: DataFrame, queries: DataFrame, n_queries: int, shards: int, k: int, beam: int = BEAM) -> DataFrame:
-    """(query_id, rep, score): the k nearest found in each shard."""
-    groups = max(1, -(-n_queries // GROUP_ROWS))
+def search(index: DataFrame, queries: DataFrame, n_queries: int, shards: int, k: int) -> DataFrame:
+    """(query_id, key, rep, score): the k nearest found in each rack of shards."""
+    groups, rack = max(1, -(-n_queries // GROUP_ROWS)), min(RACK, -(-shards // SPREAD))
+    racks = -(-shards // rack)
 
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"query_id": np.zeros(0, np.int64), "rep": np.zeros(0, np.int64), "score": np.zeros(0)})]
-        for _, row in left.iterrows():
-            for a in range(0, len(right), 512):
-                part = right.iloc[a : a + 512]
-                ids, scores = search_shard(row, int(key[0]), np.stack(part["embedding"].to_numpy()), k, beam)
-                ok = ids >= 0
-                out.append(pd.DataFrame({"query_id": np.repeat(part["query_id"].to_numpy(), ok.sum(axis=1)), "rep": ids[ok], "score": scores[ok]}))
+        bands = left.to_dict("records")
+        out = [pd.DataFrame({"query_id": np.zeros(0, np.int64), "key": np.zeros(0, np.int64), "rep": np.zeros(0, np.int64), "score": np.zeros(0)})]
+        for a in range(0, len(right), 512):
+            part = right.iloc[a : a + 512]
+            ids, keys, scores = search_bands(bands, int(key[0]), np.stack(part["embedding"].to_numpy()), k)
+            ok = scores > -np.inf
+            out.append(pd.DataFrame({"query_id": np.repeat(part["query_id"].to_numpy(), ok.sum(axis=1)), "key": keys[ok], "rep": ids[ok], "score": scores[ok]}))
         return pd.concat(out)
 
-    left = index.withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).groupBy("dim", "shard", "grp")
+    left = index.withColumn("rack", (F.col("shard") / rack).cast("int")).withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).groupBy("dim", "rack", "grp")
     q = queries.select("query_id", "embedding", F.size("embedding").alias("dim"), F.pmod(F.xxhash64("query_id", F.lit(3)), F.lit(groups)).cast("int").alias("grp"))
-    right = q.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).groupBy("dim", "shard", "grp")
-    return left.cogroup(right).applyInPandas(run, "query_id long, rep long, score double")
+    right = q.withColumn("rack", F.explode(F.sequence(F.lit(0), F.lit(racks - 1)))).groupBy("dim", "rack", "grp")
+    return left.cogroup(right).applyInPandas(run, "query_id long, key long, rep long, score double")
 
 
 def nearest(vectors: DataFrame, is_query, k: int = 20, shard_rows: int = SHARD_ROWS, degree: int = DEGREE, beam: int = BEAM) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of every row of ``vectors`` (vec_id, embedding) with ``is_query``."""
-    rows = usable(vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>")))
+    rows = usable(vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>"))).dropDuplicates()
     unique = cut(distinct_vectors(rows, k))
-    reps = unique.filter(F.col("embedding").isNotNull()).select("rep", "embedding")
+    reps = unique.filter(F.col("embedding").isNotNull()).select("key", "rep", "embedding")
     shards = max(1, round(reps.count() / shard_rows))
-    queries = rows.filter(is_query).select(F.col("vec_id").alias("query_id"), "embedding").dropDuplicates(["query_id"])
-    index = cut(build_index(reps, shards, degree))
-    hits = search(index, queries, queries.count(), shards, k + 1, beam)
+    queries = rows.filter(is_query).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("embedding").alias("embedding"))
+    index = cut(build_index(reps, shards, degree, beam))
+    hits = search(index, queries, queries.count(), shards, k + 1)
     by = W.partitionBy("query_id")
-    hits = hits.withColumn("r", F.row_number().over(by.orderBy(F.desc("score"), "rep"))).filter(F.col("r") <= k + 1).drop("r")
-    full = hits.join(unique.select("rep", "vec_id"), "rep").filter(F.col("vec_id") != F.col("query_id"))
+    hits = hits.withColumn("r", F.row_number().over(by.orderBy(F.desc("score"), "rep", "key"))).filter(F.col("r") <= k + 1).drop("r", "rep")
+    full = hits.join(unique.select("key", "vec_id"), "key").filter(F.col("vec_id") != F.col("query_id"))
     ranked = full.withColumn("rank", F.row_number().over(by.orderBy(F.desc("score"), "vec_id"))).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
