@@ -11,15 +11,18 @@ a text besides one draw per shingle.
 
 ``BANDS`` bands of ``ROWS`` registers make candidates: exact copies are one node; in every bucket the
 smallest node is compared with all others, which emits no pairs within a group.  Similarities are
-exact multiset overlaps of the texts (``SIMILAR`` or more).  Where buckets still span several
-components, their likely members form groups, and all nodes outside a group's largest component meet
-the whole group in bounded blocks inside the tasks; only links that join components leave a task.  So no
-link between different texts hangs on the choice of the smallest node.
+exact multiset overlaps of the texts (``SIMILAR`` or more).  Where a bucket still spans several components
+after that, all its members' signatures are compared inside tasks, whichever node was its smallest: two of
+different components that agree in ``TIED`` of the registers tie these components into a group (at a
+similarity of 0.8 fewer agree with a probability of 1e-7).  All nodes outside a group's largest component
+then meet the whole group by exact overlap.  Both comparisons go in blocks of ``CHUNK`` rows, so that a
+bucket or group of any size is dealt over many tasks, and only links that join components leave a task.  Their work is
+quadratic in the nodes of one bucket or group outside its largest component.
 
 Edge cases: null texts are empty; texts without words are copies of each other; texts below five words
 have themselves as only shingle; repeated rows and doc_ids are separate rows of a class; a class is
-named by its smallest doc_id (null only where all are null); an empty table gives no rows; other
-columns are ignored.
+named by its smallest doc_id (null only where all are null); of rows with equal id and text the least in
+all columns is kept by :func:`keep_one`; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,8 +37,8 @@ from gridloom.llm.graph import components
 from gridloom.llm.store import cut, release
 
 SHINGLE, REGISTERS, BANDS, ROWS, SIMILAR = 5, 128, 32, 4, 0.8
-LIKELY = 0.5  # of the registers, to tie components into groups: far below SIMILAR
-HUB_ROWS, CHUNK = 2000, 1024
+TIED = 0.6  # of the registers, five standard deviations below SIMILAR
+HUB_ROWS, CHUNK, SALTS = 2000, 1024, 16
 U = T.U64
 
 
@@ -133,26 +136,41 @@ def sketches(docs: DataFrame) -> DataFrame:
     return d.mapInArrow(run, "doc_id long, th long, key binary, bands array<long>, sig binary")
 
 
-def stars(nodes: DataFrame) -> DataFrame:
-    """(bucket, hub, node): every member of a bucket with its smallest node; nothing for buckets of one."""
-    schema = pa.schema([("bucket", pa.int64()), ("hub", pa.int64()), ("node", pa.int64())])
+def stars(nodes: DataFrame, chunk: int | None = None) -> DataFrame:
+    """(bucket, part, hub, node): all members of buckets of two and more, with the smallest; parts have ``chunk`` rows."""
+    schema = pa.schema([("bucket", pa.int64()), ("part", pa.int32()), ("hub", pa.int64()), ("node", pa.int64())])
+    chunk = chunk or CHUNK
 
     def run(batches):
-        last, hub = None, None
+        bucket, hub, seen = None, 0, 0  # of the last row
         for batch in batches:
             b, n = (batch.column(c).to_numpy() for c in ("bucket", "node"))
             if not len(b):
                 continue
             new = np.ones(len(b), bool)
             new[1:] = b[1:] != b[:-1]
-            new[0] = last is None or b[0] != last
+            new[0] = bucket is None or b[0] != bucket
             at = np.maximum.accumulate(np.where(new, np.arange(len(b)), -1))
-            hubs = np.where(at >= 0, n[np.maximum(at, 0)], hub if hub is not None else 0)
-            last, hub = b[-1], hubs[-1]
-            yield pa.RecordBatch.from_arrays([pa.array(b[~new]), pa.array(hubs[~new]), pa.array(n[~new])], schema=schema)
+            hubs = np.where(at >= 0, n[np.maximum(at, 0)], hub)
+            nth = np.where(at >= 0, np.arange(len(b)) - at, np.arange(len(b)) + seen)
+            keep = ~new
+            keep[:-1] |= ~new[1:]
+            if not new[0] and seen == 1:  # the bucket's first row ended the last batch
+                yield pa.RecordBatch.from_arrays([pa.array([bucket]), pa.array([0], pa.int32()), pa.array([hub]), pa.array([hub])], schema=schema)
+            bucket, hub, seen = int(b[-1]), int(hubs[-1]), int(nth[-1]) + 1
+            yield pa.RecordBatch.from_arrays([pa.array(b[keep]), pa.array(nth[keep] // chunk, pa.int32()), pa.array(hubs[keep]), pa.array(n[keep])], schema=schema)
 
     d = nodes.filter(F.col("bands").isNotNull()).select("node", F.explode("bands").alias("bucket"))
-    return d.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(run, "bucket long, hub long, node long")
+    return d.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(run, "bucket long, part int, hub long, node long")
+
+
+REP = ("rep_none", "rep_id", "rep_th")
+
+
+def _rep():
+    """Columns that name a row of documents: whether its doc_id is null, the doc_id, the text's hash."""
+    own = F.col("doc_id").cast("long")
+    return own.isNull().alias("rep_none"), F.coalesce(own, F.lit(0)).alias("rep_id"), F.xxhash64("text").alias("rep_th")
 
 
 def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
@@ -160,9 +178,8 @@ def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, similar: float =
     sizes = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / float(HUB_ROWS)).cast("int").alias("salts"))
     hubs = sizes.select("hub", F.col("hub").alias("node"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     members = pairs.join(sizes, "hub").select("hub", "node", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"))
-    want = members.unionByName(hubs).join(nodes.select("node", "rep_id", "rep_th"), "node")
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("rep_id"), F.xxhash64("text").alias("rep_th"), "text")
-    rows = want.join(texts, ["rep_id", "rep_th"]).select("hub", "salt", "node", "text")
+    want = members.unionByName(hubs).join(nodes.select("node", *REP), "node")
+    rows = want.join(docs.select(*_rep(), "text"), list(REP)).select("hub", "salt", "node", "text")
     schema = pa.schema([("hub", pa.int64()), ("node", pa.int64())])
 
     def run(batches):
@@ -188,53 +205,125 @@ def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, similar: float =
     return placed.select("hub", "node", "text").mapInArrow(run, "hub long, node long")
 
 
-def groups(star: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(grp, node, label, minor): nodes whose components may still be linked.
+def _blocks(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` (``key``, node, minor, cm, cx) in blocks (i, j) of their key, where ``left`` rows meet ``right`` rows.
 
-    Failed comparisons of buckets that span several components, where signatures agree in ``LIKELY`` of the
-    registers, tie components into groups.  ``minor`` marks all but the group's largest component.
+    ``cm`` and ``cx``: chunks of minor and of other rows, both 0 for a key that is one block.  Minor rows meet all, others only minor ones.
     """
-    lab = labels.select("node", "label")
-    s = star.join(lab, "node", "left").withColumn("own", F.coalesce("label", "node")).drop("label")
-    s = s.join(lab.withColumnRenamed("node", "hub"), "hub", "left").withColumn("top", F.coalesce("label", "hub")).drop("label")
-    wide = s.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("own") != F.col("top")).alias("mixed")).filter("n > 1 and mixed").select("bucket")
-    pairs = s.filter("own <> top").join(wide, "bucket", "left_semi").select("hub", "node", "own", "top").distinct()
-    sigs = nodes.select("node", "sig")
-    pairs = pairs.join(sigs, "node").join(sigs.select(F.col("node").alias("hub"), F.col("sig").alias("sig2")), "hub")
-    schema = pa.schema([("own", pa.int64()), ("top", pa.int64())])
+    nth = lambda n: F.pmod(F.xxhash64("node"), F.greatest(F.col(n), F.lit(1)))
+    g = rows.withColumn("mine", F.when(F.col("minor"), nth("cm")).otherwise(F.col("cm") + nth("cx")).cast("int"))
+    last = F.when(F.col("minor"), F.col("cm") + F.col("cx") - 1).otherwise(F.col("cm") - 1)
+    g = g.withColumn("other", F.explode(F.sequence(F.lit(0), F.greatest(last, F.lit(0)).cast("int"))))
+    one = F.col("cm") + F.col("cx") == 0
+    return g.select(
+        key, "node", "label", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"),
+        F.when(one, F.col("minor")).otherwise(F.col("mine") <= F.col("other")).alias("left"), (one | (F.col("mine") >= F.col("other"))).alias("right"),
+        *[c for c in rows.columns if c not in (key, "node", "label", "minor", "cm", "cx")],
+    )
+
+
+def _chunks(minor, major, chunk: int):
+    """cm and cx (see :func:`_blocks`) from the numbers of rows."""
+    whole = minor + major <= chunk
+    return [F.when(whole, 0).otherwise(F.ceil(n / float(chunk))).cast("int").alias(c) for n, c in ((minor, "cm"), (major, "cx"))]
+
+
+def _salted(big: DataFrame, small: DataFrame, key: str, by: str) -> DataFrame:
+    """Inner join of ``big`` with ``small`` (one row a key), where a key may hold most rows of ``big``; ``by`` spreads them."""
+    every = small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return big.withColumn("salt", F.pmod(F.xxhash64(F.lit(5), by), F.lit(SALTS)).cast("int")).join(every, [key, "salt"]).drop("salt")
+
+
+class _Links:
+    """Joins labels; says whether a link was needed."""
+
+    def __init__(self):
+        self.up = {}
+
+    def find(self, x: int) -> int:
+        up = self.up
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        p, q = self.find(x), self.find(y)
+        if p != q:
+            self.up[max(p, q)] = min(p, q)
+        return p != q
+
+
+def ties(star: DataFrame, labels: DataFrame, nodes: DataFrame, tied: float = TIED, chunk: int | None = None) -> DataFrame:
+    """(a, b): labels of components with members of one bucket that agree in ``tied`` of the registers; enough to join all such."""
+    chunk = chunk or CHUNK
+    s = star.select("bucket", "part", "node").join(labels, "node", "left").select("bucket", "part", "node", F.coalesce("label", "node").alias("label"))
+    by = s.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("c"), F.max("part").alias("p"))
+    wide = by.groupBy("bucket").agg(F.max(F.struct("c", "label")).alias("most"), F.sum("c").alias("all"), F.max("p").alias("p"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
+    wide = wide.select("bucket", F.col("most.label").alias("major"), *_chunks(F.col("all") - F.col("most.c"), F.col("most.c"), chunk), F.explode(F.sequence(F.lit(0), F.col("p"))).alias("part"))
+    mixed = s.join(wide, ["bucket", "part"]).withColumn("minor", F.col("label") != F.col("major")).drop("major", "part")
+    rows = _blocks(mixed.join(nodes.select("node", "sig"), "node"), "bucket")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    need = int(np.ceil(tied * REGISTERS))
+
+    def compare(block, known, out):
+        left, right, label, sig = block
+        x, y = sig[left], sig[right]
+        own, other = label[left], label[right]
+        step = max(1, (1 << 24) // max(1, y.size))
+        for k in range(0, len(x), step):
+            near = (x[k : k + step, None, :] == y[None, :, :]).sum(axis=2, dtype=np.int16) >= need
+            near &= own[k : k + step, None] != other[None, :]
+            for p, q in zip(*np.nonzero(near), strict=True):
+                if known.join(int(own[k + p]), int(other[q])):
+                    out.append((int(own[k + p]), int(other[q])))
 
     def run(batches):
+        known, out, held, on = _Links(), [], [], None
+
+        def close():
+            compare([np.concatenate(z) for z in zip(*held, strict=True)], known, out)
+            held.clear()
+
         for b in batches:
             if not b.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(b.num_rows, -1) for c in ("sig", "sig2"))
-            ok = pa.array((x == y).mean(axis=1) >= LIKELY)
-            yield pa.RecordBatch.from_arrays([b.column(c).filter(ok) for c in ("own", "top")], schema=schema)
+            key = np.stack([b.column(c).to_numpy() for c in ("bucket", "i", "j")], axis=1)
+            left, right = (b.column(c).to_numpy(zero_copy_only=False) for c in ("left", "right"))
+            label, sig = b.column("label").to_numpy(), np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint8).reshape(b.num_rows, -1)
+            at = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
+            for a, z in zip([0, *at], [*at, len(key)], strict=True):
+                if held and on != tuple(key[a]):
+                    close()
+                on = tuple(key[a])
+                held.append((left[a:z], right[a:z], label[a:z], sig[a:z]))
+        if held:
+            close()
+        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], schema=schema)
+
+    placed = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    return placed.select("bucket", "i", "j", "left", "right", "label", "sig").mapInArrow(run, "a long, b long")
+
 
-    ties = cut(pairs.select("own", "top", "sig", "sig2").mapInArrow(run, "own long, top long"))
-    part = components(ties)
+def groups(tied: DataFrame, labels: DataFrame, nodes: DataFrame, chunk: int | None = None) -> DataFrame:
+    """(grp, node, label, minor, cm, cx): nodes of components that are tied; ``minor``: not in the group's largest component."""
+    part = components(tied)
     part = part.union(part.select("label", "label").distinct()).toDF("label", "grp")
-    member = nodes.select("node").join(lab, "node", "left").select("node", F.coalesce("label", "node").alias("label")).join(part, "label")
-    size = member.groupBy("grp", "label").agg(F.count(F.lit(1)).alias("c"))
-    top = size.groupBy("grp").agg(F.max(F.struct("c", "label"))["label"].alias("major"), F.sum("c").alias("all")).filter(F.col("all") > 2)
-    return member.join(top, "grp").select("grp", "node", "label", (F.col("label") != F.col("major")).alias("minor"))
+    member = nodes.select("node").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+    part = part.join(member.groupBy("label").agg(F.count(F.lit(1)).alias("c")), "label")
+    top = part.groupBy("grp").agg(F.max(F.struct("c", "label")).alias("most"), F.sum("c").alias("all")).filter("all > 2")
+    top = top.select("grp", F.col("most.label").alias("major"), *_chunks(F.col("all") - F.col("most.c"), F.col("most.c"), chunk or CHUNK))
+    part = _salted(part.select("label", "grp"), top, "grp", "label").withColumn("minor", F.col("label") != F.col("major")).drop("major")
+    return _salted(member, part, "label", "node").select("grp", "node", "label", "minor", "cm", "cx")
 
 
 def settle(group: DataFrame, nodes: DataFrame, docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """(hub, node): links that join different components of a group, a spanning set of them per block.
 
-    The minor nodes of a group meet all its nodes in blocks of ``CHUNK``; overlaps are exact, as products of
-    0/1 matrices of (shingle, occurrence), and stay inside the task.
+    Overlaps are exact, as products of 0/1 matrices of (shingle, occurrence), and stay inside the task.
     """
-    n = group.groupBy("grp").agg(*[F.ceil(F.count_if(c) / float(CHUNK)).cast("int").alias(x) for c, x in ((F.col("minor"), "cm"), (~F.col("minor"), "cx"))])
-    g = group.join(n, "grp")
-    mine = F.when(F.col("minor"), F.pmod(F.xxhash64("node"), F.greatest("cm", F.lit(1)))).otherwise(F.col("cm") + F.pmod(F.xxhash64("node"), F.greatest("cx", F.lit(1)))).cast("int")
-    g = g.withColumn("mine", mine)
-    last = F.when(F.col("minor"), F.col("cm") + F.col("cx") - 1).otherwise(F.col("cm") - 1)
-    g = g.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
-    want = g.select("grp", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") <= F.col("other")).alias("left"), (F.col("mine") >= F.col("other")).alias("right"), "node", "label")
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("rep_id"), F.xxhash64("text").alias("rep_th"), "text")
-    one = group.select("node").join(nodes.select("node", "rep_id", "rep_th"), "node").join(texts, ["rep_id", "rep_th"]).select("node", "text").dropDuplicates(["node"])
+    want = _blocks(group, "grp")
+    one = group.select("node").join(nodes.select("node", *REP), "node").join(docs.select(*_rep(), "text"), list(REP)).select("node", "text").dropDuplicates(["node"])
     rows = want.join(one, "node")
     schema = pa.schema([("hub", pa.int64()), ("node", pa.int64())])
 
@@ -261,21 +350,12 @@ def settle(group: DataFrame, nodes: DataFrame, docs: DataFrame, similar: float =
             m[r[lo:hi], f[lo:hi] - a] = 1
             both += m[left] @ m[right].T
         near = (both >= similar * (total[left][:, None] + total[right][None, :] - both) - 1e-6) & (both > 0) & (label[left][:, None] != label[right][None, :])
-        up = {x: x for x in label.tolist()}
-
-        def find(x):
-            while up[x] != x:
-                up[x] = up[up[x]]
-                x = up[x]
-            return x
-
+        known = _Links()
         for x in np.flatnonzero(near.any(axis=1)):
             y = right[near[x]]
             _, first = np.unique(label[y], return_index=True)
             for z in y[first]:
-                p, q = find(int(label[left[x]])), find(int(label[z]))
-                if p != q:
-                    up[max(p, q)] = min(p, q)
+                if known.join(int(label[left[x]]), int(label[z])):
                     yield int(node[left[x]]), int(node[z])
 
     def run(batches):
@@ -299,38 +379,41 @@ def settle(group: DataFrame, nodes: DataFrame, docs: DataFrame, similar: float =
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows, nodes): doc_id, th and key of every row; key, class_id, class_th and class_size of every distinct text."""
-    none = F.lit(-(1 << 63))
+    """(rows, nodes): doc_id, th and key of every row; key, class_none, class_id, class_th and class_size of every distinct text."""
     sketch = cut(sketches(docs))
-    rep = F.min(F.struct(F.coalesce("doc_id", none).alias("id"), "th"))
+    rep = F.min(F.struct(F.col("doc_id").isNull().alias("rep_none"), F.coalesce("doc_id", F.lit(0)).alias("rep_id"), F.col("th").alias("rep_th")))
     nodes = sketch.groupBy("key").agg(rep.alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
-    nodes = cut(nodes.select(F.monotonically_increasing_id().alias("node"), "key", F.col("rep.id").alias("rep_id"), F.col("rep.th").alias("rep_th"), "copies", "bands", "sig"))
+    nodes = cut(nodes.select(F.monotonically_increasing_id().alias("node"), "key", *[f"rep.{c}" for c in REP], "copies", "bands", "sig"))
     star = cut(stars(nodes))
-    edges = cut(verify(star.select("hub", "node").distinct(), nodes, docs))
+    edges = cut(verify(star.filter("node <> hub").select("hub", "node").distinct(), nodes, docs))
     release(docs.sparkSession)
     labels = components(edges)
-    group = cut(groups(star, labels, nodes))
-    if not group.isEmpty():
-        labels = components(edges.union(cut(settle(group, nodes, docs))))
+    tied = cut(ties(star, labels, nodes))
+    if not tied.isEmpty():
+        labels = components(edges.union(cut(settle(cut(groups(tied, labels, nodes)), nodes, docs))))
     release(docs.sparkSession)
-    n = nodes.join(labels, "node", "left").select("key", F.coalesce("label", "node").alias("comp"), "rep_id", "rep_th", "copies")
-    by = n.groupBy("comp").agg(F.min(F.struct("rep_id", "rep_th")).alias("best"), F.sum("copies").alias("class_size"))
-    named = n.select("key", "comp").join(by, "comp").select("key", F.nullif("best.rep_id", none).alias("class_id"), F.col("best.rep_th").alias("class_th"), "class_size")
-    return sketch.select("doc_id", "th", "key"), named
+    n = nodes.join(labels, "node", "left").select("key", F.coalesce("label", "node").alias("comp"), *REP, "copies")
+    by = n.groupBy("comp").agg(F.min(F.struct(*REP)).alias("best"), F.sum("copies").alias("class_size"))
+    by = by.select("comp", *[F.col(f"best.{c}").alias(c.replace("rep", "class")) for c in REP], "class_size")
+    return sketch.select("doc_id", "th", "key"), _salted(n.select("key", "comp"), by, "comp", "key").drop("comp")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (smallest doc_id of the class) and class_size of every row of ``docs`` (doc_id, text)."""
     rows, named = classes(docs)
-    return rows.join(named, "key").select("doc_id", "class_id", "class_size")
+    named = named.select("key", F.when(~F.col("class_none"), F.col("class_id")).alias("class_id"), "class_size")
+    return _salted(rows.withColumn("by", F.xxhash64("doc_id", "th")), named, "key", "by").select("doc_id", "class_id", "class_size")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of every class: the one with the smallest doc_id."""
+    """``docs`` with one row of every class: that of the smallest doc_id, text hash, and then of the least columns."""
     _, named = classes(docs)
-    best = named.select(F.coalesce("class_id", F.lit(-(1 << 63))).alias("__id"), F.col("class_th").alias("__th")).distinct()
-    keyed = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "__th": F.xxhash64("text")})
-    return keyed.join(best, ["__id", "__th"], "left_semi").dropDuplicates(["__id", "__th"]).drop("__id", "__th")
+    own = ("__none", "__id", "__th")
+    best = named.select(*[F.col(c).alias(n) for c, n in zip(("class_none", "class_id", "class_th"), own, strict=True)]).distinct()
+    keyed = docs.withColumns(dict(zip(own, _rep(), strict=True))).join(best, list(own), "left_semi")
+    rest = [c for c in docs.columns if c != "text"]
+    least = keyed.groupBy(*own).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in rest], "text")).alias("__row"))
+    return least.select(*[F.col(f"__row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op10_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
