@@ -31,7 +31,6 @@ from gridloom.llm import tokens as T
 from gridloom.llm.store import cut, release
 
 K, G = 35, 8
-_NONE = -(1 << 63)
 ARC = "anchor long, arc long, head long, tail long, id long, th long, start int, n int, inner boolean"
 
 
@@ -176,9 +175,9 @@ def repeated_spans(keyed: DataFrame, k: int = K, g: int = G) -> DataFrame:
 
 def dedup(docs: DataFrame, k: int = K, g: int = G) -> DataFrame:
     """doc_id, n_words, n_removed and kept text of every row of ``docs`` (doc_id, text): without words under repeated windows."""
-    none = F.lit(_NONE)
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), none).alias("id"), F.xxhash64("text").alias("th"), F.coalesce("text", F.lit("")).alias("text"))
-    spans = repeated_spans(keyed, k, g).groupBy("id", "th").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    own = F.col("doc_id").cast("long")  # spans follow from the text, so that a null may share its id with 0
+    keyed = docs.select(F.coalesce(own, F.lit(0)).alias("id"), F.xxhash64("text").alias("th"), F.coalesce("text", F.lit("")).alias("text"), own.alias("doc_id"))
+    spans = repeated_spans(keyed.drop("doc_id"), k, g).groupBy("id", "th").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
 
     def run(batches):
@@ -195,10 +194,9 @@ def dedup(docs: DataFrame, k: int = K, g: int = G) -> DataFrame:
                     keep = np.cumsum(gone)[:-1] == 0
                     removed.append(len(keep) - int(keep.sum()))
                     kept.append(b" ".join([w.data[x:y].tobytes() for x, y in zip(w.starts[a:z][keep], w.ends[a:z][keep], strict=True)]).decode())
-                ids = [None if x == _NONE else x for x in batch.column("id").to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.diff(w.first), pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], schema=schema)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(w.first), pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], schema=schema)
 
-    return keyed.join(spans, ["id", "th"], "left").select("id", "text", "spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
+    return keyed.join(spans, ["id", "th"], "left").select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
 
 
 def op8_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
