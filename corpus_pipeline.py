@@ -5,6 +5,13 @@ Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the las
 near-duplicates stays; documents that hold a benchmark item go; personal data in texts turn into marks
 (``n_chars`` follows); the mix says how often each document is taken, and leaves out those never taken;
 its result holds all columns of ``documents``, masked texts too, and its own (``mix_...`` where names clash).
+
+Edge cases: null and empty texts are scored as such by the classifier, those that it keeps are one class of copies of
+which one stays, leak nothing, hold no personal data (a null stays null) and have size 0, so that the mix takes them
+in complete epochs only.  A null doc_id is a document like any other, without a label; a null source is a source.  Rows with
+equal texts are copies: the smallest doc_id stays (a null only if there is no other), of equal ids the least row in all
+columns, whatever the order of the input.  Very long texts go through every stage whole.  Ties of the mix's keys go by doc_id and size.
+Extra columns pass through, whatever their names (names that begin with two underscores are taken).  An empty ``documents`` gives no rows.
 """
 
 from __future__ import annotations
@@ -43,7 +50,7 @@ def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of the mix, whole, with their sizes, targets, words taken and copies."""
     rows = docs.withColumn("__row", F.monotonically_increasing_id())  # ``docs`` is stored, so ids stay
-    taken = mixing.mix_sources(rows, keep=("__row",)).filter("copies > 0")
+    taken = mixing.mix_sources(rows, spark.read.parquet(f"{sf_dir}/labels.parquet"), keep=("__row",)).filter("copies > 0")
     own = [F.col(c).alias(c if c == "__row" or c not in docs.columns else f"mix_{c}") for c in taken.columns]
     return rows.join(taken.select(*own), "__row").drop("__row")
 
