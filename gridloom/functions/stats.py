@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridloom.num import NAN, pearson
+from gridloom.operators.order import running
 
 
 def beta_inc(x: float, a: float, b: float, terms: int = 300, tol: float = 1e-12) -> float:
@@ -84,9 +85,20 @@ def with_t_quantile(d: DataFrame, df: str, p: float, name: str = "tq") -> DataFr
 
 
 def ranks(d: DataFrame, value: str, by: str | None = None, name: str = "rank") -> DataFrame:
-    """1-based ranks with ties averaged."""
-    part = [by] if by else []
-    return d.withColumn(name, F.rank().over(W.partitionBy(*part).orderBy(value)) + (F.count(F.lit(1)).over(W.partitionBy(*part, value)) - 1) / 2)
+    """1-based ranks with ties averaged.
+
+    Equal values are counted first; without ``by`` the counts are summed up by ranges of the values, so no task sees all of them.
+    """
+    keys = [by, value] if by else [value]
+    n = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    if by:
+        before = F.coalesce(F.sum("__n").over(W.partitionBy(by).orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        n = n.withColumn("__before", before)
+    else:
+        n = running(n, [F.col(value)], {"__before": F.col("__n")})
+    n = n.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], (F.col("__before") + (F.col("__n") + 1) / 2).alias(name))
+    same = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
+    return d.join(n, same[0] & same[1] if by else same[0]).drop(*[f"__k{i}" for i in range(len(keys))])
 
 
 def spearman(d: DataFrame, x: str, y: str) -> DataFrame:

@@ -3,30 +3,21 @@
 from __future__ import annotations
 
 import math
-import tempfile
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridloom.grid import Grid
+from gridloom.operators.order import cut as _cut
+from gridloom.operators.order import ranked, running
 from gridloom.operators.stencil import neighbour_offsets, taps
 from gridloom.rng import mulberry32
 
-
 LOCAL_EDGES = 1_000_000
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Lineage cut in the shared checkpoint folder (a temporary one only where none is configured)."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gridloom-"))
-    return df.checkpoint(eager=True)
-
-
 def _contract(frames):
     """(idx, root) of the cells of an edge list (a, b) whose least cell is another one."""
     parts = [f for f in frames if len(f)]
@@ -87,7 +78,7 @@ def label_components(vol: DataFrame, grid: Grid, threshold: float, connectivity:
     on = on.select("idx", "value", F.signum("value").alias("sign"))
     r = roots(on, grid, connectivity, "sign" if signed else None)
     size = r.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-    rank = size.withColumn("label", F.row_number().over(W.orderBy(F.desc("size"), "root")))
+    rank = ranked(size, [F.desc("size"), F.col("root")], "nth").withColumn("label", (F.col("nth") + 1).cast("int")).drop("nth")
     return on.join(r, "idx").join(rank, "root").select("idx", "value", "label", "size")
 
 
@@ -142,14 +133,14 @@ def kmeans_1d(vol: DataFrame, k: int, seed: int = 1, iterations: int = 100) -> D
     """
     draw = mulberry32(seed)
     d = _cut(vol.groupBy("value").agg(F.count(F.lit(1)).alias("n")))
-    run = d.withColumn("cum", F.sum("n").over(W.orderBy("value")))
+    run = running(d, [F.col("value")], {"before": F.col("n")}).withColumn("cum", F.col("before") + F.col("n"))
     total = d.agg(F.sum("n")).first()[0]
     centres = [run.filter(F.col("cum") > int(draw() * total)).agg(F.min("value")).first()[0]]
     near = lambda c: F.least(*[F.abs(F.col("value") - x) for x in c]) if len(c) > 1 else F.abs(F.col("value") - c[0])
     while len(centres) < k:
         w = d.withColumn("w", near(centres) * near(centres) * F.col("n"))
         s = w.agg(F.sum("w")).first()[0]
-        nxt = w.withColumn("cum", F.sum("w").over(W.orderBy("value"))).filter((F.col("cum") > draw() * s) & (F.col("w") > 0)).agg(F.min("value")).first()[0] if s else None
+        nxt = running(w, [F.col("value")], {"before": F.col("w")}).withColumn("cum", F.col("before") + F.col("w")).filter((F.col("cum") > draw() * s) & (F.col("w") > 0)).agg(F.min("value")).first()[0] if s else None
         if nxt is None:
             break
         centres.append(nxt)
@@ -168,7 +159,7 @@ def block_partition(cells: DataFrame, grid: Grid, block_mm: float) -> DataFrame:
     n = [max(1, int(math.floor(block_mm / s + 0.5))) for s in grid.spacing[:3]]
     b = [F.floor(c / m) for c, m in zip(grid.axes_of("idx"), n, strict=True)]
     d = cells.select("idx", *[x.alias(c) for x, c in zip(b, "abc", strict=True)])
-    ids = d.select("c", "b", "a").distinct().withColumn("block", F.row_number().over(W.orderBy("c", "b", "a")) - 1)
+    ids = ranked(d.select("c", "b", "a").distinct(), [F.col(x) for x in "cba"], "block").withColumn("block", F.col("block").cast("int"))
     return d.join(ids, ["a", "b", "c"]).select("idx", "block")
 
 

@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.rng import mulberry32, shuffled
@@ -26,8 +26,11 @@ def matrix(dist: DataFrame, missing: float = np.nan) -> tuple[np.ndarray, list]:
     at = {m: n for n, m in enumerate(ids)}
     out = np.full((len(ids), len(ids)), missing)
     np.fill_diagonal(out, 0.0)
-    for i, j, d in dist.select("i", "j", "d").collect():
-        out[at[i], at[j]] = out[at[j], at[i]] = missing if d is None else d
+    t = dist.select("i", "j", F.col("d").cast("double")).toArrow()
+    i, j = (np.array([at[x] for x in t.column(c).to_pylist()], int) for c in ("i", "j"))
+    d = t.column("d").to_numpy()
+    d = np.where(np.isnan(d), missing, d)
+    out[i, j] = out[j, i] = d
     return out, ids
 
 
@@ -113,22 +116,59 @@ def path_length(order: list[int], d: np.ndarray) -> float:
 
 
 def seriate(similarity: np.ndarray) -> tuple[list[int], Tree]:
+    """The best order of the leaves, and the tree with its branches turned to that order."""
     d = 1 - similarity
     t = average_linkage(d)
-    return optimal_leaf_order(t, np.where(np.isfinite(d), d, 2.0)), t
+    order = optimal_leaf_order(t, np.where(np.isfinite(d), d, 2.0))
+    at = {leaf: i for i, leaf in enumerate(order)}
+    first = [at[i] for i in range(t.k)]  # of every node's leaves
+    merges = []
+    for a, b, height in t.merges:
+        merges.append((a, b, height) if first[a] < first[b] else (b, a, height))
+        first.append(min(first[a], first[b]))
+    return order, Tree(t.k, merges)
 
 
-def suggest_clusters(tree: Tree, most: int = 8, gap: float = 0.05, least: int = 2) -> int:
-    """The number of groups at the largest gap between merge heights; 1 if no gap or a group is too small."""
-    h = sorted((m[2] for m in tree.merges), reverse=True)
-    best, k = 0.0, 1
-    for g in range(2, min(most, len(h)) + 1):
-        lower = h[g - 1] if g - 1 < len(h) else 0.0
-        jump = h[g - 2] - lower
-        labels = cut_tree(tree, g)
-        if jump > max(best, gap) and min(labels.count(x) for x in set(labels)) >= least:
-            best, k = jump, g
-    return k
+@dataclass
+class Suggestion:
+    """k groups (0: none), a label for each leaf (-1: in no group), their sizes, leaves in none, the gap, and the widest cut seen."""
+
+    k: int
+    labels: list[int]
+    sizes: list[int]
+    unassigned: list[int]
+    gap: float
+    widest: tuple[int, list[int], float] | None
+
+
+def suggest_clusters(tree: Tree, most: int = 6, gap: float = 0.02, least: int | None = None) -> Suggestion:
+    """Groups by the widest gap between merge heights above ``gap``.
+
+    A cut may have branches below ``least`` leaves (a tenth of all, two at least): they are in no group, and two
+    to ``most`` other branches must be left.  Up to three branches more than ``most`` are tried.
+    """
+    least = max(2, math.ceil(tree.k / 10)) if least is None else least
+    heights = sorted((m[2] for m in tree.merges), reverse=True)
+    out = Suggestion(0, [-1] * tree.k, [], list(range(tree.k)), 0.0, None)
+    widest = None
+    for k in range(2, min(most + 3, len(heights)) + 1):
+        jump = heights[k - 2] - heights[k - 1]
+        labels = np.array(cut_tree(tree, k))
+        sizes = np.bincount(labels, minlength=k)
+        if widest is None or jump > widest[2]:
+            widest = (k, sizes.tolist(), jump)
+        large = np.flatnonzero(sizes >= least)
+        if 2 <= len(large) <= most and jump > max(out.gap, gap):
+            number = np.full(k, -1)
+            number[large] = np.arange(len(large))
+            out = Suggestion(len(large), number[labels].tolist(), sizes[large].tolist(), np.flatnonzero(number[labels] < 0).tolist(), jump, None)
+    out.widest = widest
+    return out
+
+
+def cluster_count(tree: Tree, most: int = 6, gap: float = 0.02, least: int | None = None) -> int:
+    """The number of suggested groups, 1 where none is suggested."""
+    return max(1, suggest_clusters(tree, most, gap, least).k)
 
 
 # ------------------------------------------------------------------ scaling
@@ -277,32 +317,68 @@ def envfit(layout: DataFrame, covariates: DataFrame, kind: str = "vector", permu
 
 
 # ------------------------------------------------------------------ display helpers
-def contours(grid: np.ndarray, level: float) -> list[tuple[tuple[float, float], tuple[float, float]]]:
-    """Marching-squares segments of a level; saddles go by the mean of the four corners."""
-    out = []
-    for r in range(grid.shape[0] - 1):
-        for c in range(grid.shape[1] - 1):
-            v = [grid[r, c], grid[r, c + 1], grid[r + 1, c + 1], grid[r + 1, c]]
-            p = [(c, r), (c + 1, r), (c + 1, r + 1), (c, r + 1)]
-            cut = []
-            for e in range(4):
-                a, b = v[e], v[(e + 1) % 4]
-                if (a >= level) != (b >= level):
-                    f = (level - a) / (b - a)
-                    cut.append((p[e][0] + f * (p[(e + 1) % 4][0] - p[e][0]), p[e][1] + f * (p[(e + 1) % 4][1] - p[e][1])))
-            if len(cut) == 2:
-                out.append((cut[0], cut[1]))
-            elif len(cut) == 4:
-                joined = (sum(v) / 4 >= level) == (v[0] >= level)
-                pairs_ = ((0, 1), (2, 3)) if joined else ((0, 3), (1, 2))
-                out += [(cut[a], cut[b]) for a, b in pairs_]
-    return out
-
+def contours(grid: np.ndarray, level: float) -> list[list[tuple[float, float]]]:
+    """Lines (x, y) around what lies above ``level``: rings end where they begin, other lines end at the border.
 
-def fisheye(r: float, distortion: float = 2.0) -> float:
-    """Radial lens on [0, 1]; :func:`inverse_fisheye` undoes it."""
-    return (distortion + 1) * r / (distortion * r + 1)
-
-
-def inverse_fisheye(q: float, distortion: float = 2.0) -> float:
-    return q / (distortion + 1 - distortion * q)
+    NaN lies outside.  A saddle joins its corners inside if the mean of its four corners is inside.
+    """
+    rows, cols = grid.shape
+    if rows < 2 or cols < 2 or not np.isfinite(level):
+        return []
+    up = grid > level
+    joins: dict[tuple, list[tuple]] = {}  # crossed cell sides: the sides that lines go on to
+
+    def spot(side):
+        (r, c), (q, p) = side
+        a, b = grid[r, c], grid[q, p]
+        f = (level - a) / (b - a) if np.isfinite(a) and np.isfinite(b) and a != b else 0.5
+        return c + f * (p - c), r + f * (q - r)
+
+    for r in range(rows - 1):
+        for c in range(cols - 1):
+            corners = ((r, c), (r, c + 1), (r + 1, c + 1), (r + 1, c))
+            sides = [tuple(sorted((corners[n], corners[(n + 1) % 4]))) for n in range(4)]
+            crossed = [n for n in range(4) if up[corners[n]] != up[corners[(n + 1) % 4]]]
+            if len(crossed) == 4:  # each corner that differs from the middle is cut off by itself
+                middle = sum(grid[x] for x in corners) / 4 > level
+                links = [(sides[n - 1], sides[n]) for n in range(4) if up[corners[n]] != middle]
+            else:
+                links = [(sides[crossed[0]], sides[crossed[1]])] if crossed else []
+            for a, b in links:
+                joins.setdefault(a, []).append(b)
+                joins.setdefault(b, []).append(a)
+
+    def follow(side):
+        line = [side]
+        while joins[side]:
+            nxt = joins[side].pop(0)
+            joins[nxt].remove(side)
+            line.append(nxt)
+            side = nxt
+        return [spot(x) for x in line]
+
+    ends = [side for side, near in joins.items() if len(near) == 1]
+    out = [follow(side) for side in ends if joins[side]]
+    return out + [follow(side) for side in joins if joins[side]]
+
+
+def _lens(x: Column, y: Column, cx: float, cy: float, radius: float, distortion: float) -> tuple[Column, Column, float]:
+    """(offset from the focus in radii, whether the lens moves it, distortion)."""
+    d = float(distortion) if math.isfinite(distortion) and distortion > 0 else 0.0
+    q = F.sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy)) / (radius if radius > 0 else 1.0)
+    return q, F.lit(radius > 0 and d > 0) & (q < 1), d
+
+
+def lens(x: Column, y: Column, cx: float, cy: float, radius: float, distortion: float = 2.0) -> Column:
+    """A struct (x, y, scale): points within ``radius`` of a focus move outwards, by ``distortion + 1`` near it; others stay."""
+    q, on, d = _lens(x, y, cx, cy, radius, distortion)
+    k = F.when(on, (d + 1) / (q * d + 1)).otherwise(1.0)
+    scale = F.when(on, (d + 1) / ((q * d + 1) * (q * d + 1))).otherwise(1.0)
+    return F.struct((cx + (x - cx) * k).alias("x"), (cy + (y - cy) * k).alias("y"), scale.alias("scale"))
+
+
+def inverse_lens(x: Column, y: Column, cx: float, cy: float, radius: float, distortion: float = 2.0) -> Column:
+    """A struct (x, y): where a point seen through :func:`lens` lies."""
+    q, on, d = _lens(x, y, cx, cy, radius, distortion)
+    k = F.when(on, 1 / (d + 1 - q * d)).otherwise(1.0)
+    return F.struct((cx + (x - cx) * k).alias("x"), (cy + (y - cy) * k).alias("y"))

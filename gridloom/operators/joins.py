@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridloom.grid import Grid
+from gridloom.operators.order import ranked
 
 
 def align(a: DataFrame, b: DataFrame, on: str = "idx") -> DataFrame:
@@ -67,4 +67,4 @@ def sample_points(points: DataFrame, vol: DataFrame, grid: Grid, world=("x", "y"
 
 def first_seen_levels(d: DataFrame, level: str, order: str) -> DataFrame:
     """Distinct levels with their position of first sight."""
-    return d.groupBy(level).agg(F.min(order).alias("first")).withColumn("ord", F.row_number().over(W.orderBy("first")) - 1)
+    return ranked(d.groupBy(level).agg(F.min(order).alias("first")), [F.col("first"), F.col(level)], "ord").withColumn("ord", F.col("ord").cast("int"))

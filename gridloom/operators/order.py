@@ -47,6 +47,23 @@ def running(df: DataFrame, order: list[Column], sums: dict[str, Column], row: st
     return out.drop("__range", *own, *[f"{v}b" for v in own])
 
 
+def quantiles(df: DataFrame, value: str, probabilities: list[float]) -> list[float | None]:
+    """Exact type-7 quantiles of a column without nulls; None for an empty one.
+
+    Values are counted first, so a frequent value is one row; only the values at the wanted ranks reach the driver.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    r = cut(running(counts, [F.col("v")], {"before": F.col("n")}))
+    total = r.agg(F.sum("n")).first()[0] or 0
+    if not total:
+        return [None] * len(probabilities)
+    spots = [(total - 1) * p for p in probabilities]
+    want = sorted({min(int(s) + k, total - 1) for s in spots for k in (0, 1)})
+    hit = r.filter(F.exists(F.array(*map(F.lit, want)), lambda w: (w >= F.col("before")) & (w < F.col("before") + F.col("n")))).collect()  # two rows a quantile at most
+    at = {w: x["v"] for w in want for x in hit if x["before"] <= w < x["before"] + x["n"]}
+    return [at[int(s)] + (s - int(s)) * (at[min(int(s) + 1, total - 1)] - at[int(s)]) if s > int(s) else at[int(s)] for s in spots]
+
+
 def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """``df`` with the number of rows before each in ``order``."""
     return running(df, order, {}, name)

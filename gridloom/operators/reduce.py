@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridloom.num import NAN, div, finite, is_finite, not_nan, or_nan
+from gridloom.num import NAN, div, finite, is_finite, not_nan, or_nan, pearson
+from gridloom.operators.order import quantiles
 
 # ------------------------------------------------------------------ expressions
 REDUCERS: dict[str, Callable[[Column], Column]] = {
@@ -134,6 +135,15 @@ def review(stack: DataFrame, name: str, subjects: list | None = None, subject: s
     return REVIEW[name](stack if subjects is None else stack.filter(F.col(subject).isin(subjects)))
 
 
+def correlate_dims(hyper: DataFrame, a: str, b: str, least: int = 3) -> DataFrame:
+    """(a, b, r): for each level of one named dimension and each of another, the correlation of their means over
+    the cells of all remaining dimensions; NULL below ``least`` common cells or without variance.
+    """
+    rest = [c for c in hyper.columns if c not in (a, b, "value")]
+    x, y = (hyper.groupBy(c, *rest).agg(F.avg(finite("value")).alias(n)) for c, n in ((a, "x"), (b, "y")))
+    return x.join(y, rest).groupBy(a, b).agg(pearson("x", "y", least).alias("r"))
+
+
 def validate_stack(contrasts: dict[str, DataFrame], subject: str = "subject") -> None:
     """Contrasts must hold the same number of distinct subjects, each once per cell."""
     counts = set()
@@ -188,9 +198,13 @@ def reliability(d: DataFrame, by: str) -> DataFrame:
 
 def tukey_outliers(d: DataFrame, by: str | None = None) -> DataFrame:
     """Rows outside the type-7 quartiles -+ 1.5 IQR; none where a group has fewer than 4."""
-    w = W.partitionBy(*([by] if by else []))
-    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.75))).over(w)
-    e = d.withColumns({"q": q, "n": F.count("value").over(w)})
+    if by is None:
+        lo, hi = quantiles(d, "value", [0.25, 0.75])
+        e = d.withColumns({"q": F.array(*[F.lit(x).cast("double") for x in (lo, hi)]), "n": F.lit(d.filter("value is not null").count())})
+    else:
+        w = W.partitionBy(by)
+        q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.75))).over(w)
+        e = d.withColumns({"q": q, "n": F.count("value").over(w)})
     iqr = F.col("q")[1] - F.col("q")[0]
     return e.filter((F.col("n") >= 4) & ((F.col("value") < F.col("q")[0] - 1.5 * iqr) | (F.col("value") > F.col("q")[1] + 1.5 * iqr))).drop("q", "n")
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from gridloom.grid import Grid
 from gridloom.num import js_round
+from gridloom.operators.order import cut as _cut
+from gridloom.operators.order import ranked
 from gridloom.operators.stencil import mm_sphere_offsets
 from gridloom.rng import mulberry32, random_index
 
@@ -99,12 +101,9 @@ def clustered_searchlights(labels: DataFrame, grid: Grid, radius: float) -> Data
 
 def bootstrap_searchlights(mask: DataFrame, grid: Grid, radius: float = 8.0, n: int = 100, seed: int = 1) -> DataFrame:
     """(draw, idx): spheres at ``n`` centres drawn with replacement; the draws are ranks in the mask."""
-    from pyspark.sql import Window as W
-
     size, draw = mask.count(), mulberry32(seed)
     picks = mask.sparkSession.createDataFrame([(i, random_index(draw, size)) for i in range(n)], "draw int, rank long")
-    ranked = mask.select("idx", (F.row_number().over(W.orderBy("idx")) - 1).cast("long").alias("rank"))
-    c = ranked.join(F.broadcast(picks), "rank").select("draw", "idx")
+    c = ranked(mask.select("idx"), [F.col("idx")], "rank").join(F.broadcast(picks), "rank").select("draw", "idx")
     s = searchlight_cells(c.select("idx").distinct(), grid, radius, mask)
     return c.withColumnRenamed("idx", "center").join(s, "center").select("draw", "idx")
 
@@ -114,8 +113,6 @@ def random_searchlights(mask: DataFrame, grid: Grid, radius: float, seed: int =
     centres together and their spheres leave the mask, which is the sequential random pick without its loop."""
     pr = F.xxhash64("idx", F.lit(seed))
     left, out = mask.select("idx"), None
-    from gridloom.operators.components import _cut
-
     left = _cut(left)
     while left.limit(1).count():
         s = searchlight_cells(left, grid, 2 * radius, left)

@@ -1,17 +1,20 @@
 """Sets of aligned maps (member, pos, value): similarity, decomposition, leave-one-out, parcels, resampling.
 
-Quantities over pairs of members come from one Gram aggregate; k members make k(k-1)/2 pairs, which is the
-result's own size.
+Quantities over pairs of members come from Gram matrices: every task multiplies what it holds of the maps, in
+pieces of whole positions, and only one row per pair of members leaves it; k members make k(k-1)/2 pairs,
+which is the result's own size.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridloom.num import clamp, div, finite, is_finite, pearson
-from gridloom.operators.joins import pairs
+from gridloom.operators.order import quantiles
 from gridloom.rng import mulberry32, random_index, shuffled
 
 
@@ -32,10 +35,13 @@ def standardize(d: DataFrame) -> DataFrame:
 
 def robust_z(d: DataFrame, by: str | None = None) -> DataFrame:
     """(x - median) / (1.4826 MAD), 0 where the MAD is 0."""
-    w = W.partitionBy(*([by] if by else []))
-    half = F.lit(0.5)
-    e = d.withColumn("med", F.percentile("value", half).over(w)).withColumn("dev", F.abs(F.col("value") - F.col("med")))
-    e = e.withColumn("mad", F.percentile("dev", half).over(w))
+    if by is None:
+        e = d.withColumn("med", F.lit(quantiles(d, "value", [0.5])[0]).cast("double")).withColumn("dev", F.abs(F.col("value") - F.col("med")))
+        e = e.withColumn("mad", F.lit(quantiles(e, "dev", [0.5])[0]).cast("double"))
+    else:
+        w, half = W.partitionBy(by), F.lit(0.5)
+        e = d.withColumn("med", F.percentile("value", half).over(w)).withColumn("dev", F.abs(F.col("value") - F.col("med")))
+        e = e.withColumn("mad", F.percentile("dev", half).over(w))
     return e.withColumn("value", F.when(F.col("mad") > 0, (F.col("value") - F.col("med")) / F.when(F.col("mad") > 0, 1.4826 * F.col("mad"))).otherwise(0.0)).drop("med", "dev", "mad")
 
 
@@ -47,9 +53,104 @@ def loo_similarity(d: DataFrame) -> DataFrame:
     return e.groupBy("member").agg(pearson("x", "other").alias("r"), F.sqrt(F.avg((F.col("x") - F.col("other")) * (F.col("x") - F.col("other")))).alias("rms"))
 
 
-def correlation_matrix(d: DataFrame) -> DataFrame:
-    """(a, b, r) for members a < b over pairwise finite cells."""
-    return pairs(d).groupBy("a", "b").agg(pearson("x", "y").alias("r"))
+_MOMENTS = ("n", "sx", "sy", "sxy", "sxx", "syy")
+PIECE = 1 << 21  # cells of a dense piece of maps (16 MB)
+
+
+class _Gram:
+    """Moments of all pairs of the members seen so far."""
+
+    def __init__(self):
+        self.members, self.sums = np.zeros(0), None
+
+    def add(self, member: np.ndarray, pos: np.ndarray, value: np.ndarray) -> None:
+        ok = np.isfinite(value)
+        member, pos, value = member[ok], pos[ok], value[ok]
+        every = np.union1d(self.members, member) if self.sums is not None else np.unique(member)
+        if self.sums is None or len(every) > len(self.members):
+            sums = np.zeros((len(_MOMENTS), len(every), len(every)))
+            if self.sums is not None:
+                at = np.searchsorted(every, self.members)
+                sums[np.ix_(range(len(_MOMENTS)), at, at)] = self.sums
+            self.members, self.sums = every, sums
+        where, column = np.unique(pos, return_inverse=True)
+        x, there = np.zeros((len(every), len(where))), np.zeros((len(every), len(where)))
+        row = np.searchsorted(every, member)
+        x[row, column], there[row, column] = value, 1
+        for i, (left, right) in enumerate(((there, there), (x, there), (there, x), (x, x), (x * x, there), (there, x * x))):
+            self.sums[i] += left @ right.T
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        a, b = np.triu_indices(len(self.members), 1)
+        some = self.sums[0][a, b] > 0
+        a, b = a[some], b[some]
+        return self.members[a], self.members[b], self.sums[:, a, b]
+
+
+def gram(d: DataFrame, by: str | None = None) -> DataFrame:
+    """([by,] a, b, n, sx, sy, sxy, sxx, syy): moments of member pairs a < b over the cells that are finite in both.
+
+    ``d``: (member, pos, value[, by]), one row per member and position, members and ``by`` integers.
+    """
+    keys = [by] if by else []
+    schema = pa.schema([*[(k, pa.int64()) for k in keys], ("a", pa.int64()), ("b", pa.int64()), *[(m, pa.float64()) for m in _MOMENTS]])
+
+    def run(batches):
+        held, size, on, g = [], 0, None, _Gram()
+
+        def close():
+            a, b, sums = g.rows()
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), on), pa.int64()) for _ in keys] + [pa.array(x, pa.int64()) for x in (a, b)] + [pa.array(x) for x in sums], schema=schema)
+
+        def add(rows):
+            member, pos, value = (np.concatenate(z) for z in zip(*rows, strict=True))
+            step = max(1, PIECE // max(1, len(np.unique(member))))  # positions of a piece
+            edges = np.flatnonzero(np.r_[True, pos[1:] != pos[:-1]])[::step]
+            for a, z in zip(edges, [*edges[1:], len(pos)], strict=True):
+                g.add(member[a:z], pos[a:z], value[a:z])
+
+        for batch in batches:
+            member, pos, value = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("member", "pos", "value"))
+            group = batch.column(by).to_numpy(zero_copy_only=False) if by else np.zeros(len(pos), np.int64)
+            at = np.flatnonzero(group[1:] != group[:-1]) + 1
+            for a, z in zip([0, *at], [*at, len(pos)], strict=True):
+                if a == z:
+                    continue
+                if on is not None and group[a] != on:
+                    if held:
+                        add(held)
+                    yield close()
+                    held, size, g = [], 0, _Gram()
+                on = int(group[a])
+                if size >= PIECE and held[-1][1][-1] != pos[a]:
+                    add(held)
+                    held, size = [], 0
+                held.append((member[a:z], pos[a:z], value[a:z]))
+                size += z - a
+        if held:
+            add(held)
+        if on is not None and g.sums is not None:
+            yield close()
+
+    cols = [F.col(k).cast("long") for k in keys] + [F.col("member").cast("long"), F.col("pos").cast("long"), F.col("value").cast("double")]
+    names = [*keys, "member", "pos", "value"]
+    dealt = d.select(*[c.alias(n) for c, n in zip(cols, names, strict=True)]).filter(is_finite("value")).repartition("pos").sortWithinPartitions(*keys, "pos")
+    part = dealt.mapInArrow(run, ", ".join(f"{f.name} {'long' if f.type == pa.int64() else 'double'}" for f in schema))
+    return part.groupBy(*keys, "a", "b").agg(*[F.sum(m).alias(m) for m in _MOMENTS])
+
+
+def correlation_matrix(d: DataFrame, least: int = 3) -> DataFrame:
+    """(a, b, r) for members a < b over pairwise finite cells; NULL below ``least`` of them or without variance.
+
+    Moments are taken from each member's least value, which keeps their digits and makes constant maps exact.
+    """
+    low = d.filter(is_finite("value")).groupBy("member").agg(F.min("value").alias("low"))
+    g = gram(d.join(F.broadcast(low), "member").withColumn("value", F.col("value") - F.col("low")))  # one row a member
+    n, sx, sy, sxy, sxx, syy = (F.col(c) for c in _MOMENTS)
+    vx, vy = sxx - sx * sx / n, syy - sy * sy / n
+    ok = (n >= least) & (vx > 1e-13 * sxx) & (vy > 1e-13 * syy)
+    kind = d.schema["member"].dataType
+    return g.select(F.col("a").cast(kind), F.col("b").cast(kind), F.when(ok, (sxy - sx * sy / n) / F.sqrt(F.when(ok, vx * vy))).alias("r"))
 
 
 def snap(r: Column) -> Column:
@@ -63,26 +164,26 @@ def basis(d: DataFrame, coverage: float = 0.9, least: int = 30) -> tuple[DataFra
     Members leave as all-missing, low-coverage (below ``coverage`` of the median), constant, or - until
     nothing changes - constant on the support.  pairs: a, b, r, distance 1 - r.
     """
-    d = d.persist()  # read by every round
     x = finite("value")
-    m = d.groupBy("member").agg(F.count(x).alias("n"), F.var_pop(x).alias("v"))
-    med = m.filter("n > 0").agg(F.percentile("n", F.lit(0.5)).alias("med")).select("med").scalar()
-    why = F.when(F.col("n") == 0, "all-missing").when(F.col("n") < coverage * med, "low-coverage").when(F.col("v") == 0, "constant")
-    state = m.select("member", why.alias("reason"))
+    m = d.groupBy("member").agg(F.count(x).alias("n"), F.var_pop(x).alias("v")).collect()  # one row a member, fewer than the result's pairs
+    med = float(np.median([z["n"] for z in m if z["n"]] or [0]))
+    why = {z["member"]: "all-missing" if not z["n"] else "low-coverage" if z["n"] < coverage * med else "constant" if z["v"] == 0 else None for z in m}
     while True:
-        kept = state.filter("reason is null").select("member")
-        k = kept.count()
-        inside = d.join(kept, "member", "left_semi").filter(is_finite("value"))
-        support = inside.groupBy("pos").agg(F.count_distinct("member").alias("c")).filter(F.col("c") == k).select("pos")
+        kept = [k for k, reason in why.items() if reason is None]
+        inside = d.filter(F.col("member").isin(kept) & is_finite("value"))
+        support = inside.groupBy("pos").agg(F.count_distinct("member").alias("c")).filter(F.col("c") == len(kept)).select("pos")
         on = inside.join(support, "pos", "left_semi")
-        flat = on.groupBy("member").agg(F.var_pop("value").alias("v")).filter("v = 0").select("member", F.lit("constant-on-support").alias("now"))
-        if not flat.limit(1).count():
+        seen = on.groupBy("member").agg(F.count(F.lit(1)).alias("n"), F.var_pop("value").alias("v")).collect()
+        flat = {z["member"]: "constant-on-support" for z in seen if z["v"] == 0}
+        if not flat:
             break
-        state = state.join(flat, "member", "left").select("member", F.coalesce("reason", "now").alias("reason"))
-    if support.count() < least:
+        why |= flat
+    if not seen or seen[0]["n"] < least:  # every kept member has all of the support
         raise ValueError("the common support is too small")
     r = correlation_matrix(on).withColumn("r", snap(F.col("r"))).withColumn("distance", 1 - F.col("r"))
-    return state.filter("reason is not null"), support, r
+    excluded = [(k, reason) for k, reason in why.items() if reason]
+    rows = d.sparkSession.createDataFrame(excluded, f"member {d.schema['member'].dataType.simpleString()}, reason string")
+    return rows, support, r
 
 
 def basis_r(r: DataFrame, a: int, b: int) -> DataFrame:
@@ -152,11 +253,8 @@ def noise_dissimilarity(rho_a: Column, rho_b: Column) -> Column:
 
 def parcel_moments(z: DataFrame, labels: DataFrame) -> DataFrame:
     """(label, a, b, n, sx, sy, sxy, sxx, syy) of member pairs a < b per parcel: the Gram matrix in blocks."""
-    x, y = F.col("x"), F.col("y")
-    return pairs(z).join(labels, "pos").groupBy("label", "a", "b").agg(F.count(F.lit(1)).alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(x * y).alias("sxy"), F.sum(x * x).alias("sxx"), F.sum(y * y).alias("syy"))
-
-
-_MOMENTS = ("n", "sx", "sy", "sxy", "sxx", "syy")
+    kinds = {"label": labels.schema["label"].dataType, "a": (k := z.schema["member"].dataType), "b": k, "n": "long"}
+    return gram(z.join(labels, "pos"), "label").withColumns({c: F.col(c).cast(k) for c, k in kinds.items()})
 
 
 def r_of_moments(n, sx, sy, sxy, sxx, syy) -> Column:

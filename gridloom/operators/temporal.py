@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gridloom.functions.stats import dft
 from gridloom.num import pearson
 
 
@@ -76,6 +77,20 @@ def bin_frequencies(n: int, tr: float) -> np.ndarray:
     return np.arange(n // 2 + 1) / (n * tr)
 
 
+def spectrum(series: DataFrame, tr: float = 2.0) -> DataFrame:
+    """(idx, bin, hz, re, im): the one-sided discrete Fourier transform of each cell's series."""
+
+    def run(frames):
+        for pdf in frames:
+            for idx, x in zip(pdf["idx"], pdf["x"], strict=True):
+                z, hz = dft(np.asarray(x, float)), bin_frequencies(len(x), tr)
+                yield pd.DataFrame({"idx": idx, "bin": np.arange(len(z), dtype=np.int32), "hz": hz, "re": z.real, "im": z.imag})
+
+    s = F.array_sort(F.collect_list(F.struct("t", "value")))
+    packed = series.groupBy("idx").agg(s.alias("s")).select("idx", F.col("s.value").alias("x"))
+    return packed.mapInPandas(run, f"idx {packed.schema['idx'].dataType.simpleString()}, bin int, hz double, re double, im double")
+
+
 def temporal_filter(series: DataFrame, low: float | None = None, high: float | None = None, tr: float = 2.0) -> DataFrame:
     """Fourier band filter: bins outside [low, high] Hz are zeroed (a high-pass removes the mean)."""
     if low is None and high is None:

@@ -170,8 +170,8 @@ def read_headers(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return _binary(spark, paths).mapInPandas(run, HEADER)
 
 
-def read_cells(spark: SparkSession, paths: str | list[str], times: list[int] | None = None, dtype: str = "f4") -> DataFrame:
-    """(file, t, idx, value) of images of rank 3 or 4; only the asked times are turned into rows."""
+def cells_of(files: DataFrame, times: list[int] | None = None, dtype: str = "f4") -> DataFrame:
+    """(file, t, idx, value) of images (file, content) of rank 3 or 4; only the asked times are turned into rows."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -180,7 +180,12 @@ def read_cells(spark: SparkSession, paths: str | list[str], times: list[int] | N
                 for n, row in enumerate(data):
                     yield pd.DataFrame({"file": f, "t": np.int32(n if times is None else times[n]), "idx": np.arange(len(row)), "value": row.astype(np.float64)})
 
-    return _binary(spark, paths).mapInPandas(run, "file string, t int, idx long, value double")
+    return files.mapInPandas(run, "file string, t int, idx long, value double")
+
+
+def read_cells(spark: SparkSession, paths: str | list[str], times: list[int] | None = None, dtype: str = "f4") -> DataFrame:
+    """:func:`cells_of` stored files."""
+    return cells_of(_binary(spark, paths), times, dtype)
 
 
 def read_volume(spark: SparkSession, path: str, index: int = 0, dtype: str = "f4") -> tuple[DataFrame, Grid]:
@@ -215,8 +220,11 @@ def round_clamp_column(v: Column, lo: float, hi: float, to: str = "long") -> Col
     return F.greatest(F.lit(lo), F.least(F.lit(hi), F.floor(v + 0.5))).cast(to)
 
 
-def encode(data: np.ndarray, grid: Grid, kind: str = "f4", tr: float | None = None) -> bytes:
-    """A single-file NIfTI-1 image of (t, cells) values: sform always, qform where the affine is a rotation and a scale."""
+def encode(data: np.ndarray, grid: Grid, kind: str = "f4", tr: float | None = None, order: str = "<", slope: float = 1.0, inter: float = 0.0) -> bytes:
+    """A single-file NIfTI-1 image of (t, cells) values: sform always, qform where the affine is a rotation and a scale.
+
+    ``order``: byte order; ``slope`` and ``inter``: the scaling that readers apply to the values stored here.
+    """
     nt = data.shape[0]
     dims = [*grid.dim[:3], *([nt] if nt > 1 or tr is not None else [])]
     if any(not 1 <= d <= 32767 for d in dims):
@@ -230,17 +238,17 @@ def encode(data: np.ndarray, grid: Grid, kind: str = "f4", tr: float | None = No
         sign = -1.0 if np.linalg.det(r) < 0 else 1.0
         q = _quaternion(r * np.array([1, 1, sign]))
     h = bytearray(352)
-    struct.pack_into("<i", h, 0, 348)
-    struct.pack_into("<8h", h, 40, len(dims), *dims, *[1] * (7 - len(dims)))
-    struct.pack_into("<2h", h, 70, CODE_OF[kind], np.dtype(kind).itemsize * 8)
-    struct.pack_into("<8f", h, 76, sign, *size, tr or 0.0, 0, 0, 0)
-    struct.pack_into("<3f", h, 108, 352.0, 1.0, 0.0)
+    struct.pack_into(order + "i", h, 0, 348)
+    struct.pack_into(order + "8h", h, 40, len(dims), *dims, *[1] * (7 - len(dims)))
+    struct.pack_into(order + "2h", h, 70, CODE_OF[kind], np.dtype(kind).itemsize * 8)
+    struct.pack_into(order + "8f", h, 76, sign, *size, tr or 0.0, 0, 0, 0)
+    struct.pack_into(order + "3f", h, 108, 352.0, slope, inter)
     h[123] = 10  # mm and seconds
-    struct.pack_into("<2h", h, 252, int(proper), 1)
-    struct.pack_into("<6f", h, 256, *q, *a[:3, 3])
-    struct.pack_into("<12f", h, 280, *a[:3].ravel())
+    struct.pack_into(order + "2h", h, 252, int(proper), 1)
+    struct.pack_into(order + "6f", h, 256, *q, *a[:3, 3])
+    struct.pack_into(order + "12f", h, 280, *a[:3].ravel())
     h[344:348] = b"n+1\x00"
-    return bytes(h) + round_clamp(np.asarray(data), kind).astype("<" + kind).tobytes()
+    return bytes(h) + round_clamp(np.asarray(data), kind).astype(order + kind).tobytes()
 
 
 def write_options(path: str, fmt: str | None = None, compress: bool | None = None) -> bool:
@@ -253,8 +261,8 @@ def write_options(path: str, fmt: str | None = None, compress: bool | None = Non
     return gz
 
 
-def encoded(cells: DataFrame, grid: Grid, by: str, kind: str = "f4", gz: bool = False, tr: float | None = None) -> DataFrame:
-    """(by, content): one image per group of cells (by, t, idx, value), cells without a row 0; a group must fit one task, as its file does."""
+def encoded(cells: DataFrame, grid: Grid, by: str, kind: str = "f4", gz: bool = False, tr: float | None = None, **options) -> DataFrame:
+    """(by, content; ``options`` of :func:`encode`): one image per group of cells (by, t, idx, value), cells without a row 0; a group must fit one task, as its file does."""
     n = grid.size
     key = cells.schema[by].dataType.simpleString()
 
@@ -262,7 +270,7 @@ def encoded(cells: DataFrame, grid: Grid, by: str, kind: str = "f4", gz: bool =
         t = pdf["t"].to_numpy() if "t" in pdf else np.zeros(len(pdf), int)
         data = np.zeros((int(t.max()) + 1, n))
         data[t, pdf["idx"].to_numpy()] = pdf["value"]
-        raw = encode(data, grid, kind, tr)
+        raw = encode(data, grid, kind, tr, **options)
         return pd.DataFrame({by: [pdf[by].iloc[0]], "content": [gzip.compress(raw, mtime=0) if gz else raw]})
 
     return cells.groupBy(by).applyInPandas(run, f"{by} {key}, content binary")
