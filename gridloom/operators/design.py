@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.stats import with_t_quantile
 from gridloom.num import is_finite
+from gridloom.operators.joins import first_seen_levels
 
 
 def cell_means(d: DataFrame, cols: list[str], value: str = "value") -> DataFrame:
@@ -48,7 +49,10 @@ def summarise(d: DataFrame, keys: list[str], subject: str | None = None, within:
 
 
 def infer_columns(d: DataFrame, roles: dict[str, str] | None = None, order: str | None = None) -> list[dict]:
-    """Name, kind and levels (first seen first) of each column: numeric if its type is and its role is not a factor's."""
+    """Name, kind and levels of each column: numeric if its type is and its role is not a factor's.
+
+    ``levels`` of a factor is a DataFrame (level, ord) of all its values, first seen first.
+    """
     out, seen_by = [], order or "__order"
     fields = d.schema.fields
     if order is None:
@@ -58,8 +62,7 @@ def infer_columns(d: DataFrame, roles: dict[str, str] | None = None, order: str
         numeric = f.dataType.typeName() in ("byte", "short", "integer", "long", "float", "double") and role not in ("factor", "within", "between", "subject")
         levels = None
         if not numeric:
-            seen = d.filter(F.col(f.name).isNotNull()).groupBy(f.name).agg(F.min(seen_by).alias("at"))
-            levels = [r[0] for r in seen.orderBy("at").limit(10_000).collect()]
+            levels = first_seen_levels(d.filter(F.col(f.name).isNotNull()).select(F.col(f.name).alias("level"), seen_by), "level", seen_by).select("level", "ord")
         out.append({"name": f.name, "kind": "numeric" if numeric else "factor", "role": role, "levels": levels})
     return out
 

@@ -16,8 +16,8 @@ from gridloom.operators import setstats as SS
 from gridloom.operators import temporal as T
 from gridloom.operators import volume as V
 from gridloom.plans.registry import query, r, show
-from gridloom.plans.sets import group_maps, stack
-from gridloom.plans.volumes import _CC, _G, _points, other, vol
+from gridloom.plans.sets import _GM, group_maps, stack
+from gridloom.plans.volumes import _CC, _G, _axis_sql, _points, other, vol
 from gridloom.sources import nifti
 
 
@@ -88,10 +88,17 @@ def _(spark, d):
     return roi.searchlights(v, g, 3.0, nonzero=False).groupBy("center").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("neighbour_preservation", "SELECT CAST(range AS INTEGER) AS i, 1.0::DOUBLE AS kept FROM range(10)")
+_PAIR = "first AS (SELECT member, value FROM gm WHERE pos = 0), pr AS (SELECT a.member AS i, b.member AS j, 1 - corr(a.value, b.value) AS d, any_value(abs(x.value - y.value)) AS e FROM gm a JOIN gm b ON a.pos = b.pos AND a.member <> b.member JOIN first x ON x.member = a.member JOIN first y ON y.member = b.member GROUP BY 1, 2)"
+
+
+@query("neighbour_preservation", f"+{_GM}, {_PAIR}, n AS (SELECT i, rank() OVER (PARTITION BY i ORDER BY d) AS p, rank() OVER (PARTITION BY i ORDER BY e) AS q FROM pr) SELECT i, {r('count(*) FILTER (q <= 3) / CAST(count(*) AS DOUBLE)')} AS kept FROM n WHERE p <= 3 GROUP BY i", "members")
 def _(spark, d):
-    p = SS.correlation_matrix(group_maps(spark, d)).select(F.col("a").alias("i"), F.col("b").alias("j"), (1 - F.col("r")).alias("d"))
-    return SS.neighbour_preservation(p, p.withColumn("d", F.col("d") * 2 + 1), 3).select("i", "kept")
+    """Neighbours by correlation that are neighbours by the difference in one cell."""
+    g = group_maps(spark, d)
+    p = SS.correlation_matrix(g).select(F.col("a").alias("i"), F.col("b").alias("j"), (1 - F.col("r")).alias("d"))
+    one = g.filter("pos = 0").select("member", "value")
+    near = p.join(one.select(F.col("member").alias("i"), F.col("value").alias("x")), "i").join(one.select(F.col("member").alias("j"), F.col("value").alias("y")), "j")
+    return show(SS.neighbour_preservation(p, near.select("i", "j", F.abs(F.col("x") - F.col("y")).alias("d")), 3), "i", kept="kept")
 
 
 @query("noise_member_count", "SELECT count(DISTINCT grp) + 1 AS members, (count(DISTINCT grp) + 1) * 64 AS cells FROM members", "members")
@@ -100,7 +107,7 @@ def _(spark, d):
     return n.agg(F.count_distinct("member").alias("members"), F.count("value").alias("cells"))
 
 
-@query("upsample_plane")
+@query("upsample_plane", f"+{_G}, {_axis_sql('pts AS (SELECT range AS p, least(range / 3.0, 9) AS u FROM range(30))', 'cubic')}, m AS (SELECT min(value) AS lo, max(value) AS hi FROM g WHERE k = 1), c AS (SELECT b.p AS row, a.p AS col, sum(a.w * b.w * g.value) / sum(a.w * b.w) AS v FROM ax a, ax b, g WHERE g.i = a.cell AND g.j = b.cell AND g.k = 1 GROUP BY 1, 2) SELECT CAST(row AS INTEGER) AS row, CAST(col AS INTEGER) AS col, {r('least(greatest(v, lo), hi)')} AS value FROM c, m", "vol")
 def _(spark, d):
     v, g = vol(spark, d)
     return show(RS.upsample_plane(V.slice_of(v, g, 2, 1), 10, 10, 3, True), "row", "col", value="value")

@@ -129,7 +129,10 @@ def _(spark, d):
     return show(pairs, "a", "b", r="r", distance="distance")
 
 
-@query("similarity_exclusions", "SELECT * FROM (VALUES (0, 'all-missing'), (1, 'constant'), (2, 'low-coverage')) t(member, reason)")
+_EXC = "v AS (SELECT member, CASE WHEN member = 0 THEN NULL WHEN member = 1 THEN 3.0 WHEN member = 2 AND pos < 20 THEN NULL ELSE value END AS value FROM gm), n AS (SELECT member, count(value) AS n, var_pop(value) AS v FROM v GROUP BY member), m AS (SELECT median(n) AS m FROM n WHERE n > 0)"
+
+
+@query("similarity_exclusions", f"+{_GM}, {_EXC} SELECT member, CASE WHEN n = 0 THEN 'all-missing' WHEN n < 0.9 * m THEN 'low-coverage' ELSE 'constant' END AS reason FROM n, m WHERE n = 0 OR n < 0.9 * m OR v = 0", "members")
 def _(spark, d):
     g = group_maps(spark, d)
     nan = F.lit(float("nan"))
@@ -236,7 +239,10 @@ def _(spark, d):
     return show(SS.parcel_influence(m), "label", "a", "b", full="full", reduced="reduced")
 
 
-@query("parcel_influence_summary")
+_INF = f"{_PM}, t AS (SELECT label, a, b, " + ", ".join(f"sum({c}) OVER w - {c} AS {c}, sum({c}) OVER w AS t{c}" for c in ("n", "sx", "sy", "sxy", "sxx", "syy")) + " FROM pm WINDOW w AS (PARTITION BY a, b)), f AS (SELECT label, 1 - (tsxy - tsx * tsy / tn) / sqrt((tsxx - tsx * tsx / tn) * (tsyy - tsy * tsy / tn)) AS u, 1 - (sxy - sx * sy / n) / sqrt((sxx - sx * sx / n) * (syy - sy * sy / n)) AS v FROM t)"
+
+
+@query("parcel_influence_summary", f"{_INF} SELECT label, {r('corr(u, v)')} AS mantel, {r('avg(abs(u - v))')} AS change FROM f GROUP BY label", "members")
 def _(spark, d):
     m = SS.parcel_moments(SS.standardize(group_maps(spark, d)), _labels(spark))
     return show(SS.influence_summary(SS.parcel_influence(m)), "label", mantel="mantel", change="change")
@@ -260,7 +266,10 @@ def _(spark, d):
     return show(SS.concentration(p, 2), top_share="top_share", size_share="size_share")
 
 
-@query("smoothing_effect")
+_SME = "s AS (SELECT member, pos, abs(value) AS x, abs(avg(value) OVER (PARTITION BY member ORDER BY pos ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)) AS y FROM gm), e AS (SELECT member, quantile_cont(y, 0.99) / quantile_cont(x, 0.99) AS peak, count(*) FILTER (y >= 0.02) / CAST(nullif(count(*) FILTER (x >= 0.02), 0) AS DOUBLE) AS extent, count(*) FILTER ((x >= 0.02) <> (y >= 0.02)) / CAST(count(*) AS DOUBLE) AS disagree FROM s GROUP BY member)"
+
+
+@query("smoothing_effect", f"+{_GM}, {_SME} SELECT {r('median(peak)')} AS peak, {r('median(extent)')} AS extent, {r('median(disagree)')} AS disagree FROM e", "members")
 def _(spark, d):
     g = group_maps(spark, d)
     w = W.partitionBy("member").orderBy("pos").rowsBetween(-1, 1)
@@ -328,9 +337,12 @@ def _(spark, d):
     return show(SS.kde2d(_cloud(spark, d), _XS, _YS, 900.0, 500.0), "gx", "gy", density=F.col("density") * 1e9)
 
 
-@query("kde_levels")
+_KDE = f"{_CLOUD}, g AS (SELECT unnest({_XS}) AS gx), h AS (SELECT unnest({_YS}) AS gy), k AS (SELECT gx, gy, avg(exp(-(power((x - gx) / 900.0, 2) + power((y - gy) / 500.0, 2)) / 2)) / (2 * pi() * 900.0 * 500.0) AS density FROM cloud, g, h GROUP BY gx, gy)"
+
+
+@query("kde_levels", f"WITH {_KDE}, c AS (SELECT density, sum(density) OVER (ORDER BY density DESC ROWS UNBOUNDED PRECEDING) AS cum, sum(density) OVER () AS total FROM k), f AS (SELECT CAST(unnest([0.5, 0.9]) AS DOUBLE) AS fraction) SELECT fraction, {r('max(density) * 1e9')} AS level FROM c, f WHERE cum >= fraction * total GROUP BY fraction")
 def _(spark, d):
-    return SS.density_levels(SS.kde2d(_cloud(spark, d), _XS, _YS, 900.0, 500.0), [0.5, 0.9])
+    return show(SS.density_levels(SS.kde2d(_cloud(spark, d), _XS, _YS, 900.0, 500.0), [0.5, 0.9]), "fraction", level=F.col("level") * 1e9)
 
 
 @query("scott_bandwidth", f"WITH {_CLOUD} SELECT {r('stddev_samp(x) * power(count(*), -1 / 6.0)')} AS h FROM cloud")
@@ -380,7 +392,10 @@ for _name, _f, _sql in (
     query(_name, f"SELECT idx, t, {r(_sql)} AS value FROM series WINDOW q AS (PARTITION BY idx ORDER BY t)", "series")(_run)
 
 
-@query("detrend_polynomial")
+_ORTH = "o AS (SELECT idx, t, value, t - avg(t) OVER w AS u, power(t - avg(t) OVER w, 2) - var_pop(t) OVER w AS q FROM series WINDOW w AS (PARTITION BY idx))"  # every series has the same even steps
+
+
+@query("detrend_polynomial", f"+{_ORTH} SELECT idx, t, {r('value - avg(value) OVER w - sum(value * u) OVER w / sum(u * u) OVER w * u - sum(value * q) OVER w / sum(q * q) OVER w * q')} AS value FROM o WINDOW w AS (PARTITION BY idx)", "series")
 def _(spark, d):
     return show(T.detrend(L.series(spark, d), "polynomial", 2), "idx", "t", value="value")
 
@@ -564,7 +579,7 @@ def _(spark, d):
     return R.cell_counts(L.design(spark, d), "cond", "grp")
 
 
-@query("plot_inferred")
+@query("plot_inferred", "+n AS (SELECT max(c) AS c, max(g) AS g FROM (SELECT subject, count(DISTINCT cond) AS c, count(DISTINCT grp) AS g FROM design GROUP BY subject)) SELECT CASE WHEN c > 1 OR g = 1 THEN 'cond' ELSE 'grp' END AS x, CASE WHEN c > 1 OR g = 1 THEN 'grp' ELSE 'cond' END AS color, CAST(NULL AS VARCHAR) AS facet FROM n", "design")
 def _(spark, d):
     x = L.design(spark, d).withColumn("grp", F.col("grp").cast("string"))
     spec = infer_spec(x)
@@ -590,7 +605,13 @@ def _(spark, d):
     return show(s, "n", slope="slope", intercept="intercept", r="r")
 
 
-@query("fit_line_influence")
+#: the t quantile as a series in 1 / df around the normal one, exact to many digits for hundreds of rows
+_Z975 = 1.959963984540054
+_TQ = " + ".join([f"{_Z975!r}::DOUBLE", *(f"{x / b!r}::DOUBLE / power(n - 2, {i})" for i, (x, b) in enumerate((((_Z975**3 + _Z975), 4), ((5 * _Z975**5 + 16 * _Z975**3 + 3 * _Z975), 96), ((3 * _Z975**7 + 19 * _Z975**5 + 17 * _Z975**3 - 15 * _Z975), 384)), 1))])
+_FLI = f"s AS (SELECT count(*)::DOUBLE AS n, regr_slope(c_acctbal, c_nationkey) AS b, regr_intercept(c_acctbal, c_nationkey) AS a, avg(c_nationkey) AS mx, regr_sxx(c_acctbal, c_nationkey) AS sxx, regr_syy(c_acctbal, c_nationkey) AS syy FROM customer), q AS (SELECT *, (syy - b * b * sxx) / (n - 2) AS mse, {_TQ} AS tq FROM s), f AS (SELECT c_custkey, a + b * c_nationkey AS fit, 1 / n + power(c_nationkey - mx, 2) / sxx AS lev, c_acctbal AS y, mse, tq, n FROM customer, q)"
+
+
+@query("fit_line_influence", f"WITH {_FLI} SELECT c_custkey, (power(y - fit, 2) / (2 * mse) * lev / power(1 - lev, 2) > 4 / n) AS influential, {r('fit')} AS fit, {r('fit - tq * sqrt(mse * lev)')} AS lower, {r('fit + tq * sqrt(mse * lev)')} AS upper FROM f")
 def _(spark, d):
     _, rows = ST.fit_line(L.table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_acctbal"), "c_nationkey", "c_acctbal")
     return show(rows, "c_custkey", "influential", fit="fit", lower="lower", upper="upper")
@@ -602,6 +623,18 @@ def _(spark, d):
     return show(g, "flag", q5="q5", q25="q25", q50="q50", q95="q95")
 
 
+#: two-sided probabilities for whole df as finite sums over powers of the cosine of atan(t / sqrt(df))
+_TCDF = "x AS (SELECT c_custkey, abs(c_acctbal / 4000) AS t, c_custkey % 30 + 1 AS df FROM customer), a AS (SELECT c_custkey, df, atan(t / sqrt(df)) AS th FROM x), e AS (SELECT c_custkey, df, th, k.range AS k, CASE WHEN df % 2 = 0 THEN factorial(CAST(2 * k.range AS INTEGER))::DOUBLE / (power(4.0, k.range) * power(factorial(CAST(k.range AS INTEGER))::DOUBLE, 2)) ELSE power(4.0, k.range) * power(factorial(CAST(k.range AS INTEGER))::DOUBLE, 2) / factorial(CAST(2 * k.range + 1 AS INTEGER))::DOUBLE END * power(cos(th), 2 * k.range) AS term FROM a, range(15) k WHERE k.range < CASE WHEN df % 2 = 0 THEN df // 2 ELSE greatest((df - 1) // 2, 1) END), s AS (SELECT c_custkey, df, th, CASE WHEN df = 1 THEN 0 ELSE sum(term) END AS s FROM e GROUP BY 1, 2, 3)"
+
+
+@query("student_t_probability", f"WITH {_TCDF} SELECT c_custkey, {r('1 - CASE WHEN df % 2 = 0 THEN sin(th) * s ELSE 2 / pi() * (th + sin(th) * cos(th) * s) END')} AS p, {r('0.05')} AS tail FROM s")
+def _(spark, d):
+    """Two-sided p of t, and that of the quantile at 0.975."""
+    x = L.table(spark, d, "customer").select("c_custkey", (F.col("c_acctbal") / 4000).alias("t"), (F.col("c_custkey") % 30 + 1).cast("double").alias("df"))
+    x = ST.with_t_quantile(x.withColumn("p", ST.t_p_value("t", "df")), "df", 0.975)
+    return show(x.withColumn("tail", ST.t_p_value("tq", "df")), "c_custkey", p="p", tail="tail")
+
+
 @query("student_t")
 def _(spark, d):
     x = L.table(spark, d, "customer").select("c_custkey", (F.col("c_acctbal") / 4000).alias("t"), (F.col("c_custkey") % 30 + 1).cast("double").alias("df"))

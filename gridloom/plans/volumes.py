@@ -360,7 +360,11 @@ def _(spark, d):
     return show(S.guided_filter(v.select("idx", "value"), g, 1, 0.5, other(v)), "idx", value="value")
 
 
-@query("guided_smooth_masked")
+_GSM = "f AS (SELECT idx, i, j, k, value AS p, label FROM g WHERE label > 10), st AS (SELECT avg(label) AS m, stddev_pop(label) AS s FROM f), d AS (SELECT idx, i, j, k, p, (label - m) / s AS gd FROM f, st)"
+_NEAR = "CROSS JOIN o JOIN {t} n ON n.i = x.i + o.a AND n.j = x.j + o.b AND n.k = x.k + o.c"
+
+
+@query("guided_smooth_masked", f"+{_G}, {_O1}, {_GSM}, q AS (SELECT x.idx, x.i, x.j, x.k, avg(n.p) AS mp, avg(n.gd) AS mg, avg(n.gd * n.gd) AS gg, avg(n.gd * n.p) AS gp FROM d x {_NEAR.format(t='d')} GROUP BY 1, 2, 3, 4), ab AS (SELECT *, (gp - mg * mp) / (gg - mg * mg + 0.01) AS a FROM q), m AS (SELECT x.idx, x.gd, avg(n.a) AS a, avg(n.mp - n.a * n.mg) AS b FROM d x {_NEAR.format(t='(SELECT i, j, k, a AS a, mp, mg FROM ab)')} GROUP BY 1, 2) SELECT idx, {r('a * gd + b')} AS value FROM m", "vol")
 def _(spark, d):
     v, g = vol(spark, d)
     return show(S.guided_smooth(v.filter("label > 10").select("idx", "value"), g, other(v), 1), "idx", value="value")
@@ -392,16 +396,29 @@ def _(spark, d):
     return show(RS.resample(v.select("idx", "value"), g, _fine(g), "linear"), "idx", value="value")
 
 
+def _axis_sql(points: str, kind: str) -> str:
+    """ax(p, cell, w): taps of points (p, u) on an axis of ten cells; what lies beyond the border is spread over the two outermost cells."""
+    x = "abs(u - cell)"
+    cubic = f"CASE WHEN {x} < 1 THEN 1.5 * {x} * {x} * {x} - 2.5 * {x} * {x} + 1 WHEN {x} < 2 THEN -0.5 * {x} * {x} * {x} + 2.5 * {x} * {x} - 4 * {x} + 2 ELSE 0 END"
+    lanczos = f"CASE WHEN {x} < 1e-9 THEN 1 WHEN {x} < 3 THEN 3 * sin(pi() * {x}) * sin(pi() * {x} / 3) / (pi() * pi() * {x} * {x}) ELSE 0 END"
+    n = 2 if kind == "cubic" else 3
+    return (
+        f"{points}, ats AS (SELECT p, u, floor(u) + o.range AS cell FROM pts, range({1 - n}, {n + 1}) o), tap AS (SELECT p, cell, {cubic if kind == 'cubic' else lanczos} AS w FROM ats), "
+        "ex AS (SELECT p, cell, w FROM tap WHERE cell BETWEEN 0 AND 9 UNION ALL SELECT p, 0, w * (1 - cell) FROM tap WHERE cell < 0 UNION ALL SELECT p, 1, w * cell FROM tap WHERE cell < 0 "
+        "UNION ALL SELECT p, 9, w * (cell - 8) FROM tap WHERE cell > 9 UNION ALL SELECT p, 8, -w * (cell - 9) FROM tap WHERE cell > 9), ax AS (SELECT p, cell, sum(w) AS w FROM ex GROUP BY p, cell)"
+    )
+
+
 for _kind in ("cubic", "lanczos"):
 
     def _run(spark, d, kind=_kind):
         v, g = vol(spark, d)
         return show(RS.resample(v.select("idx", "value"), g, _fine(g), kind), "idx", value="value")
 
-    query(f"resample_{_kind}")(_run)
+    query(f"resample_{_kind}", f"+{_G}, {_axis_sql('pts AS (SELECT range AS p, range * 9.0 / 19 AS u FROM range(20))', _kind)} SELECT a.p + b.p * 20 + g.k * 400 AS idx, {r('sum(a.w * b.w * g.value) / sum(a.w * b.w)')} AS value FROM ax a, ax b, g WHERE g.i = a.cell AND g.j = b.cell GROUP BY 1", "vol")(_run)
 
 
-@query("resample_downsample")
+@query("resample_downsample", f"+{_G}, {_PASS.format(n=0, src='g', on=_ON[0])}, {_PASS.format(n=1, src='p0', on=_ON[1])}, {_PASS.format(n=2, src='p1', on=_ON[2])} SELECT i // 2 + j // 2 * 5 + k // 2 * 25 AS idx, {r('value')} AS value FROM p2 WHERE i % 2 = 0 AND j % 2 = 0 AND k % 2 = 0", "vol")
 def _(spark, d):
     v, g = vol(spark, d)
     out, _ = RS.downsample(v.select("idx", "value"), g, 2)
