@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import stats
 from gridloom.grid import Grid
-from gridloom.operators import components, design, embed, joins, order, reduce, roi, setstats
+from gridloom.operators import components, design, embed, joins, order, reduce, roi, setstats, stencil
 
 
 def test_running_totals(spark):
@@ -144,3 +144,60 @@ def test_lens_and_its_inverse(spark):
         assert abs(r["l"]["x"] - 1 - (r["x"] - 1) * k) < 1e-9 and abs(r["l"]["scale"] - (5 / (4 * q + 1) ** 2 if q < 1 else 1)) < 1e-9
     still = d.select(embed.lens(F.col("x"), F.col("y"), 0.0, 0.0, 3.0, -1.0).alias("l"), "x").filter("l.x <> x or l.scale <> 1")
     assert still.count() == 0
+
+
+# ------------------------------------------------------------------ tiles
+FILTERS = {
+    "kernel": lambda v, g: stencil.filter_kernel(v, g, stencil.gaussian_kernel(1.0, 2)),
+    "blur": lambda v, g: stencil.gaussian_blur(v, g, (0.7, 0.0, 1.0)),
+    "box": lambda v, g: stencil.box_mean(v, g, 2),
+    "masked": lambda v, g: stencil.masked_box_mean(v, g, 2),
+    "guided": lambda v, g: stencil.guided_smooth(v, g, v.select("idx", (F.col("idx") % 17).cast("double").alias("value")), 1),
+    "median": lambda v, g: stencil.median_filter(v, g, 1),
+    "opening": lambda v, g: stencil.opening(v, g, 2),
+    "bilateral": lambda v, g: stencil.bilateral(v, g, 1.0, 5.0, 3),
+    "diffusion": lambda v, g: stencil.diffuse(v, g, 9),
+    "sobel": lambda v, g: stencil.edges(v, g),
+}
+
+
+def _holey(spark):
+    rng = np.random.default_rng(5)
+    g = Grid((13, 11, 9))
+    x = rng.normal(size=g.size) * 10
+    x[rng.random(g.size) < 0.02] = np.nan
+    keep = np.flatnonzero(rng.random(g.size) < 0.8)
+    return spark.createDataFrame([(int(i), float(x[i])) for i in keep], "idx long, value double"), g, x, keep
+
+
+@pytest.mark.parametrize("name", FILTERS)
+def test_tiles_do_not_show(spark, name):
+    """Filters give the same on one tile and on many."""
+    v, g, _, _ = _holey(spark)
+    got = []
+    for size in (1000, 4):
+        old, stencil.TILE = stencil.TILE, size
+        try:
+            got.append({r["idx"]: r["value"] for r in FILTERS[name](v, g).collect()})
+        finally:
+            stencil.TILE = old
+    assert set(got[0]) == set(got[1]) and len(got[0]) >= v.count()
+    assert np.allclose(*[[d[k] for k in sorted(d)] for d in got], rtol=1e-9, atol=1e-9, equal_nan=True)
+
+
+def test_median_and_kernel_equal_brute_force(spark):
+    v, g, x, keep = _holey(spark)
+    have = {(i % 13, i // 13 % 11, i // 143): x[i] for i in keep.tolist()}
+    median = {r["idx"]: r["value"] for r in stencil.median_filter(v, g, 1).collect()}
+    kernel = stencil.gaussian_kernel(1.0, 1)
+    smooth = {r["idx"]: r["value"] for r in stencil.filter_kernel(v, g, kernel).collect()}
+    for i in range(g.size):
+        c = (i % 13, i // 13 % 11, i // 143)
+        near = [have[p] for a, b, k, _ in kernel if (p := (c[0] + a, c[1] + b, c[2] + k)) in have]
+        if not near:
+            assert i not in median
+            continue
+        s = sorted(near, key=lambda y: (np.isnan(y), y))
+        assert np.isclose(median[i], (s[(len(s) - 1) // 2] + s[len(s) // 2]) / 2, equal_nan=True)
+        terms = [(have[p], w) for a, b, k, w in kernel if (p := (c[0] + a, c[1] + b, c[2] + k)) in have]
+        assert np.isclose(smooth[i], sum(y * w for y, w in terms) / sum(w for _, w in terms), equal_nan=True)
