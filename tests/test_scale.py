@@ -88,6 +88,14 @@ def test_levels_have_no_cap(spark):
     assert f["kind"] == "factor" and f["levels"].count() == 12000 and f["levels"].filter("level = 'l7'").first()["ord"] == 7
 
 
+def test_beta_of_arrays():
+    rng = np.random.default_rng(6)
+    x, a, b = rng.random(300), rng.uniform(0.3, 40, 300), rng.uniform(0.3, 40, 300)
+    x[:4] = 0, 1, np.nan, -1
+    assert np.allclose(stats.beta_inc_array(x, a, b), [stats.beta_inc(*z) for z in zip(x, a, b, strict=True)], equal_nan=True, rtol=1e-10)
+    assert stats.beta_inc_array(np.zeros(0), 1.0, 1.0).shape == (0,)
+
+
 # ------------------------------------------------------------------ trees
 def test_seriation_numbers_clusters_in_leaf_order():
     rng = np.random.default_rng(3)
