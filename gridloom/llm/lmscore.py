@@ -4,9 +4,9 @@ Vocabulary: words of the whole corpus are counted by Spark; the ``HEAD`` most fr
 rank, all others one of ``TAIL`` hashed ids, and within its id each has its share of the id's count:
 P(word) = P(id) * n(word) / (n(id) + 1), so the model of rare words grows with the vocabulary.  Counts of
 rare words stay distributed and meet the texts' rare words in one join on hash.  The network averages context embeddings (``REACH``
-words on each side, never the word itself) through tanh and predicts the word's class, then the word
-in its class (``SIDE`` of each), so that a word costs two small softmaxes.  It starts from the
-corpus' unigram frequencies.  Every task trains on all documents of its partition, and the parameters
+words on each side, never the word itself) through tanh and predicts the word's branch in a tree of ``SIDE``
+branches at each of ``DEPTH`` levels (ids by rank, so that branches hold words of like frequency), so that a word
+costs three small softmaxes.  It starts from the corpus' unigram frequencies.  Every task trains on all documents of its partition, and the parameters
 are averaged, weighted by words, over ``ROUNDS`` rounds; parameters and model have a fixed size.  As
 each task trains its own copy, scores depend a little on how the rows lie in partitions.
 
@@ -27,10 +27,10 @@ from pyspark.sql import functions as F
 from gridloom.llm import tokens as T
 from gridloom.llm.store import cut
 
-SIDE, HEAD, WIDTH, REACH, ROUNDS, BATCH, AVERAGERS = 64, 3072, 16, 2, 2, 4096, 16
-SIZE = SIDE * SIDE
+SIDE, DEPTH, HEAD, WIDTH, REACH, ROUNDS, BATCH, AVERAGERS = 16, 3, 3072, 16, 2, 2, 8192, 16
+SIZE = SIDE**DEPTH
 TAIL, PAD = SIZE - HEAD, SIZE
-SHAPES = {"embed": (SIZE + 1, WIDTH), "classes": (SIDE, WIDTH + 1), "words": (SIZE, WIDTH + 1)}
+SHAPES = {"embed": (SIZE + 1, WIDTH), **{f"tree{d}": (SIDE ** (d + 1), WIDTH + 1) for d in range(DEPTH)}}
 
 
 class Vocabulary:
@@ -56,7 +56,7 @@ class Vocabulary:
 
 
 class Network:
-    """Parameters by name (see SHAPES), float32; the last column of ``classes`` and ``words`` is a bias."""
+    """Parameters by name (see SHAPES), float32; the last column of each level of the tree is a bias."""
 
     def __init__(self, params: dict[str, np.ndarray]):
         self.p = params
@@ -64,10 +64,10 @@ class Network:
     @classmethod
     def start(cls, counts: np.ndarray, seed: int = 3) -> Network:
         rng = np.random.default_rng(seed)
-        c = (counts + 0.5).reshape(SIDE, SIDE)
         p = {k: rng.normal(0, 0.1, s).astype(np.float32) if k == "embed" else np.zeros(s, np.float32) for k, s in SHAPES.items()}
-        p["classes"][:, WIDTH] = np.log(c.sum(axis=1) / c.sum())
-        p["words"][:, WIDTH] = np.log(c / c.sum(axis=1, keepdims=True)).ravel()
+        for d in range(DEPTH):
+            c = (counts + 0.5).reshape(SIDE ** (d + 1), -1).sum(axis=1).reshape(-1, SIDE)
+            p[f"tree{d}"][:, WIDTH] = np.log(c / c.sum(axis=1, keepdims=True)).ravel()
         return cls(p)
 
     def flat(self) -> np.ndarray:
@@ -81,62 +81,63 @@ class Network:
             p[k], at = flat[at : at + n].reshape(s).astype(np.float32), at + n
         return cls(p)
 
-    def _forward(self, ids: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(rows of words by class, their ids, classes, hidden states and a 1, first word of each class) of a padded run."""
+    def _forward(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(rows of words by branch, their ids, hidden states and a 1) of a padded run."""
         e = self.p["embed"][ids]
         h = np.zeros((len(ids), WIDTH + 1), np.float32)
         for j in range(1, REACH + 1):
             h[j:, :WIDTH] += e[:-j]
             h[:-j, :WIDTH] += e[j:]
         at = np.flatnonzero(ids[REACH:-REACH] != PAD) + REACH
-        at = at[np.argsort((ids[at] // SIDE).astype(np.uint8), kind="stable")]  # a radix sort; SIDE <= 256
-        w = ids[at]
-        c = w // SIDE
+        at = at[np.argsort((ids[at] // SIDE).astype(np.uint8), kind="stable")]  # a radix sort; SIZE / SIDE <= 256
         h = h[at]
         np.tanh(h, out=h)
         h[:, WIDTH] = 1
-        return at, w, c, h, np.searchsorted(c, np.arange(SIDE + 1))
-
-    def _word_logits(self, h: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        z, words = np.empty((len(h), SIDE), np.float32), self.p["words"].reshape(SIDE, SIDE, -1)
-        for k in np.flatnonzero(np.diff(ends)):
-            np.matmul(h[ends[k] : ends[k + 1]], words[k].T, out=z[ends[k] : ends[k + 1]])
-        return z
+        return at, ids[at], h
+
+    def _levels(self, w: np.ndarray, h: np.ndarray):
+        """Of each level of the tree, for words sorted by branch: (name, rows of each node on it, logits, branch taken)."""
+        for d in range(DEPTH):
+            below = SIDE ** (DEPTH - 1 - d)
+            node = w // (below * SIDE)
+            ends = np.searchsorted(node, np.arange(SIDE**d + 1)).tolist()
+            nodes = [(k, slice(ends[k], ends[k + 1])) for k in range(SIDE**d) if ends[k] < ends[k + 1]]
+            weights, z = self.p[f"tree{d}"].reshape(-1, SIDE, WIDTH + 1), np.empty((len(w), SIDE), np.float32)
+            for k, rows in nodes:
+                np.dot(h[rows], weights[k].T, out=z[rows])
+            yield f"tree{d}", nodes, z, w // below % SIDE
 
     def log_prob(self, ids: np.ndarray) -> np.ndarray:
         """log P(id | its neighbours) at every place of a padded run (see :func:`padded`), 0 at PAD."""
         out = np.zeros(len(ids))
-        for part, a in _parts(ids, 1 << 14):
-            at, w, c, h, ends = self._forward(part)
-            row = np.arange(len(w))
-            z = h @ self.p["classes"].T
-            v = self._word_logits(h, ends)
-            out[a + at] = z[row, c] + v[row, w - c * SIDE] - _lse(z) - _lse(v)
+        for part, a in _parts(ids, BATCH):
+            at, w, h = self._forward(part)
+            row, total = np.arange(len(w)), np.zeros(len(w))
+            for _, _, z, branch in self._levels(w, h):
+                total += z[row, branch] - _lse(z)
+            out[a + at] = total
         return out
 
-    def train(self, ids: np.ndarray, seen: dict, batch: int = BATCH, lr: float = 0.08) -> None:
+    def train(self, ids: np.ndarray, seen: dict, batch: int = BATCH, lr: float = 0.12) -> None:
         """One pass of Adagrad over a padded run; ``seen`` keeps the squared gradients."""
         for part, _ in _parts(ids, batch):
-            at, w, c, h, ends = self._forward(part)
+            at, w, h = self._forward(part)
             n = len(w)
             if not n:
                 continue
-            row = np.arange(n)
-            g = _softmax(h @ self.p["classes"].T)
-            g[row, c] -= 1
-            grads = {"classes": g.T @ h}
-            dh = g @ self.p["classes"][:, :WIDTH]
-            g = _softmax(self._word_logits(h, ends))
-            g[row, w - c * SIDE] -= 1
-            gw, words = np.zeros((SIDE, SIDE, WIDTH + 1), np.float32), self.p["words"].reshape(SIDE, SIDE, -1)
-            for k in np.flatnonzero(np.diff(ends)):
-                rows = slice(ends[k], ends[k + 1])
-                np.matmul(g[rows].T, h[rows], out=gw[k])
-                dh[rows] += g[rows] @ words[k, :, :WIDTH]
-            grads["words"] = gw.reshape(SHAPES["words"])
-            dh *= 1 - h[:, :WIDTH] ** 2
+            row, dh, more, grads = np.arange(n), np.zeros_like(h), np.empty_like(h), {}
+            for name, nodes, z, branch in self._levels(w, h):
+                g = _softmax(z)
+                g[row, branch] -= 1
+                weights, gw = self.p[name].reshape(-1, SIDE, WIDTH + 1), np.zeros((len(self.p[name]) // SIDE, SIDE, WIDTH + 1), np.float32)
+                for k, rows in nodes:
+                    np.dot(g[rows].T, h[rows], out=gw[k])
+                    np.dot(g[rows], weights[k], out=more[rows])
+                dh += more
+                grads[name] = gw.reshape(SHAPES[name])
+            dh *= 1 - h * h
             back = np.zeros((len(part), WIDTH), np.float32)
-            back[at] = dh
+            back[at] = dh[:, :WIDTH]
             ge = np.zeros_like(back)  # a place feeds the words around it
             for j in range(1, REACH + 1):
                 ge[j:] += back[:-j]

@@ -113,6 +113,97 @@ def test_names_that_start_sentences():
     assert {(x[0], x[4]) for x in got} == {(0, False), (1, True), (2, True), (3, True)}
 
 
+def brute_templates(t, typing):
+    """(kind, value) of a text's template tokens, word by word."""
+    D = decontaminate
+    out, at = [], 0
+    found = [(m.group(), m.start(), m.end()) for m in re.finditer(r"[0-9A-Za-z\x80-\U0010ffff]+", t)]
+    lower = lambda w: "".join(c.lower() if c.isascii() else c for c in w)
+    big = lambda w: "A" <= w[0] <= "Z" or "À" <= w[0] <= "Þ"
+    fresh = [k == 0 or any(c in ".!?:\n" for c in t[found[k - 1][2] : a]) for k, (_, a, _) in enumerate(found)]
+    inner = {lower(w) for (w, _, _), f in zip(found, fresh, strict=True) if big(w) and not f}
+    small = {lower(w) for w, _, _ in found if not big(w)}
+    for k, (w, _, _) in enumerate(found):
+        kind = D.WORD
+        if typing != "plain":
+            if "0" <= w[0] <= "9":
+                kind = D.NUMBER
+            elif big(w) and (not fresh[k] or typing == "names" and lower(w) in inner and lower(w) not in small):
+                kind = D.NAME
+            elif k and at == D.NUMBER and lower(w) in D.UNITS:
+                kind = D.UNIT
+            if k and kind != D.WORD and kind == at:
+                continue
+        at = kind
+        out.append((kind, lower(w)))
+    return out
+
+
+def brute_leaks(texts, items):
+    """{(row, item): exact} by dictionaries of window tuples."""
+    D, out = decontaminate, {}
+
+    class Table:
+        pass
+
+    for typing in D.TYPINGS:
+        mark = lambda x: x[1] if x[0] == D.WORD else x[0]
+        docs, bench = ([brute_templates(x or "", typing) for x in xs] for xs in (texts, [x for _, x in items]))
+        for r, d in enumerate(docs):
+            for k, b in enumerate(bench):
+                size = min(D.WINDOW, len(b))
+                good = lambda w: sum(x[0] == D.WORD for x in w) >= min(D.LITERAL, size)  # noqa: B023, E731
+                mine = [j for j in range(len(b) - size + 1) if good(b[j : j + size])] if b else []
+                pairs = [(i, j) for i in range(len(d) - size + 1) for j in mine if list(map(mark, d[i : i + size])) == list(map(mark, b[j : j + size]))]
+                if not pairs:
+                    continue
+                if size < D.WINDOW:
+                    best = any(d[i : i + size] == b[j : j + size] for i, j in pairs)
+                else:
+                    t, x = Table(), Table()
+                    t.kind, t.value, x.t, x.total = [y[0] for y in d], [hash(y[1]) for y in d], Table(), {k: len(mine)}
+                    x.t.value = [hash(y[1]) for y in b]
+                    best = D._judge(pairs, t, x, k)
+                    if best is None:
+                        continue
+                    best = best[2]
+                out[r, items[k][0]] = out.get((r, items[k][0]), False) or best
+    return out
+
+
+def test_leaks_equal_brute_force():
+    rng = random.Random(13)
+    pool = "the cost of a red blue box is and then we buy sell for how many do remain in total Ann Bob Çelik 5 12 7 km kg days . ? :".split()
+    make = lambda n: " ".join(rng.choice(pool) for _ in range(n))
+    items = [(k, make(rng.choice([3, 6, 9, 14, 30, 60]))) for k in range(40)]
+    items += [(40 + k, items[k][1].replace("Ann", "Eve").replace("5", "9")) for k in range(10)] + [(50, ""), (51, "...")]
+    texts = [None, "", make(400), *[make(30) for _ in range(60)]]
+    for _ in range(80):
+        x = rng.choice(items)[1].split()
+        for _ in range(rng.randrange(4)):
+            if x:
+                x[rng.randrange(len(x))] = rng.choice(pool)
+        texts.append(" ".join([make(rng.randrange(9)), " ".join(x), make(rng.randrange(9)), " ".join(x[: len(x) // 2]), make(5)]))
+    texts += [items[3][1] * 40, " ".join(x for _, x in items)]
+    got = {(x[0], x[1]): x[4] for x in decontaminate.leaks(pa.array(texts), decontaminate.Benchmark(items))}
+    want = brute_leaks(texts, items)
+    assert got == want and 50 < len(want) < len(texts) * len(items) / 4
+
+
+def test_hot_templates_stay_cheap(spark):
+    """One template in every item and thousands of times in a text; null ids are reported as null."""
+    items = [(k, f"What is the sum of the two numbers {k} and {k + 1} in this small exercise number {k} here {k % 7}?") for k in range(3000)]
+    hot = " ".join(items[5][1] for _ in range(3000))
+    b = decontaminate.Benchmark(items)
+    part = "What is the sum of the two numbers 8 and " * 2000
+    got = decontaminate.leaks(pa.array([part, "nothing"]), b)
+    assert got == []
+    few = decontaminate.Benchmark(items[:8])
+    assert (0, 5, True) in {(x[0], x[1], x[4]) for x in decontaminate.leaks(pa.array([hot]), few)}
+    one = frame(spark, [items[5][1]], [None])
+    assert [r["doc_id"] for r in decontaminate.find_leaks(one, spark.createDataFrame(items[5:6], "item_id long, text string")).collect()] == [None]
+
+
 # ------------------------------------------------------------------ 2
 def test_chat_round_trip(spark):
     rng = random.Random(1)
@@ -125,6 +216,8 @@ def test_chat_round_trip(spark):
         want[conv] = turns
     rows.append((39, 99, "assistant", "long " * 5000, "x"))
     want[39].append(("assistant", "long " * 5000))
+    rows += [(7, 50, "assistant", "again", "x")] * 2  # a repeated row is a turn of its own
+    want[7] += [("assistant", "again")] * 2
     rng.shuffle(rows)
     d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, window string")
     w = chat.format_conversations(d, budget=60, history=20)
@@ -135,6 +228,8 @@ def test_chat_round_trip(spark):
         assert r["n_turns"] == len(turns)
         assert r["turns_sha256"] == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in turns).encode()).hexdigest()
         assert r["loss_chars"] == len(loss) and r["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
+    key = lambda r: str(r["conv_id"])
+    assert sorted(chat.format_and_read_back(d, 60, 20).collect(), key=key) == sorted(chat.read_back(w).collect(), key=key)
     for r in w.collect():  # windows keep the budget unless a single turn is above it, and start with the system turn
         turns = list(chat.parse(r["text"]))
         if want[r["conv_id"]][0][0] == "system":
@@ -173,6 +268,54 @@ def test_nearest_recall_and_ties(spark):
     assert [r["vec_id"] for r in ann.nearest(few, F.col("vec_id") == 0).orderBy("rank").collect()] == [1, 2]
 
 
+def test_repeated_vector_ids(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (0, [0.0, 5.0]), (1, [3.0, 1.0]), (2, [1.0, 1.0]), (2, [1.0, 1.0]), (3, [0.5, 9.0])]
+    for part in (rows, rows[::-1]):
+        d = spark.createDataFrame([(*r, "x") for r in part], "vec_id long, embedding array<float>, key string")
+        got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in ann.nearest(d, F.col("vec_id") == 0, k=4).orderBy("rank").collect()]
+        assert got == [(0, 1, 3, 45.0), (0, 2, 1, 5.0), (0, 3, 2, 5.0)]  # asks with [0, 5]
+
+
+def cloud(kind, n=8000, d=64):
+    rng = np.random.default_rng(14)
+    x = rng.normal(size=(n, d))
+    if kind == "unit":
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if kind in ("norms", "clusters"):
+        x = x if kind == "norms" else rng.normal(size=(80, d))[rng.integers(0, 80, n)] + 0.3 * x
+        x = x / np.linalg.norm(x, axis=1, keepdims=True) * rng.lognormal(0, 0.3 if kind == "norms" else 1, (n, 1))
+    if kind == "tight":  # far-off clusters below the degree of a node
+        x = rng.normal(size=(n // 20, d))[np.arange(n) % (n // 20)] + 0.001 * x
+    return x.astype(np.float32)
+
+
+@pytest.mark.parametrize("kind", ["unit", "gaussian", "wide", "norms", "clusters", "tight"])
+def test_recall_at_shard_size(kind):
+    """The shipped settings on a full shard, with vectors of equal and of varying norms."""
+    x = cloud(kind, d=256 if kind == "wide" else 64)
+    ids = np.arange(len(x))
+    bands = ann.build_shard(ids, ids, x)
+    q = x[::40]
+    got, keys, scores = ann.search_bands(bands, x.shape[1], q, 21)
+    s = q.astype(float) @ x.astype(float).T
+    kth = np.sort(-s, axis=1)[:, 20:21]
+    recall = (-scores <= kth + 1e-9 * np.abs(kth)).mean()
+    print(f"\n{kind}: recall {recall:.3f}, bands {len(bands)}, beams {sorted({b['beam'] for b in bands})}")
+    assert recall >= 0.95 and (got == keys).all()
+    assert np.allclose(scores, np.take_along_axis(s, got, 1), rtol=1e-12, atol=1e-12)
+
+
+def test_every_node_can_be_reached():
+    x = cloud("tight", 2000)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    links = ann._reach(ann._links(x, 8), x, 7)
+    seen = {7}
+    front = [7]
+    while front:
+        front = [int(v) for u in front for v in links[u] if v >= 0 and v not in seen and not seen.add(int(v))]
+    assert len(seen) == len(x)
+
+
 # ------------------------------------------------------------------ 4
 def test_quality_on_held_out_labels(spark):
     d = "/root/testdata/sf0.01"
@@ -211,17 +354,25 @@ def test_cascade_is_exact(spark):
     listed = uni.filter("id % 7 = 0").union(uni.filter("id = 14"))
     c = urlfilter.build_cascade(listed, uni, bits_per_key=3)
     assert len(c.levels) >= 3
-    for cascade in (c, urlfilter.build_cascade(listed, uni, max_bits=10)):
-        assert cascade.flag(uni, "key", "listed").filter((F.col("id") % 7 == 0) != F.col("listed")).count() == 0
+    segmented = urlfilter.build_cascade(listed, uni, max_bits=3000)
+    assert segmented.levels[0][1] == 3
+    for cascade in (c, segmented):
+        assert uni.filter((F.col("id") % 7 == 0) != cascade.contains(F.col("key"))).count() == 0
     empty = urlfilter.build_cascade(listed.limit(0), uni)
-    assert empty.flag(uni, "key", "listed").filter("listed").count() == 0
+    assert uni.filter(empty.contains(F.col("key"))).count() == 0
+    alone = urlfilter.build_cascade(listed, uni.limit(0))
+    assert listed.filter(~alone.contains(F.col("key"))).count() == 0
+    none = uni.limit(3).select(F.lit(None).cast("string").alias("key"))
+    assert none.filter(urlfilter.build_cascade(listed.union(none.select("key", F.lit(1))), uni).contains(F.col("key"))).count() == 0
 
 
 def test_urls_and_rules(spark):
     urls = ["HTTP://A.Example.COM/en/7?x", "http://example.com/en/8", "https://www.spam-farm.example.net/de/81#t", "http://x.net/de/", "ftp://org/es/", "http://borg/es/", None, "no scheme", "http://host", "http://É.com/en/1\nx", "a://b://c/d"]
+    urls += ["https://m.cheap-pills.example.org/x", "https://cheap-pills.example.org", "https://notcheap-pills.example.org/x", "https://long.test/" + "p" * 100000, urls[0]]
     d = spark.createDataFrame([(i, u, "k") for i, u in enumerate(urls)], "page_id long, url string, host string")
     uni = d.select(urlfilter.host_of(F.col("url")).alias("key"))
-    c = urlfilter.build_cascade(uni.filter(F.col("key").rlike(urlfilter.BLOCKED)), uni)
+    domains = spark.createDataFrame([(x,) for x in urlfilter.BLOCKED_DOMAINS], "domain string")
+    c = urlfilter.build_cascade(urlfilter.listed_hosts(uni, domains), uni)
     got = {r["page_id"]: tuple(r)[1:] for r in urlfilter.filter_urls(d, c).collect()}
     assert got[0] == ("a.example.com", "/en/7", "example.com/en/7", "allow")
     assert got[1] == ("example.com", "/en/8", "com/en/", "block")
@@ -229,6 +380,7 @@ def test_urls_and_rules(spark):
     assert got[3][2:] == ("net/de/", "allow") and got[4][2:] == ("org/es/", "block") and got[5][2:] == (None, "allow")
     assert got[6] == got[7] == ("", "", None, "allow") and got[8][:2] == ("host", "")
     assert got[9][0] == "É.com" and got[10][:2] == ("b:", "//c/d")
+    assert [got[k][3] for k in (11, 12, 13, 14)] == ["block", "block", "allow", "allow"] and len(got[14][1]) == 100001 and got[15] == got[0]
     assert urlfilter.filter_urls(d.limit(0), c).count() == 0
 
 
@@ -284,6 +436,65 @@ def test_discovered_instances_support_patterns(spark):
     assert got[51] == "id:19:27"
 
 
+def test_contexts_of_any_length():
+    """Two whole words, however long they are and however many blanks lie between."""
+    long = "w" * 500
+    for t, want in ((f"mail{' ' * 70}to\n{' ' * 90}id-12345", "mail to"), (f"{long} (to) id-12345", f"{long} to"), ("to id-12345", ""), (f"one {'x' * 90}=id-12345", "")):
+        assert [p for _, _, p in pii.candidates(t)] == [want]
+    assert pii._pattern("x " + " " * 10**6 + "y", 10**6 + 2) == ""  # linear
+    glued = "see it " + "a" * 80 + ":1.2.3.4"
+    assert pii._pattern(glued, pii._token_start(glued, glued.index("1.2.3.4"))) == "see it"
+
+
+def brute_patterns(texts):
+    """The bootstrapping rule by dictionaries: (pattern, confidence)."""
+    graph = {}
+    for t in texts:
+        base = sorted((a, z) for _, a, z in pii.base_spans(t or ""))
+        found = [(a, z, p, re.fullmatch(r"[0-9a-f]{32,}", t[a:z]) is not None and bool(re.search("[a-f]", t[a:z]))) for a, z, p in pii.candidates(t or "") if not any(a < y and x < z for x, y in base)]
+        end = 0
+        for a, z in base:
+            if a >= end:
+                k = a
+                while k > end and not t[k - 1].isspace():
+                    k -= 1
+                before = [x.strip(pii._STRIP).lower() for x in re.findall(r"[^\x20\x09-\x0D]+", t[:k])[-2:]]
+                found.append((a, z, " ".join(before) if len(before) == 2 and all(before) else "", True))
+            end = max(end, z)
+        for a, z, p, seed in found:
+            if p:
+                graph[p, t[a:z]] = graph.get((p, t[a:z]), False) or seed
+    known, strong = {}, {}
+    for _ in range(pii.ROUNDS):
+        strong = {}
+        for p in {x for x, _ in graph}:
+            scores = [1.0 if seed else known.get(i, 0.0) for (x, i), seed in graph.items() if x == p]
+            conf = sum(scores) / (len(scores) + pii.DAMPING)
+            if conf >= pii.CONFIDENT and sum(c >= pii.CONFIDENT for c in scores) >= pii.SUPPORT:
+                strong[p] = conf
+        miss = collections.defaultdict(lambda: 1.0)
+        for (p, i), seed in graph.items():
+            if p in strong and not seed:
+                miss[i] *= 1 - strong[p]
+        known = {i: 1 - m for i, m in miss.items()}
+    return strong
+
+
+def test_bootstrapping_equals_brute_force(spark, odd):
+    rng = random.Random(12)
+    places = [(f"p{k}", f"q{k % 4}") for k in range(12)]
+    seeds = [f"u{k}@mail.example.com" for k in range(30)] + [f"10.0.0.{k}" for k in range(9)]
+    texts = [*odd]
+    for _ in range(900):
+        k = min(int(rng.expovariate(0.3)), 11)
+        found = rng.choice(seeds) if rng.random() < 0.9 - 0.07 * k else f"n-{max(k - 5, 0)}-{rng.randrange(40)}"
+        texts.append(f"{text(rng, 2)} {places[k][0]} {places[k][1]}: {found} {text(rng, 2)}")
+    want = brute_patterns(texts)
+    got = {r["pattern"]: r["confidence"] for r in pii.find_patterns(frame(spark, texts)).collect()}
+    assert 2 <= len(want) < len(places)
+    assert set(got) == {pii.pattern_hash(p) for p in want} and all(abs(got[pii.pattern_hash(p)] - c) < 1e-9 for p, c in want.items())
+
+
 # ------------------------------------------------------------------ 7
 def test_pseudo_likelihood(spark, odd):
     rng = random.Random(5)
@@ -325,8 +536,10 @@ def test_log_probabilities_equal_brute_force():
             near = [ids[j] if a <= j < z else lmscore.PAD for j in range(i - lmscore.REACH, i + lmscore.REACH + 1) if j != i]
             h = np.r_[np.tanh(p["embed"][near].sum(axis=0)), 1]
             want = 0
-            for logits, k in ((p["classes"] @ h, ids[i] // lmscore.SIDE), (p["words"].reshape(lmscore.SIDE, lmscore.SIDE, -1)[ids[i] // lmscore.SIDE] @ h, ids[i] % lmscore.SIDE)):
-                want += logits[k] - np.log(np.exp(logits).sum())
+            for d in range(lmscore.DEPTH):
+                below = lmscore.SIDE ** (lmscore.DEPTH - 1 - d)
+                logits = p[f"tree{d}"].reshape(-1, lmscore.SIDE, lmscore.WIDTH + 1)[ids[i] // (below * lmscore.SIDE)] @ h
+                want += logits[ids[i] // below % lmscore.SIDE] - np.log(np.exp(logits).sum())
             assert abs(got[i] - want) < 1e-4
     before, seen = got.mean(), {}
     for _ in range(20):
@@ -338,7 +551,7 @@ def test_log_probabilities_equal_brute_force():
 def test_every_document_trains(spark, seed):
     """Even a corpus of one text trains the network, with the settings as they are."""
     _, net = lmscore.fit(frame(spark, [text(random.Random(seed), 200, 20)]))
-    assert np.abs(net.p["classes"]).max() > 0
+    assert np.abs(net.p["tree0"][:, : lmscore.WIDTH]).max() > 0
 
 
 def test_rare_words_have_their_own_probability(spark):
@@ -372,10 +585,10 @@ def test_substrings_equal_brute_force(spark, odd):
     mix = [" ".join(rng.choice(parts) if rng.random() < 0.5 else text(rng, 15, 500) for _ in range(rng.randrange(1, 6))) for _ in range(60)]
     loops = ["ab cd " * 60, "x " * 36, "x " * 34, "p q r s t u v " * 20]
     texts = [*odd, *mix, *loops]
-    ids = [None, *range(1, len(texts) - 2), 5, 5]
+    ids = [None, *range(1, len(texts) - 3), -(1 << 63), 5, 5]
     got = substring.dedup(frame(spark, texts, ids)).collect()
     want = [(i, *b) for i, b in zip(ids, brute_dedup(texts, substring.K), strict=True)]
-    key = lambda r: (-1 if r[0] is None else r[0], r[1], r[2], r[3])
+    key = lambda r: (r[0] is None, r[0] or 0, r[1], r[2], r[3])
     assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
     assert substring.dedup(frame(spark, texts).limit(0)).count() == 0
 
@@ -438,7 +651,7 @@ def brute_classes(texts, ids):
     best = {}
     for i, d in enumerate(ids):
         best.setdefault(find(i), []).append(d)
-    return [(d, min(x for x in best[find(i)]), len(best[find(i)])) for i, d in enumerate(ids)]
+    return [(d, min((x for x in best[find(i)] if x is not None), default=None), len(best[find(i)])) for i, d in enumerate(ids)]
 
 
 def test_near_duplicates_equal_brute_force(spark, odd):
@@ -451,18 +664,59 @@ def test_near_duplicates_equal_brute_force(spark, odd):
             w[rng.randrange(150)] = f"x{rng.randrange(10**6)}"
         ring.append(" ".join(w))
     heavy = ["a b c d e " * 40, "a b c d e " * 42, "a b c d e " * 20]
-    texts = [*odd, *ring, *heavy, odd[5]]
-    ids = [*range(len(texts) - 1), 5]
+    texts = [*odd, *ring, *heavy, odd[5], odd[5], ring[0], "null one", "null one", "null two"]
+    ids = [*range(len(texts) - 6), 5, None, None, None, None, -(1 << 63)]
+    key = lambda r: str(r)
     old, neardup.CHUNK = neardup.CHUNK, 40
     try:
-        got = sorted(map(tuple, neardup.near_duplicates(frame(spark, texts, ids)).collect()))
+        got = sorted(map(tuple, neardup.near_duplicates(frame(spark, texts, ids)).collect()), key=key)
     finally:
         neardup.CHUNK = old
-    assert got == sorted(brute_classes(texts, ids))
+    assert got == sorted(brute_classes(texts, ids), key=key)
+    assert got == sorted(map(tuple, neardup.near_duplicates(frame(spark, texts, ids)).collect()), key=key)  # in one block
     docs = frame(spark, texts, ids)
+    docs = docs.union(docs.filter("doc_id = 0").withColumn("lang", F.lit("aa")))
     kept = neardup.keep_one(docs)
-    assert kept.columns == docs.columns and kept.count() == len({c for _, c, _ in got})
-    assert neardup.near_duplicates(docs.limit(0)).count() == 0
+    assert kept.columns == docs.columns and kept.count() == len({c for _, c, _ in got if c is not None}) + 1
+    assert [r["lang"] for r in kept.filter("doc_id = 0").collect()] == ["aa"]  # the least of equal ids and texts
+    assert sorted(map(tuple, kept.collect()), key=key) == sorted(map(tuple, neardup.keep_one(docs.orderBy(F.desc("lang"))).collect()), key=key)
+    assert neardup.near_duplicates(docs.limit(0)).count() == 0 and neardup.keep_one(docs.limit(0)).count() == 0
+
+
+def test_pairs_hidden_behind_other_hubs(spark):
+    """Pairs of near copies in a large family of pages that share a third of their text: every bucket has a smaller, unlike node."""
+    rng = random.Random(15)
+    lines = [text(rng, 12, 10**6) for _ in range(60)]
+    texts = []
+    for _ in range(300):
+        texts.append(" ".join([*rng.sample(lines, 24), text(rng, 150, 10**6)]))
+    pairs = []
+    for _ in range(50):
+        w = " ".join([*rng.sample(lines, 24), text(rng, 150, 10**6)]).split()
+        v = list(w)
+        for _ in range(6):
+            v[rng.randrange(len(v))] = f"x{rng.randrange(10**6)}"
+        pairs += [" ".join(w), " ".join(v)]
+    texts += pairs
+    got = sorted(map(tuple, neardup.near_duplicates(frame(spark, texts)).collect()))
+    assert got == sorted(brute_classes(texts, range(len(texts))))
+
+
+def test_stars_over_batches(spark):
+    """Buckets that lie across Arrow batches keep their smallest node, their first row and their parts."""
+    rng = random.Random(16)
+    rows = [(k, [rng.randrange(40), 100 + rng.randrange(1000)]) for k in range(600)]
+    want = collections.defaultdict(list)
+    for k, b in rows:
+        for x in b:
+            want[x].append(k)
+    want = {(x, i // 4, min(m), k) for x, m in want.items() if len(m) > 1 for i, k in enumerate(sorted(m))}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = [tuple(r) for r in neardup.stars(spark.createDataFrame(rows, "node long, bands array<long>"), 4).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == len(want) and set(got) == want
 
 
 def test_components_in_one_task_and_in_rounds(spark):
@@ -528,3 +782,64 @@ def test_pipeline_stages(spark):
     for _, stage in pipeline.STAGES:
         empty = stage(spark, empty, SF)
         assert empty.count() == 0
+
+
+def _odd_documents(spark):
+    """Copies, nulls in every column, empty and very long texts, personal data, a leak, and repeated rows that differ in other columns."""
+    rng = random.Random(17)
+    docs, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
+    clean = docs.join(decontaminate.find_leaks(docs, bench), "doc_id", "left_anti")
+    good = [r["text"] for r in clean.join(spark.read.parquet(f"{SF}/labels.parquet").filter("quality = 1"), "doc_id").orderBy("doc_id").collect()]
+    good = (good * 2)[:60]
+    item = max((r["text"] for r in bench.collect()), key=len)
+    rows = [(1, good[0], "en", "a", 1), (2, good[0], "de", "b", 1), (3, good[0], "aa", None, None), (3, good[0], "ab", "a", 1), (None, good[1], None, None, None)]
+    rows += [(5, None, "en", "a", 0), (6, "", None, "b", 0), (7, " ".join(good[2:40]) * 3, "en", "a", 9), (8, good[40] + " " + item + " " + good[41], "en", "b", 9)]
+    rows += [(9, good[42] + " write to someone.else@mail.example.com today", "en", "c", 9)] * 2
+    rows += [(20 + k, good[43 + k], rng.choice(["en", "de"]), rng.choice(["a", "b", None]), 5) for k in range(12)]
+    return spark.createDataFrame([(*r, "x", r[1], 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, th string, size string, rank int")
+
+
+def test_stages_on_odd_rows(spark):
+    """Each stage on nulls, empty and long texts, ties and repeated rows, in either order of the rows."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs = _odd_documents(spark)
+    out = {}
+    for name, stage in pipeline.STAGES[:-1]:
+        got = stage(spark, docs, SF)
+        assert got.columns == docs.columns
+        out[name] = sorted(map(tuple, got.collect()), key=str)
+        assert out[name] == sorted(map(tuple, stage(spark, docs.orderBy(F.desc("lang")), SF).collect()), key=str)
+    every = sorted(map(tuple, docs.collect()), key=str)
+    quality = [r for r in out["quality_classifier"] if r[1]]
+    assert sum(r[0] in (1, 2, 3, 7) for r in quality) == 5  # copies are scored alike, long texts too
+    kept = {(r[0], r[2]) for r in out["near_duplicates"]}
+    assert (1, "en") in kept and not {(2, "de"), (3, "aa"), (3, "ab")} & kept and (None, None) in kept
+    assert sum(r[0] == 9 for r in out["near_duplicates"]) == 1 and sum(r[0] in (5, 6) for r in out["near_duplicates"]) == 1
+    assert [r for r in every if r not in out["benchmark_decontamination"]] == [r for r in every if r[0] == 8]
+    masked = {r[0]: r for r in out["personal_data"]}
+    assert len(out["personal_data"]) == len(every) and "<email>" in masked[9][1] and masked[9][4] == len(masked[9][1]) and masked[5][1] is None
+    mixed = pipeline.mix(spark, docs, SF)
+    assert {"mix_size", "copies", "text", "rank"} <= set(mixed.columns) and mixed.filter("copies < 1 or mix_size > 0 and taken <> copies * mix_size").count() == 0
+
+
+def test_whole_pipeline(spark, tmp_path):
+    """``run`` over the smallest tables: what must go is gone, what is kept is whole; an empty table runs through."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    got = pipeline.run(spark, SF)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert got.columns[: len(docs.columns)] == docs.columns
+    rows = got.collect()
+    assert 0 < len(rows) < docs.count() and len({r["doc_id"] for r in rows}) == len(rows)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in rows:  # masks apart, every text is whole
+        parts = re.split(r"<(?:email|ip|card|phone|id|secret)>", r["text"])
+        at = 0
+        for x in parts:
+            at = texts[r["doc_id"]].index(x, at) + len(x)
+        assert texts[r["doc_id"]].startswith(parts[0]) and texts[r["doc_id"]].endswith(parts[-1])
+    bad = {r["doc_id"] for r in spark.read.parquet(f"{SF}/labels.parquet").filter("quality = 0").collect()}
+    assert len(bad & {r["doc_id"] for r in rows}) <= 2
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(str(tmp_path / f"{name}.parquet"))
+    docs.limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    assert pipeline.run(spark, str(tmp_path)).count() == 0
