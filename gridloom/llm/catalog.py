@@ -16,4 +16,4 @@ QUERIES = {
     "op9_source_mix": mixing.op9_source_mix,
     "op10_bagminhash": neardup.op10_bagminhash,
 }
-SQL = {"op5_url_cascade": urlfilter.OP5_SQL, "op9_source_mix": mixing.OP9_SQL}
+SQL = {"op5_url_cascade": urlfilter.OP5_SQL, "op8_debruijn": substring.OP8_SQL, "op9_source_mix": mixing.OP9_SQL, "op10_bagminhash": neardup.OP10_SQL}

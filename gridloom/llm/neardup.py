@@ -418,3 +418,20 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
 def op10_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+#: classes by all pairs that share a shingle, and the closure of their links; for small tables
+OP10_SQL = r"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+n AS (SELECT min(r) AS r, w FROM d GROUP BY w),
+s AS (SELECT r, array_to_string(w[a:a + 4], ' ') AS k FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 3, 2))) AS a FROM n WHERE len(w) > 0)),
+b AS (SELECT r, k, count(*) AS c FROM s GROUP BY r, k),
+z AS (SELECT r, sum(c) AS z FROM b GROUP BY r),
+p AS (SELECT x.r AS a, y.r AS b, sum(least(x.c, y.c)) AS shared FROM b x JOIN b y ON x.k = y.k AND x.r < y.r GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN z u ON u.r = a JOIN z v ON v.r = b WHERE shared >= 0.8 * (u.z + v.z - shared)),
+link AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+walk AS (SELECT r, r AS t FROM n UNION SELECT walk.r, link.b FROM walk JOIN link ON link.a = walk.t),
+c AS (SELECT r, min(t) AS c FROM walk GROUP BY r),
+m AS (SELECT d.doc_id, c.c FROM d JOIN n ON n.w = d.w JOIN c ON c.r = n.r)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY c) AS class_id, count(*) OVER (PARTITION BY c) AS class_size FROM m
+"""

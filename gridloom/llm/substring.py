@@ -202,3 +202,15 @@ def dedup(docs: DataFrame, k: int = K, g: int = G) -> DataFrame:
 def op8_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return dedup(docs).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+#: the words under repeated windows, by the windows as strings
+OP8_SQL = r"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT r, w, unnest(range(1, len(w) - 33)) AS a FROM d WHERE len(w) >= 35),
+h AS (SELECT r, a, array_to_string(w[a:a + 34], ' ') AS k FROM s),
+g AS (SELECT DISTINCT r, unnest(range(a, a + 35)) AS i FROM h WHERE k IN (SELECT k FROM h GROUP BY k HAVING count(*) > 1)),
+x AS (SELECT r, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM d),
+t AS (SELECT x.r, count(g.i) AS n_removed, string_agg(CASE WHEN g.i IS NULL THEN word END, ' ' ORDER BY x.i) AS kept FROM x LEFT JOIN g ON g.r = x.r AND g.i = x.i GROUP BY x.r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN t ON t.r = d.r
+"""
