@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import uuid
+import numpy as np
 from pyspark.sql import functions as F
 
 from gridloom import layout as L
@@ -18,10 +19,11 @@ from gridloom.operators import setstats as SS
 from gridloom.operators import temporal as T
 from gridloom.operators import volume as V
 from gridloom.operators.order import ensure_checkpoint_dir
-from gridloom.plans.registry import query, r, show
+from gridloom.plans.registry import draws, query, r, show
 from gridloom.plans.sets import group_maps, stack
 from gridloom.plans.spec import PlotSpec, summary_scene
 from gridloom.plans.volumes import _G, _IJK, _PT, _points, vol
+from gridloom.rng import mulberry32, random_index
 from gridloom.sources import atlas, delimited, manifest, nifti, summary
 
 
@@ -254,6 +256,15 @@ def _(spark, d):
     return show(T.spectrum(L.series(spark, d).filter("idx < 6"), 2.0), "idx", "bin", hz="hz", re="re", im="im")
 
 
+@query("seeded_draws", f"WITH {draws(5, 40, 7)} SELECT CAST(rep AS INTEGER) AS rep, CAST(n AS INTEGER) AS n, u, CAST(floor(u * 13) AS INTEGER) AS pick FROM rnd")
+def _(spark, d):
+    out = []
+    for rep in range(5):
+        draw, pick = mulberry32(7 + rep), mulberry32(7 + rep)
+        out += [(rep, n, draw(), random_index(pick, 13)) for n in range(40)]
+    return rows(spark, out, "rep int, n int, u double, pick int")
+
+
 # ------------------------------------------------------------------ lens and correlation along dimensions
 _LENS = "l AS (SELECT c_custkey, x, y, sqrt(power(x - 1, 2) + power(y - 2, 2)) / 6 AS q FROM p)"
 
@@ -432,3 +443,81 @@ def _(spark, d):
 @query("stored_summary_scene", f"WITH {_SUM} SELECT brand, {r('m')} AS mean, {r('m - se')} AS lo, {r('m + se')} AS hi, CAST(n AS DOUBLE) AS n FROM s")
 def _(spark, d):
     return show(summary_scene(_summary(spark, d), PlotSpec(x="brand")), "brand", mean="mean", lo="lo", hi="hi", n=F.col("n").cast("double"))
+
+
+# ------------------------------------------------------------------ layouts
+_GM2 = "gm AS (SELECT grp AS member, pos, avg(value) AS value FROM members GROUP BY grp, pos)"
+_LAY = f"{_GM2}, lay AS (SELECT member, max(value) FILTER (pos = 0) AS x, max(value) FILTER (pos = 1) AS y FROM gm GROUP BY member)"
+_DEL = f"{_LAY}, pr AS (SELECT a.member AS i, b.member AS j, 1 - corr(a.value, b.value) AS delta FROM gm a JOIN gm b ON b.pos = a.pos AND b.member > a.member GROUP BY 1, 2), pd AS (SELECT i, j, delta, sqrt(power(p.x - q.x, 2) + power(p.y - q.y, 2)) AS d FROM pr JOIN lay p ON p.member = i JOIN lay q ON q.member = j)"
+
+
+def _layout(spark, d):
+    g = group_maps(spark, d)
+    at = lambda n: F.max(F.when(F.col("pos") == n, F.col("value")))
+    return g.groupBy("member").agg(at(0).alias("x"), at(1).alias("y"))
+
+
+def _delta(spark, d):
+    """Dissimilarities of the ten maps, and the places that their first two cells give them."""
+    m, ids = E.matrix(SS.correlation_matrix(group_maps(spark, d)).select(F.col("a").alias("i"), F.col("b").alias("j"), (1 - F.col("r")).alias("d")))
+    lay = {x["member"]: (x["x"], x["y"]) for x in _layout(spark, d).collect()}  # ten rows
+    return m, [lay[i] for i in ids], ids
+
+
+@query("layout_regression", f"+{_LAY}, c AS (SELECT 'cell' || gm.pos AS name, covar_pop(x, value) AS sxv, covar_pop(y, value) AS syv, var_pop(x) AS sxx, var_pop(y) AS syy, covar_pop(x, y) AS sxy, var_pop(value) AS svv FROM gm JOIN lay ON lay.member = gm.member WHERE pos BETWEEN 2 AND 6 GROUP BY 1), b AS (SELECT *, (sxv * syy - syv * sxy) / (sxx * syy - sxy * sxy) AS bx, (syv * sxx - sxv * sxy) / (sxx * syy - sxy * sxy) AS vy FROM c) SELECT name, {r('(bx * sxv + vy * syv) / svv')} AS r2, {r('bx / sqrt(bx * bx + vy * vy)')} AS dx, {r('vy / sqrt(bx * bx + vy * vy)')} AS dy FROM b", "members")
+def _(spark, d):
+    cov = group_maps(spark, d).filter("pos between 2 and 6").select(F.concat(F.lit("cell"), "pos").alias("name"), "member", "value")
+    return show(E.envfit(_layout(spark, d), cov, permutations=0), "name", r2="r2", dx="dx", dy="dy")
+
+
+@query("layout_groups", f"+{_LAY}, f AS (SELECT member % 3 AS g, x, y FROM lay), w AS (SELECT sum(vx * n) + sum(vy * n) AS within FROM (SELECT var_pop(x) AS vx, var_pop(y) AS vy, count(*) AS n FROM f GROUP BY g)), t AS (SELECT (var_pop(x) + var_pop(y)) * count(*) AS total FROM f) SELECT 'third' AS name, {r('1 - within / total')} AS r2 FROM w, t", "members")
+def _(spark, d):
+    lay = _layout(spark, d)
+    cov = lay.select(F.lit("third").alias("name"), "member", (F.col("member") % 3).cast("double").alias("value"))
+    return show(E.envfit(lay, cov, "factor", permutations=0), "name", r2="r2")
+
+
+@query("path_lengths", f"+{_DEL} SELECT 'forward' AS way, {r('sum(delta)')} AS length FROM pd WHERE j = i + 1 UNION ALL SELECT 'evens', {r('sum(delta)')} FROM pd WHERE j = i + 2 AND i % 2 = 0", "members")
+def _(spark, d):
+    m, _, ids = _delta(spark, d)
+    out = [("forward", E.path_length(list(range(len(ids))), m)), ("evens", E.path_length(list(range(0, len(ids), 2)), m))]
+    return show(rows(spark, out, "way string, length double"), "way", length="length")
+
+
+@query("metric_stress", f"+{_DEL}, k AS (SELECT sum(delta * d) / sum(delta * delta) AS k FROM pd) SELECT {r('sqrt(sum(power(d - k * delta, 2)) / sum(d * d))')} AS stress FROM pd, k", "members")
+def _(spark, d):
+    m, lay, _ = _delta(spark, d)
+    i, j = np.triu_indices(len(m), 1)
+    flat, dist = m[i, j], E._pair_distances(np.array(lay))
+    return show(rows(spark, [(E.stress1(dist, flat * (flat @ dist) / (flat @ flat)),)], "stress double"), stress="stress")
+
+
+_ISO = "o AS (SELECT i, j, d, row_number() OVER (ORDER BY delta, d) AS n FROM pd), c AS (SELECT n, sum(d) OVER (ORDER BY n) AS s FROM o UNION ALL SELECT 0, 0.0), m AS (SELECT a.n + 1 AS a, b.n AS b, (b.s - a.s) / (b.n - a.n) AS mean FROM c a JOIN c b ON b.n > a.n), lo AS (SELECT o.n, m.a, min(mean) AS low FROM o JOIN m ON m.a <= o.n AND m.b >= o.n GROUP BY 1, 2), hi AS (SELECT n, max(low) AS fit FROM lo GROUP BY n)"
+
+
+@query("monotone_disparities", f"+{_DEL}, {_ISO} SELECT i, j, {r('fit')} AS disparity FROM o JOIN hi ON hi.n = o.n", "members")
+def _(spark, d):
+    """By the max-min formula in SQL, by pooling here."""
+    m, lay, ids = _delta(spark, d)
+    i, j = np.triu_indices(len(m), 1)
+    hat = E.disparities(m[i, j], E._pair_distances(np.array(lay)))
+    return show(rows(spark, [(int(ids[a]), int(ids[b]), float(h)) for a, b, h in zip(i, j, hat, strict=True)], "i int, j int, disparity double"), "i", "j", disparity="disparity")
+
+
+_PRO = (
+    "p AS (SELECT c_acctbal AS x, c_custkey % 97 * 10.0 AS y, c_custkey % 97 * 20.0 + 5 + c_custkey % 7 AS u, c_acctbal * CASE WHEN {turn} THEN -2 ELSE 2 END + 1 - c_custkey % 5 AS v FROM customer), "
+    "s AS (SELECT covar_pop(x, u) AS xu, covar_pop(x, v) AS xv, covar_pop(y, u) AS yu, covar_pop(y, v) AS yv, var_pop(x) + var_pop(y) AS sx, var_pop(u) + var_pop(v) AS su FROM p), "
+    "g AS (SELECT *, sqrt(power(xu + yv, 2) + power(xv - yu, 2)) AS turned, sqrt(power(xu - yv, 2) + power(xv + yu, 2)) AS flipped FROM s)"
+)
+for _turn in (True, False):
+
+    def _run(spark, d, turn=_turn):
+        """Share of the target's spread that the best similarity explains, its scale, and whether it mirrors."""
+        c = L.table(spark, d, "customer")
+        k = F.col("c_custkey")
+        p = c.select(F.col("c_acctbal").alias("x"), (k % 97 * 10.0).alias("y"), (k % 97 * 20.0 + 5 + k % 7).alias("u"), (F.col("c_acctbal") * (-2 if turn else 2) + 1 - k % 5).alias("v"))
+        how, out = SS.procrustes(p)
+        e = out.agg(F.avg((F.col("x2") - F.col("u")) ** 2 + (F.col("y2") - F.col("v")) ** 2).alias("left"), (F.var_pop("u") + F.var_pop("v")).alias("su"))
+        return show(e.withColumns({"scale": F.lit(how["scale"]), "mirrored": F.lit(bool(how["reflected"]))}), "mirrored", fit=1 - F.col("left") / F.col("su"), scale="scale")
+
+    query(f"procrustes_{'turned' if _turn else 'mirrored'}", f"WITH {_PRO.format(turn=str(_turn).lower())} SELECT flipped > turned AS mirrored, {r('power(greatest(turned, flipped), 2) / (sx * su)')} AS fit, {r('greatest(turned, flipped) / sx')} AS scale FROM g")(_run)

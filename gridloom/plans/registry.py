@@ -32,6 +32,14 @@ def r(expr: str) -> str:
     return f"(round(CAST({expr} AS DOUBLE), 6) + CAST(0 AS DOUBLE))"
 
 
+def draws(streams: int, count: int, first: int = 1) -> str:
+    """rnd(rep, n, u): the seeded generator's numbers as SQL; the n-th state is the seed plus n + 1 steps."""
+    return (
+        f"rnd AS (SELECT s.range AS rep, n.range AS n, (s.range + {first} + (n.range + 1) * 1831565813) & 4294967295 AS st, ((xor(st, st >> 15)::HUGEINT * (st | 1)) & 4294967295)::BIGINT AS x1, "
+        f"xor(x1, (x1 + ((xor(x1, x1 >> 7)::HUGEINT * (x1 | 61)) & 4294967295)::BIGINT) & 4294967295) AS x2, xor(x2, x2 >> 14) / 4294967296.0 AS u FROM range({streams}) s, range({count}) n)"
+    )
+
+
 def show(d: DataFrame, /, *keys: str, **values: Column | str) -> DataFrame:
     """Keys as they are, values rounded."""
     return d.select(*keys, *[rounded(v).alias(n) for n, v in values.items()])

@@ -16,7 +16,7 @@ from gridloom.operators import joins as J
 from gridloom.operators import reduce as R
 from gridloom.operators import setstats as SS
 from gridloom.operators import temporal as T
-from gridloom.plans.registry import query, r, show
+from gridloom.plans.registry import draws, query, r, show
 from gridloom.plans.spec import PlotSpec, build_scene, infer_spec
 from gridloom.sources import summary as SU
 from gridloom.streaming import moments as ST_M
@@ -248,13 +248,34 @@ def _(spark, d):
     return show(SS.influence_summary(SS.parcel_influence(m)), "label", mantel="mantel", change="change")
 
 
-@query("bootstrap_distances")
+_BW = f"{draws(10, 4)}, bw AS (SELECT b.range AS label, rep, count(*) FILTER (floor(u * 4) = b.range) AS w FROM rnd, range(4) b GROUP BY 1, 2)"
+
+
+@query("bootstrap_block_weights", f"WITH {_BW} SELECT CAST(label AS INTEGER) AS label, CAST(rep AS INTEGER) AS rep, CAST(w AS INTEGER) AS w FROM bw")
+def _(spark, d):
+    return SS.bootstrap_weights(spark, 4, 10)
+
+
+_BD = ", ".join(f"sum({c} * w) AS {c}" for c in ("n", "sx", "sy", "sxy", "sxx", "syy"))
+
+
+@query("bootstrap_distances", f"{_PM}, {_BW}, bd AS (SELECT rep, a, b, {_BD} FROM pm JOIN bw ON bw.label = pm.label GROUP BY 1, 2, 3) SELECT CAST(rep AS INTEGER) AS rep, a, b, {r('1 - (sxy - sx * sy / n) / sqrt((sxx - sx * sx / n) * (syy - sy * sy / n))')} AS distance FROM bd", "members")
 def _(spark, d):
     m = SS.parcel_moments(SS.standardize(group_maps(spark, d)), _labels(spark))
     return show(SS.moment_distances(m, SS.bootstrap_weights(spark, 4, 10)), "rep", "a", "b", distance="distance")
 
 
-@query("random_split_reference")
+_SWAP = "[CASE k WHEN i + 1 THEN l[CAST(floor(u * (i + 1)) AS BIGINT) + 1] WHEN CAST(floor(u * (i + 1)) AS BIGINT) + 1 THEN l[i + 1] ELSE l[k] END FOR k IN range(1, 11)]"
+_SPL = f"{draws(20, 9)}, sh AS (SELECT range AS rep, 9::BIGINT AS i, range(10) AS l FROM range(20) UNION ALL SELECT sh.rep, i - 1, {_SWAP} FROM sh JOIN rnd ON rnd.rep = sh.rep AND n = 9 - i WHERE i > 0), sp AS (SELECT rep, unnest(l) AS member, unnest(range(10)) AS spot FROM sh WHERE i = 0)"
+_SPR = "xy AS (SELECT rep, pos, avg(value) FILTER (spot < 4) AS x, avg(value) FILTER (spot >= 4 AND spot < 8) AS y FROM z JOIN sp ON sp.member = z.member GROUP BY 1, 2), ps AS (SELECT rep, label, sum(power(x - y, 2) / 128.0) AS s FROM xy JOIN lab ON lab.pos = xy.pos GROUP BY 1, 2), rk AS (SELECT rep, s, row_number() OVER (PARTITION BY rep ORDER BY s DESC, label) AS n, sum(s) OVER (PARTITION BY rep) AS total FROM ps)"
+
+
+@query("random_splits", f"WITH RECURSIVE {_SPL} SELECT CAST(rep AS INTEGER) AS rep, member, CASE WHEN spot < 4 THEN 'a' ELSE 'b' END AS side FROM sp WHERE spot < 8")
+def _(spark, d):
+    return SS.random_splits(spark, list(range(10)), 4, 4, 20)
+
+
+@query("random_split_reference", f"WITH RECURSIVE {L.SQL['members']}, {_GM}, {_Z}, {_LAB}, {_SPL}, {_SPR} SELECT CAST(rep AS INTEGER) AS rep, {r('sum(s) / any_value(total)')} AS share FROM rk WHERE n <= 3 GROUP BY rep")
 def _(spark, d):
     z = SS.standardize(group_maps(spark, d))
     return show(SS.split_reference(z, SS.random_splits(spark, list(range(10)), 4, 4, 20), _labels(spark), 64), "rep", share="share")

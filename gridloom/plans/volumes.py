@@ -13,7 +13,7 @@ from gridloom.operators import resample as RS
 from gridloom.operators import roi
 from gridloom.operators import stencil as S
 from gridloom.operators import volume as V
-from gridloom.plans.registry import query, r, show
+from gridloom.plans.registry import draws, query, r, show
 
 
 def vol(spark, d):
@@ -533,7 +533,7 @@ def _(spark, d):
     return roi.clustered_searchlights(v, g, 4.0)
 
 
-@query("searchlight_bootstrap")
+@query("searchlight_bootstrap", f"+{_G}, {_BALL}, {draws(1, 20)}, c AS (SELECT n AS draw, floor(u * (SELECT count(*) FROM g)) AS idx FROM rnd) SELECT CAST(draw AS INTEGER) AS draw, n.idx FROM c JOIN g x ON x.idx = c.idx CROSS JOIN ball JOIN g n ON n.i = x.i + a AND n.j = x.j + b AND n.k = x.k + c", "vol")
 def _(spark, d):
     v, g = vol(spark, d)
     return roi.bootstrap_searchlights(v.select("idx"), g, 4.0, 20)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 _M = 0xFFFFFFFF
-#: fixed values of the generator
-STEP, ONE, SIXTY_ONE = 0x6D2B79F5, 1, 61
+#: fixed value of the generator
+STEP = 0x6D2B79F5
 
 
 def mulberry32(seed: int) -> Callable[[], float]:
@@ -16,8 +16,8 @@ def mulberry32(seed: int) -> Callable[[], float]:
     def draw() -> float:
         nonlocal state
         state = (state + STEP) & _M
-        x = ((state ^ (state >> 15)) * (state | ONE)) & _M
-        x ^= (x + (((x ^ (x >> 7)) * (x | SIXTY_ONE)) & _M)) & _M
+        x = ((state ^ (state >> 15)) * (state | 1)) & _M
+        x ^= (x + (((x ^ (x >> 7)) * (x | 61)) & _M)) & _M
         return ((x ^ (x >> 14)) & _M) / 4294967296.0
 
     return draw
