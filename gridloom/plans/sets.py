@@ -628,7 +628,7 @@ def _(spark, d):
 
 #: the t quantile as a series in 1 / df around the normal one, exact to many digits for hundreds of rows
 _Z975 = 1.959963984540054
-_TQ = " + ".join([f"{_Z975!r}::DOUBLE", *(f"{x / b!r}::DOUBLE / power(n - 2, {i})" for i, (x, b) in enumerate((((_Z975**3 + _Z975), 4), ((5 * _Z975**5 + 16 * _Z975**3 + 3 * _Z975), 96), ((3 * _Z975**7 + 19 * _Z975**5 + 17 * _Z975**3 - 15 * _Z975), 384)), 1))])
+_TQ = " + ".join([f"{_Z975!r}::DOUBLE", *(f"{x / b!r}::DOUBLE / power(n - 2, {i})" for i, (x, b) in enumerate((((_Z975**3 + _Z975), 4), ((5 * _Z975**5 + 16 * _Z975**3 + 3 * _Z975), 96), ((3 * _Z975**7 + 19 * _Z975**5 + 17 * _Z975**3 - 15 * _Z975), 384), ((79 * _Z975**9 + 776 * _Z975**7 + 1482 * _Z975**5 - 1920 * _Z975**3 - 945 * _Z975), 92160)), 1))])
 _FLI = f"s AS (SELECT count(*)::DOUBLE AS n, regr_slope(c_acctbal, c_nationkey) AS b, regr_intercept(c_acctbal, c_nationkey) AS a, avg(c_nationkey) AS mx, regr_sxx(c_acctbal, c_nationkey) AS sxx, regr_syy(c_acctbal, c_nationkey) AS syy FROM customer), q AS (SELECT *, (syy - b * b * sxx) / (n - 2) AS mse, {_TQ} AS tq FROM s), f AS (SELECT c_custkey, a + b * c_nationkey AS fit, 1 / n + power(c_nationkey - mx, 2) / sxx AS lev, c_acctbal AS y, mse, tq, n FROM customer, q)"
 
 
