@@ -9,6 +9,7 @@ from __future__ import annotations
 import gzip
 import hashlib
 import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -123,6 +124,11 @@ def unpack(raw: bytes) -> bytes:
     return gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
 
 
+def head(raw: bytes, size: int = 1024) -> bytes:
+    """The first bytes of an image; of a compressed one no more than these are unpacked."""
+    return zlib.decompressobj(31).decompress(raw, size) if raw[:2] == b"\x1f\x8b" else raw[:size]
+
+
 def decode(raw: bytes, times: list[int] | None = None, dtype: str = "f4") -> tuple[dict, np.ndarray]:
     """(header, values (t, cells)); scaled values get ``dtype``, 32-bit unsigned ones double, others their own type."""
     raw = unpack(raw)
@@ -164,7 +170,7 @@ def read_headers(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            rows = [{"file": f, **parse_header(unpack(c))} for f, c in zip(pdf["file"], pdf["content"], strict=True)]
+            rows = [{"file": f, **parse_header(head(c))} for f, c in zip(pdf["file"], pdf["content"], strict=True)]
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in HEADER.split(", ")])
 
     return _binary(spark, paths).mapInPandas(run, HEADER)

@@ -35,9 +35,14 @@ def merge_moments(a: DataFrame, b: DataFrame, cell: str = "pos", sign: int = 1)
     return j.select(cell, n.alias("count"), s.alias("sum"), F.when(n > 0, s / F.when(n > 0, n)).alias("mean"), m2.alias("m2"))
 
 
-def process_chunks(series: DataFrame, f: Callable, schema: str, chunk: int = 100, axis: str = "t") -> DataFrame:
-    """f(pandas frame) on chunks of consecutive time points, each a group of its own."""
-    return series.withColumn("__chunk", F.floor(F.col(axis) / chunk)).groupBy("__chunk").applyInPandas(lambda pdf: f(pdf.drop(columns="__chunk")), schema)
+def process_chunks(series: DataFrame, f: Callable, schema: str, chunk: int = 100, axis: str = "t", cell_parts: int = 1) -> DataFrame:
+    """f(pandas frame) on chunks of consecutive time points, each a group of its own.
+
+    A group holds ``chunk`` rows of every cell; with ``cell_parts`` the cells (idx) are dealt over that many groups,
+    for functions that treat cells apart.
+    """
+    d = series.withColumns({"__chunk": F.floor(F.col(axis) / chunk), "__part": F.pmod(F.xxhash64("idx"), F.lit(cell_parts)) if cell_parts > 1 else F.lit(0)})
+    return d.groupBy("__chunk", "__part").applyInPandas(lambda pdf: f(pdf.drop(columns=["__chunk", "__part"])), schema)
 
 
 def for_each_batch(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str):

@@ -1,5 +1,6 @@
 """Work that must not meet in one task: order, ranks, quantiles, Gram matrices; trees, lines and lenses by definition."""
 
+import gzip
 import itertools
 import random
 
@@ -10,6 +11,9 @@ from pyspark.sql import functions as F
 from gridloom.functions import stats
 from gridloom.grid import Grid
 from gridloom.operators import components, design, embed, joins, order, reduce, roi, setstats, stencil
+from gridloom.rng import mulberry32
+from gridloom.sources import nifti
+from gridloom.streaming import moments
 
 
 def test_running_totals(spark):
@@ -209,3 +213,71 @@ def test_median_and_kernel_equal_brute_force(spark):
         assert np.isclose(median[i], (s[(len(s) - 1) // 2] + s[len(s) // 2]) / 2, equal_nan=True)
         terms = [(have[p], w) for a, b, k, w in kernel if (p := (c[0] + a, c[1] + b, c[2] + k)) in have]
         assert np.isclose(smooth[i], sum(y * w for y, w in terms) / sum(w for _, w in terms), equal_nan=True)
+
+
+def test_chunks_by_parts_of_cells(spark):
+    s = spark.createDataFrame([(i, t, float(i * t)) for i in range(20) for t in range(25)], "idx int, t int, value double")
+
+    def f(pdf):
+        return pdf.groupby("idx", as_index=False).agg(total=("value", "sum"), n=("t", "count"))
+
+    whole, parts = ([tuple(r) for r in moments.process_chunks(s, f, "idx int, total double, n long", 10, cell_parts=k).collect()] for k in (1, 7))
+    assert sorted(whole) == sorted(parts) and len(whole) == 60
+
+
+def test_head_of_compressed_images():
+    g = Grid((20, 20, 20), (1.0, 2.0, 3.0))
+    raw = nifti.encode(np.random.default_rng(7).random((1, 8000)), g)
+    assert nifti.head(gzip.compress(raw)) == raw[:1024] == nifti.head(raw)
+    assert nifti.parse_header(nifti.head(gzip.compress(raw)))["dim"] == [20, 20, 20]
+
+
+def test_seeded_k_means_equals_a_plain_loop(spark):
+    rng = random.Random(8)
+    x = [round(rng.gauss(m, 1.0), 1) for m in (0, 10, 25) for _ in range(60)]
+    got = {r["idx"]: r["label"] for r in components.kmeans_1d(spark.createDataFrame(list(enumerate(x)), "idx int, value double"), 3, seed=4).collect()}
+    draw, values = mulberry32(4), sorted(x)
+    centres = [values[int(draw() * len(values))]]
+    while len(centres) < 3:
+        w = [min((v - c) ** 2 for c in centres) for v in values]
+        u, acc = draw() * sum(w), 0.0
+        for v, p in zip(values, w, strict=True):
+            acc += p
+            if acc > u and p > 0:
+                centres.append(v)
+                break
+    for _ in range(100):
+        label = [min(range(3), key=lambda k: (abs(v - centres[k]), k)) for v in x]
+        new = [sum(v for v, k in zip(x, label, strict=True) if k == c) / label.count(c) for c in range(3)]
+        if np.allclose(new, centres, atol=1e-12):
+            break
+        centres = new
+    assert [got[i] for i in range(len(x))] == [k + 1 for k in label] and len(set(label)) == 3
+
+
+def test_peaks_are_thinned_from_the_highest(spark):
+    g = Grid((15, 15, 1), (2.0, 1.0, 1.0))
+    rng = random.Random(9)
+    value = {(i, j): rng.random() + 1 for i in range(15) for j in range(15)}
+    c = spark.createDataFrame([(i + 15 * j, 1 + (i >= 8), v) for (i, j), v in value.items()], "idx long, label long, value double")
+    got = {(r["label"], r["idx"]) for r in components.local_maxima(c, g, 6.0).collect()}
+    want = set()
+    for label in (1, 2):
+        own = {p: v for p, v in value.items() if 1 + (p[0] >= 8) == label}
+        peaks = [p for p, v in own.items() if all(own.get((p[0] + a, p[1] + b), 0) < v for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b)]
+        kept = []
+        for p in sorted(peaks, key=lambda p: -own[p]):
+            if all((2 * (p[0] - q[0])) ** 2 + (p[1] - q[1]) ** 2 >= 36 for q in kept):
+                kept.append(p)
+        want |= {(label, i + 15 * j) for i, j in kept}
+    assert got == want and len(want) > 3
+
+
+def test_supervoxels_cover_the_mask(spark):
+    g = Grid((8, 6, 2))
+    rng = np.random.default_rng(10)
+    idx = [i for i in range(g.size) if i % 11]
+    d = spark.createDataFrame([(i, [float(i % 8 >= 4), float(rng.normal(0, 0.01))]) for i in idx], "idx long, series array<double>")
+    got = {r["idx"]: r["label"] for r in components.supervoxels(d, g, 8).collect()}
+    assert set(got) == set(idx) and set(got.values()) == set(range(1, 9))
+    assert got == {r["idx"]: r["label"] for r in components.supervoxels(d, g, 8).collect()}
