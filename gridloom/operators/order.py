@@ -29,6 +29,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def with_totals(df: DataFrame, key: str, **totals: Column) -> DataFrame:
+    """``df`` with aggregates of its rows by a non-null ``key``, as windows over the key would give them.
+
+    The aggregates are combined before any shuffle and joined back (a broadcast where there are few keys), so a
+    key with most of the rows is neither sorted nor held by one task.
+    """
+    t = df.groupBy(F.col(key).alias("__key")).agg(*[c.alias(n) for n, c in totals.items()])
+    return df.join(t, F.col(key) == F.col("__key")).drop("__key")
+
+
 def running(df: DataFrame, order: list[Column], sums: dict[str, Column], row: str | None = None) -> DataFrame:
     """``df`` with, for each name of ``sums``, the sum of the column over all rows before in ``order`` (0 for the first).
 

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridloom.num import NAN, div, finite, is_finite, not_nan, or_nan, pearson
-from gridloom.operators.order import quantiles
+from gridloom.operators.order import quantiles, with_totals
 
 # ------------------------------------------------------------------ expressions
 REDUCERS: dict[str, Callable[[Column], Column]] = {
@@ -104,10 +104,9 @@ def consistency(stack: DataFrame, cutoff: float, output: str = "count", cell: st
 
 
 def leave_one_out(stack: DataFrame, cell: str = "pos") -> DataFrame:
-    """Every subject's row with count, mean and m2 of the others, by subtraction from window totals."""
-    x = finite("value")
-    by = W.partitionBy(cell)
-    d = stack.withColumns({"x": x, "n": F.count(x).over(by), "m": F.avg(x).over(by), "v": F.var_pop(x).over(by)}).filter("x is not null")
+    """Every subject's row with count, mean and m2 of the others, by subtraction from the cell's totals."""
+    x = F.col("x")
+    d = with_totals(stack.withColumn("x", finite("value")).filter("x is not null"), cell, n=F.count(x), m=F.avg(x), v=F.var_pop(x))
     k = F.col("n") - 1
     mean = F.when(k > 0, (F.col("m") * F.col("n") - F.col("x")) / F.when(k > 0, k))
     m2 = F.greatest(F.col("v") * F.col("n") - (F.col("x") - F.col("m")) * (F.col("x") - mean), F.lit(0.0))

@@ -14,23 +14,24 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridloom.num import clamp, div, finite, is_finite, pearson
-from gridloom.operators.order import quantiles
+from gridloom.operators.order import quantiles, with_totals
 from gridloom.rng import mulberry32, random_index, shuffled
 
 
 
 def zscore_members(d: DataFrame) -> DataFrame:
     """z-score of each member over its finite cells (n - 1); NULL where sd is not above 0."""
-    x = finite("value")
-    s = F.stddev_samp(x).over(W.partitionBy("member"))
-    return d.withColumn("value", F.when(s > 0, (x - F.avg(x).over(W.partitionBy("member"))) / F.when(s > 0, s)))
+    x, m, s = finite("value"), F.col("__m"), F.col("__s")
+    e = with_totals(d, "member", __m=F.avg(x), __s=F.stddev_samp(x))
+    return e.withColumn("value", F.when(s > 0, (x - m) / F.when(s > 0, s))).drop("__m", "__s")
 
 
 def standardize(d: DataFrame) -> DataFrame:
     """Population z-score, so that the squares of a member sum to its number of cells; an error for constant or missing cells."""
-    s = F.stddev_pop("value").over(W.partitionBy("member"))
+    m, s = F.col("__m"), F.col("__s")
     ok = (s > 0) & is_finite("value")
-    return d.withColumn("value", F.when(ok, (F.col("value") - F.avg("value").over(W.partitionBy("member"))) / F.when(ok, s)).otherwise(F.raise_error(F.lit("constant or missing member")).cast("double")))
+    e = with_totals(d, "member", __m=F.avg("value"), __s=F.stddev_pop("value"))
+    return e.withColumn("value", F.when(ok, (F.col("value") - m) / F.when(ok, s)).otherwise(F.raise_error(F.lit("constant or missing member")).cast("double"))).drop("__m", "__s")
 
 
 def robust_z(d: DataFrame, by: str | None = None) -> DataFrame:
@@ -47,9 +48,9 @@ def robust_z(d: DataFrame, by: str | None = None) -> DataFrame:
 
 def loo_similarity(d: DataFrame) -> DataFrame:
     """(member, r, rms): Pearson correlation with, and root mean square distance to, the mean of the others."""
-    x = finite("value")
-    n, s = F.count(x).over(W.partitionBy("pos")), F.sum(x).over(W.partitionBy("pos"))
-    e = d.withColumns({"x": x, "other": F.when(n > 1, (s - x) / F.when(n > 1, n - 1))})
+    n, s, x = F.col("__n"), F.col("__s"), F.col("x")
+    e = with_totals(d.withColumn("x", finite("value")), "pos", __n=F.count(x), __s=F.sum(x))
+    e = e.withColumn("other", F.when(n > 1, (s - x) / F.when(n > 1, n - 1)))
     return e.groupBy("member").agg(pearson("x", "other").alias("r"), F.sqrt(F.avg((F.col("x") - F.col("other")) * (F.col("x") - F.col("other")))).alias("rms"))
 
 
@@ -165,13 +166,20 @@ def basis(d: DataFrame, coverage: float = 0.9, least: int = 30) -> tuple[DataFra
     nothing changes - constant on the support.  pairs: a, b, r, distance 1 - r.
     """
     x = finite("value")
-    m = d.groupBy("member").agg(F.count(x).alias("n"), F.var_pop(x).alias("v")).collect()  # one row a member, fewer than the result's pairs
+    m = d.groupBy("member").agg(F.count(x).alias("n"), F.var_pop(x).alias("v"))
+    cells = d.filter(is_finite("value")).select("pos").distinct().agg(F.lit(None).cast(d.schema["member"].dataType).alias("member"), F.count(F.lit(1)).alias("n"), F.lit(None).cast("double").alias("v"))
+    m = m.union(cells).collect()  # one row a member, fewer than the result's pairs, and one for the cells
+    whole = next(z["n"] for z in m if z["member"] is None)
+    m = [z for z in m if z["member"] is not None]
     med = float(np.median([z["n"] for z in m if z["n"]] or [0]))
     why = {z["member"]: "all-missing" if not z["n"] else "low-coverage" if z["n"] < coverage * med else "constant" if z["v"] == 0 else None for z in m}
     while True:
         kept = [k for k, reason in why.items() if reason is None]
         inside = d.filter(F.col("member").isin(kept) & is_finite("value"))
         support = inside.groupBy("pos").agg(F.count_distinct("member").alias("c")).filter(F.col("c") == len(kept)).select("pos")
+        if all(z["n"] == whole for z in m if why[z["member"]] is None):  # every cell is on the support, and variances are known
+            on, seen = inside, [z for z in m if why[z["member"]] is None]
+            break
         on = inside.join(support, "pos", "left_semi")
         seen = on.groupBy("member").agg(F.count(F.lit(1)).alias("n"), F.var_pop("value").alias("v")).collect()
         flat = {z["member"]: "constant-on-support" for z in seen if z["v"] == 0}
@@ -221,10 +229,10 @@ def focused(z: DataFrame, member: int, n: int) -> DataFrame:
 
 
 def focused_all(z: DataFrame, n: int) -> DataFrame:
-    """(member, pos, term) of all members at once from window moments: k members cost one pass, not k."""
-    k, s, ss = F.count("value").over(W.partitionBy("pos")), F.sum("value").over(W.partitionBy("pos")), F.sum(F.col("value") * F.col("value")).over(W.partitionBy("pos"))
-    m, q = (s - F.col("value")) / (k - 1), (ss - F.col("value") * F.col("value")) / (k - 1)
-    return z.select("member", "pos", (((F.col("value") - m) * (F.col("value") - m) + q - m * m) / (2.0 * n)).alias("term"))
+    """(member, pos, term) of all members at once from each cell's moments: k members cost one pass, not k."""
+    x, k = F.col("value"), F.col("__k")
+    m, q = (F.col("__s") - x) / (k - 1), (F.col("__ss") - x * x) / (k - 1)
+    return with_totals(z, "pos", __k=F.count(x), __s=F.sum(x), __ss=F.sum(x * x)).select("member", "pos", (((F.col("value") - m) * (F.col("value") - m) + q - m * m) / (2.0 * n)).alias("term"))
 
 
 def group_terms(z: DataFrame, a: Column, b: Column, n: int) -> DataFrame:
