@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import uuid
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -22,7 +23,7 @@ from gridloom.operators.order import ensure_checkpoint_dir
 from gridloom.plans.registry import draws, query, r, show
 from gridloom.plans.sets import group_maps, stack
 from gridloom.plans.spec import PlotSpec, summary_scene
-from gridloom.plans.volumes import _G, _IJK, _PT, _points, vol
+from gridloom.plans.volumes import _G, _PT, _points, vol
 from gridloom.rng import mulberry32, random_index
 from gridloom.sources import atlas, delimited, manifest, nifti, summary
 
