@@ -24,7 +24,6 @@ import bisect
 import hashlib
 import re
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
