@@ -475,7 +475,11 @@ def _(spark, d):
     return C.local_maxima(c, g).select("idx", F.col("label").cast("long").alias("label"), "value")
 
 
-@query("local_maxima_thinned")
+_PEAK = "pk AS (SELECT idx, label, -9 + 2.0 * i AS x, -11.25 + 2.5 * j AS y, -20 + 3.0 * k AS z, row_number() OVER (PARTITION BY label ORDER BY value DESC, idx) AS n FROM lab a WHERE NOT EXISTS (SELECT 1 FROM lab b WHERE b.label = a.label AND b.idx <> a.idx AND abs(a.i - b.i) <= 1 AND abs(a.j - b.j) <= 1 AND abs(a.k - b.k) <= 1 AND b.value >= a.value))"
+_THIN = "wk AS (SELECT label, n, [{'x': x, 'y': y, 'z': z, 'idx': idx}] AS kept FROM pk WHERE n = 1 UNION ALL SELECT p.label, p.n, CASE WHEN len(list_filter(kept, lambda q: power(q.x - p.x, 2) + power(q.y - p.y, 2) + power(q.z - p.z, 2) < 36)) = 0 THEN list_append(kept, {'x': p.x, 'y': p.y, 'z': p.z, 'idx': p.idx}) ELSE kept END FROM wk JOIN pk p ON p.label = wk.label AND p.n = wk.n + 1), th AS (SELECT unnest(arg_max(kept, n)).idx AS idx FROM wk GROUP BY label)"
+
+
+@query("local_maxima_thinned", f"WITH {_CC}, {_PEAK}, {_THIN} SELECT lab.idx, lab.label, lab.value FROM th JOIN lab ON lab.idx = th.idx")
 def _(spark, d):
     c, g = _clusters(spark, d)
     return C.local_maxima(c, g, 6.0)
