@@ -15,7 +15,7 @@ exact multiset overlaps of the texts (``SIMILAR`` or more).  Where a bucket stil
 after that, all its members' signatures are compared inside tasks, whichever node was its smallest: two of
 different components that agree in ``TIED`` of the registers tie these components into a group (at a
 similarity of 0.8 fewer agree with a probability of 1e-7).  All nodes outside a group's largest component
-then meet the whole group by exact overlap.  Both comparisons go in blocks of ``CHUNK`` rows, so that a
+then meet the whole group by exact overlap.  Both comparisons go in blocks of ``SIGNATURES`` or ``CHUNK`` rows, so that a
 bucket or group of any size is dealt over many tasks, and only links that join components leave a task.  Their work is
 quadratic in the nodes of one bucket or group outside its largest component.
 
@@ -38,7 +38,7 @@ from gridloom.llm.store import cut, release
 
 SHINGLE, REGISTERS, BANDS, ROWS, SIMILAR = 5, 128, 32, 4, 0.8
 TIED = 0.6  # of the registers, five standard deviations below SIMILAR
-HUB_ROWS, CHUNK, SALTS = 2000, 1024, 16
+HUB_ROWS, CHUNK, SIGNATURES, SALTS = 2000, 1024, 512, 16
 U = T.U64
 
 
@@ -256,7 +256,7 @@ class _Links:
 
 def ties(star: DataFrame, labels: DataFrame, nodes: DataFrame, tied: float = TIED, chunk: int | None = None) -> DataFrame:
     """(a, b): labels of components with members of one bucket that agree in ``tied`` of the registers; enough to join all such."""
-    chunk = chunk or CHUNK
+    chunk = chunk or SIGNATURES
     s = star.select("bucket", "part", "node").join(labels, "node", "left").select("bucket", "part", "node", F.coalesce("label", "node").alias("label"))
     by = s.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("c"), F.max("part").alias("p"))
     wide = by.groupBy("bucket").agg(F.max(F.struct("c", "label")).alias("most"), F.sum("c").alias("all"), F.max("p").alias("p"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")

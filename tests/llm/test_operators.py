@@ -636,7 +636,7 @@ def brute_classes(texts, ids):
     for t in texts:
         w = words(t)
         bags.append(collections.Counter([tuple(w[i : i + 5]) for i in range(len(w) - 4)] or ([tuple(w)] if w else [])))
-    up = list(range(len(texts)))
+    up, sizes = list(range(len(texts))), [sum(b.values()) for b in bags]
 
     def find(x):
         while up[x] != x:
@@ -645,7 +645,8 @@ def brute_classes(texts, ids):
 
     for i in range(len(texts)):
         for j in range(i):
-            both, either = sum((bags[i] & bags[j]).values()), sum((bags[i] | bags[j]).values())
+            both = sum(min(c, bags[j][k]) for k, c in bags[i].items() if k in bags[j])
+            either = sizes[i] + sizes[j] - both
             if words(texts[i]) == words(texts[j]) or either and both >= 0.8 * either:
                 up[find(i)] = find(j)
     best = {}
@@ -667,11 +668,12 @@ def test_near_duplicates_equal_brute_force(spark, odd):
     texts = [*odd, *ring, *heavy, odd[5], odd[5], ring[0], "null one", "null one", "null two"]
     ids = [*range(len(texts) - 6), 5, None, None, None, None, -(1 << 63)]
     key = lambda r: str(r)
-    old, neardup.CHUNK = neardup.CHUNK, 40
+    old = neardup.CHUNK, neardup.SIGNATURES
+    neardup.CHUNK, neardup.SIGNATURES = 40, 12
     try:
         got = sorted(map(tuple, neardup.near_duplicates(frame(spark, texts, ids)).collect()), key=key)
     finally:
-        neardup.CHUNK = old
+        neardup.CHUNK, neardup.SIGNATURES = old
     assert got == sorted(brute_classes(texts, ids), key=key)
     assert got == sorted(map(tuple, neardup.near_duplicates(frame(spark, texts, ids)).collect()), key=key)  # in one block
     docs = frame(spark, texts, ids)
