@@ -38,7 +38,7 @@ from gridloom.llm.store import cut, release
 
 SHINGLE, REGISTERS, BANDS, ROWS, SIMILAR = 5, 128, 32, 4, 0.8
 TIED = 0.6  # of the registers, five standard deviations below SIMILAR
-HUB_ROWS, CHUNK, SIGNATURES, SALTS = 2000, 1024, 512, 16
+HUB_ROWS, CHUNK, SIGNATURES, SALTS = 512, 1024, 512, 16
 U = T.U64
 
 
