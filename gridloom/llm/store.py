@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +28,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def table(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet in the checkpoint folder and read back: smaller than a checkpoint, for wide rows that are read by columns."""
+    at = f"{shared_dir(df.sparkSession)}/gridloom-{uuid.uuid4()}.parquet"
+    df.write.option("compression", "zstd").parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def release(spark: SparkSession) -> None:
     """Let the cleaner drop shuffle files and checkpoints that no DataFrame refers to any more."""
     gc.collect()
