@@ -11,6 +11,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridloom.rng import mulberry32, shuffled
@@ -129,46 +130,49 @@ def seriate(similarity: np.ndarray) -> tuple[list[int], Tree]:
     return order, Tree(t.k, merges)
 
 
-@dataclass
-class Suggestion:
-    """k groups (0: none), a label for each leaf (-1: in no group), their sizes, leaves in none, the gap, and the widest cut seen."""
+def branches(spark: SparkSession, tree: Tree) -> DataFrame:
+    """node, leaves, place (of its first leaf in the tree's order), since, until, height: a node is a branch of every cut into
+    ``since`` to ``until`` groups (no end for a leaf).
 
-    k: int
-    labels: list[int]
-    sizes: list[int]
-    unassigned: list[int]
-    gap: float
-    widest: tuple[int, list[int], float] | None
+    Cutting into k groups undoes the k - 1 highest merges, so a node appears when its parent's rank by height is undone
+    and goes with its own.
+    """
+    ranks = {n: i + 1 for i, n in enumerate(sorted(range(len(tree.merges)), key=lambda m: (-tree.merges[m][2], -m)))}
+    rows = [(tree.k + m, tree.leaves(tree.k + m), ranks[m], h) for m, (_, _, h) in enumerate(tree.merges)] + [(n, [n], None, None) for n in range(tree.k)]
+    up = {child: ranks[m] for m, (a, b, _) in enumerate(tree.merges) for child in (a, b)}
+    place = {leaf: i for i, leaf in enumerate(tree.leaves(tree.k + len(tree.merges) - 1))}
+    return spark.createDataFrame([(n, leaves, place[leaves[0]], up.get(n, 0) + 1, until, h) for n, leaves, until, h in rows], "node int, leaves array<int>, place int, since int, until int, height double")
 
 
-def suggest_clusters(tree: Tree, most: int = 6, gap: float = 0.02, least: int | None = None) -> Suggestion:
-    """Groups by the widest gap between merge heights above ``gap``.
+def suggest_groups(tree_branches: DataFrame, most: int = 6, gap: float = 0.02, least: int | None = None) -> DataFrame:
+    """cut, gap, groups, chosen, widest, member, grp: every candidate cut of a tree's :func:`branches`, one row a leaf.
 
-    A cut may have branches below ``least`` leaves (a tenth of all, two at least): they are in no group, and two
-    to ``most`` other branches must be left.  Up to three branches more than ``most`` are tried.
+    The gap of a cut is the difference of the merge heights that it separates.  Branches of ``least`` leaves or more (a tenth of
+    all, two at least) are groups, numbered in the tree's order; leaves of others have none (grp null).  The
+    chosen cut is the one with the widest gap above ``gap`` that has two to ``most`` groups, if any; cuts into up to three branches more are candidates.
+    ``widest``: the cut of the widest gap of all.
     """
-    least = max(2, math.ceil(tree.k / 10)) if least is None else least
-    heights = sorted((m[2] for m in tree.merges), reverse=True)
-    out = Suggestion(0, [-1] * tree.k, [], list(range(tree.k)), 0.0, None)
-    widest = None
-    for k in range(2, min(most + 3, len(heights)) + 1):
-        jump = heights[k - 2] - heights[k - 1]
-        labels = np.array(cut_tree(tree, k))
-        sizes = np.bincount(labels, minlength=k)
-        if widest is None or jump > widest[2]:
-            widest = (k, sizes.tolist(), jump)
-        large = np.flatnonzero(sizes >= least)
-        if 2 <= len(large) <= most and jump > max(out.gap, gap):
-            number = np.full(k, -1)
-            number[large] = np.arange(len(large))
-            out = Suggestion(len(large), number[labels].tolist(), sizes[large].tolist(), np.flatnonzero(number[labels] < 0).tolist(), jump, None)
-    out.widest = widest
-    return out
-
-
-def cluster_count(tree: Tree, most: int = 6, gap: float = 0.02, least: int | None = None) -> int:
+    d, size = tree_branches, F.size("leaves")
+    n = d.agg(F.max(size)).scalar()
+    least = F.greatest(F.lit(2), F.ceil(n / 10)) if least is None else F.lit(least)
+    heights = d.filter("height is not null").select("until", "height")
+    steps = heights.alias("h").join(heights.alias("l"), F.col("l.until") == F.col("h.until") + 1).select((F.col("h.until") + 1).alias("cut"), (F.col("h.height") - F.col("l.height")).alias("gap"))
+    spans = F.sequence(F.greatest("since", F.lit(2)), F.least(F.coalesce("until", F.lit(most + 3)), F.lit(most + 3)))
+    at = d.filter(F.greatest("since", F.lit(2)) <= F.least(F.coalesce("until", F.lit(most + 3)), F.lit(most + 3))).select(F.explode(spans).alias("cut"), "node", "leaves", "place", (size >= least).alias("large"))
+    counts = at.groupBy("cut").agg(F.count_if("large").alias("groups"))
+    fits = F.col("groups").between(2, most) & (F.col("gap") > gap)
+    cuts = steps.filter(F.col("cut") <= most + 3).join(counts, "cut")
+    best = cuts.agg(F.max_by("cut", F.struct(fits.cast("int").alias("fits"), "gap", -F.col("cut"))).alias("best"), F.max_by("cut", F.struct("gap", -F.col("cut"))).alias("wide"), F.bool_or(fits).alias("some"))
+    cuts = cuts.crossJoin(F.broadcast(best)).select("cut", "gap", "groups", (F.col("some") & (F.col("cut") == F.col("best"))).alias("chosen"), (F.col("cut") == F.col("wide")).alias("widest"))
+    by = W.partitionBy("cut").orderBy("place")  # at most ``most`` + 3 branches
+    named = at.filter("large").withColumn("grp", F.row_number().over(by) - 1).select("cut", "node", "grp")
+    return at.join(named, ["cut", "node"], "left").join(cuts, "cut").select("cut", "gap", "groups", "chosen", "widest", F.explode("leaves").alias("member"), "grp")
+
+
+def cluster_count(tree_branches: DataFrame, most: int = 6, gap: float = 0.02, least: int | None = None) -> int:
     """The number of suggested groups, 1 where none is suggested."""
-    return max(1, suggest_clusters(tree, most, gap, least).k)
+    row = suggest_groups(tree_branches, most, gap, least).filter("chosen").select("groups").first()
+    return row[0] if row else 1
 
 
 # ------------------------------------------------------------------ scaling
@@ -317,51 +321,6 @@ def envfit(layout: DataFrame, covariates: DataFrame, kind: str = "vector", permu
 
 
 # ------------------------------------------------------------------ display helpers
-def contours(grid: np.ndarray, level: float) -> list[list[tuple[float, float]]]:
-    """Lines (x, y) around what lies above ``level``: rings end where they begin, other lines end at the border.
-
-    NaN lies outside.  A saddle joins its corners inside if the mean of its four corners is inside.
-    """
-    rows, cols = grid.shape
-    if rows < 2 or cols < 2 or not np.isfinite(level):
-        return []
-    up = grid > level
-    joins: dict[tuple, list[tuple]] = {}  # crossed cell sides: the sides that lines go on to
-
-    def spot(side):
-        (r, c), (q, p) = side
-        a, b = grid[r, c], grid[q, p]
-        f = (level - a) / (b - a) if np.isfinite(a) and np.isfinite(b) and a != b else 0.5
-        return c + f * (p - c), r + f * (q - r)
-
-    for r in range(rows - 1):
-        for c in range(cols - 1):
-            corners = ((r, c), (r, c + 1), (r + 1, c + 1), (r + 1, c))
-            sides = [tuple(sorted((corners[n], corners[(n + 1) % 4]))) for n in range(4)]
-            crossed = [n for n in range(4) if up[corners[n]] != up[corners[(n + 1) % 4]]]
-            if len(crossed) == 4:  # each corner that differs from the middle is cut off by itself
-                middle = sum(grid[x] for x in corners) / 4 > level
-                links = [(sides[n - 1], sides[n]) for n in range(4) if up[corners[n]] != middle]
-            else:
-                links = [(sides[crossed[0]], sides[crossed[1]])] if crossed else []
-            for a, b in links:
-                joins.setdefault(a, []).append(b)
-                joins.setdefault(b, []).append(a)
-
-    def follow(side):
-        line = [side]
-        while joins[side]:
-            nxt = joins[side].pop(0)
-            joins[nxt].remove(side)
-            line.append(nxt)
-            side = nxt
-        return [spot(x) for x in line]
-
-    ends = [side for side, near in joins.items() if len(near) == 1]
-    out = [follow(side) for side in ends if joins[side]]
-    return out + [follow(side) for side in joins if joins[side]]
-
-
 def _lens(x: Column, y: Column, cx: float, cy: float, radius: float, distortion: float) -> tuple[Column, Column, float]:
     """(offset from the focus in radii, whether the lens moves it, distortion)."""
     d = float(distortion) if math.isfinite(distortion) and distortion > 0 else 0.0

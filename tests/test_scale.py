@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import stats
 from gridloom.grid import Grid
-from gridloom.operators import components, design, embed, joins, order, reduce, roi, setstats, stencil
+from gridloom.operators import components, design, embed, isolines, joins, order, reduce, roi, setstats, stencil
 from gridloom.rng import mulberry32
 from gridloom.sources import nifti
 from gridloom.streaming import moments
@@ -115,33 +115,49 @@ def test_seriation_numbers_clusters_in_leaf_order():
     assert embed.path_length(small, d[:5, :5]) >= best - 1e-12
 
 
-def test_cluster_suggestion():
+def test_cluster_suggestion(spark):
     x = np.r_[np.zeros(8), np.full(7, 5.0), [30.0]] + np.linspace(0, 0.1, 16)
-    t = embed.seriate(1 - np.abs(x[:, None] - x[None, :]))[1]
-    s = embed.suggest_clusters(t)
-    assert s.k == 2 and sorted(s.sizes) == [7, 8] and s.unassigned == [15] and s.labels[15] == -1
-    assert len(set(s.labels[:8])) == 1 and s.labels[0] != s.labels[8] and s.widest[0] == 2 and sorted(s.widest[1]) == [1, 15]
-    none = embed.suggest_clusters(t, gap=100.0)
-    assert none.k == 0 and none.labels == [-1] * 16 and embed.cluster_count(t, gap=100.0) == 1
-    assert embed.suggest_clusters(t, least=8).k == 0 and embed.suggest_clusters(embed.Tree(1, [])).widest is None
+    t = embed.branches(spark, embed.seriate(1 - np.abs(x[:, None] - x[None, :]))[1])
+    s = embed.suggest_groups(t).collect()
+    chosen = {r["member"]: r["grp"] for r in s if r["chosen"]}
+    assert {r["cut"] for r in s if r["chosen"]} == {3} and {r["groups"] for r in s if r["chosen"]} == {2}
+    assert chosen[15] is None and sorted(list(chosen.values()).count(g) for g in (0, 1)) == [7, 8]
+    assert len({chosen[i] for i in range(8)}) == 1 and chosen[0] != chosen[8]
+    assert {r["cut"] for r in s if r["widest"]} == {2} and embed.cluster_count(t) == 2
+    assert not embed.suggest_groups(t, gap=100.0).filter("chosen").count() and embed.cluster_count(t, gap=100.0) == 1
+    assert embed.cluster_count(t, least=8) == 1
+    one = embed.branches(spark, embed.Tree(1, []))
+    assert embed.suggest_groups(one).count() == 0 and embed.cluster_count(one) == 1
 
 
 # ------------------------------------------------------------------ lines and lenses
-def test_contours_are_rings_and_open_lines():
+def lines_of(spark, grid, level):
+    h, w = grid.shape
+    nodes = spark.createDataFrame([(0, x, y, float(grid[y, x])) for y in range(h) for x in range(w)], "plane int, x int, y int, value double")
+    out = {}
+    for r in isolines.iso_lines(nodes, [level]).orderBy("line", "nth").collect():
+        out.setdefault(r["line"], []).append((r["x"], r["y"]))
+    return list(out.values())
+
+
+def test_lines_are_rings_and_open_lines(spark):
     y, x = np.mgrid[0:21, 0:31]
     hill = 100.0 - (x - 12) ** 2 - (y - 9) ** 2
-    (ring,) = embed.contours(hill, 50.0)
+    (ring,) = lines_of(spark, hill, 50.0)
     assert ring[0] == ring[-1] and all(abs(np.hypot(a - 12, b - 9) - np.sqrt(50)) < 0.1 for a, b in ring)
-    (line,) = embed.contours(x.astype(float), 7.25)
-    assert len(line) == 21 and all(abs(a - 7.25) < 1e-12 for a, _ in line) and {line[0][1], line[-1][1]} == {0, 20}
-    assert embed.contours(np.ones((4, 4)), 1.0) == []  # equal to the level is outside
+    area = sum(a * d - c * b for (a, b), (c, d) in zip(ring, ring[1:], strict=False)) / 2
+    assert 140 < area < 158  # the inside is on the left
+    assert max(np.hypot(a - c, b - d) for (a, b), (c, d) in zip(ring, ring[1:], strict=False)) < 1.5
+    (line,) = lines_of(spark, x.astype(float), 7.25)
+    assert len(line) == 21 and all(abs(a - 7.25) < 1e-12 for a, _ in line) and [b for _, b in line] == sorted((b for _, b in line), reverse=line[0][1] > 0)
+    assert lines_of(spark, np.ones((4, 4)), 1.0) == []  # equal to the level is outside
     saddle = np.array([[1.0, 0.0], [0.0, 1.0]])
-    assert len(embed.contours(saddle, 0.4)) == 2 and len(embed.contours(saddle, 0.6)) == 2
     near = lambda lines: sorted(sorted((round(a), round(b)) for a, b in z) for z in lines)
-    assert near(embed.contours(saddle, 0.4)) != near(embed.contours(saddle, 0.6))  # joined, cut off
+    joined, apart = lines_of(spark, saddle, 0.4), lines_of(spark, saddle, 0.6)
+    assert len(joined) == 2 and len(apart) == 2 and near(joined) != near(apart)
     hole = hill.copy()
     hole[9, 12] = np.nan
-    assert len(embed.contours(hole, 50.0)) == 2 and embed.contours(hill[:1], 3.0) == [] and embed.contours(hill, np.nan) == []
+    assert len(lines_of(spark, hole, 50.0)) == 2 and lines_of(spark, hill[:1], 3.0) == [] and lines_of(spark, hill, float("nan")) == []
 
 
 def test_lens_and_its_inverse(spark):
