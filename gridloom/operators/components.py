@@ -161,42 +161,3 @@ def block_partition(cells: DataFrame, grid: Grid, block_mm: float) -> DataFrame:
     d = cells.select("idx", *[x.alias(c) for x, c in zip(b, "abc", strict=True)])
     ids = ranked(d.select("c", "b", "a").distinct(), [F.col(x) for x in "cba"], "block").withColumn("block", F.col("block").cast("int"))
     return d.join(ids, ["a", "b", "c"]).select("idx", "block")
-
-
-def supervoxels(features: DataFrame, grid: Grid, k: int = 500, compactness: float = 5.0) -> DataFrame:
-    """(idx, label): seeded region growing by a priority queue over (idx, series array).
-
-    Growth is one sequential queue by nature, so the mask goes to a single task; use it on one volume's mask.
-    """
-    dim = grid.dim
-
-    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        import heapq
-
-        pdf = pdf.sort_values("idx")
-        idx = pdf["idx"].to_numpy()
-        x = np.stack(pdf["series"].to_numpy())
-        x = (x - x.mean(axis=0)) / np.where(x.std(axis=0) > 0, x.std(axis=0), 1)
-        g = np.stack([idx % dim[0], idx // dim[0] % dim[1], idx // (dim[0] * dim[1])], axis=1)
-        at, step = {int(i): n for n, i in enumerate(idx)}, max(1.0, (len(idx) / k) ** (1 / 3))
-        seeds = np.linspace(0, len(idx) - 1, min(k, len(idx))).astype(int)
-        label, heap = np.zeros(len(idx), int), [(0.0, int(s), n + 1) for n, s in enumerate(seeds)]
-        sx, sg, size = np.zeros((len(seeds) + 1, x.shape[1])), np.zeros((len(seeds) + 1, 3)), np.zeros(len(seeds) + 1)
-        heapq.heapify(heap)
-        while heap:
-            _, v, c = heapq.heappop(heap)
-            if label[v]:
-                continue
-            label[v] = c
-            sx[c] += x[v]
-            sg[c] += g[v]
-            size[c] += 1
-            for o in neighbour_offsets(6):
-                p = g[v] + o
-                u = at.get(int(p[0] + p[1] * dim[0] + p[2] * dim[0] * dim[1])) if ((p >= 0) & (p < dim[:3])).all() else None
-                if u is not None and not label[u]:
-                    d = ((x[u] - sx[c] / size[c]) ** 2).mean() + (compactness / step) ** 2 * ((g[u] - sg[c] / size[c]) ** 2).sum() / 100
-                    heapq.heappush(heap, (float(d), u, c))
-        return pd.DataFrame({"idx": idx, "label": label})
-
-    return features.withColumn("__all", F.lit(1)).groupBy("__all").applyInPandas(grow, "idx long, label long")

@@ -1,0 +1,83 @@
+"""Supervoxels by bulk-synchronous region growing.
+
+Seeds spread over a mask grow by their nearest neighbours, nearness being the squared distance of standardised features
+from the region's mean over ``compactness`` plus that of places from its centre over the grid step of the seeds.  One sequential queue would take the
+nearest waiting cell at a time.  Here a round takes all waiting cells within ``width`` of the nearest one, then updates
+every region's sums in one aggregate and lets the new cells call their neighbours; a waiting cell keeps its best call only.  With a width
+of 0 rounds take one cell (and ties) and the result is that of the queue; without a bound each round is a layer of cells, and
+the number of rounds is the largest number of steps from a seed.
+
+Features stay where they are: a round shuffles the front and its calls, and rewrites a few numbers a cell.
+"""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from gridloom.grid import Grid
+from gridloom.operators.order import cut, ranked
+from gridloom.operators.stencil import neighbour_offsets
+
+
+def standardised(features: DataFrame) -> DataFrame:
+    """(idx, series): each component minus its mean over its deviation (1 where that is 0)."""
+    parts = features.select(F.posexplode("series").alias("d", "v"))
+    m = parts.groupBy("d").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))
+    m = m.agg(F.array_sort(F.collect_list(F.struct("d", "m", F.when(F.col("s") > 0, F.col("s")).otherwise(1.0).alias("s")))).alias("scale"))  # a row a component
+    return features.crossJoin(F.broadcast(m)).select("idx", F.zip_with("series", "scale", lambda v, s: (v - s["m"]) / s["s"]).alias("series"))
+
+
+def seeds(cells: DataFrame, k: int) -> DataFrame:
+    """(idx, label) of ``k`` cells (all, if fewer) at equal steps of the mask's order; labels from 1."""
+    n = cells.count()
+    step = max(1, n // k) if n else 1
+    r = ranked(cells.select("idx"), [F.col("idx")], "row")
+    return r.filter((F.col("row") % step == 0) & (F.col("row") < step * k)).select("idx", (F.floor(F.col("row") / step) + 1).cast("int").alias("label"))
+
+
+def _added(rows: DataFrame, size: int) -> DataFrame:
+    """label, n, place and feature: sums of the rows' places and features."""
+    total = lambda c, m: F.array(*[F.sum(F.get(c, F.lit(i))) for i in range(m)])
+    return rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"), total("place", 3).alias("place"), total("series", size).alias("series"))
+
+
+def _square(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+
+
+def supervoxels(features: DataFrame, grid: Grid, k: int = 500, compactness: float = 5.0, width: float = math.inf, connectivity: int = 26) -> DataFrame:
+    """(idx, label) of the cells of ``features`` (idx, series: arrays of one length without nulls); label 0 where no seed's growth arrives."""
+    first = features.select(F.size("series")).first()
+    if first is None:
+        return features.select("idx", F.lit(0).alias("label"))
+    dims, size = [int(x) for x in grid.dim[:3]], first[0]
+    axes = grid.axes_of("idx")
+    place = F.array(*[c / s for c, s in zip(axes, grid.spacing[:3], strict=True)])
+    cells = cut(standardised(features).withColumn("place", place))
+    start = cut(seeds(cells, k))
+    reach = math.sqrt(cells.count() / k)
+    state = cut(cells.select("idx").join(start.select("idx", F.col("label").alias("call")), "idx", "left").select("idx", F.lit(0).alias("label"), "call", F.when(F.col("call").isNotNull(), 0.0).alias("d")))
+    sums = cut(_added(start.join(cells, "idx"), size))  # a seed counts before it is taken and again with it
+    around = F.explode(F.array(*[F.struct(*[F.lit(x).alias(n) for x, n in zip(o, "abc", strict=True)]) for o in neighbour_offsets(connectivity)]))
+    while (low := state.filter("label = 0").agg(F.min("d")).first()[0]) is not None:
+        taken = cut(state.filter((F.col("label") == 0) & (F.col("d") <= low + width)).select("idx", F.col("call").alias("label")))
+        more = _added(taken.join(cells, "idx"), size)
+        sums = sums.unionByName(more)
+        sums = cut(sums.groupBy("label").agg(F.sum("n").alias("n"), *[F.array(*[F.sum(F.get(c, F.lit(i))) for i in range(m)]).alias(c) for c, m in (("place", 3), ("series", size))]))
+        there = taken.select("label", *[c.alias(n) for c, n in zip(grid.axes_of("idx"), "ijk", strict=True)], around.alias("o"))
+        at = [F.col(p) + F.col(f"o.{q}") for p, q in zip("ijk", "abc", strict=True)]
+        inside = [(c >= 0) & (c < m) for c, m in zip(at, dims, strict=True)]
+        there = there.filter(inside[0] & inside[1] & inside[2]).select("label", (at[0] + at[1] * dims[0] + at[2] * dims[0] * dims[1]).cast("long").alias("idx")).distinct()
+        waiting = state.filter("label = 0").select("idx").join(taken.select("idx"), "idx", "left_anti")
+        calls = there.join(waiting, "idx").join(cells, "idx").join(sums.select("label", "n", F.col("place").alias("p"), F.col("series").alias("s")), "label")
+        mean = lambda c: F.transform(c, lambda v: v / F.col("n"))
+        far = _square(F.col("place"), mean("p")) / reach + _square(F.col("series"), mean("s")) / compactness
+        calls = calls.select("idx", far.alias("d"), F.col("label").alias("call")).groupBy("idx").agg(F.min(F.struct("d", "call")).alias("new"))
+        own = F.when(F.col("d").isNotNull(), F.struct("d", "call"))
+        best = F.when(own.isNull() | (F.col("new") < own), F.coalesce("new", own)).otherwise(own)
+        state = state.join(taken.select("idx", F.col("label").alias("got")), "idx", "left").join(calls, "idx", "left")
+        state = cut(state.select("idx", F.coalesce("got", "label").alias("label"), best.alias("b")).select("idx", "label", F.col("b.call").alias("call"), F.col("b.d").alias("d")))
+    return state.select("idx", "label")

@@ -305,13 +305,19 @@ def _(spark, d):
     return one.select((F.col("p") + 1).alias("axis"), "dim", F.get("spacing", "p").alias("spacing"), F.get("origin", "p").alias("origin"), "datatype", "bitpix", "sform_code")
 
 
-@query("read_stored_series", "+f AS (SELECT idx, t, value FROM series WHERE idx < 12) SELECT idx, CAST(0 AS INTEGER) AS t, round(CAST(value AS FLOAT)::DOUBLE, 3) AS value FROM f WHERE t = 9 UNION ALL SELECT idx, 1, round(CAST(value AS FLOAT)::DOUBLE, 3) FROM f WHERE t = 4", "series")
+def _grid_of_users(s):
+    """Users as cells, in planes of 100."""
+    top = s.agg(F.max("idx")).first()[0]
+    return Grid((10, 10, int(top) // 100 + 1))
+
+
+@query("read_stored_series", "+f AS (SELECT idx, t, value FROM series) SELECT idx, CAST(0 AS INTEGER) AS t, round(CAST(value AS FLOAT)::DOUBLE, 3) AS value FROM f WHERE t = 9 UNION ALL SELECT idx, 1, round(CAST(value AS FLOAT)::DOUBLE, 3) FROM f WHERE t = 4", "series")
 def _(spark, d):
-    s = L.series(spark, d).filter("idx < 12")
-    n = 1 + s.agg(F.max("idx")).first()[0]
+    s = L.series(spark, d)
     path = f"{scratch(spark)}/s.nii"
-    nifti.write_volume(s, Grid((int(n), 1, 1)), path, tr=2.0)
-    return nifti.read_series(spark, path, [9, 4])[0].filter(F.col("idx") < n).select("idx", "t", F.round("value", 3).alias("value"))
+    nifti.write_volume(s, _grid_of_users(s), path, tr=2.0)
+    got = nifti.read_series(spark, path, [9, 4])[0]
+    return got.join(s.select("idx").distinct(), "idx").select("idx", "t", F.round("value", 3).alias("value"))
 
 
 @query("read_several_volumes", f"SELECT CAST(n AS INTEGER) AS n, idx, {r('CAST(value * n AS FLOAT)')} AS value FROM vol, (SELECT unnest([1, 2, 3]) AS n)", "vol")

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gridloom import layout as L
 from gridloom.operators import embed as E
 from gridloom.operators import isolines as I
 from gridloom.plans.registry import query, r, show
+from gridloom.operators.supervoxels import supervoxels
+from gridloom.plans.geometry import _grid_of_users, scratch
 from gridloom.plans.sets import _GM, _distances
 from gridloom.plans.volumes import vol
+from gridloom.sources.images import read_images, write_image
 
 #: UPGMA of the ten group maps by recursion: places hold nodes with their leaves in order; the nearest pair joins at the smaller place
 _TREE = """p AS (SELECT a.member AS a, b.member AS b, 1 - corr(a.value, b.value) AS d FROM gm a JOIN gm b ON a.pos = b.pos AND a.member <> b.member GROUP BY 1, 2),
@@ -79,3 +83,57 @@ def _(spark, d):
     v, _ = vol(spark, d)
     nodes = v.select(F.floor(F.col("idx") / 100).alias("plane"), (F.col("idx") % 10).alias("x"), (F.floor(F.col("idx") / 10) % 10).alias("y"), F.col("label").alias("value"))
     return show(I.iso_lines(nodes, [10.5, 25.5, 40.5]), "plane", "level", "line", "nth", x="x", y="y")
+
+
+# ------------------------------------------------------------------ images by slabs
+@query("image_frames", f"+u AS (SELECT DISTINCT idx FROM series) SELECT t, idx, {r('CAST(value AS FLOAT)')} AS value FROM series WHERE t BETWEEN 5 AND 24 AND idx >= 20", "series")
+def _(spark, d):
+    """All users' days as one image written in slabs of 512 cells, then the cells that filters leave, read by slabs of 4 kB."""
+    s = L.series(spark, d)
+    path = f"{scratch(spark)}/days.nii"
+    write_image(s, _grid_of_users(s), path, frames=L.DAYS, slab_cells=512)
+    got = read_images(spark, path, slab_mb=1 / 256).filter("t >= 5 AND t < 25 AND idx >= 20")
+    return show(got.join(s.select("idx").distinct(), "idx"), "t", "idx", value="value")
+
+
+@query("image_of_labels", "SELECT idx, CAST(label AS DOUBLE) AS value FROM vol", "vol")
+def _(spark, d):
+    """A compressed image of 16-bit labels: a member a slab."""
+    v, g = vol(spark, d)
+    path = f"{scratch(spark)}/labels.nii.gz"
+    write_image(v.select("idx", F.col("label").cast("double").alias("value")), g, path, "i2", slab_cells=128)
+    return read_images(spark, path).select("idx", "value")
+
+
+# ------------------------------------------------------------------ supervoxels
+_K, _WIDTH = 6, 4.0
+#: rounds as recursion over all cells: those called within the width of the nearest are taken, then call their neighbours
+_SNIC = f"""f AS (SELECT idx, t, (value - avg(value) OVER w) / CASE WHEN stddev_pop(value) OVER w > 0 THEN stddev_pop(value) OVER w ELSE 1 END AS v FROM series WINDOW w AS (PARTITION BY t)),
+c AS (SELECT idx, idx % 10 AS i, idx // 10 % 10 AS j, idx // 100 AS k, row_number() OVER (ORDER BY idx) - 1 AS row, count(*) OVER () AS n FROM (SELECT DISTINCT idx FROM series)),
+seed AS (SELECT idx, CAST(row // greatest(1, n // {_K}) + 1 AS INTEGER) AS label FROM c WHERE row % greatest(1, n // {_K}) = 0 AND row < greatest(1, n // {_K}) * {_K}),
+nb AS (SELECT a.idx AS a, b.idx AS b FROM c a JOIN c b ON abs(a.i - b.i) <= 1 AND abs(a.j - b.j) <= 1 AND abs(a.k - b.k) <= 1 AND a.idx <> b.idx),
+g AS (SELECT 0 AS step, c.idx, 0 AS label, seed.label AS pl, CASE WHEN seed.label IS NOT NULL THEN 0.0::DOUBLE END AS pd FROM c LEFT JOIN seed USING (idx)
+    UNION ALL
+    SELECT q.step + 1, q.idx, CASE WHEN q.label = 0 AND q.pd <= th.th THEN q.pl ELSE q.label END,
+        CASE WHEN q.label <> 0 OR q.pd <= th.th THEN q.pl WHEN q.pd IS NULL OR struct_pack(d := n.d, l := n.l) < struct_pack(d := q.pd, l := q.pl) THEN coalesce(n.l, q.pl) ELSE q.pl END,
+        CASE WHEN q.label <> 0 OR q.pd <= th.th THEN q.pd WHEN q.pd IS NULL OR struct_pack(d := n.d, l := n.l) < struct_pack(d := q.pd, l := q.pl) THEN coalesce(n.d, q.pd) ELSE q.pd END
+    FROM g q, (SELECT min(pd) + {_WIDTH}::DOUBLE AS th FROM g WHERE label = 0) th
+    LEFT JOIN (
+        SELECT idx, min(struct_pack(d := d, l := label)).d AS d, min(struct_pack(d := d, l := label)).l AS l FROM (
+            SELECT call.idx, call.label, any_value(power(cc.i - ce.i, 2) + power(cc.j - ce.j, 2) + power(cc.k - ce.k, 2)) / sqrt(any_value(cc.n)::DOUBLE / {_K}) + sum(power(f.v - fe.v, 2)) / 5 AS d
+            FROM (SELECT DISTINCT nb.b AS idx, x.pl AS label FROM g x, (SELECT min(pd) + {_WIDTH}::DOUBLE AS th FROM g WHERE label = 0) h JOIN nb ON nb.a = x.idx WHERE x.label = 0 AND x.pd <= h.th) call
+            JOIN c cc ON cc.idx = call.idx
+            JOIN (SELECT label, avg(i) AS i, avg(j) AS j, avg(k) AS k FROM (SELECT CASE WHEN label = 0 THEN pl ELSE label END AS label, i, j, k FROM g y JOIN c USING (idx), (SELECT min(pd) + {_WIDTH}::DOUBLE AS th FROM g WHERE label = 0) h WHERE label <> 0 OR y.pd <= h.th UNION ALL SELECT label, i, j, k FROM seed JOIN c USING (idx)) GROUP BY label) ce ON ce.label = call.label
+            JOIN f ON f.idx = call.idx
+            JOIN (SELECT label, t, avg(v) AS v FROM (SELECT CASE WHEN label = 0 THEN pl ELSE label END AS label, t, v FROM g y JOIN f USING (idx), (SELECT min(pd) + {_WIDTH}::DOUBLE AS th FROM g WHERE label = 0) h WHERE label <> 0 OR y.pd <= h.th UNION ALL SELECT label, t, v FROM seed JOIN f USING (idx)) GROUP BY label, t) fe ON fe.label = call.label AND fe.t = f.t
+            GROUP BY call.idx, call.label)
+        GROUP BY idx) n ON n.idx = q.idx
+    WHERE th.th IS NOT NULL)"""
+
+
+@query("supervoxels", f"WITH RECURSIVE {L.SQL['series']}, {_SNIC} SELECT idx, label FROM g WHERE step = (SELECT max(step) FROM g)")
+def _(spark, d):
+    """Users as cells, grown into regions of alike days."""
+    s = L.series(spark, d)
+    packed = s.groupBy("idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "value"))), lambda x: x["value"]).alias("series"))
+    return supervoxels(packed, _grid_of_users(s), _K, width=_WIDTH)

@@ -1,7 +1,7 @@
-"""NIfTI-1/2 images: headers, cells and files, over Spark's binary source.
+"""NIfTI-1/2 images: headers, cells and files.
 
-Files are read by ``spark.read.format("binaryFile")`` (any store Spark can read), decoded in
-Arrow-batched numpy, one row per cell.  ``times`` is applied before rows are made.
+Headers, and images that come as (file, content), go over ``spark.read.format("binaryFile")`` (any store Spark can read); stored
+images are read and written by slabs with the data source of :mod:`gridloom.sources.images`.  One row per cell.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ def format_of(path: str) -> str:
     raise ValueError(f"no format for {path}")
 
 
-def _readable(path: str) -> None:
+def readable(path: str) -> None:
     if not format_of(path).startswith("NIFTI") or "DUAL" in format_of(path):
         raise ValueError(f"{format_of(path)} files cannot be read: {path}")
 
@@ -129,6 +129,14 @@ def head(raw: bytes, size: int = 1024) -> bytes:
     return zlib.decompressobj(31).decompress(raw, size) if raw[:2] == b"\x1f\x8b" else raw[:size]
 
 
+def apply_scaling(data: np.ndarray, h: dict, dtype: str = "f4") -> np.ndarray:
+    """Stored values as a header scales them; scaled values get ``dtype``, 32-bit unsigned ones double, others their own type."""
+    sc = scaling(h["scl_slope"], h["scl_inter"])
+    if sc:
+        return (data.astype(np.float64) * sc[0] + sc[1]).astype(dtype)
+    return data.astype(np.float64) if h["datatype"] == "u4" else data
+
+
 def decode(raw: bytes, times: list[int] | None = None, dtype: str = "f4") -> tuple[dict, np.ndarray]:
     """(header, values (t, cells)); scaled values get ``dtype``, 32-bit unsigned ones double, others their own type."""
     raw = unpack(raw)
@@ -145,13 +153,7 @@ def decode(raw: bytes, times: list[int] | None = None, dtype: str = "f4") -> tup
     times = list(range(nt)) if times is None else times
     if not times or min(times) < 0 or max(times) >= nt:
         raise ValueError("no such volume")
-    data = data[times]
-    sc = scaling(h["scl_slope"], h["scl_inter"])
-    if sc:
-        data = (data.astype(np.float64) * sc[0] + sc[1]).astype(dtype)
-    elif h["datatype"] == "u4":
-        data = data.astype(np.float64)
-    return h, data
+    return h, apply_scaling(data[times], h, dtype)
 
 
 def grid_of(header: dict) -> Grid:
@@ -161,7 +163,7 @@ def grid_of(header: dict) -> Grid:
 def _binary(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     for p in [paths] if isinstance(paths, str) else paths:
         if "." in p.rsplit("/", 1)[-1] and "*" not in p:
-            _readable(p)
+            readable(p)
     return spark.read.format("binaryFile").load(paths).select(F.col("path").alias("file"), "content")
 
 
@@ -190,8 +192,13 @@ def cells_of(files: DataFrame, times: list[int] | None = None, dtype: str = "f4"
 
 
 def read_cells(spark: SparkSession, paths: str | list[str], times: list[int] | None = None, dtype: str = "f4") -> DataFrame:
-    """:func:`cells_of` stored files."""
-    return cells_of(_binary(spark, paths), times, dtype)
+    """(file, t, idx, value) of stored images, read by slabs (see :mod:`gridloom.sources.images`).
+
+    Stores that only Spark can open: ``cells_of(spark.read.format("binaryFile")...)``, a file a task.
+    """
+    from gridloom.sources.images import read_images
+
+    return read_images(spark, paths, times, dtype=dtype)
 
 
 def read_volume(spark: SparkSession, path: str, index: int = 0, dtype: str = "f4") -> tuple[DataFrame, Grid]:
@@ -226,12 +233,11 @@ def round_clamp_column(v: Column, lo: float, hi: float, to: str = "long") -> Col
     return F.greatest(F.lit(lo), F.least(F.lit(hi), F.floor(v + 0.5))).cast(to)
 
 
-def encode(data: np.ndarray, grid: Grid, kind: str = "f4", tr: float | None = None, order: str = "<", slope: float = 1.0, inter: float = 0.0) -> bytes:
-    """A single-file NIfTI-1 image of (t, cells) values: sform always, qform where the affine is a rotation and a scale.
+def header_bytes(grid: Grid, nt: int, kind: str = "f4", tr: float | None = None, order: str = "<", slope: float = 1.0, inter: float = 0.0) -> bytes:
+    """The header of a single-file NIfTI-1 image: sform always, qform where the affine is a rotation and a scale.
 
-    ``order``: byte order; ``slope`` and ``inter``: the scaling that readers apply to the values stored here.
+    ``order``: byte order; ``slope`` and ``inter``: the scaling that readers apply to the stored values.
     """
-    nt = data.shape[0]
     dims = [*grid.dim[:3], *([nt] if nt > 1 or tr is not None else [])]
     if any(not 1 <= d <= 32767 for d in dims):
         raise ValueError("dimensions must be 1 to 32767")
@@ -254,7 +260,12 @@ def encode(data: np.ndarray, grid: Grid, kind: str = "f4", tr: float | None = No
     struct.pack_into(order + "6f", h, 256, *q, *a[:3, 3])
     struct.pack_into(order + "12f", h, 280, *a[:3].ravel())
     h[344:348] = b"n+1\x00"
-    return bytes(h) + round_clamp(np.asarray(data), kind).astype(order + kind).tobytes()
+    return bytes(h)
+
+
+def encode(data: np.ndarray, grid: Grid, kind: str = "f4", tr: float | None = None, order: str = "<", slope: float = 1.0, inter: float = 0.0) -> bytes:
+    """A single-file image of (t, cells) values (see :func:`header_bytes`)."""
+    return header_bytes(grid, data.shape[0], kind, tr, order, slope, inter) + round_clamp(np.asarray(data), kind).astype(order + kind).tobytes()
 
 
 def write_options(path: str, fmt: str | None = None, compress: bool | None = None) -> bool:
@@ -283,17 +294,11 @@ def encoded(cells: DataFrame, grid: Grid, by: str, kind: str = "f4", gz: bool =
 
 
 def write_volume(cells: DataFrame, grid: Grid, path: str, kind: str = "f4", fmt: str | None = None, compress: bool | None = None, tr: float | None = None) -> None:
-    """One volume (idx, value) or series (idx, t, value) as a file, through the session's Hadoop file system."""
-    gz = write_options(path, fmt, compress)
-    one = cells.withColumn("__one", F.lit(1))
-    content = bytes(encoded(one, grid, "__one", kind, gz, tr).first()["content"])
-    sc = cells.sparkSession.sparkContext
-    p = sc._jvm.org.apache.hadoop.fs.Path(path)
-    out = p.getFileSystem(sc._jsc.hadoopConfiguration()).create(p, True)
-    try:
-        out.write(bytearray(content))
-    finally:
-        out.close()
+    """One volume (idx, value) or series (idx, t, value) as a file, written by tasks (see :mod:`gridloom.sources.images`)."""
+    from gridloom.sources.images import write_image
+
+    write_options(path, fmt, compress)
+    write_image(cells, grid, path, kind, tr)
 
 
 def sha256_ok(content: bytes, checksum: str) -> bool:

@@ -158,15 +158,6 @@ def test_blob_with_known_answer(spark):
     assert C.label_components(diag, g, 0.5, 18).select("label").distinct().count() == 2
 
 
-def test_supervoxels_cover(spark):
-    from gridloom.operators import components as C
-
-    g = Grid((5, 5, 2))
-    f = spark.createDataFrame([(i, [float(i % 5), float(i // 25)]) for i in range(50)], "idx long, series array<double>")
-    got = C.supervoxels(f, g, 4).collect()
-    assert len(got) == 50 and {r["label"] for r in got} == {1, 2, 3, 4}
-
-
 def test_components_in_one_task_and_in_rounds(spark):
     from gridloom.operators import components as C
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import stats
 from gridloom.grid import Grid
-from gridloom.operators import components, design, embed, isolines, joins, order, reduce, roi, setstats, stencil
+from gridloom.operators import components, design, embed, isolines, joins, order, reduce, roi, setstats, stencil, supervoxels
 from gridloom.rng import mulberry32
 from gridloom.sources import nifti
 from gridloom.streaming import moments
@@ -289,11 +289,51 @@ def test_peaks_are_thinned_from_the_highest(spark):
     assert got == want and len(want) > 3
 
 
+def queue_supervoxels(series, grid, k, compactness):
+    """The nearest waiting cell at a time, from one queue; means are those of members, the seed counted twice."""
+    idx = sorted(series)
+    x = np.array([series[i] for i in idx])
+    x = (x - x.mean(axis=0)) / np.where(x.std(axis=0) > 0, x.std(axis=0), 1)
+    g = np.array([[i % grid.dim[0], i // grid.dim[0] % grid.dim[1], i // (grid.dim[0] * grid.dim[1])] for i in idx])
+    p = g / np.array(grid.spacing)
+    at = {tuple(map(int, q)): n for n, q in enumerate(g)}
+    step = max(1, len(idx) // k)
+    first = list(range(0, step * k, step))[: len(idx)]
+    reach, label = np.sqrt(len(idx) / k), np.zeros(len(idx), int)
+    member = {c + 1: [f] for c, f in enumerate(first)}
+    heap = [(0.0, c + 1, f) for c, f in enumerate(first)]
+    while heap:
+        heap.sort()
+        _, c, v = heap.pop(0)
+        if label[v]:
+            continue
+        label[v] = c
+        member[c].append(v)
+        mx, mp = x[member[c]].mean(axis=0), p[member[c]].mean(axis=0)
+        for o in stencil.neighbour_offsets(26):
+            u = at.get(tuple(int(a + b) for a, b in zip(g[v], o, strict=True)))
+            if u is not None and not label[u]:
+                heap.append((float(((p[u] - mp) ** 2).sum() / reach + ((x[u] - mx) ** 2).sum() / compactness), c, u))
+    return dict(zip(idx, label.tolist(), strict=True))
+
+
+def test_supervoxels_equal_the_queue(spark):
+    rng = np.random.default_rng(10)
+    g = Grid((4, 3, 2), (2.0, 2.5, 3.0))
+    series = {i: rng.normal(0, 1, 2).tolist() for i in range(g.size) if i % 7}
+    d = spark.createDataFrame(list(series.items()), "idx long, series array<double>")
+    got = {r["idx"]: r["label"] for r in supervoxels.supervoxels(d, g, 3, width=0.0).collect()}
+    assert got == queue_supervoxels(series, g, 3, 5.0)
+
+
 def test_supervoxels_cover_the_mask(spark):
     g = Grid((8, 6, 2))
     rng = np.random.default_rng(10)
     idx = [i for i in range(g.size) if i % 11]
     d = spark.createDataFrame([(i, [float(i % 8 >= 4), float(rng.normal(0, 0.01))]) for i in idx], "idx long, series array<double>")
-    got = {r["idx"]: r["label"] for r in components.supervoxels(d, g, 8).collect()}
+    got = {r["idx"]: r["label"] for r in supervoxels.supervoxels(d, g, 8).collect()}
     assert set(got) == set(idx) and set(got.values()) == set(range(1, 9))
-    assert got == {r["idx"]: r["label"] for r in components.supervoxels(d, g, 8).collect()}
+    apart = d.filter("idx % 8 < 2 or idx % 8 > 5")  # two slabs, one seed
+    assert sorted({r["label"] for r in supervoxels.supervoxels(apart, g, 1).collect()}) == [0, 1]
+    assert supervoxels.supervoxels(d.limit(0), g, 3).count() == 0
+    assert {r["label"] for r in supervoxels.supervoxels(d.filter("idx < 4"), g, 9).collect()} == {1, 2, 3}

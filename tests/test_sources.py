@@ -2,13 +2,14 @@
 
 import gzip
 import json
+import os
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from gridloom.grid import Grid
-from gridloom.sources import atlas, delimited, manifest, nifti, summary
+from gridloom.sources import atlas, delimited, images, manifest, nifti, summary
 from gridloom.streaming import moments
 
 
@@ -141,3 +142,53 @@ def test_streaming_equals_batch(spark, tmp_path):
     q.awaitTermination()
     batch = moments.streaming_moments(ev, "ts", "cell", "value")
     assert sorted(map(tuple, spark.table("m_test").collect())) == sorted(map(tuple, batch.collect()))
+
+
+# ------------------------------------------------------------------ images by slabs
+@pytest.mark.parametrize("name", ["i.nii", "i.nii.gz"])
+def test_slabs_are_written_and_read_by_tasks(spark, tmp_path, name):
+    rng = np.random.default_rng(8)
+    data = np.round(rng.normal(0, 50, (5, 60)))
+    data[2, 10:50] = 0  # cells without rows
+    g = Grid((3, 4, 5), (2.0, 2.5, 3.0), (-9.0, 1.0, 4.0))
+    d = cells(spark, data).filter("value <> 0").repartition(7)
+    path = f"{tmp_path}/{name}"
+    images.write_image(d, g, path, "i2", tr=1.5, slab_cells=32)
+    assert os.listdir(tmp_path) == [name]  # nothing is left beside it
+    raw = (tmp_path / name).read_bytes()
+    h, back = nifti.decode(raw)
+    assert nifti.grid_of(h).same_geometry(g, 1e-4) and h["dim"] == [3, 4, 5, 5] and (back == data).all()
+    plain = gzip.decompress(raw) if name.endswith("gz") else raw
+    assert plain == nifti.encode(data, g, "i2", 1.5)
+    got = images.read_images(spark, path, slab_mb=100 / (1 << 20))
+    assert got.rdd.getNumPartitions() == (1 if name.endswith("gz") else -(-len(raw) // 100))
+    assert {(r["t"], r["idx"]): r["value"] for r in got.collect()} == {(t, i): v for t, x in enumerate(data) for i, v in enumerate(x)}
+    some = got.filter("t IN (1, 4) AND idx > 7 AND idx <= 30")
+    assert {(r["t"], r["idx"]): r["value"] for r in some.collect()} == {(t, i): data[t, i] for t in (1, 4) for i in range(8, 31)}
+    assert {r["t"] for r in images.read_images(spark, path, [3, 0]).collect()} == {0, 3}
+    with pytest.raises(Exception, match="no such volume"):
+        images.read_images(spark, path, [9]).collect()
+
+
+def test_filters_leave_bytes_unread(tmp_path):
+    data = np.arange(6 * 1000.0).reshape(6, 1000)
+    path = f"{tmp_path}/a.nii"
+    (tmp_path / "a.nii").write_bytes(nifti.encode(data, Grid((10, 10, 10)), "f4"))
+    reader = images.ImageReader({"path": path, "slab_mb": "0.002"})
+    list(reader.pushFilters([images.EqualTo(("t",), 3), images.GreaterThan(("idx",), 989), images.LessThanOrEqual(("idx",), 995)]))
+    got = [b for p in reader.partitions() for b in reader.read(p)]
+    assert [x for b in got for x in b.column("value").to_pylist()] == list(range(3990, 3996))
+    other = images.ImageReader({"path": str(tmp_path)})
+    list(other.pushFilters([images.In(("file",), ("elsewhere.nii",))]))
+    assert other.partitions() == []
+
+
+def test_failed_writes_leave_nothing(spark, tmp_path):
+    d = cells(spark, np.ones((1, 60))).drop("t").withColumn("idx", F.col("idx") + 10)
+    for name in ("x.nii", "x.nii.gz"):
+        with pytest.raises(Exception, match="outside the image"):
+            images.write_image(d, Grid((3, 4, 5)), f"{tmp_path}/{name}", slab_cells=16)
+        assert os.listdir(tmp_path) == []
+    (tmp_path / "t.nii").write_bytes(nifti.encode(np.ones((1, 60)), Grid((3, 4, 5)))[:-5])
+    with pytest.raises(Exception, match="truncated"):
+        images.read_images(spark, f"{tmp_path}/t.nii").collect()
