@@ -311,7 +311,7 @@ def groups(tied: DataFrame, labels: DataFrame, nodes: DataFrame, chunk: int | No
     part = part.union(part.select("label", "label").distinct()).toDF("label", "grp")
     member = nodes.select("node").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
     part = part.join(member.groupBy("label").agg(F.count(F.lit(1)).alias("c")), "label")
-    top = part.groupBy("grp").agg(F.max(F.struct("c", "label")).alias("most"), F.sum("c").alias("all")).filter("all > 2")
+    top = part.groupBy("grp").agg(F.max(F.struct("c", "label")).alias("most"), F.sum("c").alias("all"))
     top = top.select("grp", F.col("most.label").alias("major"), *_chunks(F.col("all") - F.col("most.c"), F.col("most.c"), chunk or CHUNK))
     part = _salted(part.select("label", "grp"), top, "grp", "label").withColumn("minor", F.col("label") != F.col("major")).drop("major")
     return _salted(member, part, "label", "node").select("grp", "node", "label", "minor", "cm", "cx")
