@@ -16,7 +16,7 @@ The benchmark's windows are broadcast in blocks of ``MAX_WINDOWS`` at most (16 M
 larger benchmark takes one pass over the documents per block, and an item never spans blocks.
 
 Hits of a template that many items or many places of a text share are counted in arrays first; positions are
-compared only for (document, item) pairs that share windows enough.
+compared only for (document, item) pairs that share windows enough, as diagonal stretches, of which equal ones are judged once.
 
 Edge cases: null or empty texts match nothing; items with fewer than ``WINDOW`` tokens have one
 window of their whole length; an item without enough literal words is matched by its plain words only; items of equal
@@ -26,7 +26,7 @@ in a text is one row; an empty table on either side gives no rows; other columns
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -143,42 +143,73 @@ class Index:
         return self._hash[s], self._where[s]
 
 
-def _consistent(values: list[tuple[int, int]]) -> bool:
+def _consistent(x: np.ndarray, y: np.ndarray) -> bool:
     """Whether values that fill several slots meet one partner in ``CONSISTENT`` of them, on both sides."""
-    pair = Counter(values)
-    for side in (0, 1):
-        often, best = Counter(v[side] for v in values), Counter()
-        for v, c in pair.items():
-            best[v[side]] = max(best[v[side]], c)
-        again = [x for x, c in often.items() if c > 1]
-        if sum(best[x] for x in again) < CONSISTENT * sum(often[x] for x in again):
+    if not len(x):
+        return True
+    both, c = np.unique(np.stack([x, y]), axis=1, return_counts=True)
+    for side in both:
+        _, which = np.unique(side, return_inverse=True)
+        often, best = np.bincount(which, c), np.zeros(which.max() + 1)
+        np.maximum.at(best, which, c)
+        again = often > 1
+        if best[again].sum() < CONSISTENT * often[again].sum():
             return False
     return True
 
 
-def _alignments(pairs: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
-    """Matching (document, item) positions by occurrence: runs along one offset, which edits may shift by less than
-    a window; ascending chains of runs (an occurrence with longer insertions); and all pairs together."""
+def _segments(at: np.ndarray, h: np.ndarray, own: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text position, item position, windows) of the maximal diagonal stretches on which a text and an item match, ordered by place.
+
+    ``at``, ``h``: a text's hits; ``own``, ``where``: an item's hashes in order and their places.  Matching positions are made in pieces of a few million
+    and leave as stretches, so that a text and an item that both repeat themselves cost array work and no list of their product.
+    """
+    x, y = (np.searchsorted(own, h, side) for side in ("left", "right"))
+    ends, parts, k = np.cumsum(y - x), [], 0
+    while k < len(h):
+        z = max(int(np.searchsorted(ends, (ends[k - 1] if k else 0) + (1 << 22), "right")), k + 1)
+        n = (y - x)[k:z]
+        d, b = np.repeat(at[k:z], n), where[_spread(x[k:z], n)]
+        order = np.lexsort((d, d - b))
+        d, b = d[order], b[order]
+        first = np.flatnonzero(np.concatenate([[True], (np.diff(d - b) != 0) | (np.diff(d) != 1)]))
+        parts.append((d[first], b[first], np.diff(np.concatenate([first, [len(d)]]))))
+        k = z
+    d, b, n = (np.concatenate(c) for c in zip(*parts, strict=True))
+    order = np.lexsort((d, d - b))
+    d, b, n = d[order], b[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], (np.diff(d - b) != 0) | (d[1:] != d[:-1] + n[:-1])]))  # stretches that pieces have cut
+    d, b, n = d[first], b[first], np.add.reduceat(n, first)
+    order = np.lexsort((b, d))
+    return d[order], b[order], n[order]
+
+
+def _alignments(d: np.ndarray, b: np.ndarray, n: np.ndarray) -> list[list[int]]:
+    """Stretches by occurrence: runs along one offset, which edits may shift by less than a window; ascending chains of
+    runs (an occurrence with longer insertions); and all together."""
     runs, ends = [], {}  # ends: offset -> the run that ended there last
-    for d, b in sorted(pairs):
-        near = [o for s in range(WINDOW) for o in {d - b - s, d - b + s} if o in ends and ends[o][-1][0] < d and ends[o][-1][1] < b]
-        if near:
-            run = ends.pop(near[0])
-            run.append((d, b))
-        else:
-            runs.append(run := [(d, b)])
-        ends[d - b] = run
-    chains = []
+    d0, b0, last = d.tolist(), b.tolist(), (n - 1).tolist()
+    for i, (p, q, m) in enumerate(zip(d0, b0, last, strict=True)):
+        offset, run = p - q, None
+        for s in range(WINDOW):
+            for o in (offset,) if not s else (offset - s, offset + s):
+                old = ends.get(o)
+                if old is not None and old[1] < p and old[2] < q:
+                    run = ends.pop(o)[0]
+                    break
+            if run is not None:
+                break
+        if run is None:
+            runs.append(run := [])
+        run.append(i)
+        ends[offset] = (run, p + m, q + m)
+    chains: list[list[int]] = []
     for run in runs:
-        if chains and chains[-1][-1][0] < run[0][0] and chains[-1][-1][1] < run[0][1]:
+        if chains and d0[chains[-1][-1]] + last[chains[-1][-1]] < d0[run[0]] and b0[chains[-1][-1]] + last[chains[-1][-1]] < b0[run[0]]:
             chains[-1].extend(run)
         else:
             chains.append(list(run))
-    out = []
-    for x in [*runs, *chains, sorted(pairs)]:
-        if x not in out[-1:]:
-            out.append(x)
-    return out
+    return [*runs, *(c for c in chains if len(c) > 1), list(range(len(d0)))]
 
 
 def leaks(col: pa.Array, bench: Benchmark) -> list[tuple[int, int, int, float, bool]]:
@@ -230,10 +261,7 @@ def _leaks(col: pa.Array, bench: Index) -> list[tuple[int, int, int, float, bool
         row = t.doc[at]
         for r, item in zip(*_possible(row, h, bench), strict=True):
             a, z = np.searchsorted(row, (r, r + 1))
-            own, where = bench.of_item(item)
-            x, y = (np.searchsorted(own, h[a:z], side) for side in ("left", "right"))
-            pairs = list(zip(np.repeat(at[a:z], y - x).tolist(), where[_spread(x, y - x)].tolist(), strict=True))
-            best = _judge(pairs, t, bench, item)
+            best = _judge(_segments(at[a:z], h[a:z], *bench.of_item(item)), t, bench, item)
             if best:
                 out[int(r), bench.ids[item]] = best
     for size, table in bench.short.items():
@@ -249,19 +277,36 @@ def _leaks(col: pa.Array, bench: Index) -> list[tuple[int, int, int, float, bool
     return sorted((*key, *x) for key, x in out.items())
 
 
-def _judge(pairs: list[tuple[int, int]], t: Templates, bench: Index, item: int) -> tuple[int, float, bool] | None:
-    """(windows, coverage, exact) of the best alignment of a text's and an item's matching positions that passes."""
-    passed = []
-    for some in _alignments(pairs):
-        n = len({b for _, b in some})
-        share = n / bench.total[item]
-        if share < COVERAGE and n < LONG:
+def _judge(stretches: tuple[np.ndarray, np.ndarray, np.ndarray], t: Templates, bench: Index, item: int) -> tuple[int, float, bool] | None:
+    """(windows, coverage, exact) of the best alignment of a text's and an item's matching stretches that passes."""
+    d, b, n = stretches
+    total, passed, seen = int(bench.total[item]), [], set()
+    for some in _alignments(d, b, n):
+        p, q, m = d[some], b[some], n[some]
+        if len(some) == 1:
+            windows = int(m[0])
+        else:
+            windows = len(np.unique(_spread(q, m)))
+        share = windows / total
+        if share < COVERAGE and windows < LONG:
+            continue
+        size = m + WINDOW - 1
+        x, y = _spread(p, size), _spread(q, size)
+        same = (q.tobytes(), m.tobytes(), (p - q - (p - q)[0]).tobytes(), t.value[x].tobytes())
+        if same in seen:  # equal places of a text count once
             continue
-        slots = {(d + j, b + j) for d, b in some for j in range(WINDOW) if t.kind[d + j] != WORD}
-        values = [(int(t.value[d]), int(bench.t.value[b])) for d, b in slots]
-        if values and sum(x == y for x, y in values) < CONSISTENT * len(values) and not _consistent(values):
+        seen.add(same)
+        slot = t.kind[x] != WORD
+        x, y = x[slot], y[slot]
+        if len(some) > 1 and len(x):
+            x, y = np.unique(np.stack([x, y]), axis=1)
+        x, y = t.value[x], bench.t.value[y]
+        equal = x == y
+        if len(x) and equal.sum() < CONSISTENT * len(x) and not _consistent(x, y):
             continue
-        passed.append((n, float(share), all(x == y for x, y in values)))
+        passed.append((windows, float(share), bool(equal.all())))
+        if windows == total and passed[-1][2]:  # nothing can be better
+            break
     return (*max(passed)[:2], any(x[2] for x in passed)) if passed else None
 
 
