@@ -18,7 +18,6 @@ an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridloom.llm.store import cut
@@ -26,7 +25,6 @@ from gridloom.operators.order import ranked, running
 
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = "0123456789#$%&*|<>{}[]=_~^/@+"
-ROWS_PER_BUCKET = 4096
 MAX_BROADCAST_SOURCES = 50_000  # a few MB; with more sources the targets are joined by a shuffle
 
 
@@ -90,31 +88,28 @@ def mix_sources(docs: DataFrame, labels: DataFrame | None = None, share: float =
     """The mix of ``docs`` (doc_id, text, source): one row per document with its size, its source's size and target, and the words taken.
 
     ``weight``: a positive quality weight; else :func:`quality_weight` learned from ``labels``; else all weigh alike.
-    Keys spread over buckets of a source, so a source of any size sorts in many tasks; only sums per bucket are
-    prefix-summed by source.  ``keep``: columns of ``docs`` to carry.
+    All rows are put in one order of (source, key) by ranges, so a source of any size and any weights sorts in many tasks; only
+    sums per range are prefix-summed.  ``keep``: columns of ``docs`` to carry.
     """
     carried = [F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)]
     d = docs.select(*carried, F.col("doc_id").alias("id"), "source", "text", size_of(F.col("text")).alias("size"), (F.lit(1.0) if weight is None else weight.cast("double")).alias("weight"))
     d = d.withColumns(structure(F.col("text"), F.col("size"))).drop("text") if weight is None and labels is not None else d.drop("text")
     d = d.withColumn("skey", F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source"))))
-    d = cut(d)  # a few numbers a document: the texts are read once
+    d = cut(d).withColumn("row", F.monotonically_increasing_id())  # a few numbers a document: the texts are read once
     if weight is None and labels is not None:
         d = d.withColumn("weight", quality_weight(d, labels))
     digest = F.md5(F.concat(F.coalesce(F.col("id").cast("string"), F.lit("null")), F.lit(f":{seed}")).cast("binary"))
     u = (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
     d = d.withColumn("key", -F.ln(u) / F.greatest(F.col("weight"), F.lit(1e-6))).drop("weight", "f0", "f1", "f2", "f3")
     per_source = d.groupBy("skey").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
-    plan = cut(targets(per_source, share, weights, max_epochs))
+    # sources lie end to end in one order of all rows, so a running total less what earlier sources hold is a source's own
+    plan = cut(running(targets(per_source, share, weights, max_epochs), [F.col("skey")], {"base": F.col("source_size")}))
     small = plan.count() <= MAX_BROADCAST_SOURCES
-    d = d.drop("source").join(F.broadcast(plan) if small else plan, "skey")
-    buckets = F.ceil(F.col("n_docs") / float(ROWS_PER_BUCKET))
-    d = d.withColumn("bucket", F.least(buckets - 1, F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * buckets)))
-    sums = d.groupBy("skey", "bucket").agg(F.sum("size").alias("bucket_size"))
-    base = F.sum("bucket_size").over(W.partitionBy("skey").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1))
-    d = d.join(sums.select("skey", "bucket", F.coalesce(base, F.lit(0)).alias("base")), ["skey", "bucket"])
-    run = F.sum("size").over(W.partitionBy("skey", "bucket").orderBy("key", "id", "size").rowsBetween(W.unboundedPreceding, 0))
+    order = [F.col(c) for c in ("skey", "key", "id", "size", "row")]  # "row" splits repeated rows, which may be many
+    d = running(d.drop("source"), order, {"before": F.col("size")}).drop("row")
+    d = d.join(F.broadcast(plan) if small else plan, "skey")
     rest = F.col("target") - F.col("epochs") * F.col("source_size")
-    extra = ((F.col("base") + run - F.col("size") + F.col("size") / 2.0) <= rest) & (F.col("size") > 0)
+    extra = ((F.col("before") - F.col("base") + F.col("size") / 2.0) <= rest) & (F.col("size") > 0)
     copies = (F.col("epochs") + F.when(extra, 1).otherwise(0)).cast("long")
     d = d.withColumn("copies", copies)
     return d.select(*[F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)], "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
