@@ -6,7 +6,7 @@ statistics of the bytes and words fill further slots.  All pairs of features int
 ``sum_{i<j} <v_i, v_j> x_i x_j = (|sum_i v_i x_i|^2 - sum_i |v_i|^2 x_i^2) / 2``.
 
 The model is fitted on a bounded sample: the ``TRAIN_ROWS`` labelled documents with the smallest
-hash of their id, among those that ``labelled`` admits.  Scores use the text alone.
+hash of their id, among those that are admitted; of several rows with one id the text of least hash counts.  Scores use the text alone.
 
 Edge cases: null and empty texts are scored from zero statistics; a null label is no label, the
 smallest of several labels of a document counts; without labelled rows every score is 0.5; repeated
@@ -109,12 +109,19 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]], epochs: int
     return Machine(bias, w, v, mean, scale)
 
 
+def _lists(col: pa.ChunkedArray, kind) -> list[np.ndarray]:
+    """The lists of a column as arrays."""
+    return [np.asarray(x.values.to_numpy(zero_copy_only=False), kind) for x in col]
+
+
 def train(docs: DataFrame, labels: DataFrame, admitted, train_rows: int = TRAIN_ROWS) -> Machine:
     """A machine fitted on at most ``train_rows`` labelled documents (``admitted``: condition on doc_id)."""
     known = labels.select("doc_id", "quality").filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & admitted)
     known = known.groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     sample = known.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(train_rows)
     chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # bounded by train_rows
+    # one text for each id, however many rows have it
+    chosen = chosen.groupBy("doc_id", "quality").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("least")).select("quality", "least.text")
     schema = pa.schema([("buckets", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32())), ("stats", pa.list_(pa.float64())), ("quality", pa.int32())])
 
     def run(batches):
@@ -124,8 +131,8 @@ def train(docs: DataFrame, labels: DataFrame, admitted, train_rows: int = TRAIN_
                 uc = [np.unique(b[first[i] : first[i + 1]], return_counts=True) for i in range(len(stats))]
                 yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in uc], schema.types[0]), pa.array([c for _, c in uc], schema.types[1]), pa.array(list(stats), schema.types[2]), batch.column("quality").cast(pa.int32())], schema=schema)
 
-    rows = chosen.select("text", "quality").mapInArrow(run, "buckets array<int>, counts array<int>, stats array<double>, quality int").toArrow()
-    got = list(zip(*([np.asarray(x, t) for x in rows.column(c).to_pylist()] for c, t in (("buckets", np.int64), ("counts", float), ("stats", float))), rows.column("quality").to_pylist(), strict=True))
+    rows = chosen.select("text", "quality").mapInArrow(run, "buckets array<int>, counts array<int>, stats array<double>, quality int").toArrow().combine_chunks()
+    got = list(zip(*(_lists(rows.column(c), t) for c, t in (("buckets", np.int64), ("counts", float), ("stats", float))), rows.column("quality").to_pylist(), strict=True))
     got.sort(key=lambda r: (r[3], len(r[0]), r[2].tobytes(), r[0].tobytes(), r[1].tobytes()))  # the same model in any order of rows
     return fit(got)
 
