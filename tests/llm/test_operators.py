@@ -5,6 +5,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -96,6 +97,19 @@ def test_alignment_by_occurrence():
     assert decontaminate.leaks(pa.array([sheet + ". And " + q.format(12, 30, 7)]), b)[0][4]
 
 
+def test_texts_and_items_that_repeat_themselves():
+    """Both sides full of one window cost array work, and are judged as if they were not."""
+    b = decontaminate.Benchmark([(1, "ha " * 60), (2, "so 5 we go 7 and then we go on to " * 12)])
+    at = time.time()
+    got = decontaminate.leaks(pa.array(["ha " * 20_000, "so 6 we go 8 and then we go on to " * 3_000, "ha ho " * 5_000]), b)
+    assert time.time() - at < 4
+    assert {(x[0], x[1], x[4]) for x in got} == {(0, 1, True), (1, 2, False)}
+    some = ["ha " * 90, "so 5 we go 7 and then we go on to " * 9 + "so 5 we go 7", "ha ha ho " * 20]
+    items = [(1, "ha " * 30), (2, "so 5 we go 7 and then we go on to " * 3), (3, "ha ha ha ho " * 6)]
+    got = decontaminate.leaks(pa.array(some), decontaminate.Benchmark(items))
+    assert {(x[0], x[1]): x[4] for x in got} == brute_leaks(some, items)
+
+
 def test_verbatim_items_with_few_literals():
     """Arithmetic, tables and lists match word for word, and only word for word."""
     items = ["What is 12 + 30?", "Ann 12 kg Bob 15 kg Cid 9 kg Dan 31 kg Eve 44 kg"]
@@ -139,13 +153,53 @@ def brute_templates(t, typing):
     return out
 
 
+def brute_consistent(values):
+    """Values that fill several slots meet one partner in most of them, on both sides; by counting pairs."""
+    pair = collections.Counter(values)
+    for side in (0, 1):
+        often = collections.Counter(v[side] for v in values)
+        again = [x for x, c in often.items() if c > 1]
+        best = {x: max(c for v, c in pair.items() if v[side] == x) for x in again}
+        if sum(best.values()) < decontaminate.CONSISTENT * sum(often[x] for x in again):
+            return False
+    return True
+
+
+def brute_judge(pairs, d, b, total):
+    """Whether any alignment that passes has equal values, from lists of matching positions; None if none passes."""
+    D = decontaminate
+    runs, ends = [], {}
+    pairs = sorted(pairs)
+    for i, j in pairs:
+        near = [o for s in range(D.WINDOW) for o in ([i - j - s, i - j + s] if s else [i - j]) if o in ends and ends[o][-1][0] < i and ends[o][-1][1] < j]
+        if near:
+            run = ends.pop(near[0])
+            run.append((i, j))
+        else:
+            runs.append(run := [(i, j)])
+        ends[i - j] = run
+    chains = []
+    for run in runs:
+        if chains and chains[-1][-1][0] < run[0][0] and chains[-1][-1][1] < run[0][1]:
+            chains[-1] = chains[-1] + run
+        else:
+            chains.append(list(run))
+    found = None
+    for some in [*runs, *chains, pairs]:
+        n = len({j for _, j in some})
+        if n / total < D.COVERAGE and n < D.LONG:
+            continue
+        slots = {(i + k, j + k) for i, j in some for k in range(D.WINDOW) if d[i + k][0] != D.WORD}
+        values = [(d[i][1], b[j][1]) for i, j in slots]
+        if values and sum(x == y for x, y in values) < D.CONSISTENT * len(values) and not brute_consistent(values):
+            continue
+        found = bool(found) or all(x == y for x, y in values)
+    return found
+
+
 def brute_leaks(texts, items):
     """{(row, item): exact} by dictionaries of window tuples."""
     D, out = decontaminate, {}
-
-    class Table:
-        pass
-
     for typing in D.TYPINGS:
         mark = lambda x: x[1] if x[0] == D.WORD else x[0]
         docs, bench = ([brute_templates(x or "", typing) for x in xs] for xs in (texts, [x for _, x in items]))
@@ -160,13 +214,9 @@ def brute_leaks(texts, items):
                 if size < D.WINDOW:
                     best = any(d[i : i + size] == b[j : j + size] for i, j in pairs)
                 else:
-                    t, x = Table(), Table()
-                    t.kind, t.value, x.t, x.total = [y[0] for y in d], [hash(y[1]) for y in d], Table(), {k: len(mine)}
-                    x.t.value = [hash(y[1]) for y in b]
-                    best = D._judge(pairs, t, x, k)
+                    best = brute_judge(pairs, d, b, len(mine))
                     if best is None:
                         continue
-                    best = best[2]
                 out[r, items[k][0]] = out.get((r, items[k][0]), False) or best
     return out
 
@@ -622,11 +672,6 @@ def test_mix_meets_targets(spark, odd):
     for (_, t), rows in by.items():
         assert abs(sum(r["taken"] for r in rows) - t) <= max(r["size"] for r in rows)
     assert sorted(map(tuple, got), key=str) == sorted(map(tuple, mixing.mix_sources(docs.repartition(7)).collect()), key=str)
-    old, mixing.ROWS_PER_BUCKET = mixing.ROWS_PER_BUCKET, 8
-    try:
-        assert sorted(map(tuple, got), key=str) == sorted(map(tuple, mixing.mix_sources(docs).collect()), key=str)
-    finally:
-        mixing.ROWS_PER_BUCKET = old
     assert mixing.mix_sources(docs.limit(0)).count() == 0
 
 
@@ -685,6 +730,18 @@ def test_near_duplicates_equal_brute_force(spark, odd):
     assert neardup.near_duplicates(docs.limit(0)).count() == 0 and neardup.keep_one(docs.limit(0)).count() == 0
 
 
+def test_tied_pairs_of_single_nodes_are_compared(spark):
+    """A bucket whose smallest node is unlike two equal ones: both are in a group, however small it is."""
+    rng = np.random.default_rng(3)
+    sig = rng.integers(0, 256, (2, neardup.REGISTERS), dtype=np.uint8)
+    nodes = spark.createDataFrame([(0, bytearray(sig[0])), (1, bytearray(sig[1])), (2, bytearray(sig[1]))], "node long, sig binary")
+    star = spark.createDataFrame([(9, 0, 0, 0), (9, 0, 0, 1), (9, 0, 0, 2)], "bucket long, part int, hub long, node long")
+    labels = spark.createDataFrame([], "node long, label long")
+    tied = neardup.ties(star, labels, nodes)
+    assert [tuple(r) for r in tied.collect()] in ([(1, 2)], [(2, 1)])
+    assert sorted(r["node"] for r in neardup.groups(tied, labels, nodes).collect()) == [1, 2]
+
+
 def test_pairs_hidden_behind_other_hubs(spark):
     """Pairs of near copies in a large family of pages that share a third of their text: every bucket has a smaller, unlike node."""
     rng = random.Random(15)
@@ -845,3 +902,35 @@ def test_whole_pipeline(spark, tmp_path):
         spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(str(tmp_path / f"{name}.parquet"))
     docs.limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_low_weights_are_spread_over_ranges(spark):
+    """Weights of a tenth put most keys far out; the order of keys is still dealt over many tasks, and exact."""
+    n = 4000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("a b c d e").alias("text"), F.when(F.col("id") % 10 < 9, "hot").otherwise("cold").alias("source"))
+    got = mixing.mix_sources(docs.repartition(5), weight=F.lit(0.1)).collect()
+    keys = {}
+    for i in range(n):
+        u = (int(hashlib.md5(f"{i}:17".encode()).hexdigest()[:12], 16) + 0.5) / 2**48
+        keys[i] = -np.log(u) / 0.1
+    for source in ("hot", "cold"):
+        mine = [r for r in got if (r["doc_id"] % 10 < 9) == (source == "hot")]
+        target, epochs = mine[0]["target"], int(mine[0]["target"] // mine[0]["source_size"])
+        rest, taken = target - epochs * mine[0]["source_size"], set()
+        for at, r in enumerate(sorted(mine, key=lambda r: keys[r["doc_id"]])):
+            if at * 5 + 2.5 <= rest:
+                taken.add(r["doc_id"])
+        assert {r["doc_id"] for r in mine if r["copies"] > epochs} == taken
+    same = docs.union(docs.filter("doc_id = 3").crossJoin(spark.range(3000)).select(docs.columns))  # one id on most rows
+    assert mixing.mix_sources(same, weight=F.lit(0.1)).count() == n + 3000
+
+
+def test_one_id_on_many_rows_is_one_training_row(spark):
+    rng = random.Random(8)
+    docs = spark.createDataFrame([(i, text(rng, 40, 300 if i % 2 else 30)) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    many = docs.union(docs.filter("doc_id = 7").crossJoin(spark.range(5000)).select("doc_id", "text"))
+    a, b = (quality.train(d, labels, F.lit(True)) for d in (docs, many))
+    assert (a.factors == b.factors).all() and a.bias == b.bias
+    two = docs.union(spark.createDataFrame([(7, None), (7, "z")], docs.schema))
+    assert (quality.train(two, labels, F.lit(True)).factors == quality.train(two.orderBy(F.desc("text")), labels, F.lit(True)).factors).all()
