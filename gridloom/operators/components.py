@@ -11,21 +11,16 @@ from pyspark.sql import functions as F
 
 from gridloom.grid import Grid
 from gridloom.operators.order import cut as _cut
-from gridloom.operators.order import ranked, running
+from gridloom.operators.order import ranked, running, stored
 from gridloom.operators.stencil import neighbour_offsets, taps
 from gridloom.rng import mulberry32
 
-LOCAL_EDGES = 1_000_000
+TILE, LOCAL_EDGES = 32, 1_000_000
 
 
-def _contract(frames):
-    """(idx, root) of the cells of an edge list (a, b) whose least cell is another one."""
-    parts = [f for f in frames if len(f)]
-    if not parts:
-        return
-    e = pd.concat(parts)
-    nodes, at = np.unique(np.r_[e["a"], e["b"]], return_inverse=True)
-    x, y, low = at[: len(e)], at[len(e) :], np.arange(len(nodes))
+def _least(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The least node of each node's component, for nodes 0 to n - 1 and edges (x, y)."""
+    low = np.arange(n)
     while True:
         new = low.copy()
         np.minimum.at(new, low[x], low[y])
@@ -33,38 +28,82 @@ def _contract(frames):
         while (new != new[new]).any():
             new = new[new]
         if (new == low).all():
-            break
+            return low
         low = new
-    yield pd.DataFrame({"idx": nodes, "root": nodes[low]})
 
 
-def roots(cells: DataFrame, grid: Grid, connectivity: int = 26, same: str | None = None, local_edges: int = LOCAL_EDGES) -> DataFrame:
+def _contract(frames):
+    """(node, root) of the nodes of an edge list (a, b)."""
+    parts = [f for f in frames if len(f)]
+    if parts:
+        e = pd.concat(parts)
+        nodes, at = np.unique(np.r_[e["a"], e["b"]], return_inverse=True)
+        yield pd.DataFrame({"node": nodes, "root": nodes[_least(len(nodes), at[: len(e)], at[len(e) :])]})
+
+
+def _in_tile(pdf: pd.DataFrame, half: list[tuple[int, int, int]], same: str | None, tile: int) -> pd.DataFrame:
+    """The cells of one tile with the least cell of their component inside it, and whether they lie at its border."""
+    pdf = pdf.sort_values("idx")
+    c = pdf[["i", "j", "k"]].to_numpy() % tile
+    place = np.full((tile,) * 3, -1)
+    place[tuple(c.T)] = np.arange(len(pdf))
+    group = pdf[same].to_numpy() if same else np.zeros(len(pdf))
+    xs, ys = [], []
+    for o in half:
+        here = place[tuple(slice(max(0, -d), tile - max(0, d)) for d in o)].ravel()
+        there = place[tuple(slice(max(0, d), tile - max(0, -d)) for d in o)].ravel()
+        on = (here >= 0) & (there >= 0)
+        on[on] = group[here[on]] == group[there[on]]
+        xs.append(here[on])
+        ys.append(there[on])
+    idx = pdf["idx"].to_numpy()
+    pdf["local"] = idx[_least(len(pdf), np.concatenate(xs), np.concatenate(ys))]
+    pdf["border"] = ((c == 0) | (c == tile - 1)).any(axis=1)
+    return pdf
+
+
+def roots(cells: DataFrame, grid: Grid, connectivity: int = 26, same: str | None = None, local_edges: int = LOCAL_EDGES, tile: int = TILE) -> DataFrame:
     """(idx, root): the least cell of each component of ``cells``; with ``same``, neighbours must agree in that column.
 
-    Up to ``LOCAL_EDGES`` neighbour pairs are one task's array work.  More take rounds of minimum over
-    neighbours with pointer jumping, so the number of rounds follows the logarithm of a component's
-    extent; each round is two shuffles on idx.
+    Cells meet in tiles of ``tile`` an edge, where components are found in arrays; only links over the borders of tiles leave them, as
+    pairs of the tiles' components.  Up to ``LOCAL_EDGES`` such pairs are one task's array work; more take
+    rounds of minimum over neighbours with pointer jumping.
     """
-    keep = ["idx", *([same] if same else [])]
     half = [o for o in neighbour_offsets(connectivity) if o > (0, 0, 0)]
-    near = taps(cells.select(*keep, F.col("idx").alias("other")), grid, half, ("other", *keep[1:])).drop("tap", "w")
-    links = near.join(cells.select("idx", *[F.col(same).alias("__mine")] if same else []), "idx")
-    if same:
-        links = links.filter(F.col(same) == F.col("__mine"))
-    links = links.select(F.col("idx").alias("a"), F.col("other").alias("b"))
-    links = _cut(links)
+    dims = [int(n) for n in grid.dim[:3]]
+    axes = dict(zip("ijk", grid.axes_of("idx"), strict=False))
+    d = cells.select(F.col("idx").cast("long").alias("idx"), *([same] if same else [])).withColumns(axes)
+    kind = f", {same} {d.schema[same].dataType.simpleString()}" if same else ""
+    block = [F.floor(F.col(c) / tile) for c in "ijk"]
+    inside = d.groupBy(*[t.alias(f"t{c}") for t, c in zip(block, "ijk", strict=True)]).applyInPandas(lambda pdf: _in_tile(pdf[["idx", *([same] if same else []), "i", "j", "k"]], half, same, tile), f"idx long{kind}, i int, j int, k int, local long, border boolean")
+    inside = _cut(inside)
+    rim = inside.filter("border")
+    step = F.explode(F.array(*[F.struct(*[F.lit(x).alias(n) for x, n in zip(o, "abc", strict=True)]) for o in half]))
+    at = [F.col(c) + F.col(f"o.{n}") for c, n in zip("ijk", "abc", strict=True)]
+    reach = rim.select("local", *([F.col(same).alias("__mine")] if same else []), "i", "j", "k", step.alias("o"))
+    within = [(c >= 0) & (c < n) for c, n in zip(at, dims, strict=True)]
+    other = [F.floor(c / tile) != F.floor(F.col(n) / tile) for c, n in zip(at, "ijk", strict=True)]
+    reach = reach.filter(within[0] & within[1] & within[2] & (other[0] | other[1] | other[2]))
+    reach = reach.select("local", *(["__mine"] if same else []), (at[0].cast("long") + at[1] * dims[0] + at[2].cast("long") * dims[0] * dims[1]).alias("idx"))
+    links = reach.join(rim.select("idx", F.col("local").alias("b"), *([same] if same else [])), "idx")
+    links = _cut((links.filter(F.col(same) == F.col("__mine")) if same else links).select(F.col("local").alias("a"), "b").distinct())
+    root = _contracted(links, local_edges)
+    return inside.select("idx", "local").join(root, F.col("local") == F.col("node"), "left").select("idx", F.coalesce("root", "local").alias("root"))
+
+
+def _contracted(links: DataFrame, local_edges: int) -> DataFrame:
+    """(node, root) of the nodes of a graph of links (a, b): the least node of each component."""
     if links.count() <= local_edges:
-        low = links.coalesce(1).mapInPandas(_contract, "idx long, root long")
-        return cells.select("idx").join(low, "idx", "left").select("idx", F.coalesce("root", "idx").alias("root"))
+        return links.coalesce(1).mapInPandas(_contract, "node long, root long")
     edges = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    lab = _cut(cells.select("idx", F.col("idx").alias("root")))
+    lab = _cut(edges.select(F.col("a").alias("node")).distinct().withColumn("root", F.col("node")))
     while True:
-        low = edges.join(lab.select(F.col("idx").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("low"))
-        new = lab.join(low.withColumnRenamed("a", "idx"), "idx", "left").select("idx", F.col("root").alias("old"), F.least("root", F.coalesce("low", "root")).alias("root"))
-        jump = new.select(F.col("idx").alias("root"), F.col("root").alias("up"))
-        new = _cut(new.join(jump, "root", "left").select("idx", "old", F.least("root", F.coalesce("up", "root")).alias("root")))
-        lab = new.select("idx", "root")
-        if not new.filter("old <> root").limit(1).count():
+        low = edges.join(lab.select(F.col("node").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("low"))
+        new = lab.join(low.withColumnRenamed("a", "node"), "node", "left").select("node", F.col("root").alias("old"), F.least("root", F.coalesce("low", "root")).alias("root"))
+        jump = new.select(F.col("node").alias("root"), F.col("root").alias("up"))
+        new = stored(new.join(jump, "root", "left").select("node", "old", F.least("root", F.coalesce("up", "root")).alias("root")))
+        lab = new.select("node", "root")
+        if new.filter("old <> root").isEmpty():
             return lab
 
 

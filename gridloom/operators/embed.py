@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridloom.rng import mulberry32, shuffled
+from gridloom.num import is_finite
+from gridloom.rng import draw_at, mulberry32
 
 MAX_MEMBERS = 4096
 
@@ -293,31 +294,54 @@ def stability(distances: DataFrame, reference: np.ndarray, ids: list, fit=None)
 
 
 # ------------------------------------------------------------------ covariates on a layout
+def permuted(values: DataFrame, permutations: int, seed: int = 1) -> DataFrame:
+    """rep, name, member, value: the values (name, member, value) of each name dealt anew among its members.
+
+    Replicate 0 is what is observed; in replicate r the place of a member (from 0, in order) draws the number of that place from the generator seeded with
+    ``seed`` + r, and the place with the n-th least number gets the n-th member's value.  Replicates are rows, so they spread over tasks.
+    """
+    v = values.withColumn("i", F.row_number().over(W.partitionBy("name").orderBy("member")) - 1)
+    reps = v.select("name", "member", "i", F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("rep")) if permutations else v.select("name", "member", "i", F.lit(0).alias("rep")).limit(0)
+    drawn = reps.withColumn("u", draw_at(F.lit(seed) + F.col("rep"), F.col("i")))
+    order = W.partitionBy("name", "rep").orderBy("u", "i")
+    dealt = drawn.select("name", "rep", "member", (F.row_number().over(order) - 1).alias("i")).join(v.select("name", "i", "value"), ["name", "i"])
+    return dealt.select("rep", "name", "member", "value").unionByName(v.select(F.lit(0).alias("rep"), "name", "member", "value"))
+
+
 def envfit(layout: DataFrame, covariates: DataFrame, kind: str = "vector", permutations: int = 999, seed: int = 1) -> DataFrame:
-    """(name, r2, p, dx, dy): R^2 of a linear (vector) or centroid (factor) fit of covariates (name, member, value) with a permutation p, one task per covariate."""
-
-    def r2_of(x, y):
-        if kind == "vector":
-            v = y.astype(float)
-            c = x - x.mean(axis=0)
-            beta, *_ = np.linalg.lstsq(c, v - v.mean(), rcond=None)
-            t = ((v - v.mean()) ** 2).sum()
-            return (1 - ((v - v.mean() - c @ beta) ** 2).sum() / t if t > 0 else np.nan), beta
-        t = ((x - x.mean(axis=0)) ** 2).sum()
-        within = sum(((x[y == g] - x[y == g].mean(axis=0)) ** 2).sum() for g in np.unique(y))
-        return (1 - within / t if t > 0 else np.nan), np.array([np.nan, np.nan])
+    """(name, r2, p, dx, dy): R^2 of a linear (vector) or centroid (factor) fit of covariates (name, member, value) on a layout
+    (member, x, y), the share of permutations that fit as well, and the direction of a vector.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("member")
-        x, y = pdf[["x", "y"]].to_numpy(float), pdf["value"].to_numpy()
-        r, beta = r2_of(x, y)
-        draw = mulberry32(seed)
-        n = sum(r2_of(x, y[shuffled(draw, list(range(len(y))))])[0] >= r - 1e-12 for _ in range(permutations))
-        norm = math.hypot(*beta) if np.isfinite(beta).all() else np.nan
-        b = beta / norm if norm and np.isfinite(norm) else beta
-        return pd.DataFrame({"name": [pdf["name"].iloc[0]], "r2": [r], "p": [(n + 1) / (permutations + 1)], "dx": [b[0]], "dy": [b[1]]})
-
-    return covariates.join(layout.select("member", "x", "y"), "member").groupBy("name").applyInPandas(run, "name string, r2 double, p double, dx double, dy double")
+    All replicates come from one aggregate of sums.  Members without a finite value or place are left out; fewer than four, a layout on
+    a line or a constant covariate give null.
+    """
+    here = layout.filter(is_finite("x") & is_finite("y")).select("member", "x", "y")
+    v = covariates.filter(is_finite("value") if kind == "vector" else F.col("value").isNotNull()).select("name", "member", "value").join(here.select("member"), "member", "left_semi")
+    e = permuted(v, permutations, seed).join(here, "member")
+    x, y = F.col("x"), F.col("y")
+    if kind == "vector":
+        w, n = F.col("value").cast("double"), F.count(F.lit(1)).cast("double")
+        c = {"a": F.covar_pop(x, w) * n, "b": F.covar_pop(y, w) * n, "xx": F.var_pop(x) * n, "yy": F.var_pop(y) * n, "xy": F.covar_pop(x, y) * n, "t": F.var_pop(w) * n, "n": n}
+        g = e.groupBy("name", "rep").agg(*[f.alias(k) for k, f in c.items()])
+        det = F.col("xx") * F.col("yy") - F.col("xy") * F.col("xy")
+        ok = (F.col("n") >= 4) & (det > 1e-12 * F.greatest(F.col("xx") * F.col("yy"), F.lit(1e-300))) & (F.col("t") > 0)
+        g = g.withColumns({"bx": F.when(ok, (F.col("a") * F.col("yy") - F.col("b") * F.col("xy")) / det), "by": F.when(ok, (F.col("b") * F.col("xx") - F.col("a") * F.col("xy")) / det)})
+        g = g.withColumn("r2", (F.col("bx") * F.col("a") + F.col("by") * F.col("b")) / F.when(ok, F.col("t")))
+        long = F.sqrt(F.col("bx") * F.col("bx") + F.col("by") * F.col("by"))
+        g = g.select("name", "rep", "r2", F.when(long > 0, F.col("bx") / F.when(long > 0, long)).otherwise(F.col("bx")).alias("dx"), F.when(long > 0, F.col("by") / F.when(long > 0, long)).otherwise(F.col("by")).alias("dy"))
+    else:
+        # sums about the members' centre, which permutations leave where it is
+        mid = v.join(here, "member").groupBy("name").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"))
+        e = e.join(mid, "name").withColumns({"x": x - F.col("cx"), "y": y - F.col("cy")})
+        g = e.groupBy("name", "rep", "value").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.sum(x * x + y * y).alias("q"))
+        between = F.sum((F.col("sx") * F.col("sx") + F.col("sy") * F.col("sy")) / F.col("n"))
+        g = g.groupBy("name", "rep").agg(between.alias("b"), F.sum("q").alias("q"))
+        none = F.lit(None).cast("double")
+        g = g.select("name", "rep", F.when(F.col("q") > 0, F.col("b") / F.when(F.col("q") > 0, F.col("q"))).alias("r2"), none.alias("dx"), none.alias("dy"))
+    seen = g.filter("rep = 0").select("name", F.col("r2").alias("own"), "dx", "dy")
+    hits = g.filter("rep > 0").join(seen.select("name", "own"), "name").groupBy("name").agg(F.count_if(F.col("r2") >= F.col("own") - 1e-12 * F.greatest(F.lit(1.0), F.col("own"))).alias("hits"))
+    p = (F.coalesce("hits", F.lit(0)) + 1) / F.lit(permutations + 1.0)
+    return seen.join(hits, "name", "left").select("name", F.col("own").alias("r2"), F.when(F.col("own").isNotNull(), p).alias("p"), "dx", "dy")
 
 
 # ------------------------------------------------------------------ display helpers

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.num import is_finite
-from gridloom.operators.order import cut
+from gridloom.operators.order import cut, stored
 
 KEY = ("plane", "level")
 #: corners of a cell counter-clockwise; side k runs from corner k to the next
@@ -84,7 +84,7 @@ def _jump(points: DataFrame) -> DataFrame:
         j = d.join(there, [*KEY, "ptr"], "left")
         low = F.least("low", F.coalesce("l2", "low"))
         moved = F.col("ptr").isNotNull() & (F.col("p2").isNull() | (low != F.col("low")))
-        d = cut(j.select(*KEY, "e", F.col("p2").alias("ptr"), F.coalesce("f2", "far").alias("far"), (F.col("steps") + F.coalesce("s2", F.lit(0))).alias("steps"), low.alias("low"), moved.alias("moved")))
+        d = stored(j.select(*KEY, "e", F.col("p2").alias("ptr"), F.coalesce("f2", "far").alias("far"), (F.col("steps") + F.coalesce("s2", F.lit(0))).alias("steps"), low.alias("low"), moved.alias("moved")))
         if d.filter("moved").isEmpty():
             return d.drop("moved")
         d = d.drop("moved")

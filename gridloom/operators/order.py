@@ -7,6 +7,7 @@ range runs its own window, and only one row per range (its totals) is summed up
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -29,6 +30,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet in the checkpoint folder and read back.
+
+    For tables that many rounds rewrite: a checkpoint inherits what its plan knew of the columns, which grows round by round.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    at = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def with_totals(df: DataFrame, key: str, **totals: Column) -> DataFrame:
     """``df`` with aggregates of its rows by a non-null ``key``, as windows over the key would give them.
 
@@ -74,6 +86,39 @@ def quantiles(df: DataFrame, value: str, probabilities: list[float]) -> list[flo
     return [at[int(s)] + (s - int(s)) * (at[min(int(s) + 1, total - 1)] - at[int(s)]) if s > int(s) else at[int(s)] for s in spots]
 
 
+def quantiles_by(df: DataFrame, by: str, values: list[str], probabilities: list[float]) -> DataFrame:
+    """by, name (of ``values``), n, q (array): exact type-7 quantiles of several columns for every ``by``, null for no values.
+
+    Equal values of a key are counted first, then all (name, key, value) are put in one order by ranges, whose running totals say
+    which of them hold the wanted ranks; so no task holds a key's values, however many keys there are or however large one is.
+    """
+    kind = df.schema[by].dataType.simpleString()
+    long = df.select(F.col(by).alias("__k"), F.explode(F.array(*[F.struct(F.lit(v).alias("name"), F.col(v).cast("double").alias("v")) for v in values])).alias("x")).select("__k", "x.*")
+    counts = long.groupBy("name", "__k", "v").agg(F.count("v").alias("c"))
+    r = cut(running(counts, [F.col("name"), F.col("__k"), F.col("v")], {"before": F.col("c")}))
+    whole = r.groupBy("name", "__k").agg(F.min("before").alias("base"), F.sum("c").alias("n"))
+    named = whole.select(F.col("name").alias("__name"), F.col("__k").alias("__key"), "base", "n")
+    j = r.filter("c > 0").select("name", "__k", "v", "c", "before").join(named, (F.col("name") == F.col("__name")) & F.col("__k").eqNullSafe(F.col("__key")))
+    first = F.col("before") - F.col("base")
+    picks = []
+    for i, p in enumerate(probabilities):
+        spot = (F.col("n") - 1) * F.lit(float(p))
+        low = F.floor(spot)
+        holds = lambda rank: (rank >= first) & (rank < first + F.col("c"))
+        picks += [F.max(F.when(holds(low), F.col("v"))).alias(f"a{i}"), F.max(F.when(holds(F.least(low + 1, F.col("n") - 1)), F.col("v"))).alias(f"b{i}"), F.max(spot - low).alias(f"f{i}")]
+    found = j.groupBy("name", "__k", "n").agg(*picks)
+    q = F.array(*[F.when(F.col(f"f{i}") > 0, F.col(f"a{i}") + F.col(f"f{i}") * (F.col(f"b{i}") - F.col(f"a{i}"))).otherwise(F.col(f"a{i}")) for i in range(len(probabilities))])
+    some = found.select(F.col("__k").cast(kind).alias(by), "name", "n", q.alias("q"))
+    none = whole.filter("n = 0").select(F.col("__k").alias(by), "name", "n", F.array(*[F.lit(None).cast("double")] * len(probabilities)).alias("q"))
+    return some.unionByName(none)
+
+
+def with_quantiles(df: DataFrame, by: str, value: str, probabilities: list[float], name: str) -> DataFrame:
+    """``df`` with an array column ``name`` of its key's :func:`quantiles_by` of one column."""
+    q = quantiles_by(df, by, [value], probabilities).select(F.col(by).alias("__by"), F.col("q").alias(name))
+    return df.join(q, F.col(by).eqNullSafe(F.col("__by")), "left").drop("__by")
+
+
 def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """``df`` with the number of rows before each in ``order``."""
     return running(df, order, {}, name)

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridloom.num import NAN, div, finite, is_finite, not_nan, or_nan, pearson
-from gridloom.operators.order import quantiles, with_totals
+from gridloom.operators.order import quantiles, quantiles_by, with_totals
 
 # ------------------------------------------------------------------ expressions
 REDUCERS: dict[str, Callable[[Column], Column]] = {
@@ -201,9 +201,8 @@ def tukey_outliers(d: DataFrame, by: str | None = None) -> DataFrame:
         lo, hi = quantiles(d, "value", [0.25, 0.75])
         e = d.withColumns({"q": F.array(*[F.lit(x).cast("double") for x in (lo, hi)]), "n": F.lit(d.filter("value is not null").count())})
     else:
-        w = W.partitionBy(by)
-        q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.75))).over(w)
-        e = d.withColumns({"q": q, "n": F.count("value").over(w)})
+        q = quantiles_by(d, by, ["value"], [0.25, 0.75]).select(F.col(by).alias("__by"), "n", "q")
+        e = d.join(q, F.col(by).eqNullSafe(F.col("__by"))).drop("__by")
     iqr = F.col("q")[1] - F.col("q")[0]
     return e.filter((F.col("n") >= 4) & ((F.col("value") < F.col("q")[0] - 1.5 * iqr) | (F.col("value") > F.col("q")[1] + 1.5 * iqr))).drop("q", "n")
 

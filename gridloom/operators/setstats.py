@@ -1,8 +1,7 @@
 """Sets of aligned maps (member, pos, value): similarity, decomposition, leave-one-out, parcels, resampling.
 
-Quantities over pairs of members come from Gram matrices: every task multiplies what it holds of the maps, in
-pieces of whole positions, and only one row per pair of members leaves it; k members make k(k-1)/2 pairs,
-which is the result's own size.
+Quantities over pairs of members come from Gram matrices by tiles: a task owns one pair of blocks of members and multiplies
+dense slices of their maps, and one row per pair of members leaves it; k members make k(k-1)/2 pairs, which is the result's own size.
 """
 
 from __future__ import annotations
@@ -14,8 +13,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridloom.num import clamp, div, finite, is_finite, pearson
-from gridloom.operators.order import quantiles, with_totals
-from gridloom.rng import mulberry32, random_index, shuffled
+from gridloom.operators.order import quantiles, quantiles_by, with_quantiles, with_totals
+from gridloom.rng import low_product, mulberry32, random_index, shuffled
 
 
 
@@ -40,9 +39,8 @@ def robust_z(d: DataFrame, by: str | None = None) -> DataFrame:
         e = d.withColumn("med", F.lit(quantiles(d, "value", [0.5])[0]).cast("double")).withColumn("dev", F.abs(F.col("value") - F.col("med")))
         e = e.withColumn("mad", F.lit(quantiles(e, "dev", [0.5])[0]).cast("double"))
     else:
-        w, half = W.partitionBy(by), F.lit(0.5)
-        e = d.withColumn("med", F.percentile("value", half).over(w)).withColumn("dev", F.abs(F.col("value") - F.col("med")))
-        e = e.withColumn("mad", F.percentile("dev", half).over(w))
+        e = with_quantiles(d, by, "value", [0.5], "med").withColumn("med", F.col("med")[0]).withColumn("dev", F.abs(F.col("value") - F.col("med")))
+        e = with_quantiles(e, by, "dev", [0.5], "mad").withColumn("mad", F.col("mad")[0])
     return e.withColumn("value", F.when(F.col("mad") > 0, (F.col("value") - F.col("med")) / F.when(F.col("mad") > 0, 1.4826 * F.col("mad"))).otherwise(0.0)).drop("med", "dev", "mad")
 
 
@@ -55,103 +53,153 @@ def loo_similarity(d: DataFrame) -> DataFrame:
 
 
 _MOMENTS = ("n", "sx", "sy", "sxy", "sxx", "syy")
-PIECE = 1 << 21  # cells of a dense piece of maps (16 MB)
-
-
-class _Gram:
-    """Moments of all pairs of the members seen so far."""
-
-    def __init__(self):
-        self.members, self.sums = np.zeros(0), None
-
-    def add(self, member: np.ndarray, pos: np.ndarray, value: np.ndarray) -> None:
-        ok = np.isfinite(value)
-        member, pos, value = member[ok], pos[ok], value[ok]
-        every = np.union1d(self.members, member) if self.sums is not None else np.unique(member)
-        if self.sums is None or len(every) > len(self.members):
-            sums = np.zeros((len(_MOMENTS), len(every), len(every)))
-            if self.sums is not None:
-                at = np.searchsorted(every, self.members)
-                sums[np.ix_(range(len(_MOMENTS)), at, at)] = self.sums
-            self.members, self.sums = every, sums
-        where, column = np.unique(pos, return_inverse=True)
-        x, there = np.zeros((len(every), len(where))), np.zeros((len(every), len(where)))
-        row = np.searchsorted(every, member)
-        x[row, column], there[row, column] = value, 1
-        for i, (left, right) in enumerate(((there, there), (x, there), (there, x), (x, x), (x * x, there), (there, x * x))):
-            self.sums[i] += left @ right.T
-
-    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        a, b = np.triu_indices(len(self.members), 1)
-        some = self.sums[0][a, b] > 0
-        a, b = a[some], b[some]
-        return self.members[a], self.members[b], self.sums[:, a, b]
-
-
-def gram(d: DataFrame, by: str | None = None) -> DataFrame:
-    """([by,] a, b, n, sx, sy, sxy, sxx, syy): moments of member pairs a < b over the cells that are finite in both.
-
-    ``d``: (member, pos, value[, by]), one row per member and position, members and ``by`` integers.
+_PAIR = ("n", "mx", "my", "cxy", "cxx", "cyy")
+BLOCK, SLICE, RUN = 256, 2048, 32  # members of a block, positions of a dense piece, pieces whose sums a task adds up
+
+
+def _tile_sums(x: np.ndarray, y: np.ndarray, sums: np.ndarray | None) -> np.ndarray:
+    """Sums of n, x, y, xy, xx, yy over positions for all pairs of rows of two matrices (NaN: missing), added to ``sums``."""
+    on, to = np.isfinite(x).astype(float), np.isfinite(y).astype(float)
+    x, y = np.nan_to_num(x, nan=0.0), np.nan_to_num(y, nan=0.0)
+    out = np.stack([on @ to.T, x @ to.T, on @ y.T, x @ y.T, (x * x) @ to.T, on @ (y * y).T])
+    return out if sums is None else sums + out
+
+
+class _Tile:
+    """Moments of the pairs of two blocks of members over one run of positions."""
+
+    def __init__(self, same: bool):
+        self.same, self.sums = same, None
+        self.members = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
+        self.shift: dict[int, float] = {}  # each member's first value, from which sums are taken
+
+    def add(self, member: np.ndarray, pos: np.ndarray, value: np.ndarray, side: list[np.ndarray]) -> None:
+        """A slice of positions: its rows as dense matrices, one product."""
+        where = np.unique(pos, return_inverse=True)[1]
+        who, first = np.unique(member, return_index=True)
+        for m, v in zip(who.tolist(), value[first].tolist(), strict=True):
+            self.shift.setdefault(m, v)
+        value = value - np.array([self.shift[m] for m in who.tolist()])[np.searchsorted(who, member)]
+        wide, dense = int(where.max()) + 1, []
+        for n in range(2):
+            mine = side[n]
+            every = np.union1d(self.members[n], member[mine])
+            if self.sums is not None and len(every) > len(self.members[n]):
+                shape = list(self.sums.shape)
+                shape[n + 1] = len(every)
+                grown = np.zeros(shape)
+                grown[(slice(None),) + (slice(None),) * n + (np.searchsorted(every, self.members[n]),)] = self.sums
+                self.sums = grown
+            self.members[n] = every
+            x = np.full((len(every), wide), np.nan)
+            x[np.searchsorted(every, member[mine]), where[mine]] = value[mine]
+            dense.append(x)
+        self.sums = _tile_sums(*dense, self.sums)
+
+    def rows(self) -> list[np.ndarray]:
+        """a < b, n, means and centred moments of the pairs that share positions."""
+        left, right = self.members
+        i, j = np.nonzero((self.sums[0] > 0) & (left[:, None] < right[None, :] if self.same else left[:, None] != right[None, :]))
+        n, sx, sy, sxy, sxx, syy = self.sums[:, i, j]
+        centred = lambda raw, p, q: raw - p * q / n
+        clean = lambda c, raw: np.where(c > 1e-13 * raw, c, 0.0)
+        a, b = left[i], right[j]
+        base = [np.array([self.shift[m] for m in who.tolist()]) for who in (a, b)]
+        x = [base[0] + sx / n, clean(centred(sxx, sx, sx), sxx)]
+        y = [base[1] + sy / n, clean(centred(syy, sy, sy), syy)]
+        turn = a > b
+        pick = lambda p, q: np.where(turn, q, p)
+        return [pick(a, b), pick(b, a), n, pick(x[0], y[0]), pick(y[0], x[0]), centred(sxy, sx, sy), pick(x[1], y[1]), pick(y[1], x[1])]
+
+
+def pair_moments(d: DataFrame, by: str | None = None, members: int | None = None, block: int | None = None) -> DataFrame:
+    """([by,] a, b, n, mx, my, cxy, cxx, cyy): counts, means and centred moments of member pairs a < b over cells finite in both.
+
+    ``d``: (member, pos, value[, by]), one row per member and position, all but values whole numbers.  ``members``: how many
+    there are, if known.  The members are dealt into blocks of about ``block``; a task owns one pair of blocks over one run of positions and multiplies dense
+    slices of them, so its memory is bounded by two blocks whatever the number of members, who are shipped once for each block.
     """
+    block = block or BLOCK
     keys = [by] if by else []
-    schema = pa.schema([*[(k, pa.int64()) for k in keys], ("a", pa.int64()), ("b", pa.int64()), *[(m, pa.float64()) for m in _MOMENTS]])
+    kinds = {**dict.fromkeys([*keys, "a", "b"], pa.int64()), **dict.fromkeys(_PAIR, pa.float64())}
+    schema = pa.schema(list(kinds.items()))
+    if members is None:
+        members = d.select("member").distinct().count()
+    blocks = max(1, -(-members // block))
+    names = [*keys, "i", "j", "run"]
 
     def run(batches):
-        held, size, on, g = [], 0, None, _Gram()
+        on, part, held, tile = None, None, [], None
+
+        def add():
+            tile.add(*(np.concatenate(z) for z in list(zip(*held, strict=True))[:3]), [np.concatenate([h[3 + n] for h in held]) for n in range(2)])
+            held.clear()
 
         def close():
-            a, b, sums = g.rows()
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), on), pa.int64()) for _ in keys] + [pa.array(x, pa.int64()) for x in (a, b)] + [pa.array(x) for x in sums], schema=schema)
-
-        def add(rows):
-            member, pos, value = (np.concatenate(z) for z in zip(*rows, strict=True))
-            step = max(1, PIECE // max(1, len(np.unique(member))))  # positions of a piece
-            edges = np.flatnonzero(np.r_[True, pos[1:] != pos[:-1]])[::step]
-            for a, z in zip(edges, [*edges[1:], len(pos)], strict=True):
-                g.add(member[a:z], pos[a:z], value[a:z])
-
-        for batch in batches:
-            member, pos, value = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("member", "pos", "value"))
-            group = batch.column(by).to_numpy(zero_copy_only=False) if by else np.zeros(len(pos), np.int64)
-            at = np.flatnonzero(group[1:] != group[:-1]) + 1
-            for a, z in zip([0, *at], [*at, len(pos)], strict=True):
-                if a == z:
-                    continue
-                if on is not None and group[a] != on:
-                    if held:
-                        add(held)
+            cols = tile.rows()
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(cols[0]), k), pa.int64()) for k in on[: len(keys)]] + [pa.array(c, f.type) for c, f in zip(cols, list(schema)[len(keys) :], strict=True)], schema=schema)
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key = np.stack([b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (*names, "piece")], axis=1)
+            member, pos, value, left, right = (b.column(c).to_numpy(zero_copy_only=False) for c in ("member", "pos", "value", "left", "right"))
+            at = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
+            for a, z in zip([0, *at], [*at, len(key)], strict=True):
+                whole = tuple(key[a].tolist())
+                if held and (whole[:-1] != on or whole[-1] != part):
+                    add()
+                if on is not None and whole[:-1] != on:
                     yield close()
-                    held, size, g = [], 0, _Gram()
-                on = int(group[a])
-                if size >= PIECE and held[-1][1][-1] != pos[a]:
-                    add(held)
-                    held, size = [], 0
-                held.append((member[a:z], pos[a:z], value[a:z]))
-                size += z - a
+                if on is None or whole[:-1] != on:
+                    on = whole[:-1]
+                    tile = _Tile(on[-3] == on[-2])
+                part = whole[-1]
+                held.append((member[a:z], pos[a:z], value[a:z], left[a:z], right[a:z]))
         if held:
-            add(held)
-        if on is not None and g.sums is not None:
+            add()
+        if on is not None:
             yield close()
 
-    cols = [F.col(k).cast("long") for k in keys] + [F.col("member").cast("long"), F.col("pos").cast("long"), F.col("value").cast("double")]
-    names = [*keys, "member", "pos", "value"]
-    dealt = d.select(*[c.alias(n) for c, n in zip(cols, names, strict=True)]).filter(is_finite("value")).repartition("pos").sortWithinPartitions(*keys, "pos")
+    rows = d.select(*[F.col(k).cast("long").alias(k) for k in keys], F.col("member").cast("long").alias("member"), F.col("pos").cast("long").alias("pos"), F.col("value").cast("double").alias("value")).filter(is_finite("value"))
+    own = F.pmod(F.xxhash64("member"), F.lit(blocks)).cast("int")
+    rows = rows.withColumns({"own": own, "piece": F.floor(F.col("pos") / SLICE), "run": F.floor(F.col("pos") / (SLICE * RUN))})
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))) if blocks > 1 else F.lit(0))
+    rows = rows.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+    rows = rows.select(*names, "piece", "member", "pos", "value", (F.col("own") == F.col("i")).alias("left"), (F.col("own") == F.col("j")).alias("right"))
+    dealt = rows.repartition(*names).sortWithinPartitions(*names, "piece")
     part = dealt.mapInArrow(run, ", ".join(f"{f.name} {'long' if f.type == pa.int64() else 'double'}" for f in schema))
-    return part.groupBy(*keys, "a", "b").agg(*[F.sum(m).alias(m) for m in _MOMENTS])
+    return _merged(part, [*keys, "a", "b"])
 
 
-def correlation_matrix(d: DataFrame, least: int = 3) -> DataFrame:
-    """(a, b, r) for members a < b over pairwise finite cells; NULL below ``least`` of them or without variance.
+def _merged(part: DataFrame, keys: list[str]) -> DataFrame:
+    """Moments of parts (runs of positions, few for each pair) merged from their means, which keeps their digits."""
 
-    Moments are taken from each member's least value, which keeps their digits and makes constant maps exact.
-    """
-    low = d.filter(is_finite("value")).groupBy("member").agg(F.min("value").alias("low"))
-    g = gram(d.join(F.broadcast(low), "member").withColumn("value", F.col("value") - F.col("low")))  # one row a member
-    n, sx, sy, sxy, sxx, syy = (F.col(c) for c in _MOMENTS)
-    vx, vy = sxx - sx * sx / n, syy - sy * sy / n
-    ok = (n >= least) & (vx > 1e-13 * sxx) & (vy > 1e-13 * syy)
+    def both(s, t):
+        n = s["n"] + t["n"]
+        dx, dy = t["mx"] - s["mx"], t["my"] - s["my"]
+        w = s["n"] * t["n"] / n
+        return F.struct(n.alias("n"), (s["mx"] + dx * t["n"] / n).alias("mx"), (s["my"] + dy * t["n"] / n).alias("my"), (s["cxy"] + t["cxy"] + dx * dy * w).alias("cxy"), (s["cxx"] + t["cxx"] + dx * dx * w).alias("cxx"), (s["cyy"] + t["cyy"] + dy * dy * w).alias("cyy"))
+
+    parts = part.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*_PAIR))).alias("parts"))
+    whole = F.aggregate(F.slice("parts", 2, F.greatest(F.size("parts") - 1, F.lit(1))), F.get("parts", F.lit(0)), both)
+    return parts.select(*keys, whole.alias("m")).select(*keys, *[F.col(f"m.{c}").alias(c) for c in _PAIR])
+
+
+def gram(d: DataFrame, by: str | None = None, members: int | None = None, block: int | None = None) -> DataFrame:
+    """([by,] a, b, n, sx, sy, sxy, sxx, syy): sums over the cells that are finite in both members of a pair a < b."""
+    n, mx, my, cxy, cxx, cyy = (F.col(c) for c in _PAIR)
+    keys = [by] if by else []
+    sums = {"n": n, "sx": n * mx, "sy": n * my, "sxy": cxy + n * mx * my, "sxx": cxx + n * mx * mx, "syy": cyy + n * my * my}
+    return pair_moments(d, by, members, block).select(*keys, "a", "b", *[c.alias(k) for k, c in sums.items()])
+
+
+def correlation_matrix(d: DataFrame, least: int = 3, members: int | None = None, block: int | None = None) -> DataFrame:
+    """(a, b, r) for members a < b over pairwise finite cells; NULL below ``least`` of them or without variance."""
+    n, cxy, cxx, cyy = (F.col(c) for c in ("n", "cxy", "cxx", "cyy"))
+    ok = (n >= least) & (cxx > 0) & (cyy > 0)
     kind = d.schema["member"].dataType
-    return g.select(F.col("a").cast(kind), F.col("b").cast(kind), F.when(ok, (sxy - sx * sy / n) / F.sqrt(F.when(ok, vx * vy))).alias("r"))
+    return pair_moments(d, None, members, block).select(F.col("a").cast(kind), F.col("b").cast(kind), F.when(ok, cxy / F.sqrt(F.when(ok, cxx * cyy))).alias("r"))
 
 
 def snap(r: Column) -> Column:
@@ -188,7 +236,7 @@ def basis(d: DataFrame, coverage: float = 0.9, least: int = 30) -> tuple[DataFra
         why |= flat
     if not seen or seen[0]["n"] < least:  # every kept member has all of the support
         raise ValueError("the common support is too small")
-    r = correlation_matrix(on).withColumn("r", snap(F.col("r"))).withColumn("distance", 1 - F.col("r"))
+    r = correlation_matrix(on, members=len(seen)).withColumn("r", snap(F.col("r"))).withColumn("distance", 1 - F.col("r"))
     excluded = [(k, reason) for k, reason in why.items() if reason]
     rows = d.sparkSession.createDataFrame(excluded, f"member {d.schema['member'].dataType.simpleString()}, reason string")
     return rows, support, r
@@ -199,9 +247,39 @@ def basis_r(r: DataFrame, a: int, b: int) -> DataFrame:
     return r.filter((F.col("a") == min(a, b)) & (F.col("b") == max(a, b))).select("r")
 
 
-def fingerprint(d: DataFrame) -> DataFrame:
-    """(member, key): an order-independent content hash of each map."""
-    return d.groupBy("member").agg(F.bit_xor(F.xxhash64("pos", "value")).alias("key"))
+#: fixed values of the 32-bit FNV-1a hash
+FNV_START, FNV_PRIME, SAMPLE = 0x811C9DC5, 0x01000193, 4096
+
+
+def float_bits(v: Column) -> Column:
+    """The 32 bits of a value as a single-precision number, as a long; all NaNs alike."""
+    v = v.cast("float").cast("double")
+    a = F.abs(v)
+    guess = F.floor(F.log2(F.when(a > 0, a)))
+    e = F.when(a < F.pow(F.lit(2.0), guess), guess - 1).when(a >= F.pow(F.lit(2.0), guess + 1), guess + 1).otherwise(guess)
+    low = F.greatest(e, F.lit(-126))  # below it numbers have no leading one
+    part = F.round(a / F.pow(F.lit(2.0), low) * (1 << 23)).cast("long")
+    size = F.when(a == 0, F.lit(0)).when(e < -126, part).otherwise((low + 126) * (1 << 23) + part).cast("long")
+    negative = (v < 0) | ((v == 0) & v.cast("string").startswith("-"))
+    bits = size + F.when(negative, F.lit(1 << 31)).otherwise(F.lit(0))
+    return F.when(F.isnan(v), F.lit(0x7FC00000)).when(a == float("inf"), F.lit(0x7F800000) + F.when(v < 0, F.lit(1 << 31)).otherwise(F.lit(0))).otherwise(bits)
+
+
+def fnv(words: Column) -> Column:
+    """FNV-1a folded over an array of 32-bit words, as 8 hexadecimal digits."""
+    h = F.aggregate(words, F.lit(FNV_START).cast("long"), lambda h, w: low_product(h.bitwiseXOR(w), F.lit(FNV_PRIME).cast("long")))
+    return F.lpad(F.lower(F.hex(h)), 8, "0")
+
+
+def fingerprint(d: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(member, key): a content hash of each map: its length, then the float bits of a strided sample of its cells in order.
+
+    Maps above 2 * ``sample`` cells are sampled before anything is shuffled, from a cell that differs by member; cells are numbered 0, 1, ... without gaps.
+    """
+    n = d.groupBy("member").agg(F.count(F.lit(1)).alias("cells")).withColumn("step", F.greatest(F.lit(1), F.floor(F.col("cells") / sample)))
+    some = d.join(n, "member").filter(F.col("pos") % F.col("step") == F.pmod("member", F.col("step")))
+    taken = some.select("member", "cells", F.struct("pos", float_bits(F.col("value")).alias("w")).alias("x")).groupBy("member", "cells").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    return taken.select("member", fnv(F.concat(F.array("cells"), F.transform("xs", lambda x: x["w"]))).alias("key"))
 
 
 def pair_contributions(z: DataFrame, a: int, b: int, n: int) -> DataFrame:
@@ -352,10 +430,12 @@ def smoothing_effect(raw: DataFrame, smooth: DataFrame, t: float) -> DataFrame:
     """Medians over members: retention of top-1% peaks and of extent, and disagreement of supra-threshold cells."""
     j = raw.select("member", "pos", F.col("value").alias("x")).join(smooth.select("member", "pos", F.col("value").alias("y")), ["member", "pos"])
     ax, ay = F.abs("x"), F.abs("y")
-    q = j.withColumns({"qx": F.percentile(ax, F.lit(0.99)).over(W.partitionBy("member")), "qy": F.percentile(ay, F.lit(0.99)).over(W.partitionBy("member"))})
-    d = q.groupBy("member").agg(
-        div(F.max("qy"), F.max("qx")).alias("peak"), div(F.count_if(ay >= t), F.count_if(ax >= t)).alias("extent"), (F.count_if((ax >= t) != (ay >= t)) / F.count(F.lit(1))).alias("disagree")
+    j = j.withColumns({"ax": ax, "ay": ay})
+    top = quantiles_by(j, "member", ["ax", "ay"], [0.99]).groupBy("member").agg(*[F.max(F.when(F.col("name") == f"a{c}", F.col("q")[0])).alias(f"q{c}") for c in "xy"])
+    d = j.groupBy("member").agg(
+        div(F.count_if(ay >= t), F.count_if(ax >= t)).alias("extent"), (F.count_if((ax >= t) != (ay >= t)) / F.count(F.lit(1))).alias("disagree")
     )
+    d = d.join(top, "member").withColumn("peak", div(F.col("qy"), F.col("qx")))
     return d.agg(*[F.percentile(c, F.lit(0.5)).alias(c) for c in ("peak", "extent", "disagree")])
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.grid import Grid
-from gridloom.operators.order import cut, ranked
+from gridloom.operators.order import cut, ranked, stored
 from gridloom.operators.stencil import neighbour_offsets
 
 
@@ -79,5 +79,6 @@ def supervoxels(features: DataFrame, grid: Grid, k: int = 500, compactness: floa
         own = F.when(F.col("d").isNotNull(), F.struct("d", "call"))
         best = F.when(own.isNull() | (F.col("new") < own), F.coalesce("new", own)).otherwise(own)
         state = state.join(taken.select("idx", F.col("label").alias("got")), "idx", "left").join(calls, "idx", "left")
-        state = cut(state.select("idx", F.coalesce("got", "label").alias("label"), best.alias("b")).select("idx", "label", F.col("b.call").alias("call"), F.col("b.d").alias("d")))
+        state = state.select("idx", F.coalesce("got", "label").alias("label"), best.alias("b")).select("idx", "label", F.col("b.call").alias("call"), F.col("b.d").alias("d"))
+        state = stored(state)
     return state.select("idx", "label")

@@ -715,6 +715,6 @@ def _(spark, d):
     return e.filter(F.try_parse_json("props").isNotNull()).select("event_id", "event_type")
 
 
-@query("map_fingerprints")
+@query("map_fingerprints", "+w AS (SELECT member, list_prepend(count(*), list(CAST(CAST(CAST(value AS FLOAT) AS BIT) AS INTEGER)::BIGINT & 4294967295 ORDER BY pos)) AS w FROM members GROUP BY member) SELECT member, lpad(printf('%x', list_reduce(list_prepend(2166136261::BIGINT, w), lambda h, x: ((xor(h, x)::HUGEINT * 16777619) & 4294967295)::BIGINT)), 8, '0') AS key FROM w", "members")
 def _(spark, d):
     return SS.fingerprint(L.members(spark, d))

@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 from gridloom import layout as L
 from gridloom.operators import embed as E
 from gridloom.operators import isolines as I
-from gridloom.plans.registry import query, r, show
+from gridloom.plans.registry import draws, query, r, show
+from gridloom.operators import setstats as SS
 from gridloom.operators.supervoxels import supervoxels
 from gridloom.plans.geometry import _grid_of_users, scratch
 from gridloom.plans.sets import _GM, _distances
 from gridloom.plans.volumes import vol
+from gridloom.streaming import retract
+from gridloom.sources import manifest
 from gridloom.sources.images import read_images, write_image
 
 #: UPGMA of the ten group maps by recursion: places hold nodes with their leaves in order; the nearest pair joins at the smaller place
@@ -137,3 +140,82 @@ def _(spark, d):
     s = L.series(spark, d)
     packed = s.groupBy("idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "value"))), lambda x: x["value"]).alias("series"))
     return supervoxels(packed, _grid_of_users(s), _K, width=_WIDTH)
+
+
+# ------------------------------------------------------------------ a stream with removals
+@query("retracted_moments", f"SELECT pos AS cell, count(*) AS n, {r('avg(value)')} AS mean, {r('stddev_samp(value)')} AS sd FROM members WHERE grp <> 3 GROUP BY pos", "members")
+def _(spark, d):
+    """All maps come, those of one group leave again after the stream has stopped and been started from its checkpoint."""
+    at = scratch(spark)
+    m = L.members(spark, d).select(F.col("pos").alias("cell"), "value", "grp")
+    schema = "cell int, value double, sign int"
+    for part in (m.withColumn("sign", F.lit(1)), m.filter("grp = 3").withColumn("sign", F.lit(-1))):
+        part.select("cell", "value", "sign").write.mode("append").parquet(f"{at}/changes")
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{at}/changes")
+        retract.follow(stream, f"{at}/out", f"{at}/checkpoint")
+    return show(retract.current(spark, f"{at}/out"), "cell", F.col("count").alias("n"), mean="mean", sd="sd")
+
+
+# ------------------------------------------------------------------ permutation tests
+_REPS = 39
+#: the places of members, each replicate's draws for them, and the values in their order
+_PERMUTED = f"""lay AS (SELECT a.member, a.value AS x, b.value AS y FROM members a JOIN members b ON b.member = a.member AND b.pos = 1 WHERE a.pos = 0),
+plc AS (SELECT member, x, y, row_number() OVER (ORDER BY member) - 1 AS i FROM lay),
+{{rnd}},
+per AS (SELECT rep + 1 AS rep, n AS i, row_number() OVER (PARTITION BY rep ORDER BY u, n) - 1 AS j FROM rnd WHERE n < (SELECT count(*) FROM plc) UNION ALL SELECT 0, i, i FROM plc)"""
+
+
+def _rnd(first: int) -> str:
+    return draws(_REPS, 100000, first).replace("range(100000) n", "(SELECT i AS range FROM plc) n")
+
+
+@query("permutation_vectors", f"+{_PERMUTED.format(rnd=_rnd(6))}, c AS (SELECT pos, plc.i AS j, value FROM members JOIN plc USING (member) WHERE pos >= 2 AND pos % 4 = 2), g AS (SELECT pos, rep, covar_pop(x, value) AS a, covar_pop(y, value) AS b, var_pop(x) AS xx, var_pop(y) AS yy, covar_pop(x, y) AS xy, var_pop(value) AS t FROM per JOIN plc USING (i) JOIN c USING (j) GROUP BY pos, rep), f AS (SELECT pos, rep, (a * yy - b * xy) / (xx * yy - xy * xy) AS bx, (b * xx - a * xy) / (xx * yy - xy * xy) AS by_, a, b, t FROM g), q AS (SELECT pos, rep, (bx * a + by_ * b) / t AS r2, bx / sqrt(bx * bx + by_ * by_) AS dx, by_ / sqrt(bx * bx + by_ * by_) AS dy FROM f) SELECT 'cell' || o.pos AS name, {r('any_value(o.r2)')} AS r2, {r('(count(*) FILTER (q.r2 >= o.r2 - 1e-12) + 1) / 40.0')} AS p, {r('any_value(o.dx)')} AS dx, {r('any_value(o.dy)')} AS dy FROM q o JOIN q ON q.pos = o.pos AND q.rep > 0 WHERE o.rep = 0 GROUP BY o.pos", "members")
+def _(spark, d):
+    """All maps laid out by their first two cells; every fourth other cell as a covariate."""
+    m = L.members(spark, d)
+    lay = m.groupBy("member").agg(F.max(F.when(F.col("pos") == 0, F.col("value"))).alias("x"), F.max(F.when(F.col("pos") == 1, F.col("value"))).alias("y"))
+    cov = m.filter("pos >= 2 AND pos % 4 = 2").select(F.concat(F.lit("cell"), "pos").alias("name"), "member", "value")
+    return show(E.envfit(lay, cov, permutations=_REPS, seed=5), "name", r2="r2", p="p", dx="dx", dy="dy")
+
+
+@query("permutation_factors", f"+{_PERMUTED.format(rnd=_rnd(10))}, c AS (SELECT DISTINCT 'label' AS name, plc.i AS j, grp AS value FROM members JOIN plc USING (member) UNION ALL SELECT 'third', i, CAST(member % 3 AS INTEGER) FROM plc), g AS (SELECT name, rep, value, count(*) AS n, sum(x - mx) AS sx, sum(y - my) AS sy, sum(power(x - mx, 2) + power(y - my, 2)) AS q FROM per JOIN plc USING (i) JOIN c USING (j), (SELECT avg(x) AS mx, avg(y) AS my FROM plc) GROUP BY ALL), q AS (SELECT name, rep, sum((sx * sx + sy * sy) / n) / sum(q) AS r2 FROM g GROUP BY ALL) SELECT o.name, {r('any_value(o.r2)')} AS r2, {r('(count(*) FILTER (q.r2 >= o.r2 - 1e-12) + 1) / 40.0')} AS p FROM q o JOIN q ON q.name = o.name AND q.rep > 0 WHERE o.rep = 0 GROUP BY o.name", "members")
+def _(spark, d):
+    m = L.members(spark, d)
+    lay = m.groupBy("member").agg(F.max(F.when(F.col("pos") == 0, F.col("value"))).alias("x"), F.max(F.when(F.col("pos") == 1, F.col("value"))).alias("y"))
+    one = m.filter("pos = 0")
+    cov = one.select(F.lit("label").alias("name"), "member", F.col("grp").cast("int").alias("value")).union(one.select(F.lit("third"), "member", (F.col("member") % 3).cast("int")))
+    return show(E.envfit(lay, cov, "factor", permutations=_REPS, seed=9), "name", r2="r2", p="p")
+
+
+@query("member_correlations", f"+z AS (SELECT member, pos, (value - avg(value) OVER (PARTITION BY member)) AS v FROM members), s AS (SELECT member, sqrt(sum(v * v)) AS s FROM z GROUP BY member) SELECT a.member AS a, b.member AS b, {r('sum(a.v * b.v) / any_value(x.s * y.s)')} AS r FROM z a JOIN z b ON a.pos = b.pos AND a.member < b.member JOIN s x ON x.member = a.member JOIN s y ON y.member = b.member GROUP BY 1, 2", "members")
+def _(spark, d):
+    """All pairs of all maps, by tiles of their Gram matrix."""
+    return show(SS.correlation_matrix(L.members(spark, d)), "a", "b", r="r")
+
+
+# ------------------------------------------------------------------ constraints and lineage
+_OBSERVED = {"row_id": "row", "observation_axes": ["nation", "segment", "decile"], "observation_columns": {"row": {}, "name": {"nullable": False}, "nation": {}, "segment": {}, "decile": {}, "note": {"nullable": True}}}
+_CUSTOMERS = "o AS (SELECT 'r' || c_custkey % 140 AS row, CASE WHEN c_acctbal >= 0 THEN c_name END AS name, c_nationkey AS nation, CASE WHEN c_custkey % 11 > 0 THEN c_mktsegment END AS segment, CAST(c_custkey % 10 AS INTEGER) AS decile FROM customer)"
+
+
+@query("constraint_violations", f"WITH {_CUSTOMERS}, a AS (SELECT 'required name' AS rule, CAST(NULL AS VARCHAR) AS key, count(*) AS rows FROM o WHERE name IS NULL UNION ALL SELECT 'required segment', NULL, count(*) FROM o WHERE segment IS NULL UNION ALL SELECT 'row id', row, count(*) FROM o GROUP BY row HAVING count(*) > 1 UNION ALL SELECT 'axes', '{{\"nation\":' || nation || coalesce(',\"segment\":\"' || segment || '\"', '') || ',\"decile\":' || decile || '}}', count(*) FROM o GROUP BY nation, segment, decile HAVING count(*) > 1) SELECT * FROM a WHERE rows > 0")
+def _(spark, d):
+    c = L.table(spark, d, "customer")
+    obs = c.select(
+        F.concat(F.lit("r"), (F.col("c_custkey") % 140).cast("string")).alias("row"), F.when(F.col("c_acctbal") >= 0, F.col("c_name")).alias("name"), F.col("c_nationkey").alias("nation"),
+        F.when(F.col("c_custkey") % 11 > 0, F.col("c_mktsegment")).alias("segment"), (F.col("c_custkey") % 10).cast("int").alias("decile"), F.lit(None).cast("string").alias("note"),
+    )
+    return manifest.violations(obs, _OBSERVED)
+
+
+@query("stale_links", "SELECT s_nationkey AS nation, s_nationkey % 4 = 1 OR s_nationkey % 4 = 2 AS stale FROM supplier GROUP BY s_nationkey")
+def _(spark, d):
+    """A file of supplier names for each nation; a quarter of the links knew other content, a quarter a file that is gone, a quarter no checksum."""
+    at = f"{scratch(spark)}/names"
+    s = L.table(spark, d, "supplier").select("s_nationkey", "s_name")
+    lists = s.groupBy("s_nationkey").agg(F.array_join(F.array_sort(F.collect_list("s_name")), "\n").alias("value"))
+    lists.select("value", F.col("s_nationkey").alias("n")).filter("n % 4 <> 2").write.partitionBy("n").text(at)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(at).select(F.regexp_extract("path", r"n=(\d+)", 1).alias("file"), "content")
+    known = F.concat(F.lit("sha256:"), F.sha2(F.concat("value", F.when(F.col("s_nationkey") % 4 == 1, "!").otherwise("\n")), 256))
+    links = lists.select(F.col("s_nationkey").alias("nation"), F.col("s_nationkey").cast("string").alias("source"), F.when(F.col("s_nationkey") % 4 != 3, known).alias("checksum"))
+    return manifest.stale_links(links, files).select("nation", "stale")

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 _M = 0xFFFFFFFF
 #: fixed value of the generator
 STEP = 0x6D2B79F5
@@ -41,3 +44,17 @@ def shuffled(draw: Callable[[], float], items: list) -> list:
         j = random_index(draw, i + 1)
         out[i], out[j] = out[j], out[i]
     return out
+
+
+def low_product(a: Column, b: Column) -> Column:
+    """The low 32 bits of a product of 32-bit numbers, without a long overflowing."""
+    high = F.shiftright(b, 16)
+    return (a * b.bitwiseAND(F.lit(0xFFFF)) + F.shiftleft((a * high).bitwiseAND(F.lit(0xFFFF)), 16)).bitwiseAND(F.lit(_M))
+
+
+def draw_at(seed: Column, n: Column) -> Column:
+    """The n-th number (from 0) of :func:`mulberry32`, for any row by itself."""
+    state = (seed.cast("long") + (n.cast("long") + 1) * F.lit(STEP)).bitwiseAND(F.lit(_M))
+    x = low_product(state.bitwiseXOR(F.shiftright(state, 15)), state.bitwiseOR(F.lit(1)))
+    x = x.bitwiseXOR((x + low_product(x.bitwiseXOR(F.shiftright(x, 7)), x.bitwiseOR(F.lit(61)))).bitwiseAND(F.lit(_M)))
+    return x.bitwiseXOR(F.shiftright(x, 14)).cast("double") / 4294967296.0

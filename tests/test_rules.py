@@ -158,12 +158,31 @@ def test_blob_with_known_answer(spark):
     assert C.label_components(diag, g, 0.5, 18).select("label").distinct().count() == 2
 
 
-def test_components_in_one_task_and_in_rounds(spark):
+def test_components_over_tiles(spark):
+    """Components across borders of tiles equal a flood fill, however links between tiles are contracted."""
     from gridloom.operators import components as C
+    from gridloom.operators.stencil import neighbour_offsets
 
-    g = Grid((9, 9, 4))
+    g = Grid((11, 9, 6))
     rng = np.random.default_rng(4)
-    on = np.flatnonzero(rng.random(g.size) < 0.35)
-    cells = spark.createDataFrame([(int(i),) for i in on], "idx long")
-    got = [sorted(map(tuple, C.roots(cells, g, 6, local_edges=n).collect())) for n in (10**6, 0)]
-    assert got[0] == got[1] and len(got[0]) == len(on)
+    on = {int(i): int(rng.integers(0, 2)) for i in np.flatnonzero(rng.random(g.size) < 0.45)}
+    cells = spark.createDataFrame(list(on.items()), "idx long, sign int")
+    at = lambda i: (i % 11, i // 11 % 9, i // 99)
+    for connectivity, same in ((6, None), (26, "sign"), (18, None)):
+        want, seen = {}, set()
+        for i in sorted(on):
+            if i in seen:
+                continue
+            todo, seen = [i], seen | {i}
+            while todo:
+                c = todo.pop()
+                want[c] = i
+                for o in neighbour_offsets(connectivity):
+                    p = tuple(x + y for x, y in zip(at(c), o, strict=True))
+                    n = p[0] + 11 * p[1] + 99 * p[2]
+                    if all(0 <= x < m for x, m in zip(p, g.dim, strict=True)) and n in on and n not in seen and (same is None or on[n] == on[c]):
+                        seen.add(n)
+                        todo.append(n)
+        for edges in (10**6, 0) if connectivity == 6 else (10**6,):
+            got = {r["idx"]: r["root"] for r in C.roots(cells, g, connectivity, same, edges, 4).collect()}
+            assert got == want

@@ -62,19 +62,19 @@ def test_no_single_task_orders(spark):
         assert not [x for x in windows if "[__range" not in x and "__v0b" not in x and "windowspecdefinition(__range" not in x], plan
 
 
-@pytest.mark.parametrize("piece", [1 << 21, 50])
-def test_gram_equals_pairs(spark, piece):
+@pytest.mark.parametrize(("block", "piece"), [(256, 2048), (2, 7), (1, 50)])
+def test_gram_equals_pairs(spark, block, piece):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(6, 200)) + 1000
     x[rng.random(x.shape) < 0.2] = np.nan
     x[5] = 3.25
     x[5, ::3] = np.nan
     d = spark.createDataFrame([(m, p, float(x[m, p])) for m in range(6) for p in range(200)], "member int, pos int, value double")
-    old, setstats.PIECE = setstats.PIECE, piece
+    old, setstats.SLICE = setstats.SLICE, piece
     try:
-        got = {(r["a"], r["b"]): r["r"] for r in setstats.correlation_matrix(d).collect()}
+        got = {(r["a"], r["b"]): r["r"] for r in setstats.correlation_matrix(d, block=block).collect()}
     finally:
-        setstats.PIECE = old
+        setstats.SLICE = old
     assert set(got) == set(itertools.combinations(range(6), 2))
     for (a, b), r in got.items():
         ok = np.isfinite(x[a]) & np.isfinite(x[b])
@@ -86,6 +86,22 @@ def test_gram_equals_pairs(spark, piece):
     assert setstats.gram(d.limit(0)).count() == 0
 
 
+def test_quantiles_of_many_keys(spark):
+    rng = np.random.default_rng(12)
+    rows = [(int(k), float(v), float(v) ** 2) for k in range(6) for v in rng.integers(0, 9, 1 + 40 * k)] + [(7, None, None), (None, 3.0, 1.0), (None, 5.0, None), (8, 2.5, None)]
+    d = spark.createDataFrame(rows, "k int, v double, w double").repartition(5)
+    p = [0.0, 0.25, 0.5, 0.9, 1.0]
+    got = {(r["k"], r["name"]): (r["n"], r["q"]) for r in order.quantiles_by(d, "k", ["v", "w"], p).collect()}
+    for k in {r[0] for r in rows}:
+        for i, name in ((1, "v"), (2, "w")):
+            x = [r[i] for r in rows if r[0] == k and r[i] is not None]
+            n, q = got[k, name]
+            assert n == len(x) and (q == [None] * 5 if not x else np.allclose(q, np.quantile(x, p)))
+    assert len(got) == 18 and order.quantiles_by(d.limit(0), "k", ["v"], p).count() == 0
+    plan = setstats.robust_z(d.select(F.col("k").alias("member"), F.col("v").alias("value")), "member")._jdf.queryExecution().toString()
+    assert "percentile" not in plan
+
+
 def test_levels_have_no_cap(spark):
     d = spark.range(12000).select(F.concat(F.lit("l"), "id").alias("f"), F.col("id").alias("x"))
     f = next(c for c in design.infer_columns(d, order="x") if c["name"] == "f")
@@ -337,3 +353,18 @@ def test_supervoxels_cover_the_mask(spark):
     assert sorted({r["label"] for r in supervoxels.supervoxels(apart, g, 1).collect()}) == [0, 1]
     assert supervoxels.supervoxels(d.limit(0), g, 3).count() == 0
     assert {r["label"] for r in supervoxels.supervoxels(d.filter("idx < 4"), g, 9).collect()} == {1, 2, 3}
+
+
+def test_fingerprints_are_folds_of_float_bits(spark):
+    rng = np.random.default_rng(13)
+    maps = {0: rng.normal(0, 1, 50), 1: np.r_[0.0, -0.0, np.nan, np.inf, -np.inf, 1e-45, -3e-40, 3.4e38, 1.0, 2.0, 0.5, np.float32(1) + 2**-23], 2: rng.normal(0, 1e-3, 9001), 3: np.zeros(0)}
+    d = spark.createDataFrame([(m, i, float(v)) for m, x in maps.items() for i, v in enumerate(x)], "member int, pos int, value double").repartition(4)
+
+    def fold(m, x):
+        words, step = x.astype(np.float32), max(1, len(x) // 4096)
+        h = 0x811C9DC5
+        for w in [len(x), *words[m % step :: step].view(np.uint32).tolist()]:
+            h = ((h ^ w) * 0x01000193) & 0xFFFFFFFF
+        return f"{h:08x}"
+
+    assert {r["member"]: r["key"] for r in setstats.fingerprint(d).collect()} == {m: fold(m, x) for m, x in maps.items() if len(x)}
