@@ -137,8 +137,16 @@ def ranks(d: DataFrame, value: str, by: str | None = None, name: str = "rank") -
 
 
 def spearman(d: DataFrame, x: str, y: str) -> DataFrame:
-    """(r, n, p): Pearson correlation of ranks, p by the t approximation."""
-    e = ranks(ranks(d.filter(F.col(x).isNotNull() & F.col(y).isNotNull()), x, name="rx"), y, name="ry")
+    """(r, n, p): Pearson correlation of ranks, p by the t approximation.
+
+    Both rank tables come from the rows themselves and meet them in one stage.
+    """
+    e = d.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).alias("x"), F.col(y).alias("y"))
+    tables = {}
+    for c in "xy":
+        n = running(e.groupBy(c).agg(F.count(F.lit(1)).alias("n")), [F.col(c)], {"before": F.col("n")})
+        tables[c] = n.select(c, (F.col("before") + (F.col("n") + 1) / 2).alias(f"r{c}"))
+    e = e.join(tables["x"], "x").join(tables["y"], "y")
     s = e.agg(pearson("rx", "ry").alias("r"), F.count(F.lit(1)).alias("n"))
     t = F.col("r") * F.sqrt((F.col("n") - 2) / F.greatest(1 - F.col("r") * F.col("r"), F.lit(1e-300)))
     return s.select("r", "n", t_p_value(t, (F.col("n") - 2).cast("double")).alias("p"))

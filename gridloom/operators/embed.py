@@ -21,19 +21,20 @@ MAX_MEMBERS = 4096
 
 
 def matrix(dist: DataFrame, missing: float = np.nan) -> tuple[np.ndarray, list]:
-    """A symmetric matrix of (i, j, d) pairs and the ids in order; at most MAX_MEMBERS members."""
-    ids = sorted(r[0] for r in dist.select(F.explode(F.array("i", "j")).alias("i")).distinct().limit(MAX_MEMBERS + 1).collect())
-    if len(ids) > MAX_MEMBERS:
+    """A symmetric matrix of (i, j, d) pairs and the ids in order; at most MAX_MEMBERS members, whose pairs come in one job."""
+    most = MAX_MEMBERS * (MAX_MEMBERS - 1) // 2
+    t = dist.select("i", "j", F.col("d").cast("double")).limit(most + 1).toArrow()
+    i, j = (np.array(t.column(c).to_pylist()) for c in ("i", "j"))
+    ids = np.unique(np.concatenate([i, j])) if len(i) else np.zeros(0, int)
+    if t.num_rows > most or len(ids) > MAX_MEMBERS:
         raise ValueError("too many members for a dense matrix")
-    at = {m: n for n, m in enumerate(ids)}
     out = np.full((len(ids), len(ids)), missing)
     np.fill_diagonal(out, 0.0)
-    t = dist.select("i", "j", F.col("d").cast("double")).toArrow()
-    i, j = (np.array([at[x] for x in t.column(c).to_pylist()], int) for c in ("i", "j"))
     d = t.column("d").to_numpy()
     d = np.where(np.isnan(d), missing, d)
+    i, j = np.searchsorted(ids, i), np.searchsorted(ids, j)
     out[i, j] = out[j, i] = d
-    return out, ids
+    return out, ids.tolist()
 
 
 # ------------------------------------------------------------------ trees
@@ -256,11 +257,13 @@ def nmds(spark: SparkSession, delta: np.ndarray, seed: int = 1, starts: int = 8)
     Falls back to metric scaling where the nonmetric solution is degenerate (points pile up on few places).
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, s = smacof(delta, _start(delta, int(pdf["start"].iloc[0]), seed))
-        return pd.DataFrame({"start": pdf["start"], "stress": [s], "x": [x.ravel().tolist()]})
+    def run(frames):
+        for pdf in frames:
+            found = [smacof(delta, _start(delta, int(n), seed)) for n in pdf["id"]]
+            yield pd.DataFrame({"start": pdf["id"], "stress": [s for _, s in found], "x": [x.ravel().tolist() for x, _ in found]})
 
-    rows = spark.range(starts + 1).select(F.col("id").alias("start")).groupBy("start").applyInPandas(run, "start long, stress double, x array<double>").collect()
+    tasks = min(starts + 1, spark.sparkContext.defaultParallelism)
+    rows = spark.range(0, starts + 1, 1, tasks).mapInPandas(run, "start long, stress double, x array<double>").collect()
     best = min(rows, key=lambda r: (r["stress"], r["start"]))
     x = np.array(best["x"]).reshape(-1, 2)
     spread = np.unique(np.round(x / max(np.abs(x).max(), 1e-12), 3), axis=0)

@@ -95,7 +95,7 @@ def quantiles_by(df: DataFrame, by: str, values: list[str], probabilities: list[
     kind = df.schema[by].dataType.simpleString()
     long = df.select(F.col(by).alias("__k"), F.explode(F.array(*[F.struct(F.lit(v).alias("name"), F.col(v).cast("double").alias("v")) for v in values])).alias("x")).select("__k", "x.*")
     counts = long.groupBy("name", "__k", "v").agg(F.count("v").alias("c"))
-    r = cut(running(counts, [F.col("name"), F.col("__k"), F.col("v")], {"before": F.col("c")}))
+    r = running(counts, [F.col("name"), F.col("__k"), F.col("v")], {"before": F.col("c")})
     whole = r.groupBy("name", "__k").agg(F.min("before").alias("base"), F.sum("c").alias("n"))
     named = whole.select(F.col("name").alias("__name"), F.col("__k").alias("__key"), "base", "n")
     j = r.filter("c > 0").select("name", "__k", "v", "c", "before").join(named, (F.col("name") == F.col("__name")) & F.col("__k").eqNullSafe(F.col("__key")))

@@ -47,3 +47,19 @@ def show(d: DataFrame, /, *keys: str, **values: Column | str) -> DataFrame:
 
 def col(name: str) -> Column:
     return F.col(name)
+
+
+def t_inside(t: str, df: str) -> str:
+    """SQL text of P(|T| <= t) for whole df, as a finite sum over powers of the cosine of atan(t / sqrt(df))."""
+    angle = f"atan(({t}) / sqrt({df}))"
+    even = f"list_sum(list_transform(range({df} // 2), lambda k: exp(lgamma(2 * k + 1) - k * ln(4.0::DOUBLE) - 2 * lgamma(k + 1)) * power(cos({angle}), 2 * k)))"
+    odd = f"coalesce(list_sum(list_transform(range(({df} - 1) // 2), lambda k: exp(k * ln(4.0::DOUBLE) + 2 * lgamma(k + 1) - lgamma(2 * k + 2)) * power(cos({angle}), 2 * k))), 0)"
+    return f"CASE WHEN {df} % 2 = 0 THEN sin({angle}) * {even} ELSE 2 / pi() * ({angle} + sin({angle}) * cos({angle}) * {odd}) END"
+
+
+def t_table(dfs: str, level: float = 0.95) -> str:
+    """tq(df, q): the two-sided t quantile of each df of a query, by bisection; needs WITH RECURSIVE."""
+    return (
+        f"tb AS (SELECT 0 AS step, df, 0.0::DOUBLE AS lo, 100.0::DOUBLE AS hi FROM ({dfs}) UNION ALL SELECT step + 1, df, CASE WHEN p < {level} THEN mid ELSE lo END, CASE WHEN p < {level} THEN hi ELSE mid END "
+        f"FROM (SELECT *, {t_inside('mid', 'df')} AS p FROM (SELECT *, (lo + hi) / 2 AS mid FROM tb WHERE step < 60))), tq AS (SELECT df, (lo + hi) / 2 AS q FROM tb WHERE step = 60)"
+    )

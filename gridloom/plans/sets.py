@@ -16,7 +16,7 @@ from gridloom.operators import joins as J
 from gridloom.operators import reduce as R
 from gridloom.operators import setstats as SS
 from gridloom.operators import temporal as T
-from gridloom.plans.registry import draws, query, r, show
+from gridloom.plans.registry import draws, query, r, show, t_inside, t_table
 from gridloom.plans.spec import PlotSpec, build_scene, infer_spec
 from gridloom.sources import summary as SU
 from gridloom.streaming import moments as ST_M
@@ -584,7 +584,10 @@ def _(spark, d):
     return show(D.summarise(L.design(spark, d), ["cond", "grp"], "subject"), "cond", "grp", "n", mean="mean")
 
 
-@query("summarise_intervals")
+_MOREY = "jj AS (SELECT grp, count(DISTINCT cond) AS J FROM sc GROUP BY grp), ow AS (SELECT sc.*, J, avg(v) OVER (PARTITION BY sc.grp, subject) AS own, count(v) OVER (PARTITION BY sc.grp, subject) = J AS full_ FROM sc JOIN jj ON jj.grp = sc.grp), nm AS (SELECT *, CASE WHEN full_ THEN v - own + avg(v) FILTER (full_) OVER (PARTITION BY grp) END AS norm FROM ow), st AS (SELECT cond, grp, avg(v) AS mean, count(v) AS n, CASE WHEN any_value(J) >= 2 THEN count(norm) ELSE count(v) END AS m, CASE WHEN any_value(J) >= 2 THEN var_samp(norm) * any_value(J) / (any_value(J) - 1) ELSE var_samp(v) END AS var FROM nm GROUP BY cond, grp)"
+
+
+@query("summarise_intervals", f"WITH RECURSIVE {L.SQL['design']}, {_SUBJ}, {_MOREY}, {t_table('SELECT DISTINCT m - 1 AS df FROM st WHERE m > 1')} SELECT cond, grp, n, {r('mean')} AS mean, {r('mean - q * sqrt(var / m)')} AS lo, {r('mean + q * sqrt(var / m)')} AS hi FROM st LEFT JOIN tq ON tq.df = st.m - 1")
 def _(spark, d):
     return show(D.summarise(L.design(spark, d), ["cond", "grp"], "subject", ["cond"]), "cond", "grp", "n", mean="mean", lo="lo", hi="hi")
 
@@ -656,7 +659,7 @@ def _(spark, d):
     return show(x.withColumn("tail", ST.t_p_value("tq", "df")), "c_custkey", p="p", tail="tail")
 
 
-@query("student_t")
+@query("student_t", f"WITH RECURSIVE {t_table('SELECT DISTINCT CAST(range + 1 AS INTEGER) AS df FROM range(30)')}, x AS (SELECT c_custkey, abs(c_acctbal / 4000) AS t, CAST(c_custkey % 30 + 1 AS INTEGER) AS df FROM customer) SELECT c_custkey, {r('1 - (' + t_inside('t', 'df') + ')')} AS p, {r('q')} AS tq FROM x JOIN tq USING (df)")
 def _(spark, d):
     x = L.table(spark, d, "customer").select("c_custkey", (F.col("c_acctbal") / 4000).alias("t"), (F.col("c_custkey") % 30 + 1).cast("double").alias("df"))
     return show(ST.with_t_quantile(x.withColumn("p", ST.t_p_value("t", "df")), "df", 0.975), "c_custkey", p="p", tq="tq")

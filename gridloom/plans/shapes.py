@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gridloom import layout as L
 from gridloom.operators import embed as E
 from gridloom.operators import isolines as I
-from gridloom.plans.registry import draws, query, r, show
+from gridloom.plans.registry import SQL, draws, query, r, show
 from gridloom.operators import setstats as SS
 from gridloom.operators.supervoxels import supervoxels
 from gridloom.plans.geometry import _grid_of_users, scratch
@@ -52,12 +52,26 @@ num AS (SELECT *, CASE WHEN large THEN row_number() OVER (PARTITION BY cut, larg
 best AS (SELECT arg_max(cut, struct_pack(f := fits, g := gap, c := -cut)) FILTER (fits = 1) AS best, arg_max(cut, struct_pack(g := gap, c := -cut)) AS wide FROM (SELECT DISTINCT cut, gap, CAST(groups BETWEEN 2 AND 6 AND gap > 0.02 AS INTEGER) AS fits FROM num))"""
 
 
-@query("suggested_groups", f"{_REC}{_GM}, {_TREE}, {_CUTS} SELECT cut, {r('gap')} AS gap, groups, coalesce(cut = best, false) AS chosen, cut = wide AS widest, unnest(leaves) AS member, grp FROM num, best")
+@query("suggested_groups", f"{_REC}{_GM}, {_TREE}, {_CUTS} SELECT cut, {r('gap')} AS gap, groups, coalesce(cut = best, false) AS chosen, cut = wide AS widest, CAST(unnest(leaves) AS INTEGER) AS member, CAST(grp AS INTEGER) AS grp FROM num, best")
 def _(spark, d):
     s = E.suggest_groups(E.branches(spark, _tree(spark, d)))
     return show(s, "cut", "groups", "chosen", "widest", "member", "grp", gap="gap")
 
 
+#: all orders of the leaves that turn branches of the tree, the shortest of them, and the three highest branches in its order
+_ORDERS = """o AS (SELECT 0 AS step, CAST(member AS INTEGER) AS node, [CAST(member AS INTEGER)] AS leaves FROM (SELECT DISTINCT member FROM gm)
+    UNION ALL
+    SELECT * FROM (SELECT o.step + 1, o.node, o.leaves FROM o JOIN merges m ON m.node = 10 + o.step WHERE o.node NOT IN (m.l, m.r)
+    UNION ALL
+    SELECT x.step + 1, m.node, CASE w.range WHEN 0 THEN x.leaves || y.leaves ELSE y.leaves || x.leaves END FROM o x JOIN merges m ON m.node = 10 + x.step AND x.node = m.l JOIN o y ON y.node = m.r, range(2) w)),
+len AS (SELECT leaves, (SELECT round(sum(p.d), 9) FROM range(1, 10) k JOIN p ON p.a = leaves[k.range] AND p.b = leaves[k.range + 1]) AS cost FROM o WHERE step = 9),
+best AS (SELECT arg_min(leaves, struct_pack(c := cost, a := leaves[1], z := leaves[10])) AS leaves FROM len),
+rk AS (SELECT node, leaves, row_number() OVER (ORDER BY height DESC, node DESC) AS until, l, r FROM merges),
+br AS (SELECT n.node, n.leaves FROM (SELECT node, leaves, until FROM rk UNION ALL SELECT CAST(member AS INTEGER), [member], 99 FROM (SELECT DISTINCT member FROM gm)) n LEFT JOIN rk k ON n.node IN (k.l, k.r) WHERE coalesce(k.until, 0) < 3 AND n.until >= 3),
+num AS (SELECT unnest(br.leaves) AS member, row_number() OVER (ORDER BY (SELECT min(list_position(best.leaves, x)) FROM (SELECT unnest(br.leaves) AS x))) - 1 AS cluster, best.leaves FROM br, best)"""
+SQL["seriation"] = f"{_REC}{_GM}, {_TREE}, {_ORDERS} SELECT CAST(list_position(leaves, CAST(member AS INTEGER)) - 1 AS INTEGER) AS at, CAST(member AS INTEGER) AS member, CAST(cluster AS INTEGER) AS cluster FROM num"
+
+
 #: pieces of lines in every cell, then each line followed from its beginning (or least crossing, for rings)
 _ISO = """n AS (SELECT idx // 100 AS plane, idx % 10 AS x, idx // 10 % 10 AS y, CAST(value AS DOUBLE) AS v FROM vol),
 c AS (SELECT a.plane, a.x, a.y, l.level, [a.v, b.v, c.v, d.v] AS v FROM n a JOIN n b ON b.plane = a.plane AND b.x = a.x + 1 AND b.y = a.y JOIN n c ON c.plane = a.plane AND c.x = a.x + 1 AND c.y = a.y + 1 JOIN n d ON d.plane = a.plane AND d.x = a.x AND d.y = a.y + 1, (SELECT unnest([10.5::DOUBLE, 25.5::DOUBLE, 40.5::DOUBLE]) AS level) l),
