@@ -305,13 +305,19 @@ def ties(star: DataFrame, labels: DataFrame, nodes: DataFrame, tied: float = TIE
     return placed.select("bucket", "i", "j", "left", "right", "label", "sig").mapInArrow(run, "a long, b long")
 
 
-def groups(tied: DataFrame, labels: DataFrame, nodes: DataFrame, chunk: int | None = None) -> DataFrame:
-    """(grp, node, label, minor, cm, cx): nodes of components that are tied; ``minor``: not in the group's largest component."""
+def groups(tied: DataFrame, labels: DataFrame, nodes: DataFrame, checked: DataFrame | None = None, chunk: int | None = None) -> DataFrame:
+    """(grp, node, label, minor, cm, cx): nodes of components that are tied; ``minor``: not in the group's largest component.
+
+    ``checked``: (hub, node), the smaller first, that are known not to be similar unless linked; groups of no more than such a pair are left out.
+    """
     part = components(tied)
     part = part.union(part.select("label", "label").distinct()).toDF("label", "grp")
     member = nodes.select("node").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
     part = part.join(member.groupBy("label").agg(F.count(F.lit(1)).alias("c")), "label")
     top = part.groupBy("grp").agg(F.max(F.struct("c", "label")).alias("most"), F.sum("c").alias("all"))
+    if checked is not None:
+        two = part.join(top.filter("all = 2").select("grp"), "grp").groupBy("grp").agg(F.min("label").alias("hub"), F.max("label").alias("node"))
+        top = top.join(two.join(checked, ["hub", "node"], "left_semi").select("grp"), "grp", "left_anti")
     top = top.select("grp", F.col("most.label").alias("major"), *_chunks(F.col("all") - F.col("most.c"), F.col("most.c"), chunk or CHUNK))
     part = _salted(part.select("label", "grp"), top, "grp", "label").withColumn("minor", F.col("label") != F.col("major")).drop("major")
     return _salted(member, part, "label", "node").select("grp", "node", "label", "minor", "cm", "cx")
@@ -385,12 +391,13 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     nodes = sketch.groupBy("key").agg(rep.alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     nodes = cut(nodes.select(F.monotonically_increasing_id().alias("node"), "key", *[f"rep.{c}" for c in REP], "copies", "bands", "sig"))
     star = cut(stars(nodes))
-    edges = cut(verify(star.filter("node <> hub").select("hub", "node").distinct(), nodes, docs))
+    checked = star.filter("node <> hub").select("hub", "node").distinct()
+    edges = cut(verify(checked, nodes, docs))
     release(docs.sparkSession)
     labels = components(edges)
     tied = cut(ties(star, labels, nodes))
     if not tied.isEmpty():
-        labels = components(edges.union(cut(settle(cut(groups(tied, labels, nodes)), nodes, docs))))
+        labels = components(edges.union(cut(settle(cut(groups(tied, labels, nodes, checked)), nodes, docs))))
     release(docs.sparkSession)
     n = nodes.join(labels, "node", "left").select("key", F.coalesce("label", "node").alias("comp"), *REP, "copies")
     by = n.groupBy("comp").agg(F.min(F.struct(*REP)).alias("best"), F.sum("copies").alias("class_size"))
