@@ -37,7 +37,7 @@ from gridloom.llm.store import cut
 
 SHARD_ROWS, RACK, SPREAD, GROUP_ROWS, DEGREE, BEAM = 8192, 8, 64, 16384, 24, 64
 RATIO, SMALL, SAMPLE, TARGET = 1.1, 256, 128, 0.98
-INDEX = "dim int, shard int, top double, beam int, ids binary, keys binary, vectors binary, level_nodes array<binary>, level_links array<binary>"
+INDEX = "dim int, shard int, top double, beam int, ids binary, keys binary, vectors binary, wide boolean, level_nodes array<binary>, level_links array<binary>"
 
 
 def _links(x: np.ndarray, degree: int) -> np.ndarray:
@@ -114,14 +114,14 @@ def build_shard(ids: np.ndarray, keys: np.ndarray, vectors: np.ndarray, degree:
     """Flat arrays of one shard's bands; node numbers index ``ids`` (smallest vec_id), ``keys`` and ``vectors``."""
     norm = np.sqrt((vectors.astype(np.float64) ** 2).sum(axis=1))
     order = np.lexsort((keys, ids, -norm))
-    ids, keys, norm, vectors = ids[order], keys[order], norm[order], np.ascontiguousarray(vectors[order], np.float32)
+    ids, keys, norm, vectors = ids[order], keys[order], norm[order], np.ascontiguousarray(vectors[order], np.float64 if vectors.dtype == np.float64 else np.float32)
     sample = vectors[np.linspace(0, len(ids) - 1, min(SAMPLE, len(ids))).astype(int)]
     rng, out = np.random.default_rng(len(ids)), []
     for a, z in _bands(norm, ratio, SMALL):
         x, n = vectors[a:z], z - a
-        row = {"top": float(norm[a]), "beam": beam, "ids": ids[a:z].astype(np.int64).tobytes(), "keys": keys[a:z].astype(np.int64).tobytes(), "vectors": x.tobytes(), "level_nodes": [], "level_links": []}
+        row = {"top": float(norm[a]), "beam": beam, "ids": ids[a:z].astype(np.int64).tobytes(), "keys": keys[a:z].astype(np.int64).tobytes(), "vectors": x.tobytes(), "wide": x.dtype == np.float64, "level_nodes": [], "level_links": []}
         if n > SMALL:
-            unit = (x / norm[a:z, None]).astype(np.float32)
+            unit = (x / norm[a:z, None]).astype(np.float32)  # directions, for links alone
             level = np.minimum((-np.log(np.maximum(rng.random(n), 1e-12)) / math.log(degree)).astype(int), 6)
             here = [np.flatnonzero(level >= at).astype(np.int32) for at in range(level.max() + 1)]
             links = [_links(unit[nodes], degree) for nodes in here]
@@ -140,8 +140,9 @@ def build_shard(ids: np.ndarray, keys: np.ndarray, vectors: np.ndarray, degree:
 def search_band(index: dict, dim: int, queries: np.ndarray, k: int, wide: int = 4) -> tuple[np.ndarray, np.ndarray]:
     """(slots, scores) of the k nearest found in a band, (queries, k); slot -1 where there are fewer."""
     ids = np.frombuffer(index["ids"], np.int64)
-    x = np.frombuffer(index["vectors"], np.float32).reshape(len(ids), dim)
-    q = np.ascontiguousarray(queries, np.float32)
+    kind = np.float64 if index["wide"] else np.float32
+    x = np.frombuffer(index["vectors"], kind).reshape(len(ids), dim)
+    q = np.ascontiguousarray(queries, kind)
     if not len(index["level_nodes"]):
         exact = q.astype(np.float64) @ x.astype(np.float64).T
         slot = np.lexsort((np.broadcast_to(ids, exact.shape), -exact), axis=1)[:, :k]
@@ -168,7 +169,7 @@ def search_band(index: dict, dim: int, queries: np.ndarray, k: int, wide: int =
     seen = np.zeros((len(q), n + 1), bool)
     seen[:, n] = True
     found = np.full((len(q), beam), n, np.int64)
-    sims = np.full((len(q), beam), -np.inf, np.float32)
+    sims = np.full((len(q), beam), -np.inf, kind)
     done = np.ones((len(q), beam), bool)
     found[:, 0], sims[:, 0], done[:, 0], seen[rows, cur] = cur, best, False, True
     active = rows
@@ -187,7 +188,7 @@ def search_band(index: dict, dim: int, queries: np.ndarray, k: int, wide: int =
         near.sort(axis=1)
         near[:, 1:][near[:, 1:] == near[:, :-1]] = n
         seen[active[:, None], near] = True
-        s = np.where(near == n, -np.inf, np.einsum("qd,qmd->qm", q[active], x[np.minimum(near, n - 1)])).astype(np.float32)
+        s = np.where(near == n, -np.inf, np.einsum("qd,qmd->qm", q[active], x[np.minimum(near, n - 1)])).astype(kind)
         f = np.concatenate([found[active], near], axis=1)
         a = np.concatenate([sims[active], s], axis=1)
         d = np.concatenate([done[active], near == n], axis=1)
@@ -272,7 +273,8 @@ def search(index: DataFrame, queries: DataFrame, n_queries: int, shards: int, k:
 
 def nearest(vectors: DataFrame, is_query, k: int = 20, shard_rows: int = SHARD_ROWS, degree: int = DEGREE, beam: int = BEAM) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of every row of ``vectors`` (vec_id, embedding) with ``is_query``."""
-    rows = usable(vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>"))).dropDuplicates()
+    wide = "array<double>" if vectors.schema["embedding"].dataType.elementType.simpleString() == "double" else "array<float>"  # as given, so that scores are exact
+    rows = usable(vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast(wide))).dropDuplicates()
     unique = cut(distinct_vectors(rows, k))
     reps = unique.filter(F.col("embedding").isNotNull()).select("key", "rep", "embedding")
     shards = max(1, round(reps.count() / shard_rows))
