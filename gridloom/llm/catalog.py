@@ -19,4 +19,4 @@ QUERIES = {
     "op12_term_at_a_time": topk.op12_term_at_a_time,
     "op13_incidence_products": crosstok.op13_incidence_products,
 }
-SQL = {"op5_url_cascade": urlfilter.OP5_SQL, "op8_debruijn": substring.OP8_SQL, "op9_source_mix": mixing.OP9_SQL, "op10_bagminhash": neardup.OP10_SQL, "op12_term_at_a_time": topk.OP12_SQL}
+SQL = {"op5_url_cascade": urlfilter.OP5_SQL, "op8_debruijn": substring.OP8_SQL, "op9_source_mix": mixing.OP9_SQL, "op10_bagminhash": neardup.OP10_SQL, "op11_suffix_automaton": repair.OP11_SQL, "op12_term_at_a_time": topk.OP12_SQL}

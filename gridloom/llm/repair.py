@@ -327,3 +327,46 @@ def report(conversations: DataFrame, everyone: DataFrame | None = None) -> DataF
 def op11_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     return report(damage(rows), rows)
+
+
+#: costs to go from the last turn to the first, then the least cheapest edit at each step
+OP11_SQL = r"""
+WITH RECURSIVE bit AS (SELECT range AS b, 0 AS i, range AS c FROM range(256) UNION ALL SELECT b, i + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bit WHERE i < 8),
+tab AS MATERIALIZED (SELECT list(c ORDER BY b) AS t FROM bit WHERE i = 8),
+src AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: ascii(x)::BIGINT)),
+        lambda c, x: xor(c >> 8, t[xor(c & 255, x) + 1]))) % 20 AS k FROM conversations, tab),
+dam AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE WHEN k = 3 THEN 2 ELSE 1 END)) AS copy FROM src WHERE k <> 0),
+num AS (SELECT *, dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS g, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS n,
+    regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS last FROM dam),
+ord AS (SELECT *, row_number() OVER (PARTITION BY g, role, text ORDER BY n) AS again FROM num),
+row AS (SELECT *, left(role, 1) AS ini, CASE WHEN last = '' THEN 'blank' WHEN again > 1 THEN 'duplicate' WHEN last NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+    lag(left(role, 1)) OVER (PARTITION BY g ORDER BY n) AS before FROM ord),
+size AS (SELECT g, any_value(conv_id) AS conv_id, max(n) AS n, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (before IS NOT NULL AND before || ini NOT IN ('su', 'ua', 'au')) AS illegal, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps FROM row GROUP BY g),
+-- states: start, after system, after user, after assistant; the costs from turn n on
+togo AS (SELECT g, n + 1 AS n, 0 AS c0, 10 AS c1, 5 AS c2, 0 AS c3 FROM size
+    UNION ALL
+    SELECT g, n, least(b0, 5 + b2, 10 + b3), least(b1, 5 + b2, 10 + b3), least(b2, 5 + b3), least(b3, 5 + b2)
+    FROM (SELECT t.g, r.n,
+        least(2 + c0, m + CASE ini WHEN 's' THEN c1 WHEN 'u' THEN c2 ELSE 1 + c2 END, m + 1 + c2) AS b0, least(2 + c1, m + CASE ini WHEN 'u' THEN 0 ELSE 1 END + c2) AS b1,
+        least(2 + c2, m + CASE ini WHEN 'a' THEN 0 ELSE 1 END + c3) AS b2, least(2 + c3, m + CASE ini WHEN 'u' THEN 0 ELSE 1 END + c2) AS b3
+        FROM togo t JOIN (SELECT *, CASE fault WHEN 'blank' THEN 1000000000 WHEN 'duplicate' THEN 1000000000 WHEN 'truncated' THEN 5 ELSE 0 END AS m FROM row) r ON r.g = t.g AND r.n = t.n - 1)),
+cost AS MATERIALIZED (SELECT g, n, [c0, c1, c2, c3] AS c FROM togo),
+walk AS (SELECT g, 1::BIGINT AS n, 0 AS s, '' AS audit, CAST([] AS VARCHAR[]) AS said FROM size
+    UNION ALL
+    SELECT g, CASE WHEN e = 'I' THEN n ELSE n + 1 END, CASE e WHEN 'D' THEN s WHEN 'K' THEN keep ELSE step END, audit || e,
+        CASE e WHEN 'D' THEN said WHEN 'K' THEN list_append(said, role || ':' || text) ELSE list_append(said, CASE step WHEN 2 THEN 'user:' ELSE 'assistant:' END || CASE e WHEN 'R' THEN text ELSE '' END) END
+    FROM (SELECT w.*, role, text, keep, step,
+        CASE WHEN r.n IS NULL THEN CASE WHEN s IN (0, 3) THEN '' ELSE 'I' END
+            WHEN c.c[s + 1] = 2 + d.c[s + 1] THEN 'D' WHEN c.c[s + 1] = 5 + c.c[step + 1] THEN 'I' WHEN keep IS NOT NULL AND c.c[s + 1] = m + d.c[keep + 1] THEN 'K' ELSE 'R' END AS e
+        FROM (SELECT *, CASE s WHEN 2 THEN 3 ELSE 2 END AS step FROM walk) w JOIN cost c ON c.g = w.g AND c.n = w.n LEFT JOIN cost d ON d.g = w.g AND d.n = w.n + 1
+        LEFT JOIN (SELECT *, CASE fault WHEN 'blank' THEN 1000000000 WHEN 'duplicate' THEN 1000000000 WHEN 'truncated' THEN 5 ELSE 0 END AS m FROM row) r ON r.g = w.g AND r.n = w.n,
+        LATERAL (SELECT CASE WHEN s = 0 AND ini = 's' THEN 1 WHEN s IN (0, 1, 3) AND ini = 'u' THEN 2 WHEN s = 2 AND ini = 'a' THEN 3 END AS keep))
+    WHERE e <> ''),
+done AS (SELECT w.g, audit, said FROM walk w JOIN size z ON z.g = w.g WHERE w.n = z.n + 1 AND w.s IN (0, 3)),
+full_ AS (SELECT z.*, audit, said, c.c[1] AS cost FROM size z JOIN done d ON d.g = z.g JOIN cost c ON c.g = z.g AND c.n = 1)
+SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+    CAST(coalesce(cost, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(said, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN full_ f ON f.conv_id IS NOT DISTINCT FROM o.conv_id
+"""

@@ -339,6 +339,14 @@ def cloud(kind, n=8000, d=64):
     return x.astype(np.float32)
 
 
+def test_scores_of_double_vectors_are_exact(spark):
+    """Vectors given in double precision are neither rounded nor overflow."""
+    rows = [(0, [0.1, 0.2]), (1, [0.3, 0.7]), (2, [1e30, 1e-9]), (3, [-1e30, 0.1 + 1e-12])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["score"] for r in ann.nearest(df, F.col("vec_id") == 0).collect()}
+    assert got == {i: 0.1 * a + 0.2 * b for i, (a, b) in rows[1:]}
+
+
 @pytest.mark.parametrize("kind", ["unit", "gaussian", "wide", "norms", "clusters", "tight"])
 def test_recall_at_shard_size(kind):
     """The shipped settings on a full shard, with vectors of equal and of varying norms."""
@@ -740,6 +748,9 @@ def test_tied_pairs_of_single_nodes_are_compared(spark):
     tied = neardup.ties(star, labels, nodes)
     assert [tuple(r) for r in tied.collect()] in ([(1, 2)], [(2, 1)])
     assert sorted(r["node"] for r in neardup.groups(tied, labels, nodes).collect()) == [1, 2]
+    hubs = spark.createDataFrame([(0, 1), (0, 2)], "hub long, node long")
+    assert sorted(r["node"] for r in neardup.groups(tied, labels, nodes, hubs).collect()) == [1, 2]
+    assert neardup.groups(tied, labels, nodes, hubs.union(spark.createDataFrame([(1, 2)], hubs.schema))).count() == 0  # compared already
 
 
 def test_pairs_hidden_behind_other_hubs(spark):
