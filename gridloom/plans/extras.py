@@ -75,11 +75,11 @@ def _(spark, d):
     return C.component_at(other(v), g, seed, 38, 6).select("idx", "value")
 
 
-@query("roi_features", "SELECT idx, count(*) AS n, sum(value) AS total FROM series WHERE idx < 5 GROUP BY idx", "series")
+@query("roi_features", "SELECT idx, count(*) AS n, round(sum(value), 6) AS total FROM series GROUP BY idx", "series")
 def _(spark, d):
     s = L.series(spark, d)
-    f = roi.features(s.select("idx").distinct().filter("idx < 5"), s)
-    return f.select("idx", F.size("features").cast("long").alias("n"), F.aggregate("features", F.lit(0.0), lambda a, b: a + b).alias("total"))
+    f = roi.features(s.select("idx").distinct(), s)
+    return f.select("idx", F.size("features").cast("long").alias("n"), F.aggregate("features", F.lit(0.0), lambda a, b: a + b).alias("total")).withColumn("total", F.round("total", 6))
 
 
 @query("searchlight_sizes", f"+{_G}, s AS (SELECT a.range AS a, b.range AS b, c.range AS c FROM range(-1, 2) a, range(-1, 2) b, range(-1, 2) c WHERE 4.0*a.range*a.range + 6.25*b.range*b.range + 9.0*c.range*c.range <= 9) SELECT g.idx AS center, count(*) AS n FROM g CROSS JOIN s JOIN g n ON n.i = g.i + a AND n.j = g.j + b AND n.k = g.k + c GROUP BY g.idx", "vol")

@@ -60,17 +60,17 @@ def _(spark, d):
     return rows(spark, out, "p int, f int, a int, axis string")
 
 
-@query("slice_pixels", f"+{_G}, m AS (SELECT max(k) AS nk FROM g), e AS (SELECT idx, 0 AS axis, nk - k AS row, j AS col FROM g, m UNION ALL SELECT idx, 1, nk - k, i FROM g, m UNION ALL SELECT idx, 2, 9 - j, i FROM g) SELECT CAST(axis AS INTEGER) AS axis, CAST(row AS INTEGER) AS row, CAST(col AS INTEGER) AS col, idx FROM e WHERE idx % 37 = 0", "vol")
+@query("slice_pixels", f"+{_G}, m AS (SELECT max(k) AS nk FROM g), e AS (SELECT idx, 0 AS axis, nk - k AS row, j AS col FROM g, m UNION ALL SELECT idx, 1, nk - k, i FROM g, m UNION ALL SELECT idx, 2, 9 - j, i FROM g) SELECT CAST(axis AS INTEGER) AS axis, CAST(row AS INTEGER) AS row, CAST(col AS INTEGER) AS col, idx FROM e", "vol")
 def _(spark, d):
+    """Every cell's pixel in the slices through it, and the cell found again under that pixel."""
     v, g = vol(spark, d)
-    out = []
-    for (i,) in v.filter("idx % 37 = 0").select("idx").collect():
-        cell = (i % 10, i // 10 % 10, i // 100)
-        for axis in range(3):
-            row, col = V.cell_to_slice_pixel(g, axis, cell)
-            back = V.slice_pixel_to_cell(g, axis, cell[axis], row, col)
-            out.append((axis, row, col, back[0] + 10 * back[1] + 100 * back[2]))
-    return rows(spark, out, "axis int, row int, col int, idx long")
+    cell, out = g.axes_of("idx"), None
+    for axis in range(3):
+        row, col = V.cell_to_slice_pixel(g, axis, cell)
+        back = V.slice_pixel_to_cell(g, axis, cell[axis], row, col)
+        part = v.select(F.lit(axis).alias("axis"), row.cast("int").alias("row"), col.cast("int").alias("col"), (back[0] + 10 * back[1] + 100 * back[2]).cast("long").alias("idx"))
+        out = part if out is None else out.union(part)
+    return out
 
 
 _N = "n AS (SELECT unnest([0, 1, 2]) AS axis, unnest([nx, ny, nz]) AS dim, unnest([2.0, 2.5, 3.0]) AS spacing, unnest([-9.0, -11.25, -20.0]) AS origin FROM gdim)"
@@ -249,12 +249,13 @@ def _(spark, d):
     return rows(spark, out, "n int, voxel string, sphere string, mask string")
 
 
-_DFT = "c AS (SELECT s.idx, b.range AS bin, sum(value * cos(2 * pi() * b.range * t / 30)) AS re, -sum(value * sin(2 * pi() * b.range * t / 30)) AS im FROM series s, range(16) b WHERE s.idx < 6 GROUP BY 1, 2)"
+_DFT = "c AS (SELECT s.idx, b.range AS bin, sum(value * cos(2 * pi() * b.range * t / 30)) AS re, -sum(value * sin(2 * pi() * b.range * t / 30)) AS im FROM series s, range(16) b GROUP BY 1, 2)"
 
 
-@query("fourier_coefficients", f"+{_DFT} SELECT idx, CAST(bin AS INTEGER) AS bin, {r('bin / (30 * 2.0)')} AS hz, {r('re')} AS re, {r('im')} AS im FROM c", "series")
+@query("fourier_coefficients", f"+{_DFT} SELECT idx, CAST(bin AS INTEGER) AS bin, {r('bin / (30 * 2.0)')} AS hz, round(re, 3) + 0.0::DOUBLE AS re, round(im, 3) + 0.0::DOUBLE AS im FROM c", "series")
 def _(spark, d):
-    return show(T.spectrum(L.series(spark, d).filter("idx < 6"), 2.0), "idx", "bin", hz="hz", re="re", im="im")
+    s = T.spectrum(L.series(spark, d), 2.0)
+    return show(s, "idx", "bin", hz="hz", re=F.round("re", 3), im=F.round("im", 3))
 
 
 @query("seeded_draws", f"WITH {draws(5, 40, 7)} SELECT CAST(rep AS INTEGER) AS rep, CAST(n AS INTEGER) AS n, u, CAST(floor(u * 13) AS INTEGER) AS pick FROM rnd")
@@ -389,19 +390,19 @@ _MANIFEST = {
 
 
 def _dataset(spark, d):
-    """A small dataset on disk: nine suppliers in two conditions, one image for each row."""
+    """A dataset on disk: all suppliers in two conditions, one of three images for each row."""
     base = scratch(spark)
     v, g = vol(spark, d)
     for n in range(3):
-        nifti.write_volume(v.filter("idx < 40").select("idx", (F.col("value") + n).alias("value")), g, f"{base}/v{n}.nii.gz")
-    s = L.table(spark, d, "supplier").filter("s_suppkey < 9").crossJoin(spark.range(2).withColumnRenamed("id", "c"))
+        nifti.write_volume(v.select("idx", (F.col("value") + n).alias("value")), g, f"{base}/v{n}.nii.gz")
+    s = L.table(spark, d, "supplier").crossJoin(spark.range(2).withColumnRenamed("id", "c"))
     delimited.write_text(s.select(F.concat_ws("-", F.lit("r"), "s_suppkey", "c").alias("row"), F.col("s_suppkey").cast("string").alias("subject"), F.when(F.col("c") == 0, "a").otherwise("b").alias("cond"), F.col("s_acctbal").alias("age"), F.concat(F.lit("f"), (F.col("s_suppkey") % 3).cast("string")).alias("file")), f"{base}/obs.csv")
     delimited.write_text(rows(spark, [(f"f{n}", "file", f"v{n}.nii.gz") for n in range(3)], "resource_id string, backend string, locator string"), f"{base}/resources.csv")
     rows(spark, [(json.dumps(_MANIFEST),)], "value string").coalesce(1).write.text(f"{base}/manifest.json")
     return manifest.open_dataset(spark, f"{base}/manifest.json")
 
 
-_OBS = "obs AS (SELECT 'r-' || s_suppkey || '-' || c AS row, CAST(s_suppkey AS VARCHAR) AS subject, CASE c WHEN 0 THEN 'a' ELSE 'b' END AS cond, s_acctbal AS age, s_suppkey % 3 AS f FROM supplier, (SELECT unnest([0, 1]) AS c) WHERE s_suppkey < 9)"
+_OBS = "obs AS (SELECT 'r-' || s_suppkey || '-' || c AS row, CAST(s_suppkey AS VARCHAR) AS subject, CASE c WHEN 0 THEN 'a' ELSE 'b' END AS cond, s_acctbal AS age, s_suppkey % 3 AS f FROM supplier, (SELECT unnest([0, 1]) AS c))"
 
 
 @query("dataset_design", f"WITH {_OBS} SELECT subject, cond, age FROM obs")
@@ -414,7 +415,7 @@ def _(spark, d):
     return _dataset(spark, d).resolve("map").select("row", "backend", "locator")
 
 
-@query("dataset_maps", f"WITH {_OBS} SELECT row, p_partkey AS pos, {r('CAST(p_retailprice + f AS FLOAT)')} AS value FROM obs, part WHERE p_partkey < 40")
+@query("dataset_maps", f"WITH {_OBS} SELECT row, p_partkey AS pos, {r('CAST(p_retailprice + f AS FLOAT)')} AS value FROM obs, part")
 def _(spark, d):
     return show(_dataset(spark, d).backing("map"), "row", "pos", value="value")
 
