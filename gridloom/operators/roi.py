@@ -10,7 +10,7 @@ from gridloom.num import js_round
 from gridloom.operators.order import cut as _cut
 from gridloom.operators.order import ranked
 from gridloom.operators.stencil import mm_sphere_offsets
-from gridloom.rng import mulberry32, random_index
+from gridloom.rng import draw_at, mulberry32, random_index
 
 
 def spherical(vol: DataFrame, grid: Grid, center: tuple[int, ...], radius: float, nonzero: bool = False) -> DataFrame:
@@ -111,7 +111,7 @@ def bootstrap_searchlights(mask: DataFrame, grid: Grid, radius: float = 8.0, n:
 def random_searchlights(mask: DataFrame, grid: Grid, radius: float, seed: int = 1) -> DataFrame:
     """(center, idx): a random disjoint cover.  In each round the cells of locally least seeded priority become
     centres together and their spheres leave the mask, which is the sequential random pick without its loop."""
-    pr = F.xxhash64("idx", F.lit(seed))
+    pr = draw_at(F.lit(seed), F.col("idx"))
     left, out = mask.select("idx"), None
     left = _cut(left)
     while left.limit(1).count():

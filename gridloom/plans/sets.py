@@ -371,7 +371,7 @@ def _(spark, d):
     return show(SS.scott_bandwidth(_cloud(spark, d), "x"), h="h")
 
 
-@query("procrustes_residual")
+@query("procrustes_residual", f"WITH {_CLOUD}, m AS (SELECT x, y, y * 2 + 5 AS u, x * -2 + 1 AS v, avg(x) OVER () AS mx, avg(y) OVER () AS my, avg(y * 2 + 5) OVER () AS mu, avg(x * -2 + 1) OVER () AS mv FROM cloud), t AS (SELECT sum((x - mx) * (u - mu) + (y - my) * (v - mv)) AS c, sum((x - mx) * (v - mv) - (y - my) * (u - mu)) AS s, sum(power(x - mx, 2) + power(y - my, 2)) AS q FROM m) SELECT {r('max(abs((c * (x - mx) - s * (y - my)) / q + mu - u) + abs((s * (x - mx) + c * (y - my)) / q + mv - v))')} AS worst FROM m, t")
 def _(spark, d):
     p = _cloud(spark, d).select("x", "y", (F.col("y") * 2 + 5).alias("u"), (F.col("x") * -2 + 1).alias("v"))
     _, out = SS.procrustes(p)

@@ -491,9 +491,25 @@ def _(spark, d):
     return C.extent_filter(other(v), g, 38, 3, 6)
 
 
-@query("kmeans_partition")
+#: seeded centres one after the other, then rounds of means until they stay
+_KM = f"""vals AS (SELECT value, count(*) AS n, sum(count(*)) OVER (ORDER BY value) AS cum, sum(count(*)) OVER () AS total FROM vol GROUP BY value),
+{draws(1, 4)},
+init AS (SELECT 1 AS k, [(SELECT min(value) FROM vals WHERE cum > floor((SELECT u FROM rnd WHERE n = 0) * total))] AS c
+    UNION ALL
+    SELECT k + 1, list_append(c, v) FROM (SELECT k, c, min(value) AS v FROM (SELECT *, sum(w) OVER (PARTITION BY k ORDER BY value) AS run, sum(w) OVER (PARTITION BY k) AS whole FROM
+        (SELECT k, c, value, vals.n * power(list_min(list_transform(c, lambda m: abs(value - m))), 2) AS w FROM init, vals WHERE k < 4)) q JOIN rnd ON rnd.n = q.k WHERE run > u * whole AND w > 0 GROUP BY k, c)),
+lloyd AS (SELECT 0 AS step, c FROM init WHERE k = 4
+    UNION ALL
+    SELECT step + 1, next FROM (SELECT step, c, list(coalesce(m, x) ORDER BY i) AS next FROM (SELECT l.step, l.c, i.range AS i, any_value(l.c[i.range]) AS x, sum(a.value * a.n) / sum(a.n) AS m
+        FROM lloyd l CROSS JOIN range(1, 5) i LEFT JOIN (SELECT l2.step, v.value, v.n, list_position(list_transform(l2.c, lambda m: abs(m - v.value)), list_min(list_transform(l2.c, lambda m: abs(v.value - m)))) AS at FROM lloyd l2, vals v) a ON a.at = i.range AND a.step = l.step
+        GROUP BY l.step, l.c, i.range) GROUP BY step, c) WHERE next <> c AND step < 100),
+fin AS (SELECT arg_max(c, step) AS c FROM lloyd)"""
+
+
+@query("kmeans_partition", f"WITH RECURSIVE vol AS (SELECT p_partkey AS idx, sqrt(p_retailprice) AS value FROM part), {_KM} SELECT idx, value, CAST(list_position(list_transform(c, lambda m: abs(m - value)), list_min(list_transform(c, lambda m: abs(value - m)))) AS INTEGER) AS label FROM vol, fin")
 def _(spark, d):
-    return C.kmeans_1d(vol(spark, d)[0].select("idx", "value"), 4)
+    """Four groups of root prices, which lie unevenly."""
+    return C.kmeans_1d(vol(spark, d)[0].select("idx", F.sqrt("value").alias("value")), 4)
 
 
 @query("block_partition", f"+{_G}, b AS (SELECT idx, i // 3 AS a, j // 2 AS b, k // 2 AS c FROM g), u AS (SELECT a, b, c, CAST(row_number() OVER (ORDER BY c, b, a) - 1 AS INTEGER) AS block FROM (SELECT DISTINCT a, b, c FROM b)) SELECT idx, block FROM b JOIN u USING (a, b, c)", "vol")
@@ -543,7 +559,20 @@ def _(spark, d):
     return roi.bootstrap_searchlights(v.select("idx"), g, 4.0, 20)
 
 
-@query("searchlight_random")
+#: rounds over all cells: those of least priority within two radii become centres and cover what is left around them
+_RANDOM = f"""{draws(1, 100000).replace("range(100000) n", "(SELECT idx AS range FROM g) n")},
+ofs AS (SELECT a.range AS a, b.range AS b, c.range AS c, 4.0 * a.range * a.range + 6.25 * b.range * b.range + 9.0 * c.range * c.range AS d FROM range(-4, 5) a, range(-4, 5) b, range(-4, 5) c),
+near AS MATERIALIZED (SELECT x.idx AS a, y.idx AS b, o.d FROM g x CROSS JOIN ofs o JOIN g y ON y.i = x.i + o.a AND y.j = x.j + o.b AND y.k = x.k + o.c WHERE o.d <= 64),
+s AS (SELECT 0 AS step, idx, CAST(NULL AS BIGINT) AS center FROM g
+    UNION ALL
+    SELECT s.step + 1, s.idx, coalesce(s.center, v.center) FROM s LEFT JOIN (
+        SELECT n.b AS idx, min(ch.idx) AS center FROM (
+            SELECT x.a AS idx FROM near x JOIN s m ON m.idx = x.a AND m.center IS NULL JOIN s l ON l.idx = x.b AND l.center IS NULL JOIN rnd r ON r.n = x.b GROUP BY x.a HAVING min(struct_pack(u := r.u, i := x.b)).i = x.a) ch
+        JOIN near n ON n.a = ch.idx AND n.d <= 16 JOIN s f ON f.idx = n.b AND f.center IS NULL GROUP BY n.b) v ON v.idx = s.idx
+    WHERE EXISTS (SELECT 1 FROM s WHERE center IS NULL))"""
+
+
+@query("searchlight_random", f"WITH RECURSIVE {L.SQL['vol']}, {_G}, {_RANDOM} SELECT center, idx FROM s WHERE step = (SELECT max(step) FROM s)")
 def _(spark, d):
     v, g = vol(spark, d)
     return roi.random_searchlights(v.select("idx"), g, 4.0)

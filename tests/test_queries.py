@@ -34,6 +34,6 @@ def test_same_rows_as_sql(spark, con, name):
     assert norm(df.collect(), df.columns) == norm(res.fetchall(), cols)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.SQL) - {"searchlight_random", "local_maxima_thinned"}))
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.SQL)))
 def test_rows_without_sql(spark, name):
     assert catalog.QUERIES[name](spark, SF).limit(1).count() == 1
