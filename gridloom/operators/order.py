@@ -86,14 +86,23 @@ def quantiles(df: DataFrame, value: str, probabilities: list[float]) -> list[flo
     return [at[int(s)] + (s - int(s)) * (at[min(int(s) + 1, total - 1)] - at[int(s)]) if s > int(s) else at[int(s)] for s in spots]
 
 
-def quantiles_by(df: DataFrame, by: str, values: list[str], probabilities: list[float]) -> DataFrame:
+#: values of one key that a task may hold for a quantile (a few MB)
+HELD = 100_000
+
+
+def quantiles_by(df: DataFrame, by: str, values: list[str], probabilities: list[float], held: int = HELD) -> DataFrame:
     """by, name (of ``values``), n, q (array): exact type-7 quantiles of several columns for every ``by``, null for no values.
 
-    Equal values of a key are counted first, then all (name, key, value) are put in one order by ranges, whose running totals say
+    Where no key has more than ``held`` rows, which is counted first, one aggregate holds each key's values.  Otherwise equal values
+    of a key are counted, then all (name, key, value) are put in one order by ranges, whose running totals say
     which of them hold the wanted ranks; so no task holds a key's values, however many keys there are or however large one is.
     """
     kind = df.schema[by].dataType.simpleString()
     long = df.select(F.col(by).alias("__k"), F.explode(F.array(*[F.struct(F.lit(v).alias("name"), F.col(v).cast("double").alias("v")) for v in values])).alias("x")).select("__k", "x.*")
+    if (df.groupBy(by).count().agg(F.max("count")).first()[0] or 0) <= held:
+        n = F.count("v")
+        q = F.percentile("v", F.array(*[F.lit(float(p)) for p in probabilities]))
+        return long.groupBy(F.col("__k").alias(by), "name").agg(n.alias("n"), F.coalesce(q, F.array(*[F.lit(None).cast("double")] * len(probabilities))).alias("q"))
     counts = long.groupBy("name", "__k", "v").agg(F.count("v").alias("c"))
     r = running(counts, [F.col("name"), F.col("__k"), F.col("v")], {"before": F.col("c")})
     whole = r.groupBy("name", "__k").agg(F.min("before").alias("base"), F.sum("c").alias("n"))

@@ -91,14 +91,15 @@ def test_quantiles_of_many_keys(spark):
     rows = [(int(k), float(v), float(v) ** 2) for k in range(6) for v in rng.integers(0, 9, 1 + 40 * k)] + [(7, None, None), (None, 3.0, 1.0), (None, 5.0, None), (8, 2.5, None)]
     d = spark.createDataFrame(rows, "k int, v double, w double").repartition(5)
     p = [0.0, 0.25, 0.5, 0.9, 1.0]
-    got = {(r["k"], r["name"]): (r["n"], r["q"]) for r in order.quantiles_by(d, "k", ["v", "w"], p).collect()}
-    for k in {r[0] for r in rows}:
-        for i, name in ((1, "v"), (2, "w")):
-            x = [r[i] for r in rows if r[0] == k and r[i] is not None]
-            n, q = got[k, name]
-            assert n == len(x) and (q == [None] * 5 if not x else np.allclose(q, np.quantile(x, p)))
-    assert len(got) == 18 and order.quantiles_by(d.limit(0), "k", ["v"], p).count() == 0
-    plan = setstats.robust_z(d.select(F.col("k").alias("member"), F.col("v").alias("value")), "member")._jdf.queryExecution().toString()
+    for held in (order.HELD, 0):
+        got = {(r["k"], r["name"]): (r["n"], r["q"]) for r in order.quantiles_by(d, "k", ["v", "w"], p, held).collect()}
+        for k in {r[0] for r in rows}:
+            for i, name in ((1, "v"), (2, "w")):
+                x = [r[i] for r in rows if r[0] == k and r[i] is not None]
+                n, q = got[k, name]
+                assert n == len(x) and (q == [None] * 5 if not x else np.allclose(q, np.quantile(x, p)))
+        assert len(got) == 18 and order.quantiles_by(d.limit(0), "k", ["v"], p, held).count() == 0
+    plan = order.quantiles_by(d, "k", ["v"], p, 0)._jdf.queryExecution().toString()
     assert "percentile" not in plan
 
 
