@@ -152,17 +152,36 @@ def local_maxima(clusters: DataFrame, grid: Grid, min_distance: float | None = N
     if min_distance is None:
         return peaks
     w = grid.world_of_index("idx")
-    peaks = peaks.select("idx", "label", "value", *[c.alias(n) for c, n in zip(w, "xyz", strict=True)])
+    peaks = _cut(peaks.select("idx", "label", "value", *[c.alias(n) for c, n in zip(w, "xyz", strict=True)]))
+    return thinned(peaks, min_distance)
 
-    def thin(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["value", "idx"], ascending=[False, True])
-        kept, xyz = [], pdf[["x", "y", "z"]].to_numpy()
-        for i in range(len(pdf)):
-            if all(((xyz[i] - xyz[j]) ** 2).sum() >= min_distance**2 for j in kept):
-                kept.append(i)
-        return pdf.iloc[kept][["idx", "label", "value"]]
 
-    return peaks.groupBy("label").applyInPandas(thin, "idx long, label long, value double")
+def thinned(peaks: DataFrame, distance: float) -> DataFrame:
+    """(idx, label, value) of the peaks (with places x, y, z) that a pick from the highest down keeps, none nearer than ``distance`` to a kept one of its label.
+
+    Peaks meet in boxes of that size.  In each round those above all rivals that are left stay and their rivals go, which is
+    the pick's result without its order; equal values go by idx.
+    """
+    box = lambda: [F.floor(F.col(c) / distance).cast("long") for c in "xyz"]
+    step = F.explode(F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(o, "abc", strict=True)]) for o in [(0, 0, 0), *neighbour_offsets(26)]]))
+    near = peaks.select(F.col("idx").alias("low"), "label", F.col("value").alias("v"), *[F.col(c).alias(f"{c}1") for c in "xyz"], *[b.alias(f"b{c}") for b, c in zip(box(), "xyz", strict=True)], step.alias("o"))
+    near = near.withColumns({f"b{c}": F.col(f"b{c}") + F.col(f"o.{n}") for c, n in zip("xyz", "abc", strict=True)}).drop("o")
+    other = peaks.select("label", F.col("idx").alias("high"), F.col("value").alias("w"), "x", "y", "z", *[b.alias(f"b{c}") for b, c in zip(box(), "xyz", strict=True)])
+    apart = sum(((F.col(c) - F.col(f"{c}1")) * (F.col(c) - F.col(f"{c}1")) for c in "xyz"), F.lit(0.0))
+    above = (F.col("w") > F.col("v")) | ((F.col("w") == F.col("v")) & (F.col("high") < F.col("low")))
+    rivals = _cut(near.join(other, ["label", "bx", "by", "bz"]).filter(above & (apart < distance * distance)).select("low", "high"))
+    left, kept = peaks.select("idx"), None
+    while not rivals.isEmpty():
+        # peaks without a rival above them stay, and take those below them away
+        stay = left.join(rivals.select(F.col("low").alias("idx")).distinct(), "idx", "left_anti")
+        gone = rivals.join(stay.select(F.col("idx").alias("high")), "high", "left_semi").select(F.col("low").alias("idx")).distinct()
+        stay = stored(stay)
+        gone = stored(gone)
+        kept = stay if kept is None else kept.unionByName(stay)
+        left = stored(left.join(stay, "idx", "left_anti").join(gone, "idx", "left_anti"))
+        rivals = stored(rivals.join(left.select(F.col("idx").alias("low")), "low", "left_semi").join(left.select(F.col("idx").alias("high")), "high", "left_semi"))
+    kept = left if kept is None else kept.unionByName(left)
+    return peaks.join(kept, "idx", "left_semi").select("idx", F.col("label").cast("long").alias("label"), "value")
 
 
 def kmeans_1d(vol: DataFrame, k: int, seed: int = 1, iterations: int = 100) -> DataFrame:

@@ -6,6 +6,8 @@ dense slices of their maps, and one row per pair of members leaves it; k members
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 
 from gridloom.num import clamp, div, finite, is_finite, pearson
 from gridloom.operators.order import quantiles, quantiles_by, with_quantiles, with_totals
-from gridloom.rng import low_product, mulberry32, random_index, shuffled
+from gridloom.rng import draw_at, low_product, mulberry32, random_index, shuffled
 
 
 
@@ -403,11 +405,9 @@ def split_reference(z: DataFrame, splits: DataFrame, labels: DataFrame, n: int,
 
 
 def noise_member(z: DataFrame, seed: int = 1) -> DataFrame:
-    """The set with one more member of seeded Gaussian noise (Box-Muller on hashes of the cell)."""
-    u = lambda s: (F.pmod(F.xxhash64("pos", F.lit(seed), F.lit(s)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
-    import math
-
-    g = F.sqrt(-2 * F.ln(u(1))) * F.cos(2 * math.pi * u(2))
+    """The set with one more member of seeded Gaussian noise: the cell at ``pos`` takes the generator's draws 2 pos and 2 pos + 1 (Box-Muller)."""
+    u, v = (draw_at(F.lit(seed), F.col("pos") * 2 + n) for n in (0, 1))
+    g = F.sqrt(-2 * F.ln(F.greatest(u, F.lit(1e-300)))) * F.cos(2 * math.pi * v)
     top = z.agg(F.max("member").alias("m")).select("m").scalar()
     return z.select("member", "pos", "value").unionByName(z.select("pos").distinct().select((top + 1).alias("member"), "pos", g.alias("value")))
 

@@ -233,3 +233,9 @@ def _(spark, d):
     known = F.concat(F.lit("sha256:"), F.sha2(F.concat("value", F.when(F.col("s_nationkey") % 4 == 1, "!").otherwise("\n")), 256))
     links = lists.select(F.col("s_nationkey").alias("nation"), F.col("s_nationkey").cast("string").alias("source"), F.when(F.col("s_nationkey") % 4 != 3, known).alias("checksum"))
     return manifest.stale_links(links, files).select("nation", "stale")
+
+
+@query("noise_member", f"+{draws(1, 128, 3)}, z AS (SELECT member, pos, (value - avg(value) OVER w) / stddev_pop(value) OVER w AS value FROM members WINDOW w AS (PARTITION BY member)) SELECT member, pos, {r('value')} AS value FROM z UNION ALL SELECT (SELECT max(member) + 1 FROM members), CAST(a.n // 2 AS INTEGER), {r('sqrt(-2 * ln(greatest(a.u, 1e-300::DOUBLE))) * cos(2 * pi() * b.u)')} FROM rnd a JOIN rnd b ON b.n = a.n + 1 WHERE a.n % 2 = 0", "members")
+def _(spark, d):
+    """All maps standardised, and one of noise beside them."""
+    return show(SS.noise_member(SS.standardize(L.members(spark, d)), 3), "member", "pos", value="value")
