@@ -39,6 +39,7 @@ from gridloom.llm.store import cut, release
 SHINGLE, REGISTERS, BANDS, ROWS, SIMILAR = 5, 128, 32, 4, 0.8
 TIED = 0.6  # of the registers, five standard deviations below SIMILAR
 HUB_ROWS, CHUNK, SIGNATURES, SALTS = 512, 1024, 512, 16
+SLICE = 1 << 20  # bytes of text that a task turns into arrays at a time
 U = T.U64
 
 
@@ -122,7 +123,7 @@ def sketches(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for whole in batches:
-            for batch in T.slices(whole, "text"):
+            for batch in T.slices(whole, "text", SLICE):
                 key, doc, h, count = bags(batch.column("text"))
                 n = batch.num_rows
                 sig = signatures(doc, h, count, n)
@@ -185,7 +186,7 @@ def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, similar: float =
     def run(batches):
         mine, values, counts = None, None, None
         for whole in batches:
-            for batch in T.slices(whole, "text"):
+            for batch in T.slices(whole, "text", SLICE):
                 key, doc, h, count = bags(batch.column("text"))
                 first = np.searchsorted(doc, np.arange(batch.num_rows + 1))
                 out = []
@@ -367,7 +368,7 @@ def settle(group: DataFrame, nodes: DataFrame, docs: DataFrame, similar: float =
     def run(batches):
         on, block, out = None, [], []
         for whole in batches:
-            for batch in T.slices(whole, "text"):
+            for batch in T.slices(whole, "text", SLICE):
                 _, doc, h, count = bags(batch.column("text"))
                 first = np.searchsorted(doc, np.arange(batch.num_rows + 1))
                 cols = [batch.column(c).to_pylist() for c in ("grp", "i", "j", "left", "right", "node", "label")]
