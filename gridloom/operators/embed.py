@@ -15,7 +15,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridloom.num import is_finite
-from gridloom.rng import draw_at, mulberry32
+from gridloom.operators.order import cut, running
+from gridloom.rng import draws, mulberry32
 
 MAX_MEMBERS = 4096
 
@@ -297,32 +298,50 @@ def stability(distances: DataFrame, reference: np.ndarray, ids: list, fit=None)
 
 
 # ------------------------------------------------------------------ covariates on a layout
+#: places that a task puts in order at a time
+PLACES = 4096
+
+
 def permuted(values: DataFrame, permutations: int, seed: int = 1) -> DataFrame:
-    """rep, name, member, value: the values (name, member, value) of each name dealt anew among its members.
+    """rep and the columns of ``values`` (name, member, value, ...): the values of each name dealt anew among its members.
 
     Replicate 0 is what is observed; in replicate r the place of a member (from 0, in order) draws the number of that place from the generator seeded with
-    ``seed`` + r, and the place with the n-th least number gets the n-th member's value.  Replicates are rows, so they spread over tasks.
+    ``seed`` + r, and the place with the n-th least number gets the n-th member's value; other columns stay with the member.  Replicates are rows, so they spread over
+    tasks.  Draws are even, so ranges of them hold about ``PLACES`` places each: a range is put in order by itself and the ranges' counts are summed up, so that no task holds a name.
     """
-    v = values.withColumn("i", F.row_number().over(W.partitionBy("name").orderBy("member")) - 1)
-    reps = v.select("name", "member", "i", F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("rep")) if permutations else v.select("name", "member", "i", F.lit(0).alias("rep")).limit(0)
-    drawn = reps.withColumn("u", draw_at(F.lit(seed) + F.col("rep"), F.col("i")))
-    order = W.partitionBy("name", "rep").orderBy("u", "i")
-    dealt = drawn.select("name", "rep", "member", (F.row_number().over(order) - 1).alias("i")).join(v.select("name", "i", "value"), ["name", "i"])
-    return dealt.select("rep", "name", "member", "value").unionByName(v.select(F.lit(0).alias("rep"), "name", "member", "value"))
+    stay = [c for c in values.columns if c != "value"]
+    own = values.select(F.lit(0).alias("rep"), *stay, "value")
+    if not permutations:
+        return own
+    r = running(values, [F.col("name"), F.col("member")], {}, "__row")
+    names = r.groupBy("name").agg(F.min("__row").alias("__base"), F.count(F.lit(1)).alias("n"))  # a row a covariate
+    v = cut(r.join(F.broadcast(names), "name").withColumn("i", F.col("__row") - F.col("__base")).select(*stay, "value", "i", "n").repartition(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")), "name", "i"))
+    drawn = v.select(*stay, "i", "n", F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("rep"))
+    # as an expression beside other columns the draw is too long to be compiled
+    drawn = drawn.withColumn("u", F.pandas_udf(draws, "double")(F.lit(seed) + F.col("rep"), F.col("i")))
+    drawn = drawn.withColumn("part", F.floor(F.col("u") * F.ceil(F.col("n") / PLACES)))
+    keys = ["name", "rep", "part"]
+    before = W.partitionBy("name", "rep").orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # a row a range
+    base = drawn.groupBy(*keys).agg(F.count(F.lit(1)).alias("c")).select(*keys, F.coalesce(F.sum("c").over(before), F.lit(0)).alias("base"))
+    inside = drawn.withColumn("at", F.row_number().over(W.partitionBy(*keys).orderBy("u", "i")) - 1).drop("i", "n", "u")
+    dealt = inside.join(base, keys).select("rep", *stay, (F.col("base") + F.col("at")).alias("i"))
+    # values meet their places by a shuffle: what Spark takes for a small table by its compressed size is large on the driver
+    dealt = dealt.join(v.select("name", "i", "value").hint("merge"), ["name", "i"])
+    return dealt.select("rep", *stay, "value").unionByName(v.select(F.lit(0).alias("rep"), *stay, "value"))
 
 
 def envfit(layout: DataFrame, covariates: DataFrame, kind: str = "vector", permutations: int = 999, seed: int = 1) -> DataFrame:
     """(name, r2, p, dx, dy): R^2 of a linear (vector) or centroid (factor) fit of covariates (name, member, value) on a layout
     (member, x, y), the share of permutations that fit as well, and the direction of a vector.
 
-    All replicates come from one aggregate of sums.  Members without a finite value or place are left out; fewer than four, a layout on
+    All replicates come from one aggregate of sums; members are only joined by shuffles.  Members without a finite value or place are left out; fewer than four, a layout on
     a line or a constant covariate give null.
     """
     here = layout.filter(is_finite("x") & is_finite("y")).select("member", "x", "y")
-    v = covariates.filter(is_finite("value") if kind == "vector" else F.col("value").isNotNull()).select("name", "member", "value").join(here.select("member"), "member", "left_semi")
-    e = permuted(v, permutations, seed).join(here, "member")
+    v = covariates.filter(is_finite("value") if kind == "vector" else F.col("value").isNotNull()).select("name", "member", "value").join(here.hint("merge"), "member")
     x, y = F.col("x"), F.col("y")
     if kind == "vector":
+        e = permuted(v, permutations, seed)
         w, n = F.col("value").cast("double"), F.count(F.lit(1)).cast("double")
         c = {"a": F.covar_pop(x, w) * n, "b": F.covar_pop(y, w) * n, "xx": F.var_pop(x) * n, "yy": F.var_pop(y) * n, "xy": F.covar_pop(x, y) * n, "t": F.var_pop(w) * n, "n": n}
         g = e.groupBy("name", "rep").agg(*[f.alias(k) for k, f in c.items()])
@@ -334,13 +353,15 @@ def envfit(layout: DataFrame, covariates: DataFrame, kind: str = "vector", permu
         g = g.select("name", "rep", "r2", F.when(long > 0, F.col("bx") / F.when(long > 0, long)).otherwise(F.col("bx")).alias("dx"), F.when(long > 0, F.col("by") / F.when(long > 0, long)).otherwise(F.col("by")).alias("dy"))
     else:
         # sums about the members' centre, which permutations leave where it is
-        mid = v.join(here, "member").groupBy("name").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"))
-        e = e.join(mid, "name").withColumns({"x": x - F.col("cx"), "y": y - F.col("cy")})
+        mid = v.groupBy("name").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"))  # a row a covariate
+        v = v.join(F.broadcast(mid), "name").select("name", "member", "value", (x - F.col("cx")).alias("x"), (y - F.col("cy")).alias("y"))
+        e = permuted(v, permutations, seed)
         g = e.groupBy("name", "rep", "value").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.sum(x * x + y * y).alias("q"))
         between = F.sum((F.col("sx") * F.col("sx") + F.col("sy") * F.col("sy")) / F.col("n"))
         g = g.groupBy("name", "rep").agg(between.alias("b"), F.sum("q").alias("q"))
         none = F.lit(None).cast("double")
         g = g.select("name", "rep", F.when(F.col("q") > 0, F.col("b") / F.when(F.col("q") > 0, F.col("q"))).alias("r2"), none.alias("dx"), none.alias("dy"))
+    g = cut(g)  # a row a covariate and replicate
     seen = g.filter("rep = 0").select("name", F.col("r2").alias("own"), "dx", "dy")
     hits = g.filter("rep > 0").join(seen.select("name", "own"), "name").groupBy("name").agg(F.count_if(F.col("r2") >= F.col("own") - 1e-12 * F.greatest(F.lit(1.0), F.col("own"))).alias("hits"))
     p = (F.coalesce("hits", F.lit(0)) + 1) / F.lit(permutations + 1.0)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -58,3 +60,12 @@ def draw_at(seed: Column, n: Column) -> Column:
     x = low_product(state.bitwiseXOR(F.shiftright(state, 15)), state.bitwiseOR(F.lit(1)))
     x = x.bitwiseXOR((x + low_product(x.bitwiseXOR(F.shiftright(x, 7)), x.bitwiseOR(F.lit(61)))).bitwiseAND(F.lit(_M)))
     return x.bitwiseXOR(F.shiftright(x, 14)).cast("double") / 4294967296.0
+
+
+def draws(seed: pd.Series, n: pd.Series) -> pd.Series:
+    """:func:`draw_at` of whole columns, for Arrow batches."""
+    m, u = np.uint64(_M), np.uint64
+    s = (seed.to_numpy().astype(u) + (n.to_numpy().astype(u) + u(1)) * u(STEP)) & m
+    x = ((s ^ (s >> u(15))) * (s | u(1))) & m
+    x ^= (x + (((x ^ (x >> u(7))) * (x | u(61))) & m)) & m
+    return pd.Series(((x ^ (x >> u(14))) & m) / 4294967296.0)
