@@ -1,16 +1,17 @@
-"""Resampling: target cells -> source coordinates -> weighted taps -> one equi-join and one aggregation."""
+"""Resampling: target cells -> source coordinates -> weighted taps, by one equi-join and one aggregation (nearest, linear) or within tiles (wider windows)."""
 
 from __future__ import annotations
 
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.grid import Grid
 from gridloom.num import js_round
-from gridloom.operators.stencil import gaussian_blur, mm_sphere_offsets
+from gridloom.operators.stencil import Tiles, gaussian_blur, mm_sphere_offsets
 
 XYZ = ("x", "y", "z")
 
@@ -47,42 +48,74 @@ def linear(vol: DataFrame, source: Grid, points: DataFrame, background: float =
     return d.groupBy("idx").agg(F.sum(F.col("w") * F.coalesce("value", F.lit(background))).alias("value"))
 
 
-def _weight(kind: str, d: Column) -> Column:
-    a = F.abs(d)
+def _weight(kind: str, d: np.ndarray) -> np.ndarray:
+    a = np.abs(d)
     if kind == "cubic":  # Catmull-Rom
-        return F.when(a < 1, 1.5 * a * a * a - 2.5 * a * a + 1).when(a < 2, -0.5 * a * a * a + 2.5 * a * a - 4 * a + 2).otherwise(0.0)
-    p = math.pi * d
-    return F.when(a < 1e-9, 1.0).when(a < 3, 3 * F.sin(p) * F.sin(p / 3) / F.when(a >= 1e-9, p * p)).otherwise(0.0)
-
-
-def _axis_taps(t: DataFrame, kind: str, c: str, n: int, out: str) -> DataFrame:
-    """Rows per tap along one axis with a struct ``out`` (at, w); a tap beyond the border is extrapolated linearly from the two outermost cells."""
-    reach, last, keep = 2 if kind == "cubic" else 3, n - 1, t.columns
-    t = t.withColumn("o", F.explode(F.sequence(F.lit(1 - reach), F.lit(reach))))
-    t = t.select(*keep, (F.floor(F.col(c)) + F.col("o")).cast("int").alias("at"))
-    t = t.select(*keep, F.explode(F.array(F.struct("at", _weight(kind, F.col(c) - F.col("at")).alias("w")))).alias("s")).select(*keep, "s.at", "s.w")
-    at, w = F.col("at"), F.col("w")
-    far = F.when(at < 0, -at).when(at > last, at - last).otherwise(0)  # how far outside
-    end = F.when(at < 0, 0).otherwise(last)
-    step = F.when(at < 0, 1).otherwise(-1)
-    one = F.array(F.struct((at if last else F.lit(0)).alias("at"), w.alias("w")))
-    two = F.array(F.struct(end.alias("at"), (w * (1 + far)).alias("w")), F.struct((end + step).alias("at"), (-w * far).alias("w")))
-    return t.select(*keep, F.explode(F.when(far > 0, two).otherwise(one) if last else one).alias(out)).filter(F.col(f"{out}.w") != 0)
+        return np.where(a < 1, 1.5 * a * a * a - 2.5 * a * a + 1, np.where(a < 2, -0.5 * a * a * a + 2.5 * a * a - 4 * a + 2, 0.0))
+    p = np.pi * np.where(a < 1e-9, 1.0, d)
+    return np.where(a < 1e-9, 1.0, np.where(a < 3, 3 * np.sin(p) * np.sin(p / 3) / (p * p), 0.0))
+
+
+def _axis_taps(kind: str, x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(cells, weights) of the taps of each point along an axis of ``n`` cells; a tap beyond the border is extrapolated linearly from the two outermost cells."""
+    reach, last = 2 if kind == "cubic" else 3, n - 1
+    at = np.floor(x).astype(np.int64)[:, None] + np.arange(1 - reach, reach + 1)
+    w = _weight(kind, x[:, None] - at)
+    if not last:
+        return np.zeros_like(at), w
+    far = np.maximum(np.maximum(-at, at - last), 0)  # how far outside
+    out = np.where(far > 0, 0.0, w)
+    for k in range(2 * reach):
+        p = np.flatnonzero(far[:, k])
+        end, step = np.where(at[p, k] < 0, 0, last), np.where(at[p, k] < 0, 1, -1)
+        out[p, end - at[p, 0]] += w[p, k] * (1 + far[p, k])
+        out[p, end + step - at[p, 0]] -= w[p, k] * far[p, k]
+    return at, out
+
+
+CHUNK = 4096  # points whose taps a task holds
 
 
 def windowed(vol: DataFrame, source: Grid, points: DataFrame, kind: str = "cubic", background: float = 0.0) -> DataFrame:
-    """Cubic (4^3) or Lanczos-3 (6^3) taps divided by their weight; points outside the grid are ``background``."""
-    ok = F.lit(True)
-    for c, n in zip(XYZ, source.dim[:3], strict=True):
+    """Cubic (4^3) or Lanczos-3 (6^3) taps divided by their weight; points outside the grid are ``background``.
+
+    Points meet tiles of the source: each cell and each point is shipped about once, and taps are taken from the tile's dense array.
+    """
+    reach = 2 if kind == "cubic" else 3
+    tile, ok = Tiles(source, (reach,) * 3), F.lit(True)
+    for c, n in zip(XYZ, tile.n, strict=True):
         ok = ok & (F.col(c) >= 0) & (F.col(c) <= n - 1)
-    t = points.filter(ok)
-    for c, n, a in zip(XYZ, source.dim[:3], "ijk", strict=True):
-        t = _axis_taps(t, kind, c, int(n), a)
-    w = F.col("i.w") * F.col("j.w") * F.col("k.w")
-    t = t.select("idx", source.index_of("i.at", "j.at", "k.at").cast("long").alias("src"), w.alias("w"))
-    t = t.groupBy("idx", "src").agg(F.sum("w").alias("w"))
-    d = t.join(vol.select(F.col("idx").alias("src"), "value"), "src").groupBy("idx").agg((F.sum(F.col("w") * F.col("value")) / F.sum("w")).alias("value"))
-    return points.select("idx").join(d, "idx", "left").select("idx", F.coalesce("value", F.lit(background)).alias("value"))
+    p = points.filter(ok).select(F.col("idx").cast("long").alias("idx"), *[F.col(c).cast("double").alias(c) for c in XYZ])
+    p = p.withColumn("__tile", tile.number(*[F.floor(F.floor(F.col(c)) / t) for c, t in zip(XYZ, tile.edge, strict=True)]))
+    v = vol.select(F.col("idx").cast("long").alias("idx"), F.col("value").cast("double").alias("value")).withColumn("__tile", F.explode(tile.near))
+
+    def run(cells: pa.Table, asked: pa.Table) -> pa.Table:
+        if not asked.num_rows:
+            return pa.table({"idx": pa.array([], pa.int64()), "value": pa.array([], pa.float64())})
+        tile.open(asked.column("__tile")[0].as_py())
+        there, known, value = np.zeros(tile.shape, bool), np.zeros(tile.shape, bool), np.zeros(tile.shape)
+        if cells.num_rows:
+            at = tile.places(cells.column("idx").to_numpy())
+            there[at] = True
+            known[at] = cells.column("value").is_valid().to_numpy()
+            value[at] = cells.column("value").fill_null(0.0).to_numpy()
+        there, known, value = there.ravel(), known.ravel(), value.ravel()
+        xyz, out = [asked.column(c).to_numpy() for c in XYZ], np.full(asked.num_rows, float(background))
+        for a in range(0, asked.num_rows, CHUNK):
+            taps = [_axis_taps(kind, x[a : a + CHUNK], n) for x, n in zip(xyz, tile.n, strict=True)]
+            (i, wi), (j, wj), (k, wk) = ((np.clip(at - low, 0, m - 1), w) for (at, w), low, m in zip(taps, tile.low, tile.shape[::-1], strict=True))
+            w = (wi[:, None, None, :] * wj[:, None, :, None] * wk[:, :, None, None]).reshape(len(i), -1)
+            at = ((k[:, :, None, None] * tile.shape[1] + j[:, None, :, None]) * tile.shape[2] + i[:, None, None, :]).reshape(len(i), -1)
+            w[~there[at]] = 0  # a missing value outside the window's weights must not count, even NaN
+            on = w != 0
+            with np.errstate(invalid="ignore"):
+                total, weight = np.where(on, w * value[at], 0.0).sum(axis=1), w.sum(axis=1)
+            some = (on & known[at]).any(axis=1) & (weight != 0)
+            out[a : a + CHUNK][some] = total[some] / weight[some]
+        return pa.table({"idx": asked.column("idx"), "value": out})
+
+    inside = v.groupBy("__tile").cogroup(p.groupBy("__tile")).applyInArrow(run, "idx long, value double")
+    return inside.unionByName(points.filter(~F.coalesce(ok, F.lit(False))).select(F.col("idx").cast("long").alias("idx"), F.lit(float(background)).alias("value")))
 
 
 def interpolate(vol: DataFrame, source: Grid, points: DataFrame, method: str = "linear", background: float = 0.0) -> DataFrame:

@@ -89,37 +89,59 @@ TILE = 32
 Arrays = dict[str, np.ndarray]
 
 
+class Tiles:
+    """The tiles of a grid with a rim of ``reach`` cells on each axis; ``near`` are the tiles that a cell ``idx`` is needed in."""
+
+    def __init__(self, grid: Grid, reach: tuple[int, int, int]):
+        self.reach, self.n = reach, [int(x) for x in grid.dim[:3]]
+        self.edge = [max(TILE, r) for r in reach]
+        self.count = [-(-x // y) for x, y in zip(self.n, self.edge, strict=True)]
+        near = [F.sequence(F.floor(F.greatest(c - r, F.lit(0)) / y), F.floor(F.least(c + r, F.lit(m - 1)) / y)) for c, r, y, m in zip(grid.axes_of("idx"), reach, self.edge, self.n, strict=True)]
+        self.near = F.flatten(F.transform(near[2], lambda z: F.flatten(F.transform(near[1], lambda y: F.transform(near[0], lambda x: self.number(x, y, z))))))
+
+    def number(self, x, y, z):
+        """The tile of tile coordinates."""
+        return x + y * self.count[0] + z * (self.count[0] * self.count[1])
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "near"}  # columns stay on the driver
+
+    def open(self, at: int) -> None:
+        """Bounds of a tile (x, y, z), of its rim, and its shape (z, y, x) with it."""
+        c = self.count
+        self.first = [k * t for k, t in zip((at % c[0], at // c[0] % c[1], at // (c[0] * c[1])), self.edge, strict=True)]
+        self.last = [min(a + y, m) for a, y, m in zip(self.first, self.edge, self.n, strict=True)]
+        self.low = [max(a - r, 0) for a, r in zip(self.first, self.reach, strict=True)]
+        self.shape = tuple(min(z + r, m) - a for a, z, r, m in zip(self.low, self.last, self.reach, self.n, strict=True))[::-1]
+
+    def places(self, idx: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n = self.n
+        return idx // (n[0] * n[1]) - self.low[2], idx // n[0] % n[1] - self.low[1], idx % n[0] - self.low[0]
+
+
 def tiled(v: DataFrame, grid: Grid, reach: tuple[int, int, int], f: Callable[[Arrays, np.ndarray], tuple[np.ndarray, np.ndarray]], keep: tuple[str, ...] = ("value",)) -> DataFrame:
     """(idx, value): ``f`` over tiles of the grid with a rim of ``reach`` cells on each axis.
 
     ``f`` gets dense arrays (z, y, x) of the kept columns, 0 where there is no cell, and where there are cells; it gives
     where there is a result, and the result.
     """
-    n = [int(x) for x in grid.dim[:3]]
-    t = [max(TILE, r) for r in reach]
-    tiles = [-(-x // y) for x, y in zip(n, t, strict=True)]
-    near = [F.sequence(F.floor(F.greatest(c - r, F.lit(0)) / y), F.floor(F.least(c + r, F.lit(m - 1)) / y)) for c, r, y, m in zip(grid.axes_of("idx"), reach, t, n, strict=True)]
-    every = F.flatten(F.transform(near[2], lambda z: F.flatten(F.transform(near[1], lambda y: F.transform(near[0], lambda x: x + y * tiles[0] + z * (tiles[0] * tiles[1]))))))
+    tile = Tiles(grid, reach)
     d = v.select(F.col("idx").cast("long").alias("idx"), *[F.col(c).cast("double").alias(c) for c in keep])
     for c in keep:
         d = d.filter(F.col(c).isNotNull())
-    d = d.withColumn("__tile", F.explode(every))
+    d = d.withColumn("__tile", F.explode(tile.near))
 
     def run(cells: pa.Table) -> pa.Table:  # Arrow, where NaN and NULL differ
-        at = cells.column("__tile")[0].as_py()
-        first = [at % tiles[0] * t[0], at // tiles[0] % tiles[1] * t[1], at // (tiles[0] * tiles[1]) * t[2]]
-        last = [min(a + y, m) for a, y, m in zip(first, t, n, strict=True)]
-        low = [max(a - r, 0) for a, r in zip(first, reach, strict=True)]
-        shape = [min(z + r, m) - a for a, z, r, m in zip(low, last, reach, n, strict=True)]
-        idx = cells.column("idx").to_numpy()
-        cell = (idx // (n[0] * n[1]) - low[2], idx // n[0] % n[1] - low[1], idx % n[0] - low[0])
-        there, arrays = np.zeros(shape[::-1], bool), {}
+        tile.open(cells.column("__tile")[0].as_py())
+        cell = tile.places(cells.column("idx").to_numpy())
+        there, arrays = np.zeros(tile.shape, bool), {}
         there[cell] = True
         for c in keep:
-            arrays[c] = np.zeros(shape[::-1])
+            arrays[c] = np.zeros(tile.shape)
             arrays[c][cell] = cells.column(c).to_numpy()
         ok, value = f(arrays, there)
-        inner = tuple(slice(a - b, z - b) for a, z, b in zip(first, last, low, strict=True))[::-1]
+        n, first = tile.n, tile.first
+        inner = tuple(slice(a - b, z - b) for a, z, b in zip(first, tile.last, tile.low, strict=True))[::-1]
         z, y, x = np.nonzero(ok[inner])
         return pa.table({"idx": x + first[0] + (y + first[1]) * n[0] + (z + first[2]) * (n[0] * n[1]), "value": value[inner][z, y, x].astype(float)})
 
