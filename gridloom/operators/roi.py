@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,8 +10,8 @@ from gridloom.grid import Grid
 from gridloom.num import js_round
 from gridloom.operators.order import cut as _cut
 from gridloom.operators.order import ranked
-from gridloom.operators.stencil import mm_sphere_offsets
-from gridloom.rng import draw_at, mulberry32, random_index
+from gridloom.operators.stencil import _reach, _views, mm_sphere_offsets, tiled
+from gridloom.rng import drawn, mulberry32, random_index
 
 
 def spherical(vol: DataFrame, grid: Grid, center: tuple[int, ...], radius: float, nonzero: bool = False) -> DataFrame:
@@ -110,14 +111,29 @@ def bootstrap_searchlights(mask: DataFrame, grid: Grid, radius: float = 8.0, n:
 
 def random_searchlights(mask: DataFrame, grid: Grid, radius: float, seed: int = 1) -> DataFrame:
     """(center, idx): a random disjoint cover.  In each round the cells of locally least seeded priority become
-    centres together and their spheres leave the mask, which is the sequential random pick without its loop."""
-    pr = draw_at(F.lit(seed), F.col("idx"))
-    left, out = mask.select("idx"), None
-    left = _cut(left)
+    centres together and their spheres leave the mask, which is the sequential random pick without its loop.
+
+    A round ships the cells that are left to tiles about once; spheres are views of a tile's dense array.
+    """
+    wide, near = mm_sphere_offsets(grid, 2 * radius), mm_sphere_offsets(grid, radius)
+    reach = tuple(a + b for a, b in zip(_reach(wide), _reach(near), strict=True))
+
+    def covered(arrays, there):
+        cell = arrays["cell"]
+        p = drawn(seed, cell.ravel()).reshape(cell.shape)
+        least, best = np.full(cell.shape, np.inf), np.full(cell.shape, np.inf)
+        for u, c, m in zip(_views(p, wide), _views(cell, wide), _views(there, wide, False), strict=True):
+            less = m & ((u < least) | ((u == least) & (c < best)))
+            least, best = np.where(less, u, least), np.where(less, c, best)
+        first, center = there & (best == cell), np.full(cell.shape, np.inf)
+        for c, m in zip(_views(cell, near), _views(first, near, False), strict=True):
+            center = np.where(m, np.minimum(center, c), center)
+        return there, np.where(np.isfinite(center), center, -1.0)
+
+    left, out = _cut(mask.select("idx")), None
     while left.limit(1).count():
-        s = searchlight_cells(left, grid, 2 * radius, left)
-        first = s.withColumn("p", pr).groupBy("center").agg(F.min(F.struct("p", "idx"))["idx"].alias("best")).filter("center = best").select(F.col("center").alias("idx"))
-        got = _cut(searchlight_cells(first, grid, radius, left).groupBy("idx").agg(F.min("center").alias("center")).select("center", "idx"))
+        seen = _cut(tiled(left.withColumn("cell", F.col("idx")), grid, reach, covered, ("cell",)))
+        got = seen.filter("value >= 0").select(F.col("value").cast("long").alias("center"), "idx")
         out = got if out is None else out.unionByName(got)
-        left = _cut(left.join(got.select("idx"), "idx", "left_anti"))
+        left = seen.filter("value < 0").select("idx")
     return out if out is not None else mask.sparkSession.createDataFrame([], "center long, idx long")

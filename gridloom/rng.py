@@ -62,10 +62,16 @@ def draw_at(seed: Column, n: Column) -> Column:
     return x.bitwiseXOR(F.shiftright(x, 14)).cast("double") / 4294967296.0
 
 
-def draws(seed: pd.Series, n: pd.Series) -> pd.Series:
-    """:func:`draw_at` of whole columns, for Arrow batches."""
-    m, u = np.uint64(_M), np.uint64
-    s = (seed.to_numpy().astype(u) + (n.to_numpy().astype(u) + u(1)) * u(STEP)) & m
+def drawn(seed: np.ndarray | int, n: np.ndarray) -> np.ndarray:
+    """:func:`draw_at` of arrays."""
+    u = np.uint64
+    m = u(_M)
+    s = (np.asarray(seed).astype(u) + (n.astype(u) + u(1)) * u(STEP)) & m
     x = ((s ^ (s >> u(15))) * (s | u(1))) & m
     x ^= (x + (((x ^ (x >> u(7))) * (x | u(61))) & m)) & m
-    return pd.Series(((x ^ (x >> u(14))) & m) / 4294967296.0)
+    return ((x ^ (x >> u(14))) & m) / 4294967296.0
+
+
+def draws(seed: pd.Series, n: pd.Series) -> pd.Series:
+    """:func:`draw_at` of whole columns, for Arrow batches."""
+    return pd.Series(drawn(seed.to_numpy(), n.to_numpy()))
