@@ -523,11 +523,11 @@ def _(spark, d):
 
 @query("event_moments_stream", _EV)
 def _(spark, d):
-    name = f"moments_{abs(hash(d)) % 10**8}"
+    from gridloom.plans.geometry import scratch
+
     src = spark.readStream.schema(L.table(spark, d, "events").schema).format("parquet").load(d, pathGlobFilter="events*.parquet")
-    q = ST_M.streaming_moments(src, "ts", "user_id", "value").writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return show(spark.table(name), "start", "user_id", "count", mean="mean", sd="sd")
+    m = ST_M.completed(ST_M.streaming_moments(src, "ts", "user_id", "value"), scratch(spark))
+    return show(m, "start", "user_id", "count", mean="mean", sd="sd")
 
 
 # ------------------------------------------------------------------ named dimensions
